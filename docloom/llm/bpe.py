@@ -14,11 +14,12 @@ from functools import lru_cache
 from pathlib import Path
 
 import ahocorasick
+import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from docloom.llm.common import map_texts, text_of
+from docloom.llm.common import list_array, map_texts, text_of
 from docloom.llm.pretokens import Splitter, byte_letters
 
 END = "￿"
@@ -119,21 +120,31 @@ class PrefixBPE:
 class Codec:
     def __init__(self, definition: str):
         self.splitter, self.bpe = Splitter(definition), PrefixBPE(definition)
-
-    def encode(self, text: str) -> list[int]:
-        ids: list[int] = []
-        known, word = self.bpe.words.get, self.bpe.word
-        for p in self.splitter.pieces(text):
-            if type(p) is int:
-                ids.append(p)
-            else:
-                ids += known(p) or word(p)
-        return ids
-
-    def decode(self, ids: list[int]) -> str:
+        self.known: dict[str, bytes] = {}
+
+    def _packed(self, chunk: str) -> bytes:
+        ids = [i for w in self.splitter.words_in(chunk) for i in self.bpe.word(w)]
+        packed = np.array(ids, "<i4").tobytes()
+        if len(chunk) <= 64:  # longer ones hardly come twice
+            if len(self.known) >= MAX_WORDS:
+                self.known.clear()
+            self.known[chunk] = packed
+        return packed
+
+    def encode(self, text: str) -> np.ndarray:
+        chunks = self.splitter.chunks(text)
+        if chunks is None:
+            ids: list[int] = []
+            for p in self.splitter.pieces(text):
+                ids += (p,) if type(p) is int else self.bpe.word(p)
+            return np.array(ids, "<i4")
+        known = self.known.get
+        return np.frombuffer(b"".join([known(c) or self._packed(c) for c in chunks]), "<i4")
+
+    def decode(self, ids: np.ndarray) -> str:
         """A file without a decoder joins tokens with one blank; ids outside the vocabulary are left out."""
         token = self.bpe.token_of
-        return " ".join([token[i] for i in ids if i in token])
+        return " ".join([token[i] for i in ids.tolist() if i in token])
 
 
 @lru_cache(maxsize=2)
@@ -163,7 +174,7 @@ def encode(docs: DataFrame, vocabulary: str, id_col: str = "doc_id", text_col: s
     def one(keys, texts):
         c = codec(definition.value)
         ids = [c.encode(t.decode()) for t in texts]
-        return keys, ids, [c.decode(i) for i in ids]
+        return keys, list_array(ids), [c.decode(i) for i in ids]
 
     rows = docs.select(docs[id_col].cast("long").alias("doc_id"), text_of(docs, text_col).cast("binary").alias("text"))
     return map_texts(rows, one, schema, "doc_id long, ids array<int>, decoded string")

@@ -7,6 +7,7 @@ import uuid
 from collections.abc import Callable, Iterator
 from functools import lru_cache
 
+import numpy as np
 import pyarrow as pa
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
@@ -59,3 +60,10 @@ def map_texts(rows: DataFrame, one: Callable[[list, list[bytes]], list[list]], s
                 yield pa.RecordBatch.from_arrays([c if isinstance(c, pa.Array) else pa.array(c, f.type) for c, f in zip(columns, schema)], schema=schema)
 
     return rows.mapInArrow(run, ddl)
+
+
+def list_array(rows: list[np.ndarray]) -> pa.Array:
+    """One Arrow list for each int32 array."""
+    offsets = np.zeros(len(rows) + 1, np.int32)
+    np.cumsum([len(r) for r in rows], out=offsets[1:])
+    return pa.ListArray.from_arrays(pa.array(offsets), pa.array(np.concatenate([np.empty(0, np.int32), *rows]), pa.int32()))

@@ -2,16 +2,34 @@
 
 from __future__ import annotations
 
-from docloom.llm import simhash
-from docloom.llm.common import table
+import public_tokenizers
+
+from docloom.llm import bpe, simhash, tokenfile
+from docloom.llm.common import scratch, table
+
+WORD_BPE = public_tokenizers.path("word_bpe_49k.json")
 
 
 def op1_simhash(spark, sf_dir):
     return simhash.near_duplicates(table(spark, sf_dir, "documents"))
 
 
+def op2_token_files(spark, sf_dir):
+    path = scratch(spark, "tokens")
+    tokenfile.write(table(spark, sf_dir, "documents"), path, WORD_BPE)
+    return tokenfile.digests(tokenfile.read(spark, path))
+
+
+def op4_bpe(spark, sf_dir):
+    return bpe.digests(bpe.encode(table(spark, sf_dir, "documents"), WORD_BPE))
+
+
 def queries() -> dict:
-    return {"op1_simhash": op1_simhash}
+    return {
+        "op1_simhash": op1_simhash,
+        "op2_token_files": op2_token_files,
+        "op4_bpe": op4_bpe,
+    }
 
 
 def oracle_sql() -> dict[str, str]:
