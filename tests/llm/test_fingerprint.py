@@ -1,0 +1,63 @@
+import hashlib
+import random
+
+import pytest
+
+from docloom.llm import fingerprint as fp
+
+
+def test_spans_and_extensions():
+    r = random.Random(1)
+    a, b = ("".join(r.choice("ab") for _ in range(300)) for _ in range(2))
+    pa, pb = fp.Prefixes(fp.code_points(a)), fp.Prefixes(fp.code_points(b))
+    for _ in range(500):
+        i, j, n = r.randrange(300), r.randrange(300), r.randrange(12)
+        assert fp.equal_spans(pa, i, pb, j, n) == (i + n <= 300 and j + n <= 300 and a[i : i + n] == b[j : j + n])
+        k = 0
+        while i + k < 300 and j + k < 300 and a[i + k] == b[j + k]:
+            k += 1
+        assert fp.longest_common_extension(pa, i, pb, j) == k
+
+
+def test_all_spans_agree():
+    p = fp.Prefixes(fp.code_points("a text of some length with é and 🙂 in it"))
+    assert p.all_spans(5).tolist() == [p.span(k, 5) for k in range(p.n - 4)]
+
+
+def test_likeness_follows_shared_text():
+    r = random.Random(2)
+    a, b = ("".join(r.choice("abcdefghij ") for _ in range(4000)) for _ in range(2))
+    fa = fp.fingerprint(a)
+    assert fp.likeness(fa, fp.fingerprint(a)) == 1.0
+    assert fp.likeness(fa, fp.fingerprint(b)) < 0.1
+    assert 0.15 < fp.likeness(fa, fp.fingerprint(fp.edited(a, b))) < 0.55
+    assert fp.likeness(fa, fp.fingerprint(a[:2000] + "x" + a[2000:])) > 0.8
+
+
+@pytest.mark.parametrize("parts", [1, 3, 8])
+def test_edited_fingerprints(spark, parts):
+    r = random.Random(3)
+    rows = [(k * 3, "".join(r.choice("abcé🙂 \n") for _ in range(r.choice([0, 1, 2, 15, 16, 17, 40, 3000]))), 1) for k in range(60)]
+    rows[5] = (15, None, 1)
+    rows += [(9, "twin", 1), (9, "twin", 1), (None, "no id", 1), (None, "no id b", 1)]
+    spark.conf.set("spark.sql.shuffle.partitions", str(parts))
+    try:
+        got = fp.edited_fingerprints(spark.createDataFrame(rows, "doc_id long, text string, bucket int").repartition(5)).collect()
+    finally:
+        spark.conf.set("spark.sql.shuffle.partitions", "8")
+    docs = sorted(((k, t or "") for k, t, _ in rows), key=lambda d: (d[0] is not None, d[0] or 0, d[1].encode()))
+    want = []
+    for n, (k, t) in enumerate(docs):
+        after = docs[(n + 1) % len(docs)][1]
+        half = len(t) // 2
+        e = t[: len(t) - half] + after[:half]
+        f, g = fp.fingerprint(t), fp.fingerprint(e)
+        want.append((k, len(t), hashlib.sha256(e.encode()).hexdigest(), f, g, fp.likeness(f, g), fp.likeness(f, fp.fingerprint(after))))
+    assert sorted(map(tuple, got), key=str) == sorted(want, key=str)
+
+
+def test_small_tables(spark):
+    one = spark.createDataFrame([(1, "abc")], "doc_id long, text string")
+    (row,) = fp.edited_fingerprints(one).collect()
+    assert row.near_next == 1.0 and row.edited_sha256 == hashlib.sha256(b"aba").hexdigest()
+    assert fp.edited_fingerprints(one.limit(0)).count() == 0
