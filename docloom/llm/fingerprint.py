@@ -10,6 +10,7 @@ of spans that two texts have in common.
 from __future__ import annotations
 
 import hashlib
+import math
 from collections.abc import Iterator
 
 import numpy as np
@@ -148,19 +149,23 @@ def _dealt(docs: DataFrame, id_col: str, text_col: str) -> DataFrame:
     ids = docs.select(docs[id_col].cast("long").alias("doc_id"))
     n = int(docs.sparkSession.conf.get("spark.sql.shuffle.partitions"))
     cuts = ids.agg(F.percentile_approx("doc_id", [k / n for k in range(1, n)] or [0.5], 10 * n).alias("cuts")).first().cuts or []
-    cuts = F.array(*(F.lit(c) for c in sorted(set(cuts)))).cast("array<long>")
-    bucket = F.when(F.col("doc_id").isNull(), 0).otherwise(F.size(F.filter(cuts, lambda c: c <= F.col("doc_id"))))
-    # the first row of each range: null ids come first, then by id, then by text
-    firsts = [r.bucket for r in ids.groupBy(bucket.alias("bucket")).agg(F.count("*").alias("n")).orderBy("bucket").collect()]
-    before = {b: firsts[k - 1] for k, b in enumerate(firsts)}  # the first range follows the last
+    cuts = sorted(set(cuts))
+    m = max(1, math.isqrt(len(cuts)))
+    every, coarse = (F.array(*map(F.lit, x)).cast("array<long>") for x in (cuts, cuts[m - 1 :: m]))
+    lower = lambda array: F.size(F.filter(array, lambda c: c <= F.col("doc_id")))
+    # ranges below an id, found in two steps of about sqrt(n) comparisons
+    bucket = F.when(F.col("doc_id").isNull(), 0).otherwise(lower(coarse) * m + lower(F.slice(every, lower(coarse) * m + 1, m)))
+    # the first row of each range: null ids come first; of equal ids the one whose text comes first counts
+    least = F.when(F.count("*") == F.count("doc_id"), F.min("doc_id"))
+    firsts = {r.bucket: r.id for r in ids.groupBy(bucket.alias("bucket")).agg(least.alias("id")).orderBy("bucket").collect()}
     rows = docs.select(docs[id_col].cast("long").alias("doc_id"), text_of(docs, text_col).alias("text")).withColumn("bucket", bucket)
     if not firsts:
         return rows.select("bucket", "doc_id", "text", F.lit(False).alias("extra"))
-    # copies of the rows with the least id of each range; of equal ids the one whose text comes first counts
-    heads = [(r.bucket, r.id) for r in ids.groupBy(bucket.alias("bucket")).agg(F.when(F.count("*") == F.count("doc_id"), F.min("doc_id")).alias("id")).collect()]
-    previous = F.lit(None).cast("int")
-    for b, head in heads:
-        previous = F.when((F.col("bucket") == b) & F.col("doc_id").eqNullSafe(F.lit(head).cast("long")), F.lit(before[b])).otherwise(previous)
+    there = list(firsts)
+    before = {b: there[k - 1] for k, b in enumerate(there)}  # the first range comes after the last
+    heads = F.array(*(F.lit(firsts.get(b)) for b in range(there[-1] + 1))).cast("array<long>")
+    befores = F.array(*(F.lit(before.get(b)) for b in range(there[-1] + 1))).cast("array<int>")
+    previous = F.when(F.get(heads, F.col("bucket")).eqNullSafe(F.col("doc_id")), F.get(befores, F.col("bucket")))
     places = F.array(F.struct(F.col("bucket").alias("bucket"), F.lit(False).alias("extra")), F.struct(previous.alias("bucket"), F.lit(True).alias("extra")))
     return rows.select("doc_id", "text", F.explode(F.filter(places, lambda p: p.bucket.isNotNull())).alias("p")).select("p.bucket", "doc_id", "text", "p.extra")
 

@@ -4,7 +4,7 @@ from __future__ import annotations
 
 import public_tokenizers
 
-from docloom.llm import bpe, simhash, tokenfile
+from docloom.llm import bpe, fingerprint, simhash, tokencount, tokenfile
 from docloom.llm.common import scratch, table
 
 WORD_BPE = public_tokenizers.path("word_bpe_49k.json")
@@ -24,11 +24,22 @@ def op4_bpe(spark, sf_dir):
     return bpe.digests(bpe.encode(table(spark, sf_dir, "documents"), WORD_BPE))
 
 
+def op7_token_counts(spark, sf_dir):
+    scores = tokencount.zipf_scores(public_tokenizers.path("byte_bpe_50k.tiktoken"))
+    return tokencount.token_counts(table(spark, sf_dir, "documents"), scores, public_tokenizers.PATTERN)
+
+
+def op10_fingerprints(spark, sf_dir):
+    return fingerprint.edited_fingerprints(table(spark, sf_dir, "documents"))
+
+
 def queries() -> dict:
     return {
         "op1_simhash": op1_simhash,
         "op2_token_files": op2_token_files,
         "op4_bpe": op4_bpe,
+        "op7_token_counts": op7_token_counts,
+        "op10_fingerprints": op10_fingerprints,
     }
 
 
