@@ -4,7 +4,7 @@ from __future__ import annotations
 
 import public_tokenizers
 
-from docloom.llm import bpe, fingerprint, simhash, tokencount, tokenfile
+from docloom.llm import bpe, fingerprint, quality, simhash, suffixtree, tokencount, tokenfile
 from docloom.llm.common import scratch, table
 
 WORD_BPE = public_tokenizers.path("word_bpe_49k.json")
@@ -29,6 +29,14 @@ def op7_token_counts(spark, sf_dir):
     return tokencount.token_counts(table(spark, sf_dir, "documents"), scores, public_tokenizers.PATTERN)
 
 
+def op8_quality(spark, sf_dir):
+    return quality.scores(table(spark, sf_dir, "documents"), table(spark, sf_dir, "labels"))
+
+
+def op9_lm_scores(spark, sf_dir):
+    return suffixtree.scores(table(spark, sf_dir, "documents"))
+
+
 def op10_fingerprints(spark, sf_dir):
     return fingerprint.edited_fingerprints(table(spark, sf_dir, "documents"))
 
@@ -39,6 +47,8 @@ def queries() -> dict:
         "op2_token_files": op2_token_files,
         "op4_bpe": op4_bpe,
         "op7_token_counts": op7_token_counts,
+        "op8_quality": op8_quality,
+        "op9_lm_scores": op9_lm_scores,
         "op10_fingerprints": op10_fingerprints,
     }
 
