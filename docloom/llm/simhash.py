@@ -3,9 +3,12 @@
 Documents with one fingerprint become one node. Fingerprints are cut into blocks; two that differ in
 at most `budget` bits agree on at least `blocks - budget` whole blocks, so each node goes to one trie for
 each choice of that many blocks. A trie's self-join walks node pairs together and prunes a pair once its
-paths differ in more bits than the budget. A trie with very many nodes is dealt out as pairs of bounded
-slices, so no task holds an unbounded group. A task returns a link from each linked node to the first of its
-component there, never all pairs; alternating star rounds join those links into components.
+paths differ in more bits than the budget. A trie with very many nodes is dealt out in bounded slices, so no
+task holds an unbounded group. A task returns a link from each linked node to the first of its component there,
+never all pairs; alternating star rounds join those links into components.
+
+Copies with more changes than few bits can show are found by the same join with a wider budget: their tries are
+dealt by min-hashes of the shingles instead of fingerprint blocks, and pairs are checked by a sketch.
 """
 
 from __future__ import annotations
@@ -16,7 +19,7 @@ from itertools import combinations
 import numpy as np
 import pyarrow as pa
 import xxhash
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from docloom.llm.common import map_texts, text_of, written
@@ -69,54 +72,97 @@ def _block_keys(fp: Column, budget: int, blocks: int) -> Column:
     return F.array(*keys)
 
 
-def links(nodes: DataFrame, budget: int = 3, blocks: int = 5, slice_rows: int = 2000) -> DataFrame:
-    """nodes (fp, rep), fp distinct -> (a, b): reps of fingerprints that differ in at most `budget` bits.
+def _join_tiles(dealt: DataFrame, budget: int, similarity: float | None) -> DataFrame:
+    """dealt (tile, key, fp, rep, lead, sketch) -> (key, a, b, led): a link from each linked node to the first of its component in the tile.
 
-    The pairs span every component of that relation but are not all its pairs. `slice_rows` bounds what one
-    task holds of a trie: larger tries are dealt out as pairs of slices.
+    led says that the component has the tile's leader. Tiles follow one another in a task, some at a time.
     """
-    keyed = nodes.select("fp", "rep", F.explode(_block_keys(F.col("fp"), budget, blocks)).alias("key"))
-    sizes = keyed.groupBy("key").count().where("count > 1").select("key", F.ceil(F.col("count") / slice_rows).cast("int").alias("slices"))
-    own = F.pmod(F.xxhash64("fp"), F.col("slices")).cast("int")
-    tiles = F.transform(F.sequence(F.lit(0), F.col("slices") - 1), lambda k: F.struct(F.least(own, k).alias("i"), F.greatest(own, k).alias("j")))
-    dealt = keyed.join(sizes, "key").select("key", "fp", "rep", F.explode(tiles).alias("t")).select("key", F.xxhash64("key", "t.i", "t.j").alias("tile"), "fp", "rep")
     # order by unsigned value, as in the trie: the sign bit goes first
-    dealt = dealt.repartition("tile").sortWithinPartitions("tile", F.expr("fp < 0"), "fp")
-    schema = pa.schema([("a", pa.int64()), ("b", pa.int64())])
+    dealt = dealt.select("tile", "key", "fp", "rep", "lead", "sketch").repartition("tile").sortWithinPartitions("tile", F.expr("fp < 0"), "fp")
+    schema = pa.schema([("key", pa.int64()), ("a", pa.int64()), ("b", pa.int64()), ("led", pa.bool_())])
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        held: list[tuple[np.ndarray, ...]] = []
+        held: list[pa.RecordBatch] = []
         rows = 0
 
         def joined(last: bool):
             nonlocal held, rows
-            tile, fp, rep = (np.concatenate(x) for x in zip(*held))
+            whole = pa.Table.from_batches(held)
+            tile = whole.column("tile").to_numpy()
             cut = len(tile) if last else int(np.searchsorted(tile, tile[-1]))  # a tile that may go on waits
-            held, rows = ([] if last else [(tile[cut:], fp[cut:], rep[cut:])]), 0 if last else len(tile) - cut
+            held, rows = [] if last else whole.slice(cut).combine_chunks().to_batches(), 0 if last else len(tile) - cut
             if not cut:
                 return None
-            tile, fp, rep = tile[:cut], fp[:cut], rep[:cut]
-            label = link_within(tile, fp.view(np.uint64), budget)
-            least = np.full(cut, np.iinfo(np.int64).max)
+            whole = whole.slice(0, cut)
+            tile, key, fp, rep, lead = (whole.column(c).to_numpy() for c in ("tile", "key", "fp", "rep", "lead"))
+            check = None
+            if similarity is not None:
+                sketch = np.frombuffer(b"".join(whole.column("sketch").to_pylist()), np.uint8).reshape(cut, -1)
+                check = lambda i, j: alike(sketch, i, j) >= similarity
+            label = link_within(tile, fp.view(np.uint64), budget, check)
+            least, led = np.full(cut, np.iinfo(np.int64).max), np.zeros(cut, bool)
             np.minimum.at(least, label, rep)
-            root = least[label]
-            moved = root != rep
-            return pa.RecordBatch.from_arrays([pa.array(rep[moved]), pa.array(root[moved])], schema=schema)
+            np.logical_or.at(led, label, lead)
+            root, led = least[label], led[label]
+            out = (root != rep) | (led & ~lead)
+            return pa.RecordBatch.from_arrays([pa.array(x[out]) for x in (key, rep, root, led)], schema=schema)
 
         for batch in batches:
             for at in range(0, batch.num_rows, 50_000):
-                part = batch.slice(at, 50_000)
-                held.append(tuple(part.column(k).to_numpy() for k in (1, 2, 3)))
-                rows += part.num_rows
+                held.append(batch.slice(at, 50_000))
+                rows += held[-1].num_rows
                 if rows >= 100_000 and (out := joined(False)) is not None:
                     yield out
-        if held and (out := joined(True)) is not None:
+        if rows and (out := joined(True)) is not None:
             yield out
 
-    return dealt.mapInArrow(run, "a long, b long")
+    return dealt.mapInArrow(run, "key long, a long, b long, led boolean")
+
+
+def _leaders(hot: DataFrame) -> DataFrame:
+    """(key, lead_rep): of each key's nodes the one nearest to the majority of each bit, the least of equals."""
+    sums = hot.groupBy("key").agg(F.count("*").alias("n"), *(F.sum(F.shiftrightunsigned("fp", k).bitwiseAND(F.lit(1))).alias(f"b{k}") for k in range(64)))
+    center = F.lit(0).cast("long")
+    for k in range(64):
+        center = center.bitwiseOR(F.when(2 * F.col(f"b{k}") > F.col("n"), F.shiftleft(F.lit(1).cast("long"), k)).otherwise(F.lit(0).cast("long")))
+    near = hot.join(sums.select("key", center.alias("center")), "key")
+    best = F.min(F.struct(F.bit_count(F.col("fp").bitwiseXOR(F.col("center"))).alias("d"), "rep")).alias("best")
+    return near.groupBy("key").agg(best).select("key", F.col("best.rep").alias("lead_rep"))
 
 
-def near_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", width: int = 3, budget: int = 3, blocks: int = 5) -> DataFrame:
+def links(keyed: DataFrame, budget: int, slice_rows: int = 4000, similarity: float | None = None) -> DataFrame:
+    """keyed (key, fp, rep, sketch): nodes by the tries that they belong to -> (a, b): reps to link.
+
+    Nodes of one trie link at `budget` or fewer differing bits (and likeness of their sketches of at least
+    `similarity`). The pairs span every component of that relation but are not all its pairs. `slice_rows` bounds
+    what one task holds of a trie. A larger trie is cut into slices, each of which also gets the trie's leader,
+    the node amid the others. Nodes that a slice connects with the leader need no comparison with one another;
+    the rest are compared with all nodes, slice by slice.
+    """
+    sizes = written(keyed.groupBy("key").count().where("count > 1").select("key", F.ceil(F.col("count") / slice_rows).cast("int").alias("slices")), "tries")
+    small = keyed.join(sizes.where("slices = 1"), "key").select(F.xxhash64("key").alias("tile"), "key", "fp", "rep", F.lit(False).alias("lead"), "sketch")
+    found = _join_tiles(small, budget, similarity).select("a", "b")
+    if not sizes.where("slices > 1").take(1):
+        return found
+    own = F.pmod(F.xxhash64("fp"), F.col("slices")).cast("int")
+    hot = written(keyed.join(sizes.where("slices > 1"), "key").withColumn("own", own), "hot")
+    hot = hot.join(_leaders(hot), "key").withColumn("lead", F.col("rep") == F.col("lead_rep"))
+    every = F.sequence(F.lit(0), F.col("slices") - 1)
+    first = hot.withColumn("slice", F.explode(F.when(F.col("lead"), every).otherwise(F.array("own")))).withColumn("tile", F.xxhash64("key", "slice"))
+    led = written(_join_tiles(first, budget, similarity), "led")
+    done = led.where("led").select("key", F.col("a").alias("rep")).distinct()
+    rest = written(hot.where("not lead").join(done, ["key", "rep"], "left_anti"), "rest")
+    parts = rest.groupBy("key").agg(F.ceil(F.count("*") / slice_rows).cast("int").alias("parts"))
+    mine = F.pmod(F.xxhash64("fp", F.lit(1)), F.col("parts")).cast("int")
+    tile = lambda part, slice_: F.xxhash64("key", part, slice_)
+    left = rest.join(parts, "key").withColumn("slice", F.explode(every)).withColumn("tile", tile(mine, F.col("slice")))
+    right = hot.join(parts, "key").withColumn("part", F.explode(F.sequence(F.lit(0), F.col("parts") - 1))).withColumn("tile", tile(F.col("part"), F.col("own")))
+    columns = ["tile", "key", "fp", "rep", "lead", "sketch"]
+    tiles = left.select(columns).union(right.select(columns)).dropDuplicates(["tile", "fp"])
+    return found.union(led.select("a", "b")).union(_join_tiles(tiles, budget, similarity).select("a", "b")).where("a <> b")
+
+
+def near_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", width: int = 3, budget: int = 3, blocks: int = 5, slice_rows: int = 4000) -> DataFrame:
     """(doc_id, fingerprint, component_id, n_links): one row per row of docs.
 
     Fingerprints link at `budget` or fewer differing bits; component_id is the smallest doc_id reachable,
@@ -127,7 +173,73 @@ def near_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "te
     """
     fps = written(fingerprints(docs, id_col, text_col, width), "simhash")
     nodes = written(fps.where("doc_id is not null").groupBy("fp").agg(F.min("doc_id").alias("rep"), F.count("*").alias("n_links")), "nodes")
-    roots = components(links(nodes, budget, blocks))
+    keyed = nodes.select("fp", "rep", F.lit(None).cast("binary").alias("sketch"), F.explode(_block_keys(F.col("fp"), budget, blocks)).alias("key"))
+    roots = components(links(keyed, budget, slice_rows))
     named = nodes.join(roots, nodes.rep == roots.node, "left").select(F.col("fp").alias("node_fp"), F.coalesce("root", "rep").alias("component_id"), "n_links")
     known = fps.doc_id.isNotNull() & (fps.fp == named.node_fp)
     return fps.join(named, known, "left").select("doc_id", F.lpad(F.lower(F.hex("fp")), 16, "0").alias("fingerprint"), "component_id", "n_links")
+
+
+BANDS, ROWS, BINS = 8, 3, 128
+_ODD = (np.arange(1, BANDS * ROWS + 1, dtype=np.uint64) * np.uint64(0x9E3779B97F4A7C15)) | np.uint64(1)
+
+
+def alike(sketch: np.ndarray, i: np.ndarray, j: np.ndarray) -> np.ndarray:
+    """Estimated similarity of the shingle sets of rows i and j: the share of equal bins among those with a shingle."""
+    out = np.empty(len(i))
+    for at in range(0, len(i), 50_000):
+        a, b = sketch[i[at : at + 50_000]], sketch[j[at : at + 50_000]]
+        used = (a != 0) | (b != 0)
+        out[at : at + 50_000] = ((a == b) & used).sum(1) / np.maximum(used.sum(1), 1)
+    return out
+
+
+def copy_marks(text: bytes, width: int) -> tuple[int, list[int], bytes]:
+    """(fingerprint of the set of shingles, min-hash keys, sketch) of a text."""
+    words = text.lower().split()
+    shingles = {b" ".join(words)} if len(words) < width else set(map(b" ".join, zip(*(words[k:] for k in range(width)))))
+    codes = np.fromiter((xxhash.xxh64_intdigest(s, 7) for s in shingles), np.uint64, len(shingles))
+    counts, least = np.zeros(64, np.int64), np.full(BANDS * ROWS, np.iinfo(np.uint64).max, np.uint64)
+    for at in range(0, len(codes), 1 << 14):
+        part = codes[at : at + (1 << 14)]
+        counts += np.unpackbits(part.view(np.uint8).reshape(-1, 8), axis=1, bitorder="little").sum(0, dtype=np.int64)
+        mixed = part[:, None] * _ODD
+        least = np.minimum(least, (mixed ^ (mixed >> np.uint64(29))).min(0))
+    keys = [xxhash.xxh64_intdigest(row.tobytes(), n) - (1 << 63) for n, row in enumerate(least.reshape(BANDS, ROWS))]
+    best = np.full(BINS, np.iinfo(np.uint64).max, np.uint64)
+    np.minimum.at(best, (codes >> np.uint64(57)).astype(np.int64), codes & np.uint64((1 << 57) - 1))
+    sketch = np.where(best == np.iinfo(np.uint64).max, 0, best % np.uint64(255) + np.uint64(1)).astype(np.uint8)
+    return int(np.packbits(2 * counts > len(codes), bitorder="little").view("<u8")[0]) - (1 << 63), keys, sketch.tobytes()
+
+
+def one_of_each(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", width: int = 5, similarity: float = 0.8, budget: int = 16, margin: float = 0.03, slice_rows: int = 4000) -> DataFrame:
+    """The rows of docs, with their columns, of which no near copy comes earlier: one of each group of near copies.
+
+    Near copies share `similarity` of their distinct shingles of `width` words, estimated by sketches with a
+    `margin` for their error; groups are the connected components of that relation. Of a group the row with the
+    least doc_id stays (null after all others), of equal ids the one with the least text hash, of repeated rows
+    one. Texts of fewer words are one shingle; null and blank texts are all copies of each other. An empty table
+    gives an empty result.
+    """
+    text = text_of(docs, text_col)
+    key = [F.coalesce(docs[id_col].cast("long"), F.lit((1 << 63) - 1)).alias("doc"), F.xxhash64(text).alias("hash")]
+    schema = pa.schema([("doc", pa.int64()), ("hash", pa.int64()), ("fp", pa.int64()), ("keys", pa.list_(pa.int64())), ("sketch", pa.binary())])
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            for at in range(0, batch.num_rows, 512):
+                part = batch.slice(at, 512)
+                marks = [copy_marks(t, width) for t in part.column(2).to_pylist()]
+                yield pa.RecordBatch.from_arrays([part.column(0), part.column(1), *(pa.array(c, f.type) for c, f in zip(zip(*marks), list(schema)[2:]))], schema=schema)
+
+    marked = docs.select(*key, text.cast("binary").alias("text")).mapInArrow(run, "doc long, hash long, fp long, keys array<long>, sketch binary")
+    marked = written(marked, "marks")
+    nodes = written(marked.groupBy("fp").agg(F.min_by(F.struct("keys", "sketch"), F.struct("doc", "hash")).alias("m")).select("fp", "m.keys", "m.sketch"), "nodes")
+    keyed = nodes.select(F.explode("keys").alias("key"), "fp", F.col("fp").alias("rep"), "sketch")
+    roots = components(links(keyed, budget, slice_rows, similarity - margin))
+    classes = marked.select("doc", "hash", "fp").join(roots, F.col("fp") == F.col("node"), "left").select("doc", "hash", F.coalesce("root", "fp").alias("root"))
+    stays = classes.groupBy("root").agg(F.min(F.struct("doc", "hash")).alias("s")).select(F.col("s.doc").alias("s_doc"), F.col("s.hash").alias("s_hash"))
+    rows = docs.select(F.struct(*(docs[c].alias(f"c{k}") for k, c in enumerate(docs.columns))).alias("kept"), *key)
+    rows = rows.join(stays, (F.col("doc") == F.col("s_doc")) & (F.col("hash") == F.col("s_hash")), "left_semi")
+    rows = rows.withColumn("n", F.row_number().over(Window.partitionBy("doc", "hash").orderBy("doc"))).where("n = 1")
+    return rows.select(*(F.col(f"kept.c{k}").alias(c) for k, c in enumerate(docs.columns)))

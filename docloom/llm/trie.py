@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+from collections.abc import Callable
+
 import numpy as np
 
 CHUNK = 400_000
@@ -40,12 +42,13 @@ class Labels:
         return self._changes[hi - 1] == self._changes[lo]
 
 
-def link_within(group: np.ndarray, code: np.ndarray, budget: int) -> np.ndarray:
+def link_within(group: np.ndarray, code: np.ndarray, budget: int, check: Callable[[np.ndarray, np.ndarray], np.ndarray] | None = None) -> np.ndarray:
     """The component label of each row, linking rows of one group whose codes differ in at most `budget` bits.
 
     Rows are sorted by (group, code), codes distinct within a group. Each group is a binary trie whose nodes
     are ranges of rows. Pairs of nodes go down one bit at a time; a pair whose paths differ in more bits than
-    the budget is pruned, and so is one whose rows are all linked already.
+    the budget is pruned, and so is one whose rows are all linked already. `check`, if given, gets the positions
+    of pairs within the budget and says which of them to link.
     """
     n = len(code)
     labels = Labels(n)
@@ -69,7 +72,13 @@ def link_within(group: np.ndarray, code: np.ndarray, budget: int) -> np.ndarray:
         single = (a_end - a == 1) & (b_end - b == 1)
         i, j = a[single], b[single]
         near = _popcount(code[i] ^ code[j]) <= budget
-        labels.link(i[near], j[near])
+        i, j = i[near], j[near]
+        if check is not None:
+            apart = labels.of[i] != labels.of[j]
+            i, j = i[apart], j[apart]
+            ok = check(i, j)
+            i, j = i[ok], j[ok]
+        labels.link(i, j)
         rest = ~single & ~((labels.of[a] == labels.of[b]) & labels.uniform(a, a_end) & labels.uniform(b, b_end))
         if bit < 0 or not rest.any():
             continue

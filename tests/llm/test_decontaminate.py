@@ -1,0 +1,66 @@
+import itertools
+import random
+
+import pytest
+
+from docloom.llm import decontaminate as dc
+
+
+def words(t):
+    return [w for w in "".join(c.lower() if c.isascii() else c for c in t or "").split() if w]
+
+
+def brute(docs, items):
+    out = {}
+    for d, t, *_ in docs:
+        a = words(t)
+        for i, b in ((i, words(x)) for i, x, *_ in items):
+            w = min(len(b), dc.WINDOW)
+            need = dc.NEED if len(b) >= dc.WINDOW else w
+            for p in range(len(a) - w + 1):
+                for q in range(len(b) - w + 1) if w else ():
+                    if sum(x == y for x, y in zip(a[p : p + w], b[q : q + w])) >= need:
+                        first, last = out.get((d, i), (p, 0))
+                        out[d, i] = min(first, p), max(last, p + w - 1)
+    return sorted((str(d), i, *v) for (d, i), v in out.items())
+
+
+def test_masks_find_every_stretch():
+    for spoiled in itertools.combinations(range(dc.WINDOW), dc.WINDOW - dc.NEED):
+        assert any(all(k + i not in spoiled for i, c in enumerate(m) if c == "1") for m in dc.MASKS for k in range(dc.WINDOW - len(m) + 1))
+
+
+@pytest.mark.parametrize("most", [10**6, 0])
+def test_against_brute_force(spark, most):
+    r = random.Random(7)
+    word = lambda: r.choice(["the", "of", "And", "é"]) if r.random() < 0.4 else f"w{r.randrange(50)}"
+    items = [(k, " ".join(word() for _ in range(n))) for k, n in enumerate([15, 16, 30, 60, 14, 3, 1])] + [(7, ""), (8, None)]
+    items[6] = (6, "unicum")
+    docs = []
+    for k in range(60):
+        w = [word() for _ in range(r.randrange(0, 80))]
+        if k % 2:
+            b = words(items[r.randrange(6)][1])
+            cut = b[r.randrange(max(1, len(b) - 14)) :]
+            for _ in range(r.randrange(0, 6)):
+                cut[r.randrange(len(cut))] = "spoiled"
+            at = r.randrange(len(w) + 1)
+            w[at:at] = cut
+        docs.append((k, " ".join(w), "h"))
+    docs += [(100, None, "h"), (101, "", "h"), (None, items[2][1], "h"), (3, docs[3][1], "h"), (102, "x UNICUM\ty", "h")]
+    d = spark.createDataFrame(docs, "doc_id long, text string, h string")
+    b = spark.createDataFrame(items, "item_id long, text string")
+    got = dc.leaks(d, b, max_broadcast=most)
+    assert sorted((str(x.doc_id), x.item_id, x.first_word, x.last_word) for x in got.collect()) == (want := brute(docs, items))
+    assert len(want) > 15
+    clean = dc.decontaminated(d, b, max_broadcast=most)
+    assert clean.columns == d.columns
+    assert sorted(str(x.doc_id) for x in clean.collect()) == sorted(str(k) for k, *_ in docs if str(k) not in {x[0] for x in want})
+
+
+def test_empty_tables(spark):
+    d = spark.createDataFrame([(1, "a b")], "doc_id long, text string")
+    b = spark.createDataFrame([(1, "a b")], "item_id long, text string")
+    assert dc.leaks(d, b).count() == 1
+    assert dc.leaks(d.limit(0), b).count() == 0 and dc.leaks(d, b.limit(0)).count() == 0
+    assert dc.decontaminated(d, b.limit(0)).count() == 1
