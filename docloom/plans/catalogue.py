@@ -1,11 +1,320 @@
-"""Every query of the document engine, and the SQL that should return the same rows."""
+"""Every query of the document engine, and the SQL that should return the same rows.
+
+Groups that become one document - an order's lines, a conversation's turns - are small by nature.
+"""
 
 from __future__ import annotations
 
+from pyspark.sql import Column, DataFrame, SparkSession
+from pyspark.sql import functions as F
+
+from docloom.functions import detect, render
+from docloom.functions.text import html_title, normalize, utf16_length
+from docloom.operators import convert
+from docloom.operators.preview import markdown_to_html
+from docloom.operators.registry import UNSUPPORTED, all_failed, builtins
+
+EXTENSIONS = (".DOCX", ".pdf", ".xlsx", ".XLS", ".pptx", ".msg", ".html", ".htm", ".txt", ".csv", ".tar.gz", "", ".", ".json")
+DECLARED = ("", "text/html", "TEXT/HTML; charset=utf-8", "application/vnd.ms-excel.sheet.macroEnabled.12", "application/xhtml+xml", "application/vnd.ms-outlook")
+
+
+def _table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
+    return spark.read.parquet(f"{sf_dir}/{name}.parquet")
+
+
+def _pick(values: tuple[str, ...], n: Column) -> Column:
+    return F.element_at(F.array(*map(F.lit, values)), (n % len(values) + 1).cast("int"))
+
+
+def _names(spark, sf_dir) -> DataFrame:
+    """(doc_id, filename, declared): a made-up file for each document."""
+    d = _table(spark, sf_dir, "documents")
+    name = F.concat(F.lit("d"), d.doc_id.cast("string"), _pick(EXTENSIONS, d.doc_id))
+    return d.select("doc_id", name.alias("filename"), _pick(DECLARED, F.floor(d.doc_id / 3)).alias("declared"))
+
+
+def html_markdown(spark, sf_dir):
+    p = _table(spark, sf_dir, "pages")
+    return p.select("page_id", convert.html_to_markdown(p.html).alias("markdown"))
+
+
+def html_titles(spark, sf_dir):
+    p = _table(spark, sf_dir, "pages")
+    return p.select("page_id", html_title(p.html).alias("title"))
+
+
+def html_markdown_length(spark, sf_dir):
+    return html_markdown(spark, sf_dir).select("page_id", utf16_length(F.col("markdown")).alias("n_chars"))
+
+
+def markdown_preview(spark, sf_dir):
+    return html_markdown(spark, sf_dir).select("page_id", markdown_to_html(F.col("markdown")).alias("html"))
+
+
+def detect_types(spark, sf_dir):
+    n = _names(spark, sf_dir)
+    return n.select("doc_id", detect.extension(n.filename).alias("extension"), detect.mimetype(n.filename, n.declared).alias("mimetype"))
+
+
+def route_candidates(spark, sf_dir):
+    c = builtins().candidates(F.col("extension"), F.col("mimetype"))
+    return detect_types(spark, sf_dir).select("doc_id", F.array_join(c, ",").alias("candidates"), F.get(c, F.lit(0)).alias("winner"))
+
+
+def unsupported_errors(spark, sf_dir):
+    routed = route_candidates(spark, sf_dir)
+    return routed.where("candidates = ''").select("doc_id", F.lit(UNSUPPORTED).alias("error"))
+
+
+def _turns(spark, sf_dir, **fields: Column) -> DataFrame:
+    """(conv_id, turns): structs of turn and the fields, in order."""
+    c = _table(spark, sf_dir, "conversations")
+    return c.groupBy("conv_id").agg(F.array_sort(F.collect_list(F.struct("turn", *(f.alias(k) for k, f in fields.items())))).alias("turns"))
+
+
+def all_failed_message(spark, sf_dir):
+    t = _turns(spark, sf_dir, converter=F.col("role"), error=F.substring("text", 1, 20))
+    return t.select("conv_id", all_failed(F.col("turns")).alias("error"))
+
+
+def normalize_markdown(spark, sf_dir):
+    d = _table(spark, sf_dir, "documents")
+    dirty = F.replace(d.text, F.lit(". "), F.lit(".  \u00a0\n \r\n\t\n\n"))
+    return d.select("doc_id", normalize(dirty).alias("markdown"))
+
+
+def escape_cells(spark, sf_dir):
+    d = _table(spark, sf_dir, "documents")
+    return d.select("doc_id", render.escape_cell(d.text).alias("cell"))
+
+
+def table_markdown(spark, sf_dir):
+    i = _table(spark, sf_dir, "lineitem")
+    cells = F.array(i.l_linenumber.cast("string"), i.l_returnflag, render.falsy_to_empty(F.round(i.l_discount * 100).cast("int")))
+    rows = i.groupBy("l_orderkey").agg(F.array_sort(F.collect_list(F.struct("l_linenumber", "l_partkey", "l_suppkey", cells.alias("cells")))).alias("rows"))
+    head = F.array(F.array(F.lit("line"), F.lit("a|b")))
+    return rows.select("l_orderkey", render.table(F.concat(head, F.col("rows.cells"))).alias("markdown"))
+
+
+def falsy_cells(spark, sf_dir):
+    i = _table(spark, sf_dir, "lineitem")
+    tax = render.falsy_to_empty(F.round(i.l_tax * 100).cast("int"))
+    return i.groupBy(tax.alias("cell")).agg(F.count("*").alias("n"))
+
+
+def workbook_markdown(spark, sf_dir):
+    """Regions and nations, both of fixed size, as the sheets of one workbook; an empty sheet between them."""
+    r, n = _table(spark, sf_dir, "region"), _table(spark, sf_dir, "nation")
+    rows = lambda df, key, *cells: df.agg(F.transform(F.array_sort(F.collect_list(F.struct(key, F.array(*cells).alias("cells")))), lambda s: s["cells"]).alias("rows"))
+    regions = rows(r, "r_regionkey", r.r_regionkey.cast("string"), r.r_name).select(F.col("rows").alias("regions"))
+    nations = rows(n, "n_nationkey", n.n_name, n.n_regionkey.cast("string")).select(F.col("rows").alias("nations"))
+    sheet = lambda name, c: F.struct(F.lit(name).alias("name"), c.alias("rows"))
+    none = F.array().cast("array<array<string>>")
+    sheets = F.array(sheet("Regions", F.col("regions")), sheet("Empty", none), sheet("Nations", F.col("nations")))
+    return regions.crossJoin(F.broadcast(nations)).select(F.lit("world.xlsx").alias("filename"), render.workbook(sheets).alias("markdown"))
+
+
+def deck_markdown(spark, sf_dir):
+    """Each conversation as a deck: slide10 comes before slide2, and a system turn is an empty slide."""
+    c = _table(spark, sf_dir, "conversations")
+    texts = F.when(c.turn % 3 == 1, F.array().cast("array<string>")).otherwise(F.split(c.text, "\n"))
+    slide = F.struct(F.concat(F.lit("ppt/slides/slide"), c.turn.cast("string"), F.lit(".xml")).alias("name"), texts.alias("texts"))
+    return c.groupBy("conv_id").agg(F.collect_list(slide).alias("slides")).select("conv_id", render.deck(F.col("slides")).alias("markdown"))
+
+
+def paged_markdown(spark, sf_dir):
+    d = _table(spark, sf_dir, "documents")
+    pages = F.transform(F.split(d.text, "\n"), lambda x, k: F.struct((k + 1).alias("n"), F.split(x, " ").alias("items")))
+    return d.select("doc_id", render.pages(pages).alias("markdown"))
+
+
+def list_markdown(spark, sf_dir):
+    t = _turns(spark, sf_dir, role=F.col("role"))
+    return t.select("conv_id", render.bullets(F.col("turns.role")).alias("bullets"), render.bullets(F.col("turns.role"), ordered=True).alias("numbered"))
+
+
+def email_markdown(spark, sf_dir):
+    o, c = _table(spark, sf_dir, "orders"), _table(spark, sf_dir, "customer")
+    who = lambda kind, email, name: F.struct(F.lit(kind).alias("recip_type"), email.alias("email"), name.alias("name"))
+    none = F.lit(None).cast("string")
+    mail = F.struct(
+        F.when(F.col("o_orderkey") % 5 != 0, F.col("o_orderpriority")).alias("subject"),
+        F.when(F.col("o_orderkey") % 3 != 0, F.col("c_name")).alias("sender_name"),
+        F.concat(F.lit("c"), F.col("c_custkey").cast("string"), F.lit("@example.com")).alias("sender_email"),
+        F.when(F.col("o_orderkey") % 2 == 0, F.lit("smtp@example.com")).alias("sender_smtp"),
+        F.array(who("to", F.lit("a@example.com"), none), who("cc", F.lit(""), F.col("c_mktsegment")), who("to", none, F.lit("Bob"))).alias("recipients"),
+        F.date_format("o_orderdate", "yyyy-MM-dd").alias("submit_time"),
+        F.when(F.col("o_orderkey") % 7 == 0, F.lit("<p>h</p>")).alias("body_html"),
+        F.concat(F.lit(" status\r\n\r\n\r\n\r\n"), F.col("o_orderstatus"), F.lit("\r\n")).alias("body"),
+    )
+    return o.join(c, o.o_custkey == c.c_custkey).select("o_orderkey", render.email(mail).alias("markdown"))
+
+
+def output_names(spark, sf_dir):
+    n = _names(spark, sf_dir)
+    return n.select("doc_id", detect.output_name(n.filename).alias("output_name"))
+
+
+def batch_status(spark, sf_dir):
+    d = _table(spark, sf_dir, "documents")
+    markdown = F.when(d.doc_id % 4 != 0, d.text)
+    error = F.when(d.doc_id % 8 == 0, F.lit("E"))
+    return d.select("doc_id", convert.status(markdown, error, d.doc_id % 16 == 0).alias("status"))
+
+
+def batch_count(spark, sf_dir):
+    return convert.file_count(_table(spark, sf_dir, "documents"))
+
+
+def remove_and_reindex(spark, sf_dir):
+    d = _table(spark, sf_dir, "documents").select(F.col("doc_id").alias("pos"), "source")
+    return convert.removed(d, 17)
+
+
+def append_batch(spark, sf_dir):
+    r = _table(spark, sf_dir, "region").select(F.col("r_regionkey").cast("long").alias("pos"), F.col("r_name").alias("name"))
+    n = _table(spark, sf_dir, "nation").select(F.col("n_nationkey").cast("long").alias("pos"), F.col("n_name").alias("name"))
+    return convert.appended(r, n)
+
+
+def convert_pages(spark, sf_dir):
+    """Pages as files: HTML by name or by declared type, some without a converter."""
+    p = _table(spark, sf_dir, "pages")
+    name = F.concat(F.lit("p"), p.page_id.cast("string"), _pick((".html", ".bin", ".csv", ".docx"), p.page_id))
+    declared = _pick(("", "text/html", "", "text/html"), p.page_id)
+    files = p.select("page_id", name.alias("filename"), declared.alias("declared"), p.html.cast("binary").alias("content"))
+    done = convert.converted(files, declared="declared")
+    return done.select("page_id", "converter", "error_kind", F.size("attempts").alias("n_attempts"), F.coalesce(F.length("markdown"), F.lit(0)).alias("n_chars"), "title")
+
+
+QUERIES = (
+    html_markdown, html_titles, html_markdown_length, markdown_preview, detect_types, route_candidates, unsupported_errors, all_failed_message,
+    normalize_markdown, escape_cells, table_markdown, falsy_cells, workbook_markdown, deck_markdown, paged_markdown, list_markdown, email_markdown,
+    output_names, batch_status, batch_count, remove_and_reindex, append_batch, convert_pages,
+)
+
 
 def queries() -> dict:
-    return {}
+    return {q.__name__: q for q in QUERIES}
+
+
+# ---- SQL
+
+_SPACE = r"[\s\v\x{00a0}\x{1680}\x{2000}-\x{200a}\x{2028}\x{2029}\x{202f}\x{205f}\x{3000}\x{feff}]"
+
+
+def _trim_sql(x: str) -> str:
+    return rf"regexp_replace(regexp_replace({x}, '^{_SPACE}+', ''), '{_SPACE}+$', '')"
+
+
+def _normalize_sql(x: str) -> str:
+    return rf"regexp_replace(array_to_string(list_transform(string_split({x}, chr(10)), lambda l: regexp_replace(l, '{_SPACE}+$', '')), chr(10)), '\n{{3,}}', chr(10) || chr(10), 'g')"
+
+
+def _pick_sql(values: tuple[str, ...], n: str) -> str:
+    return f"([{', '.join(repr(v) for v in values)}])[({n}) % {len(values)} + 1]"
+
+
+# every page has one shape: nav, an ad, an article of h1 and paragraphs, a footer; see the blueprint
+_PAGE_SQL = rf"""
+    parts as (
+        select page_id, html,
+            regexp_replace(regexp_extract(html, '<nav>(.*?)</nav>', 1, 's'), '<[^>]*>', '', 'g') as nav,
+            trim(regexp_extract(html, '<div class="ad">(.*?)</div>', 1, 's')) as ad,
+            trim(regexp_extract(html, '<h1>(.*?)</h1>', 1, 's')) as h1,
+            regexp_extract(html, '</h1>(.*?)</article>', 1, 's') as article,
+            trim(regexp_replace(regexp_extract(html, '<footer>(.*?)</footer>', 1, 's'), '<[^>]*>', '', 'g')) as footer
+        from pages),
+    raw as (
+        select page_id, trim(nav) || ad || ' # ' || h1 || chr(10) || chr(10)
+            || array_to_string(list_transform(list_filter(string_split(replace(article, '</p>', ''), '<p>'), lambda x: trim(x) <> ''),
+                lambda x: trim(regexp_replace(x, '<[^>]*>', '', 'g'), ' ' || chr(9) || chr(10) || chr(13)) || chr(10) || chr(10)), '')
+            || '**' || footer || '**' as t
+        from parts),
+    decoded as (
+        select page_id, regexp_replace(replace(replace(replace(t, '&quot;', '"'), '&copy;', '©'), '&middot;', '·'), '&amp;?', '&', 'g') as t from raw)"""
+
+_NAMES_SQL = f"""
+    names as (
+        select doc_id, 'd' || doc_id || {_pick_sql(EXTENSIONS, "doc_id")} as filename, {_pick_sql(DECLARED, "doc_id // 3")} as declared from documents),
+    types as (
+        select doc_id, filename, lower(regexp_extract(filename, '(\\.[^.]*)$', 1)) as extension, declared from names),
+    mimes as (
+        select doc_id, extension, case when declared <> '' then declared else coalesce(
+            (map {{{", ".join(f"'{k}': '{v}'" for k, v in detect.MIME_TYPES.items())}}})[extension], 'application/octet-stream') end as mimetype from types)"""
+
+
+def _accepts_sql() -> str:
+    each = []
+    for c in builtins().ordered():
+        tests = [f"extension in ({', '.join(repr(e) for e in c.extensions)})"] + [f"starts_with(lower(mimetype), '{p.lower()}')" for p in c.mime_prefixes]
+        each.append(f"case when {' or '.join(tests)} then '{c.name}' end")
+    return f"list_filter([{', '.join(each)}], lambda x: x is not null)"
 
 
 def oracle_sql() -> dict[str, str]:
-    return {}
+    nl = "chr(10)"
+    words = "list_filter(string_split(x, ' '), lambda i: " + _trim_sql("i") + " <> '')"
+    return {
+        "html_markdown": f"with {_PAGE_SQL} select page_id, {_normalize_sql('t')} as markdown from decoded",
+        "html_titles": r"select page_id, trim(regexp_extract(html, '(?i)<title[^>]*>([^<]*)</title>', 1)) as title from pages",
+        "html_markdown_length": f"with {_PAGE_SQL} select page_id, length({_normalize_sql('t')})::int as n_chars from decoded",
+        "detect_types": f"with {_NAMES_SQL} select doc_id, extension, mimetype from mimes",
+        "route_candidates": f"with {_NAMES_SQL} select doc_id, array_to_string({_accepts_sql()}, ',') as candidates, ({_accepts_sql()})[1] as winner from mimes",
+        "unsupported_errors": f"with {_NAMES_SQL} select doc_id, '{UNSUPPORTED}' as error from mimes where len({_accepts_sql()}) = 0",
+        "all_failed_message": "select conv_id, 'All converters failed: ' || string_agg(role || ': ' || left(text, 20), '; ' order by turn) as error from conversations group by conv_id",
+        "normalize_markdown": f"select doc_id, {_normalize_sql("replace(text, '. ', '.  ' || chr(160) || chr(10) || ' ' || chr(13) || chr(10) || chr(9) || chr(10) || chr(10))")} as markdown from documents",
+        "escape_cells": r"select doc_id, replace(replace(replace(coalesce(text, ''), '|', '\|'), chr(10), ' '), chr(13), '') as cell from documents",
+        "table_markdown": rf"""
+            select l_orderkey, '| line | a\|b |  |' || {nl} || '| --- | --- | --- |' || {nl} || string_agg('| ' || l_linenumber || ' | ' || l_returnflag || ' | '
+                || case when round(l_discount * 100)::int = 0 then '' else (round(l_discount * 100)::int)::varchar end || ' |', {nl} order by l_linenumber, l_partkey, l_suppkey) as markdown
+            from lineitem group by l_orderkey""",
+        "falsy_cells": "select case when round(l_tax * 100)::int = 0 then '' else (round(l_tax * 100)::int)::varchar end as cell, count(*) as n from lineitem group by 1",
+        "workbook_markdown": f"""
+            with lines as (
+                select 0 as s, r_regionkey as k, '| ' || r_regionkey || ' | ' || r_name || ' |' as t from region
+                union all select 1, n_nationkey, '| ' || n_name || ' | ' || n_regionkey || ' |' from nation),
+            ruled as (select s, k, case when row_number() over (partition by s order by k) = 1 then t || {nl} || '| --- | --- |' else t end as t from lines),
+            sheets as (select s, string_agg(t, {nl} order by k) as t from ruled group by s)
+            select 'world.xlsx' as filename, string_agg((['## Regions', '## Nations'])[s + 1] || {nl} || {nl} || t, {nl} || {nl} order by s) as markdown from sheets""",
+        "deck_markdown": f"""
+            with s as (
+                select conv_id, row_number() over (partition by conv_id order by 'ppt/slides/slide' || turn || '.xml') as n,
+                    case when turn % 3 = 1 then []::varchar[] else list_filter(list_transform(string_split(text, {nl}), lambda x: {_trim_sql("x")}), lambda x: x <> '') end as texts
+                from conversations),
+            p as (select conv_id, n, '## Slide ' || n || {nl} || {nl} || array_to_string(texts, {nl} || {nl}) as t from s where len(texts) > 0)
+            select c.conv_id, coalesce(string_agg(t, {nl} || {nl} order by n), '{render.NO_SLIDES}') as markdown
+            from (select distinct conv_id from conversations) c left join p using (conv_id) group by c.conv_id""",
+        "paged_markdown": f"""
+            with l as (select doc_id, string_split(text, {nl}) as lines from documents),
+            p as (
+                select doc_id, len(lines) as total, list_filter(list_transform(lines, lambda x, k: struct_pack(n := k, t := array_to_string({words}, ' '))), lambda s: {_trim_sql("s.t")} <> '') as pages from l),
+            t as (
+                select doc_id, {_trim_sql(f"array_to_string(list_transform(pages, lambda s: case when total > 1 then '## Page ' || s.n || {nl} || {nl} else '' end || s.t), {nl} || {nl})")} as t from p)
+            select doc_id, case when t = '' then '{render.NO_PAGES}' else t end as markdown from t""",
+        "list_markdown": f"""
+            select conv_id, string_agg('- ' || role || {nl}, '' order by turn) || {nl} as bullets, string_agg(k || '. ' || role || {nl}, '' order by turn) || {nl} as numbered
+            from (select *, row_number() over (partition by conv_id order by turn) as k from conversations) group by conv_id""",
+        "email_markdown": f"""
+            select o_orderkey, '# Email Message' || case when o_orderkey % 5 <> 0 then {nl} || {nl} || '**Subject:** ' || o_orderpriority else '' end
+                || {nl} || '**From:** ' || case when o_orderkey % 3 <> 0 then c_name || ' <c' || c_custkey || '@example.com>'
+                    when o_orderkey % 2 = 0 then 'smtp@example.com' else 'c' || c_custkey || '@example.com' end
+                || {nl} || '**To:** a@example.com; Bob' || {nl} || '**Cc:** ' || c_mktsegment || {nl} || '**Date:** ' || strftime(o_orderdate, '%Y-%m-%d')
+                || {nl} || {nl} || '## Content' || {nl} || {nl} || case when o_orderkey % 7 = 0 then '<p>h</p>' else 'status' || {nl} || {nl} || o_orderstatus end as markdown
+            from orders join customer on o_custkey = c_custkey""",
+        "output_names": f"with {_NAMES_SQL} select doc_id, regexp_replace(filename, '\\.[^/.]+$', '') || '.md' as output_name from names",
+        "batch_status": """
+            select doc_id, case when doc_id % 16 = 0 then 'Converting...' when doc_id % 8 = 0 then 'Failed' when doc_id % 4 = 0 then 'Pending'
+                else format('{:,}', length(text)) || ' characters' end as status from documents""",
+        "batch_count": "select count(*) as n, count(*) || case when count(*) = 1 then ' file' else ' files' end as label from documents",
+        "remove_and_reindex": "select row_number() over (order by doc_id) - 1 as pos, source from documents where doc_id <> 17",
+        "append_batch": """
+            select r_regionkey::bigint as pos, r_name as name from region
+            union all select n_nationkey + (select max(r_regionkey) + 1 from region), n_name from nation""",
+        "convert_pages": f"""
+            with {_PAGE_SQL}
+            select page_id, case when page_id % 4 <> 2 then 'HtmlConverter' end as converter, case when page_id % 4 = 2 then 'UnsupportedFormatException' end as error_kind,
+                case when page_id % 4 = 3 then 1 else 0 end as n_attempts, case when page_id % 4 <> 2 then length({_normalize_sql("t")})::int else 0 end as n_chars,
+                case when page_id % 4 <> 2 then trim(regexp_extract(html, '(?i)<title[^>]*>([^<]*)</title>', 1)) end as title
+            from decoded join pages using (page_id)""",
+    }

@@ -1,0 +1,64 @@
+"""A small reader of text in PDF files: plain and deflated content streams with simple fonts."""
+
+from __future__ import annotations
+
+import re
+import zlib
+
+_TOKEN = re.compile(rb"\((?:\\.|[^\\()]|\((?:\\.|[^\\()])*\))*\)|<[0-9A-Fa-f\s]*>|\[|\]|[^\s()<>\[\]]+", re.S)
+# Escapes in PDF strings.
+_ESCAPES = {b"n": b"\n", b"r": b"\r", b"t": b"\t", b"b": b"\b", b"f": b"\f"}
+
+
+def _text(token: bytes) -> str:
+    if token[:1] == b"<":
+        digits = re.sub(rb"\s", b"", token[1:-1])
+        data = bytes.fromhex((digits + b"0" * (len(digits) % 2)).decode())
+    else:
+        data = re.sub(rb"\\([0-7]{1,3}|\r?\n|.)", lambda m: _ESCAPES.get(m[1], bytes([int(m[1], 8) & 255]) if m[1].isdigit() else b"" if m[1].strip(b"\r\n") == b"" else m[1]), token[1:-1], flags=re.S)
+    return data[2:].decode("utf-16-be", "replace") if data[:2] == b"\xfe\xff" else data.decode("cp1252", "replace")
+
+
+def _items(stream: bytes) -> list[str]:
+    """One text for each operator that shows some."""
+    out, shown = [], []
+    for token in _TOKEN.findall(stream):
+        if token[:1] in b"(<" and token[:2] != b"<<":
+            shown.append(_text(token))
+        elif token in (b"Tj", b"TJ", b"'", b'"'):
+            out.append("".join(shown))
+            shown = []
+        elif token.isalpha():
+            shown = []
+    return out
+
+
+def pages(content: bytes) -> list[dict]:
+    """(n, items) of each page, in the order of the page tree."""
+    if not content.lstrip()[:5] == b"%PDF-":
+        raise ValueError("Invalid PDF structure.")
+    if b"/Encrypt" in content:
+        raise ValueError("No password given")
+    objects: dict[int, bytes] = {int(m[1]): m[2] for m in re.finditer(rb"(\d+)\s+\d+\s+obj\b(.*?)\bendobj", content, re.S)}
+    streams = {}
+    for n, body in objects.items():
+        m = re.search(rb"stream\r?\n(.*?)\r?\n?endstream", body, re.S)
+        if m:
+            head, data = body[: m.start()], m[1]
+            streams[n] = zlib.decompressobj().decompress(data) if b"FlateDecode" in head else data
+            if b"/ObjStm" in head:  # objects packed into a stream
+                count, first = (int(re.search(rb"/%s\s+(\d+)" % k, head)[1]) for k in (b"N", b"First"))
+                numbers = list(map(int, streams[n][:first].split()))
+                edges = [first + x for x in numbers[1 : 2 * count : 2]] + [len(streams[n])]
+                packed = {k: streams[n][a:b] for k, a, b in zip(numbers[: 2 * count : 2], edges, edges[1:])}
+                streams[n] = b""
+                objects = objects | {k: v for k, v in packed.items() if k not in objects}
+    refs = lambda body, key: list(map(int, re.findall(rb"(\d+)\s+\d+\s+R", (re.search(rb"/%s\s*(\[[^\]]*\]|\d+\s+\d+\s+R)" % key, body) or [b"", b""])[1])))
+    root = next((n for n, b in objects.items() if re.search(rb"/Type\s*/Pages\b", b) and not re.search(rb"/Parent\b", b)), None)
+    order, stack = [], [root] if root is not None else []
+    while stack and len(order) <= len(objects):
+        body = objects.get(stack.pop(), b"")
+        if re.search(rb"/Type\s*/Page\b", body):
+            order.append(body)
+        stack += reversed(refs(body, b"Kids"))
+    return [{"n": n, "items": [i for r in refs(body, b"Contents") for i in _items(streams.get(r, b""))]} for n, body in enumerate(order, 1)]
