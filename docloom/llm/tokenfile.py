@@ -19,14 +19,14 @@ from pyspark.sql import functions as F
 
 from docloom.llm.bpe import definition_of
 from docloom.llm.common import list_array, text_of
-from docloom.llm.pretokens import Splitter, library_tokenizer
+from docloom.llm.pretokens import Splitter, byte_letters, library_tokenizer
 
 FIELDS = "doc_id long, part int, local_start long, n_tokens long, ids array<int>"
-MAX_CHUNKS = 400_000
+MAX_CHUNKS = 250_000
 
 
 class LibraryEncoder:
-    """The tokenizers library; words that come again are looked up in a bounded table."""
+    """The tokenizers library; its model meets each word once, and words that come again are looked up in a bounded table."""
 
     def __init__(self, definition: str):
         self.library = library_tokenizer(definition)
@@ -34,23 +34,50 @@ class LibraryEncoder:
             self.splitter = Splitter(definition)
         except ValueError:
             self.splitter = None
+        self.letters = str.maketrans({chr(b): c for b, c in byte_letters().items()})
+        self.packed = [i.to_bytes(4, "little") for i in range(1 + max(self.library.get_vocab().values()))]
         self.known: dict[str, bytes] = {}
-
-    def _ids(self, texts: list[str]) -> list[bytes]:
-        return [np.array(e.ids, "<i4").tobytes() for e in self.library.encode_batch_fast(texts, add_special_tokens=False)]
+        self.before: dict[str, bytes] = {}  # the table before this one filled up
+
+    def _keep(self, part: str, ids: bytes) -> bytes:
+        if len(part) <= 64:  # longer ones hardly come twice
+            if len(self.known) >= MAX_CHUNKS:
+                self.known, self.before = {}, self.known
+            self.known[part] = ids
+        return ids
+
+    def _word(self, word: str) -> bytes:
+        ids = self.known.get(word)
+        if ids is not None:
+            return ids
+        ids = self.before.get(word)
+        if ids is None:
+            letters = word if word.isascii() and word.isprintable() else word.encode().decode("latin-1").translate(self.letters)
+            ids = b"".join([self.packed[t.id] for t in self.library.model.tokenize(letters)])
+        return self._keep(word, ids)
+
+    def _chunk(self, chunk: str) -> bytes:
+        """Words of a part between white space; mostly letters with an end mark, which need no pattern."""
+        ids = self.before.get(chunk)
+        if ids is None:
+            word = chunk.rstrip(".,;:!?")
+            if word.isalpha():
+                ids = self._word(word) + (self._word(chunk[len(word) :]) if len(word) < len(chunk) else b"")
+            else:
+                ids = b"".join(map(self._word, self.splitter.words_in(chunk)))
+        return self._keep(chunk, ids)
 
     def encode(self, texts: list[str]) -> list[bytes]:
         """Little-endian 32-bit ids of each text."""
-        chunks = [self.splitter and self.splitter.chunks(t) for t in texts]
-        fresh = list(set().union(*(c for c in chunks if c is not None)) - self.known.keys())
-        if len(self.known) + len(fresh) > MAX_CHUNKS:
-            self.known.clear()
-            fresh = list(set().union(*(c for c in chunks if c is not None)))
-        for at in range(0, len(fresh), 2000):
-            part = fresh[at : at + 2000]
-            self.known.update(zip(part, self._ids(part)))
-        known = self.known.__getitem__
-        return [self._ids([t])[0] if c is None else b"".join(map(known, c)) for t, c in zip(texts, chunks)]
+        out = []
+        for text in texts:
+            chunks = self.splitter.chunks(text) if self.splitter is not None else None
+            if chunks is None:
+                ids = np.array(self.library.encode(text, add_special_tokens=False).ids, "<i4").tobytes()
+            else:
+                ids = b"".join([self.known.get(c) or self._chunk(c) for c in chunks])
+            out.append(ids)
+        return out
 
 
 @lru_cache(maxsize=1)
