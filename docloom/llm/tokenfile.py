@@ -23,6 +23,8 @@ from docloom.llm.pretokens import Splitter, byte_letters, library_tokenizer
 
 FIELDS = "doc_id long, part int, local_start long, n_tokens long, ids array<int>"
 MAX_CHUNKS = 250_000
+#: Up to so many parts (of 12 bytes) their starts are broadcast to the rows; beyond, they are joined by a shuffle.
+MAX_PARTS = 1_000_000
 
 
 class LibraryEncoder:
@@ -138,7 +140,10 @@ def read(spark: SparkSession, path: str, first: int | None = None, last: int | N
     if last is not None:
         rows = rows.where(F.col("doc_id") <= last)
     if "start" in columns:
-        rows = rows.join(_starts(spark, path), F.col("part") == F.col("base_part")).withColumn("start", F.col("base") + F.col("local_start"))
+        starts = _starts(spark, path)
+        if starts.count() <= MAX_PARTS:
+            starts = F.broadcast(starts)
+        rows = rows.join(starts, F.col("part") == F.col("base_part")).withColumn("start", F.col("base") + F.col("local_start"))
     return rows.select(*columns)
 
 
