@@ -7,8 +7,9 @@ paths differ in more bits than the budget. A trie with very many nodes is dealt
 task holds an unbounded group. A task returns a link from each linked node to the first of its component there,
 never all pairs; alternating star rounds join those links into components.
 
-Copies with more changes than few bits can show are found by the same join with a wider budget: their tries are
-dealt by min-hashes of the shingles instead of fingerprint blocks, and pairs are checked by a sketch.
+Copies with more changes than few bits can show are proposed by the same join with a wider budget: their tries are
+dealt by min-hashes of the shingles instead of fingerprint blocks, and pairs are checked loosely by a sketch. The
+sets of shingles of what was proposed together are then compared exactly, by the same join once more.
 """
 
 from __future__ import annotations
@@ -72,10 +73,11 @@ def _block_keys(fp: Column, budget: int, blocks: int) -> Column:
     return F.array(*keys)
 
 
-def _join_tiles(dealt: DataFrame, budget: int, similarity: float | None) -> DataFrame:
+def _join_tiles(dealt: DataFrame, budget: int, similarity: float | None, exact: bool = False) -> DataFrame:
     """dealt (tile, key, fp, rep, lead, sketch) -> (key, a, b, led): a link from each linked node to the first of its component in the tile.
 
     led says that the component has the tile's leader. Tiles follow one another in a task, some at a time.
+    With `exact`, sketch is the set of shingles itself.
     """
     # order by unsigned value, as in the trie: the sign bit goes first
     dealt = dealt.select("tile", "key", "fp", "rep", "lead", "sketch").repartition("tile").sortWithinPartitions("tile", F.expr("fp < 0"), "fp")
@@ -84,6 +86,7 @@ def _join_tiles(dealt: DataFrame, budget: int, similarity: float | None) -> Data
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         held: list[pa.RecordBatch] = []
         rows = 0
+        most, step = (100_000, 50_000) if not exact else (10_000, 1000)
 
         def joined(last: bool):
             nonlocal held, rows
@@ -96,7 +99,9 @@ def _join_tiles(dealt: DataFrame, budget: int, similarity: float | None) -> Data
             whole = whole.slice(0, cut)
             tile, key, fp, rep, lead = (whole.column(c).to_numpy() for c in ("tile", "key", "fp", "rep", "lead"))
             check = None
-            if similarity is not None:
+            if exact:
+                check = _ExactCheck(whole.column("sketch").to_pylist(), similarity)
+            elif similarity is not None:
                 sketch = np.frombuffer(b"".join(whole.column("sketch").to_pylist()), np.uint8).reshape(cut, -1)
                 check = lambda i, j: alike(sketch, i, j) >= similarity
             label = link_within(tile, fp.view(np.uint64), budget, check)
@@ -108,10 +113,10 @@ def _join_tiles(dealt: DataFrame, budget: int, similarity: float | None) -> Data
             return pa.RecordBatch.from_arrays([pa.array(x[out]) for x in (key, rep, root, led)], schema=schema)
 
         for batch in batches:
-            for at in range(0, batch.num_rows, 50_000):
-                held.append(batch.slice(at, 50_000))
+            for at in range(0, batch.num_rows, step):
+                held.append(batch.slice(at, step))
                 rows += held[-1].num_rows
-                if rows >= 100_000 and (out := joined(False)) is not None:
+                if (rows >= most or exact and sum(b.nbytes for b in held) > HELD_BYTES) and (out := joined(False)) is not None:
                     yield out
         if rows and (out := joined(True)) is not None:
             yield out
@@ -130,36 +135,41 @@ def _leaders(hot: DataFrame) -> DataFrame:
     return near.groupBy("key").agg(best).select("key", F.col("best.rep").alias("lead_rep"))
 
 
-def links(keyed: DataFrame, budget: int, slice_rows: int = 4000, similarity: float | None = None) -> DataFrame:
+def links(keyed: DataFrame, budget: int, slice_rows: int = 4000, similarity: float | None = None, exact: bool = False) -> DataFrame:
     """keyed (key, fp, rep, sketch): nodes by the tries that they belong to -> (a, b): reps to link.
 
     Nodes of one trie link at `budget` or fewer differing bits (and likeness of their sketches of at least
     `similarity`). The pairs span every component of that relation but are not all its pairs. `slice_rows` bounds
     what one task holds of a trie. A larger trie is cut into slices, each of which also gets the trie's leader,
     the node amid the others. Nodes that a slice connects with the leader need no comparison with one another;
-    the rest are compared with all nodes, slice by slice.
+    the rest are compared with all nodes, slice by slice. With `exact`, sketch is the set of shingles as 64-bit
+    codes, and slices are bounded in bytes too.
     """
-    sizes = written(keyed.groupBy("key").count().where("count > 1").select("key", F.ceil(F.col("count") / slice_rows).cast("int").alias("slices")), "tries")
+    share = F.lit(1.0 / slice_rows)
+    if exact:
+        share = F.greatest(share, F.length("sketch") / F.lit(float(SLICE_BYTES)))
+    slices = lambda: F.ceil(F.round(F.sum(share), 6)).cast("int")
+    sizes = written(keyed.groupBy("key").agg(F.count("*").alias("count"), slices().alias("slices")).where("count > 1").select("key", F.greatest("slices", F.lit(1)).alias("slices")), "tries")
     small = keyed.join(sizes.where("slices = 1"), "key").select(F.xxhash64("key").alias("tile"), "key", "fp", "rep", F.lit(False).alias("lead"), "sketch")
-    found = _join_tiles(small, budget, similarity).select("a", "b")
+    found = _join_tiles(small, budget, similarity, exact).select("a", "b")
     if not sizes.where("slices > 1").take(1):
         return found
-    own = F.pmod(F.xxhash64("fp"), F.col("slices")).cast("int")
+    own = F.pmod(F.xxhash64("rep"), F.col("slices")).cast("int")
     hot = written(keyed.join(sizes.where("slices > 1"), "key").withColumn("own", own), "hot")
     hot = hot.join(_leaders(hot), "key").withColumn("lead", F.col("rep") == F.col("lead_rep"))
     every = F.sequence(F.lit(0), F.col("slices") - 1)
     first = hot.withColumn("slice", F.explode(F.when(F.col("lead"), every).otherwise(F.array("own")))).withColumn("tile", F.xxhash64("key", "slice"))
-    led = written(_join_tiles(first, budget, similarity), "led")
+    led = written(_join_tiles(first, budget, similarity, exact), "led")
     done = led.where("led").select("key", F.col("a").alias("rep")).distinct()
     rest = written(hot.where("not lead").join(done, ["key", "rep"], "left_anti"), "rest")
-    parts = rest.groupBy("key").agg(F.ceil(F.count("*") / slice_rows).cast("int").alias("parts"))
-    mine = F.pmod(F.xxhash64("fp", F.lit(1)), F.col("parts")).cast("int")
+    parts = rest.groupBy("key").agg(F.greatest(slices(), F.lit(1)).alias("parts"))
+    mine = F.pmod(F.xxhash64("rep", F.lit(1)), F.col("parts")).cast("int")
     tile = lambda part, slice_: F.xxhash64("key", part, slice_)
     left = rest.join(parts, "key").withColumn("slice", F.explode(every)).withColumn("tile", tile(mine, F.col("slice")))
     right = hot.join(parts, "key").withColumn("part", F.explode(F.sequence(F.lit(0), F.col("parts") - 1))).withColumn("tile", tile(F.col("part"), F.col("own")))
     columns = ["tile", "key", "fp", "rep", "lead", "sketch"]
-    tiles = left.select(columns).union(right.select(columns)).dropDuplicates(["tile", "fp"])
-    return found.union(led.select("a", "b")).union(_join_tiles(tiles, budget, similarity).select("a", "b")).where("a <> b")
+    tiles = left.select(columns).union(right.select(columns)).dropDuplicates(["tile", "rep"])
+    return found.union(led.select("a", "b")).union(_join_tiles(tiles, budget, similarity, exact).select("a", "b")).where("a <> b")
 
 
 def near_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", width: int = 3, budget: int = 3, blocks: int = 5, slice_rows: int = 4000) -> DataFrame:
@@ -180,7 +190,8 @@ def near_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "te
     return fps.join(named, known, "left").select("doc_id", F.lpad(F.lower(F.hex("fp")), 16, "0").alias("fingerprint"), "component_id", "n_links")
 
 
-BANDS, ROWS, BINS = 8, 3, 128
+BANDS, ROWS, BINS = 16, 3, 128
+HELD_BYTES, SLICE_BYTES = 64_000_000, 16_000_000
 _ODD = (np.arange(1, BANDS * ROWS + 1, dtype=np.uint64) * np.uint64(0x9E3779B97F4A7C15)) | np.uint64(1)
 
 
@@ -194,11 +205,54 @@ def alike(sketch: np.ndarray, i: np.ndarray, j: np.ndarray) -> np.ndarray:
     return out
 
 
-def copy_marks(text: bytes, width: int) -> tuple[int, list[int], bytes]:
-    """(fingerprint of the set of shingles, min-hash keys, sketch) of a text."""
+class _ExactCheck:
+    """Which pairs of sets of codes share `similarity` of their union. Pairs that earlier ones connect are passed over."""
+
+    def __init__(self, sets: list[bytes], similarity: float):
+        self.sets = [np.frombuffer(s, np.uint64) for s in sets]
+        self.sizes = np.array([len(s) for s in self.sets])
+        self.similarity = similarity
+        self.root = list(range(len(sets)))
+        self.bits = np.zeros((len(sets), 2048), bool)
+        for k, s in enumerate(self.sets):
+            self.bits[k, (s >> np.uint64(53)).astype(np.int64)] = True
+        self.bits = np.packbits(self.bits, axis=1).view(np.uint64)
+
+    def _find(self, k: int) -> int:
+        while self.root[k] != k:
+            self.root[k] = k = self.root[self.root[k]]
+        return k
+
+    def __call__(self, i: np.ndarray, j: np.ndarray) -> np.ndarray:
+        out = np.zeros(len(i), bool)
+        for at in range(0, len(i), 20_000):
+            a, b = i[at : at + 20_000], j[at : at + 20_000]
+            x, y = self.bits[a], self.bits[b]
+            # a bit that only one set has is a code that the other lacks
+            most = np.minimum(self.sizes[a] - np.bitwise_count(x & ~y).sum(1, dtype=np.int64), self.sizes[b] - np.bitwise_count(y & ~x).sum(1, dtype=np.int64))
+            may = most >= self.similarity * (self.sizes[a] + self.sizes[b] - most) - 1e-9
+            for k in np.flatnonzero(may).tolist():
+                p, q = int(a[k]), int(b[k])
+                if (root := self._find(p)) == (other := self._find(q)):
+                    continue
+                both = np.sort(np.concatenate([self.sets[p], self.sets[q]]))
+                shared = int((both[1:] == both[:-1]).sum())
+                if shared >= self.similarity * (len(both) - shared) - 1e-9:
+                    out[at + k] = True
+                    self.root[max(root, other)] = min(root, other)
+        return out
+
+
+def shingle_codes(text: bytes, width: int) -> np.ndarray:
+    """The sorted distinct 64-bit codes of a text's shingles; a text of fewer words is one shingle."""
     words = text.lower().split()
     shingles = {b" ".join(words)} if len(words) < width else set(map(b" ".join, zip(*(words[k:] for k in range(width)))))
-    codes = np.fromiter((xxhash.xxh64_intdigest(s, 7) for s in shingles), np.uint64, len(shingles))
+    return np.unique(np.fromiter((xxhash.xxh64_intdigest(s, 7) for s in shingles), np.uint64, len(shingles)))
+
+
+def copy_marks(text: bytes, width: int) -> tuple[int, int, list[int], bytes]:
+    """(hash, fingerprint, min-hash keys, sketch) of the set of a text's shingles."""
+    codes = shingle_codes(text, width)
     counts, least = np.zeros(64, np.int64), np.full(BANDS * ROWS, np.iinfo(np.uint64).max, np.uint64)
     for at in range(0, len(codes), 1 << 14):
         part = codes[at : at + (1 << 14)]
@@ -209,21 +263,22 @@ def copy_marks(text: bytes, width: int) -> tuple[int, list[int], bytes]:
     best = np.full(BINS, np.iinfo(np.uint64).max, np.uint64)
     np.minimum.at(best, (codes >> np.uint64(57)).astype(np.int64), codes & np.uint64((1 << 57) - 1))
     sketch = np.where(best == np.iinfo(np.uint64).max, 0, best % np.uint64(255) + np.uint64(1)).astype(np.uint8)
-    return int(np.packbits(2 * counts > len(codes), bitorder="little").view("<u8")[0]) - (1 << 63), keys, sketch.tobytes()
+    return xxhash.xxh64_intdigest(codes.tobytes()) - (1 << 63), int(np.packbits(2 * counts > len(codes), bitorder="little").view("<u8")[0]) - (1 << 63), keys, sketch.tobytes()
 
 
-def one_of_each(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", width: int = 5, similarity: float = 0.8, budget: int = 16, margin: float = 0.03, slice_rows: int = 4000) -> DataFrame:
+def one_of_each(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", width: int = 5, similarity: float = 0.8, budget: int = 24, loose: float = 0.6, slice_rows: int = 4000) -> DataFrame:
     """The rows of docs, with their columns, of which no near copy comes earlier: one of each group of near copies.
 
-    Near copies share `similarity` of their distinct shingles of `width` words, estimated by sketches with a
-    `margin` for their error; groups are the connected components of that relation. Of a group the row with the
+    Near copies share `similarity` of their distinct shingles of `width` words, exactly counted; groups are the
+    connected components of that relation. Pairs are proposed by min-hash keys, `budget` bits and a sketch's estimate
+    of `loose`, and all sets of shingles that proposals connect are compared. Of a group the row with the
     least doc_id stays (null after all others), of equal ids the one with the least text hash, of repeated rows
     one. Texts of fewer words are one shingle; null and blank texts are all copies of each other. An empty table
     gives an empty result.
     """
     text = text_of(docs, text_col)
     key = [F.coalesce(docs[id_col].cast("long"), F.lit((1 << 63) - 1)).alias("doc"), F.xxhash64(text).alias("hash")]
-    schema = pa.schema([("doc", pa.int64()), ("hash", pa.int64()), ("fp", pa.int64()), ("keys", pa.list_(pa.int64())), ("sketch", pa.binary())])
+    schema = pa.schema([("doc", pa.int64()), ("hash", pa.int64()), ("rep", pa.int64()), ("fp", pa.int64()), ("keys", pa.list_(pa.int64())), ("sketch", pa.binary())])
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
@@ -232,12 +287,27 @@ def one_of_each(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text",
                 marks = [copy_marks(t, width) for t in part.column(2).to_pylist()]
                 yield pa.RecordBatch.from_arrays([part.column(0), part.column(1), *(pa.array(c, f.type) for c, f in zip(zip(*marks), list(schema)[2:]))], schema=schema)
 
-    marked = docs.select(*key, text.cast("binary").alias("text")).mapInArrow(run, "doc long, hash long, fp long, keys array<long>, sketch binary")
+    marked = docs.select(*key, text.cast("binary").alias("text")).mapInArrow(run, "doc long, hash long, rep long, fp long, keys array<long>, sketch binary")
     marked = written(marked, "marks")
-    nodes = written(marked.groupBy("fp").agg(F.min_by(F.struct("keys", "sketch"), F.struct("doc", "hash")).alias("m")).select("fp", "m.keys", "m.sketch"), "nodes")
-    keyed = nodes.select(F.explode("keys").alias("key"), "fp", F.col("fp").alias("rep"), "sketch")
-    roots = components(links(keyed, budget, slice_rows, similarity - margin))
-    classes = marked.select("doc", "hash", "fp").join(roots, F.col("fp") == F.col("node"), "left").select("doc", "hash", F.coalesce("root", "fp").alias("root"))
+    nodes = written(marked.groupBy("rep").agg(F.min_by(F.struct("fp", "keys", "sketch", "doc", "hash"), F.struct("doc", "hash")).alias("m")).select("rep", "m.*"), "nodes")
+    keyed = nodes.select(F.explode("keys").alias("key"), "fp", "rep", "sketch")
+    proposed = components(links(keyed, budget, slice_rows, loose))
+    proposed = written(proposed.select("node", "root").union(proposed.select(F.col("root").alias("node"), "root")).distinct(), "proposed")
+    members = nodes.join(proposed, F.col("rep") == F.col("node")).select(F.col("doc").alias("m_doc"), F.col("hash").alias("m_hash"), F.col("root").alias("key"), "rep")
+    texts = docs.select(*key, text.cast("binary").alias("text")).join(members, (F.col("doc") == F.col("m_doc")) & (F.col("hash") == F.col("m_hash")))
+    set_schema = pa.schema([("key", pa.int64()), ("fp", pa.int64()), ("rep", pa.int64()), ("sketch", pa.binary())])
+
+    def sets(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            for at in range(0, batch.num_rows, 512):
+                part = batch.slice(at, 512)
+                codes = pa.array([shingle_codes(t, width).tobytes() for t in part.column(2).to_pylist()], pa.binary())
+                yield pa.RecordBatch.from_arrays([part.column(0), part.column(1), part.column(1), codes], schema=set_schema)
+
+    # repeated rows have one set; the set's hash stands for the fingerprint, so that 64 bits compare all of a component
+    whole = written(texts.dropDuplicates(["key", "rep"]).select("key", "rep", "text").mapInArrow(sets, "key long, fp long, rep long, sketch binary"), "sets")
+    roots = components(links(whole, 64, slice_rows, similarity, exact=True))
+    classes = marked.select("doc", "hash", "rep").join(roots, F.col("rep") == F.col("node"), "left").select("doc", "hash", F.coalesce("root", "rep").alias("root"))
     stays = classes.groupBy("root").agg(F.min(F.struct("doc", "hash")).alias("s")).select(F.col("s.doc").alias("s_doc"), F.col("s.hash").alias("s_hash"))
     rows = docs.select(F.struct(*(docs[c].alias(f"c{k}") for k, c in enumerate(docs.columns))).alias("kept"), *key)
     rows = rows.join(stays, (F.col("doc") == F.col("s_doc")) & (F.col("hash") == F.col("s_hash")), "left_semi")

@@ -45,8 +45,8 @@ class Labels:
 def link_within(group: np.ndarray, code: np.ndarray, budget: int, check: Callable[[np.ndarray, np.ndarray], np.ndarray] | None = None) -> np.ndarray:
     """The component label of each row, linking rows of one group whose codes differ in at most `budget` bits.
 
-    Rows are sorted by (group, code), codes distinct within a group. Each group is a binary trie whose nodes
-    are ranges of rows. Pairs of nodes go down one bit at a time; a pair whose paths differ in more bits than
+    Rows are sorted by (group, code). Each group is a binary trie whose nodes are ranges of rows; rows of one code
+    share a leaf and are compared with each other. Pairs of nodes go down one bit at a time; a pair whose paths differ in more bits than
     the budget is pruned, and so is one whose rows are all linked already. `check`, if given, gets the positions
     of pairs within the budget and says which of them to link.
     """
@@ -79,8 +79,17 @@ def link_within(group: np.ndarray, code: np.ndarray, budget: int, check: Callabl
             ok = check(i, j)
             i, j = i[ok], j[ok]
         labels.link(i, j)
+        if bit < 0:  # leaves of several rows
+            for x, x_end, y, y_end in pairs[:4, ~single].T:
+                for k in range(x, x_end):
+                    j = np.arange(max(y, k + 1), y_end)
+                    j = j[labels.of[j] != labels.of[k]]
+                    i = np.full(len(j), k)
+                    ok = np.ones(len(j), bool) if check is None or not len(j) else check(i, j)
+                    labels.link(i[ok], j[ok])
+            continue
         rest = ~single & ~((labels.of[a] == labels.of[b]) & labels.uniform(a, a_end) & labels.uniform(b, b_end))
-        if bit < 0 or not rest.any():
+        if not rest.any():
             continue
         a, a_end, b, b_end, used = pairs[:, rest]
         c = set_bits(bit)

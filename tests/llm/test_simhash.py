@@ -108,6 +108,41 @@ def test_one_of_each(spark, slice_rows):
     assert ids == sorted([min(d for d, g in group.items() if g == k) for k in range(30)] + [5000, 5002])
 
 
+@pytest.mark.parametrize("slice_rows", [4000, 7])
+def test_one_of_each_is_exact(spark, slice_rows):
+    r = random.Random(8)
+    shingles = lambda w: {tuple(w[k : k + 5]) for k in range(len(w) - 4)}
+    rows, sets, sides = [], [], [0, 0]
+    for _ in range(60):
+        base = [f"w{r.randrange(10**6)}" for _ in range(r.choice([150, 300, 600]))]
+        for changes in (0, r.randrange(len(base) // 80, len(base) // 25)):
+            w = list(base)
+            for at in r.sample(range(0, len(w), 5), changes):
+                w[at] = f"x{r.randrange(10**6)}"
+            rows.append((len(rows), " ".join(w)))
+            sets.append(shingles(w))
+    kept = set(range(len(rows)))
+    for k in range(0, len(rows), 2):
+        j = len(sets[k] & sets[k + 1]) / len(sets[k] | sets[k + 1])
+        sides[0] += 0.7 <= j < 0.8
+        sides[1] += 0.8 <= j < 0.9
+        if j >= 0.8:
+            kept.remove(k + 1)
+    assert min(sides) >= 10
+    # 32 and 31 of 40 shingles
+    line = [f"y{k}" for k in range(44)]
+    rows += [(1000, " ".join(line)), (1001, " ".join(line[:36])), (1002, " ".join([f"v{k}" for k in range(44)])), (1003, " ".join([f"v{k}" for k in range(35)]))]
+    kept |= {1000, 1002, 1003}
+    got = {x.doc_id for x in simhash.one_of_each(spark.createDataFrame(rows, "doc_id long, text string"), slice_rows=slice_rows).collect()}
+    assert got == kept
+
+
+def test_equal_codes_are_compared():
+    code = np.array([5, 5, 5, 9], np.uint64)
+    label = link_within(np.zeros(4, np.int64), code, 0, lambda i, j: (i == 0) & (j == 2))
+    assert label[0] == label[2] != label[1]
+
+
 def test_empty_table(spark):
     none = spark.createDataFrame([(1, "x")], "doc_id long, text string").limit(0)
     assert simhash.near_duplicates(none).count() == 0 and simhash.one_of_each(none).count() == 0
