@@ -5,7 +5,7 @@ from __future__ import annotations
 import public_tokenizers
 from pyspark.sql import functions as F
 
-from docloom.llm import bpe, decontaminate, fingerprint, linededup, quality, simhash, suffixtree, tokencount, tokenfile, urlfilter
+from docloom.llm import bpe, decontaminate, fingerprint, linededup, quality, simhash, suffixtable, tokencount, tokenfile, urlfilter
 from docloom.llm.common import scratch, table
 
 WORD_BPE = public_tokenizers.path("word_bpe_49k.json")
@@ -63,7 +63,7 @@ def op8_quality(spark, sf_dir):
 
 
 def op9_lm_scores(spark, sf_dir):
-    return suffixtree.scores(table(spark, sf_dir, "documents"))
+    return suffixtable.scores(table(spark, sf_dir, "documents"))
 
 
 def op10_fingerprints(spark, sf_dir):
