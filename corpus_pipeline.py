@@ -17,7 +17,7 @@ def keep_quality(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame
 
 def dedup_lines(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """All documents, without passages that stand in an earlier one; n_chars follows the text."""
-    cut = linededup.deduplicated(docs)
+    cut = linededup.deduplicated(docs, fill=True)
     return cut.withColumn("n_chars", F.when(F.col("lines_removed") > 0, F.length("text")).otherwise(F.col("n_chars"))).select(docs.columns)
 
 

@@ -5,7 +5,8 @@ enough to tell a copied passage from chance. Runs are hashed; each document is p
 the first document that holds it. So there are no more pairs than lines, however many documents share a passage,
 and no run is left out for being frequent. Each pair is aligned as in a patience diff: of the shared runs the
 longest sequence that rises in both documents. Runs that cross it, such as moved passages, are aligned in further
-rounds. Aligned runs make common blocks, which are deleted from the later document.
+rounds. Aligned runs make common blocks, which are deleted from the later document. If asked for, so are the common
+lines of any length that the alignment puts between and beside those blocks.
 """
 
 from __future__ import annotations
@@ -72,6 +73,68 @@ def patience_blocks(anchors: list[tuple[int, int, int]]) -> list[tuple[int, int]
     return merged(taken)
 
 
+def common_lines(a: list[int], b: list[int]) -> list[int]:
+    """Positions in a of a longest common subsequence; zeros, blank lines, are left out. Bit-parallel, a row of bits a line."""
+    at_a, at_b = [k for k, x in enumerate(a) if x], [k for k, x in enumerate(b) if x]
+    out = []
+    lo, hi_a, hi_b = 0, len(at_a), len(at_b)
+    while lo < min(hi_a, hi_b) and a[at_a[lo]] == b[at_b[lo]]:
+        out.append(at_a[lo])
+        lo += 1
+    while lo < min(hi_a, hi_b) and a[at_a[hi_a - 1]] == b[at_b[hi_b - 1]]:
+        hi_a, hi_b = hi_a - 1, hi_b - 1
+        out.append(at_a[hi_a])
+    where: dict[int, int] = {}
+    for k, y in enumerate(at_b[lo:hi_b]):
+        where[b[y]] = where.get(b[y], 0) | 1 << k
+    left = [x for x in at_a[lo:hi_a] if a[x] in where]
+    every = (1 << (hi_b - lo)) - 1
+    rows, row = [], every
+    for x in left:
+        same = row & where[a[x]]
+        row = ((row + same) | (row - same)) & every
+        rows.append(row)
+    i, j = len(left), hi_b - lo
+    while i and j:
+        if rows[i - 1] >> (j - 1) & 1:
+            j -= 1
+        else:
+            i -= 1
+            if not i or rows[i - 1] >> (j - 1) & 1:
+                j -= 1
+                out.append(left[i])
+    return sorted(out)
+
+
+def aligned_blocks(anchors: list[tuple[int, int, int]], a: list[int], b: list[int]) -> list[tuple[int, int]]:
+    """Blocks of a, the lines of the later document: the anchors, and common lines between and beside those that rise in both."""
+    rest = sorted(anchors)
+    tops: list[int] = []
+    at: list[int] = []
+    back: list[int] = []
+    for k, (_, e, _) in enumerate(rest):
+        place = bisect_left(tops, e)
+        back.append(at[place - 1] if place else -1)
+        tops[place : place + 1], at[place : place + 1] = [e], [k]
+    k, chain = at[-1], []
+    while k >= 0:
+        chain.append(rest[k])
+        k = back[k]
+    taken = [(d, d + n) for d, _, n in anchors]
+    d_end = e_end = 0
+    for d, e, n in [*reversed(chain), (len(a), len(b), 0)]:
+        if d > d_end and e > e_end:
+            taken += [(d_end + k, d_end + k + 1) for k in common_lines(a[d_end:d], b[e_end:e])]
+        d_end, e_end = max(d_end, d + n), max(e_end, e + n)
+    out: list[tuple[int, int]] = []
+    for x, end in merged(taken):  # blank lines between two blocks go with them
+        if out and not any(a[out[-1][1] : x]):
+            out[-1] = (out[-1][0], end)
+        else:
+            out.append((x, end))
+    return out
+
+
 def merged(blocks: list[tuple[int, int]]) -> list[tuple[int, int]]:
     out: list[tuple[int, int]] = []
     for a, b in sorted(blocks):
@@ -87,7 +150,7 @@ def _key(docs: DataFrame, id_col: str, text: Column) -> list[Column]:
     return [F.coalesce(docs[id_col].cast("long"), F.lit(NO_ID)).alias("doc"), F.xxhash64(text).alias("hash")]
 
 
-def common_blocks(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", min_words: int = 25) -> DataFrame:
+def common_blocks(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", min_words: int = 25, fill: bool = False) -> DataFrame:
     """(doc, hash, blocks array<struct<first, end>>): the blocks of lines to delete from each document that has some."""
     text = text_of(docs, text_col)
     schema = pa.schema([("doc", pa.int64()), ("hash", pa.int64()), ("run", pa.int64()), ("at", pa.int32()), ("lines", pa.int32())])
@@ -103,6 +166,8 @@ def common_blocks(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text
     holders = found.groupBy("run").agg(F.min(F.struct("doc", "hash", "at")).alias("first"), F.max(F.struct("doc", "hash")).alias("last"))
     holders = holders.where("first.doc <> last.doc or first.hash <> last.hash").select("run", F.col("first.doc").alias("e_doc"), F.col("first.hash").alias("e_hash"), F.col("first.at").alias("e_at"))
     anchors = found.join(holders, "run").where("doc <> e_doc or hash <> e_hash")
+    if fill:
+        return _filled(docs, id_col, text, anchors)
     anchors = anchors.select("doc", "hash", "e_doc", "e_hash", "at", "e_at", "lines").repartition("doc", "hash").sortWithinPartitions("doc", "hash", "e_doc", "e_hash", "at")
     ddl = "doc long, hash long, blocks array<struct<first: int, end: int>>"
     result = pa.schema([("doc", pa.int64()), ("hash", pa.int64()), ("blocks", pa.list_(pa.struct([("first", pa.int32()), ("end", pa.int32())])))])
@@ -145,15 +210,56 @@ def common_blocks(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text
     return anchors.mapInArrow(align, ddl)
 
 
-def deduplicated(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", min_words: int = 25) -> DataFrame:
+def _filled(docs: DataFrame, id_col: str, text: Column, anchors: DataFrame) -> DataFrame:
+    """As common_blocks, of anchors (doc, hash, e_doc, e_hash, at, e_at, lines), with the common lines between and beside them."""
+    pairs = written(anchors.groupBy("doc", "hash", "e_doc", "e_hash").agg(F.collect_set(F.struct("at", "e_at", "lines")).alias("anchors")), "pairs")
+    sides = pairs.select("doc", "hash").union(pairs.select("e_doc", "e_hash")).distinct()
+    schema = pa.schema([("l_doc", pa.int64()), ("l_hash", pa.int64()), ("codes", pa.list_(pa.int64()))])
+
+    def codes(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            for start in range(0, batch.num_rows, 256):
+                part = batch.slice(start, 256)
+                lines = [[xxhash.xxh64_intdigest(x) >> 1 if (x := b" ".join(y.split())) else 0 for y in t.split(b"\n")] for t in part.column(2).to_pylist()]
+                yield pa.RecordBatch.from_arrays([part.column(0), part.column(1), pa.array(lines, schema.field(2).type)], schema=schema)
+
+    # codes before the join, so that no text is shuffled
+    coded = docs.select(*_key(docs, id_col, text), text.cast("binary").alias("text")).mapInArrow(codes, "l_doc long, l_hash long, codes array<long>").toDF("doc", "hash", "codes")
+    found = written(coded.join(sides, ["doc", "hash"]).dropDuplicates(["doc", "hash"]), "lines")
+    own = found.toDF("doc", "hash", "a")
+    earlier = found.toDF("e_doc", "e_hash", "b")
+    both = pairs.join(own, ["doc", "hash"]).join(earlier, ["e_doc", "e_hash"]).select("doc", "hash", "anchors", "a", "b")
+    result = pa.schema([("doc", pa.int64()), ("hash", pa.int64()), ("blocks", pa.list_(pa.struct([("first", pa.int32()), ("end", pa.int32())])))])
+
+    def align(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            for start in range(0, batch.num_rows, 64):
+                part = batch.slice(start, 64)
+                blocks = []
+                for some, a, b in zip(*(part.column(k).to_pylist() for k in (2, 3, 4))):
+                    blocks.append([{"first": x, "end": y} for x, y in aligned_blocks([(s["at"], s["e_at"], s["lines"]) for s in some], a, b)])
+                yield pa.RecordBatch.from_arrays([part.column(0), part.column(1), pa.array(blocks, result.field(2).type)], schema=result)
+
+    def joined(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            blocks = [[{"first": x, "end": y} for x, y in merged([(s["first"], s["end"]) for s in some])] for some in batch.column(2).to_pylist()]
+            yield pa.RecordBatch.from_arrays([batch.column(0), batch.column(1), pa.array(blocks, result.field(2).type)], schema=result)
+
+    ddl = "doc long, hash long, blocks array<struct<first: int, end: int>>"
+    every = both.mapInArrow(align, ddl).groupBy("doc", "hash").agg(F.flatten(F.collect_list("blocks")).alias("blocks"))
+    return every.mapInArrow(joined, ddl)
+
+
+def deduplicated(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", min_words: int = 25, fill: bool = False) -> DataFrame:
     """docs, with its columns, and texts without the blocks of lines that an earlier document has; lines_removed is added.
 
     Documents are ordered by doc_id, null after all others; of one doc_id by a hash of the text. Blocks shorter
-    than `min_words` words stay, and so do repeats within one document. Repeated rows (same id and text) are one
+    than `min_words` words stay (with `fill` only where no alignment with an earlier document that shares a longer
+    one holds them), and so do repeats within one document. Repeated rows (same id and text) are one
     document and stay alike. A document of which all is copied has an empty text; null texts stay null. Empty
     tables give an empty result. An own column lines_removed is replaced.
     """
-    blocks = common_blocks(docs, id_col, text_col, min_words).select(F.col("doc").alias("cut_doc"), F.col("hash").alias("cut_hash"), "blocks")
+    blocks = common_blocks(docs, id_col, text_col, min_words, fill).select(F.col("doc").alias("cut_doc"), F.col("hash").alias("cut_hash"), "blocks")
     doc, digest = (c for c in _key(docs, id_col, text_of(docs, text_col)))
     columns = [c for c in docs.columns if c != "lines_removed"]
     rows = docs.select(F.struct(*(docs[c].alias(f"c{k}") for k, c in enumerate(columns))).alias("kept"), doc, digest)

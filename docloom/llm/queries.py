@@ -22,7 +22,7 @@ def op2_token_files(spark, sf_dir):
 
 
 def op3_line_dedup(spark, sf_dir):
-    return linededup.deduplicated(table(spark, sf_dir, "documents")).select("doc_id", "text", "lines_removed")
+    return linededup.deduplicated(table(spark, sf_dir, "documents"), fill=True).select("doc_id", "text", "lines_removed")
 
 
 def op4_bpe(spark, sf_dir):

@@ -66,3 +66,25 @@ def test_long_text_and_empty_table(spark):
     got = {r.doc_id: r for r in linededup.deduplicated(docs).collect()}
     assert got[1].text == long and got[2].text == "head" and got[2].lines_removed == 20_000
     assert linededup.deduplicated(docs.limit(0)).count() == 0
+
+
+def test_common_lines_are_a_longest_common_subsequence():
+    r = random.Random(5)
+    for _ in range(300):
+        a, b = ([r.randrange(1, 5) for _ in range(r.randrange(9))] for _ in range(2))
+        best = [[0] * (len(b) + 1) for _ in range(len(a) + 1)]
+        for i, x in enumerate(a):
+            for j, y in enumerate(b):
+                best[i + 1][j + 1] = best[i][j] + 1 if x == y else max(best[i][j + 1], best[i + 1][j])
+        got = [a[k] for k in linededup.common_lines(a, b)]
+        rest = iter(b)
+        assert len(got) == best[-1][-1] and all(x in rest for x in got)
+
+
+def test_short_lines_of_aligned_copies_go(spark):
+    long = [" ".join(f"{c}{k}" for k in range(30)) for c in "abc"]
+    first = ["short one", long[0], "short two", "old", "short three", long[1], "tail line", "last"]
+    later = ["mine", "short one", long[0], "short two", "new", "", "short three", long[1], "other", "tail line"]
+    docs = spark.createDataFrame([(1, "\n".join(first)), (2, "\n".join(later)), (3, "short one\nshort two")], "doc_id long, text string")
+    got = {r.doc_id: r.text for r in linededup.deduplicated(docs, fill=True).collect()}
+    assert got == {1: "\n".join(first), 2: "mine\nnew\n\nother", 3: "short one\nshort two"}
