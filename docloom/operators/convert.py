@@ -5,6 +5,10 @@ Errors are values. Each input row gives one output row.
 
 from __future__ import annotations
 
+import signal
+import threading
+from contextlib import contextmanager
+
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
@@ -15,8 +19,10 @@ from docloom.sources import html as html_source
 
 MAIL = "struct<subject:string,sender_name:string,sender_email:string,sender_smtp:string,recipients:array<struct<recip_type:string,email:string,name:string>>,submit_time:string,body_html:string,body:string>"
 PARSED = f"converter string, attempts array<struct<converter:string,error:string>>, markdown string, html string, pages array<struct<n:int,items:array<string>>>, slides array<struct<name:string,texts:array<string>>>, sheets array<struct<name:string,rows:array<array<string>>>>, mail {MAIL}"
+FAILED = "Conversion failed"  # what an error without a message says
 _FIELDS = ("converter", "attempts", "markdown", "html", "pages", "slides", "sheets", "mail")
-_MAIL_FIELDS = ("subject", "sender_name", "sender_email", "sender_smtp", "recipients", "submit_time", "body_html", "body")
+_MAILFAILED = "Conversion failed"  # what an error without a message says
+_FIELDS = ("subject", "sender_name", "sender_email", "sender_smtp", "recipients", "submit_time", "body_html", "body")
 
 
 def html_to_markdown(html: Column) -> Column:
@@ -25,16 +31,37 @@ def html_to_markdown(html: Column) -> Column:
     return normalize(walk(html))
 
 
-def _reader(registry: Registry):
-    read = {c.name: c.read for c in registry.ordered()}
+@contextmanager
+def _limited(seconds: float | None):
+    """Raises TimeoutError in a task whose reader takes longer; tasks read in the main thread of their worker."""
+    if not seconds or threading.current_thread() is not threading.main_thread():
+        yield
+        return
+
+    def ring(*_):
+        raise TimeoutError(f"Operation timed out after {seconds:g} s")
+
+    before = signal.signal(signal.SIGALRM, ring)
+    signal.setitimer(signal.ITIMER_REAL, seconds)
+    try:
+        yield
+    finally:
+        signal.setitimer(signal.ITIMER_REAL, 0)
+        signal.signal(signal.SIGALRM, before)
+
 
-    def first_success(candidates: list[str], content: bytes) -> tuple:
+def _reader(registry: Registry, seconds: float | None):
+    read = {c.name: (c.read, c.charset) for c in registry.ordered()}
+
+    def first_success(candidates: list[str], content: bytes, charset: str | None) -> tuple:
         attempts = []
         for name in candidates:
             try:
-                found = read[name](bytes(content))
+                with _limited(seconds):
+                    one, takes_charset = read[name]
+                    found = one(bytes(content), charset) if takes_charset else one(bytes(content))
             except Exception as e:  # a document that can't be read is a row with an error
-                attempts.append({"converter": name, "error": str(e) or type(e).__name__})
+                attempts.append({"converter": name, "error": str(e) or FAILED})
                 continue
             if found.get("mail"):
                 found["mail"] = {k: found["mail"].get(k) for k in _MAIL_FIELDS}
@@ -45,11 +72,17 @@ def _reader(registry: Registry):
     return F.udf(first_success, PARSED, useArrow=True)
 
 
-def converted(files: DataFrame, registry: Registry | None = None, filename: str = "filename", content: str = "content", declared: str | None = None) -> DataFrame:
+def error_text(error: Column) -> Column:
+    """The text of an error; one without a message says that the conversion failed."""
+    return or_else(error, F.lit(FAILED))
+
+
+def converted(files: DataFrame, registry: Registry | None = None, filename: str = "filename", content: str = "content", declared: str | None = None, charset: str | None = None, seconds: float | None = None) -> DataFrame:
     """Adds extension, mimetype, converter, markdown, title, status, error_kind, error, attempts to the rows of files.
 
     The first candidate that reads the document wins. Without candidates, or if all fail, markdown is null and
-    error says why. Rows without candidates never reach Python: they are split off by a filter.
+    error says why. Rows without candidates never reach Python: they are split off by a filter. `declared` and
+    `charset` name columns; a reader that takes longer than `seconds` fails for that document.
     """
     registry = registry or builtins()
     own = [c for c in files.columns if c != content]
@@ -57,7 +90,7 @@ def converted(files: DataFrame, registry: Registry | None = None, filename: str
     rows = rows.withColumn("mimetype", detect.mimetype(F.coalesce(F.col(filename), F.lit("")), F.col(declared) if declared else F.lit("")))
     rows = rows.withColumn("candidates", registry.candidates(F.col("extension"), F.col("mimetype")))
     readable = (F.size("candidates") > 0) & F.col(content).isNotNull()
-    parsed = rows.where(readable).withColumn("parsed", _reader(registry)("candidates", content))
+    parsed = rows.where(readable).withColumn("parsed", _reader(registry, seconds)("candidates", content, F.col(charset) if charset else F.lit(None).cast("string")))
     p = F.col("parsed")
     mail_title = or_else(p["mail"]["subject"], F.col(filename))
     markdown = (

@@ -21,7 +21,8 @@ class Converter:
     name: str
     extensions: tuple[str, ...]
     mime_prefixes: tuple[str, ...]
-    read: Callable[[bytes], dict] | None = None
+    read: Callable[..., dict] | None = None
+    charset: bool = False  # whether `read` also takes the declared charset
 
     def accepts(self, ext: Column, mime: Column) -> Column:
         by_mime = [mimetype_matches(mime, p) for p in self.mime_prefixes]
@@ -60,15 +61,21 @@ def all_failed(attempts: Column) -> Column:
     return F.concat(F.lit("All converters failed: "), F.array_join(F.transform(attempts, lambda a: F.concat(a["converter"], F.lit(": "), a["error"])), "; "))
 
 
+def _read_html(content: bytes, charset: str | None = None) -> dict:
+    from docloom.sources import html
+
+    text = html.decoded(content, charset)
+    return {"markdown": html.markdown(text), "html": text}
+
+
 def builtins() -> Registry:
     from docloom.sources import html, mail, office, pdf
 
-    text = lambda content: content.decode("utf-8", "replace").removeprefix("﻿")
     r = Registry()
     r.register(Converter("OutlookMsgConverter", (".msg",), (MIME_TYPES[".msg"],), lambda b: {"mail": mail.message(b)}))
     r.register(Converter("PptxConverter", (".pptx",), (MIME_TYPES[".pptx"],), lambda b: {"slides": office.slides(b)}))
     r.register(Converter("XlsxConverter", (".xlsx", ".xls"), (MIME_TYPES[".xlsx"], MIME_TYPES[".xls"]), lambda b: {"sheets": office.sheets(b)}))
     r.register(Converter("PdfConverter", (".pdf",), (MIME_TYPES[".pdf"],), lambda b: {"pages": pdf.pages(b)}))
     r.register(Converter("DocxConverter", (".docx",), (MIME_TYPES[".docx"],), lambda b: {"markdown": html.markdown(office.docx_html(b), strip=False)}))
-    r.register(Converter("HtmlConverter", (".html", ".htm"), ("text/html", "application/xhtml"), lambda b: {"markdown": html.markdown(text(b)), "html": text(b)}), GENERIC)
+    r.register(Converter("HtmlConverter", (".html", ".htm"), ("text/html", "application/xhtml"), _read_html, charset=True), GENERIC)
     return r

@@ -2,6 +2,10 @@
 
 from __future__ import annotations
 
+import codecs
+import re
+from html import unescape
+from html.entities import html5
 from html.parser import HTMLParser
 
 from docloom.functions.text import WS_CHARS
@@ -12,6 +16,10 @@ FORMATTING = set("a b big code em font i nobr s small strike strong tt u".split(
 HEAD = set("base link meta noscript script style title".split())
 CLOSES_P = set("address article aside blockquote center details dialog dir div dl fieldset figcaption figure footer form h1 h2 h3 h4 h5 h6 header hgroup hr li main menu nav ol p pre search section summary table ul dd dt".split())
 SCOPE = set("html table td th caption template object marquee applet button".split())
+RCDATA = set("textarea title".split())
+RAW = set("iframe noembed noframes plaintext xmp".split())
+TABLE_CONTEXT = set("table tbody tfoot thead tr".split())
+TABLE_PARTS = TABLE_CONTEXT | set("caption col colgroup form script style td template th".split())
 HEADINGS = {f"h{k}": "#" * k for k in range(1, 7)}
 BLOCKS = CLOSES_P | {"tr", "td", "th", "tbody", "thead", "tfoot", "body"}
 CONTAINERS = {"div", "section", "article", "main", "header", "footer"}
@@ -45,6 +53,22 @@ class Node:
         return out
 
 
+_ATTRIBUTE = re.compile(r"""([^\s/>=][^\s/>=]*)\s*(?:=\s*("[^"]*"|'[^']*'|[^\s>]+))?""")
+_REFERENCE = re.compile(r"&(?:#[0-9]+;?|#[xX][0-9a-fA-F]+;?|[A-Za-z][A-Za-z0-9]*;?)")
+
+
+def attribute_text(raw: str) -> str:
+    """Character references of an attribute; a name without semicolon stays if = or a letter or digit follows."""
+
+    def decoded(m: re.Match) -> str:
+        name = m[0][1:]
+        if name[0] == "#" or name in html5 and (name[-1] == ";" or raw[m.end() : m.end() + 1] != "="):
+            return unescape(m[0])
+        return m[0]
+
+    return _REFERENCE.sub(decoded, raw)
+
+
 class TreeBuilder(HTMLParser):
     def __init__(self):
         super().__init__(convert_charrefs=True)
@@ -76,15 +100,39 @@ class TreeBuilder(HTMLParser):
             if self.active[k] not in self.open:
                 self.active[k] = self._push(Node(self.active[k].tag, self.active[k].attrs))
 
+    def _add(self, new: Node | str) -> None:
+        """To the current element; what a table can't hold goes before the table. Text joins text before it."""
+        into = self.open[-1].children
+        at = len(into)
+        if self.open[-1].tag in TABLE_CONTEXT and (new.strip(WS_CHARS) if isinstance(new, str) else new.tag not in TABLE_PARTS):
+            k = max((k for k, n in enumerate(self.open) if n.tag == "table"), default=0)
+            into = self.open[k - 1].children
+            at = next((j for j in range(len(into) - 1, -1, -1) if into[j] is self.open[k]), len(into))
+        if isinstance(new, str) and at and isinstance(into[at - 1], str):
+            into[at - 1] += new
+        else:
+            into.insert(at, new)
+
     def _push(self, node: Node) -> Node:
-        self.open[-1].children.append(node)
+        self._add(node)
         self.open.append(node)
         return node
 
-    def handle_starttag(self, tag: str, attrs: list) -> None:
-        attributes = {}
+    def _attributes(self, attrs: list) -> dict[str, str]:
+        source = self.get_starttag_text() or ""
+        if "&" in source:
+            # the tokenizer decodes references as in text, so values are read again
+            found = _ATTRIBUTE.findall(re.sub(r"^<[^\s/>]+", "", source))
+            attrs = [(k.lower(), attribute_text(v[1:-1] if v[:1] in ("'", '"') and v[-1:] == v[:1] and len(v) > 1 else v)) for k, v in found]
+        out: dict[str, str] = {}
         for k, v in attrs:
-            attributes.setdefault(k, v or "")
+            out.setdefault(k, v or "")
+        return out
+
+    def handle_starttag(self, tag: str, attrs: list) -> None:
+        attributes = self._attributes(attrs) if attrs else {}
+        if tag in RCDATA or tag in RAW:
+            self.set_cdata_mode(tag)
         if tag in ("html", "head", "body"):
             self.begun |= tag == "body"
             return
@@ -107,6 +155,10 @@ class TreeBuilder(HTMLParser):
                     break
         elif tag in ("option", "optgroup") and self.open[-1].tag == "option":
             self.open.pop()
+        elif tag == "table" and self.open[-1].tag in TABLE_CONTEXT:
+            self._pop_to({"table"})
+        elif tag == "form" and self.open[-1].tag in TABLE_CONTEXT:
+            return
         elif tag in ("tbody", "thead", "tfoot", "tr", "td", "th"):
             if not any(n.tag == "table" for n in self.open):
                 return
@@ -130,7 +182,7 @@ class TreeBuilder(HTMLParser):
             self._reopen()
         node = Node(tag, attributes)
         if tag in VOID:
-            self.open[-1].children.append(node)
+            self._add(node)
             return
         self._push(node)
         if tag in FORMATTING:
@@ -159,8 +211,10 @@ class TreeBuilder(HTMLParser):
             return
         # misnested: the block moves out, and what it has so far stays formatted
         inner, last = self.open[block], self.open[block - 1]
-        last.children.remove(inner)
-        self.open[at - 1].children.append(inner)
+        last.children = [c for c in last.children if c is not inner]
+        stack, self.open = self.open, self.open[:at]
+        self._add(inner)
+        self.open = stack
         copy = Node(tag, node.attrs)
         copy.children, inner.children = inner.children, [copy]
         del self.open[at:block]
@@ -176,7 +230,7 @@ class TreeBuilder(HTMLParser):
         if tag in FORMATTING:
             self._end_formatting(tag)
         elif tag == "p" and not self._in_scope("p"):
-            self.open[-1].children.append(Node("p"))
+            self._add(Node("p"))
         elif tag in HEADINGS and any(self._in_scope(h) for h in HEADINGS):
             self._pop_to(set(HEADINGS))
         elif tag in ("td", "th", "tr", "table", "tbody", "thead", "tfoot"):
@@ -196,9 +250,27 @@ class TreeBuilder(HTMLParser):
             if self.in_head_text or not data.strip():
                 return
             self.begun, data = True, data.lstrip("\t\n\f\r ")
-        if self.open[-1].tag not in ("script", "style") and data.strip("\t\n\f\r "):
+        if self.cdata_elem in RCDATA:
+            data = unescape(data)
+        elif not self.cdata_elem and data.strip("\t\n\f\r "):
             self._reopen()
-        self.open[-1].children.append(data)
+        self._add(data)
+
+    def handle_comment(self, data: str) -> None:
+        if self.begun:  # nothing to render, but texts around it stay apart
+            self.open[-1].children.append(Node("#comment"))
+
+    def close(self) -> None:
+        super().close()
+        if self.cdata_elem and self.rawdata:  # raw text that never ends
+            self.handle_data(self.rawdata)
+
+
+def decoded(content: bytes, charset: str | None = None) -> str:
+    """Text of an HTML file; names of Latin-1 and ASCII mean windows-1252, and one byte order mark is dropped."""
+    label = (charset or "utf-8").strip().lower()
+    codec = codecs.lookup(label).name
+    return content.decode("cp1252" if codec in ("iso8859-1", "ascii") else codec, "replace").removeprefix("\ufeff")
 
 
 def parse(html: str) -> Node:

@@ -1,7 +1,7 @@
 import pytest
 
 from docloom.functions.text import html_title, normalize
-from docloom.sources.html import markdown
+from docloom.sources.html import decoded, markdown
 from docloom.operators.preview import to_html
 from pyspark.sql import functions as F
 
@@ -63,3 +63,39 @@ def test_titles_and_normalization(spark):
 def test_preview():
     assert to_html("# A\n\nx **y**\nz\n\n- a\n- b\n") == "<h1>A</h1>\n<p>x <strong>y</strong><br>z</p>\n<ul>\n<li>a</li>\n<li>b</li>\n</ul>\n"
     assert "<td>1</td>" in to_html("| a |\n| --- |\n| 1 |\n") and to_html("```\n<x>\n```") == "<pre><code>&lt;x&gt;\n</code></pre>\n"
+
+
+MORE = [
+    ('<a href="/x?a=1&copy=2&amp;b=3&copy;&para">t</a>', "[t](/x?a=1&copy=2&b=3©¶)"),
+    ("<a href=/u&regx title='q&quot;'>t</a>", "[t](/u&regx)"),
+    ("<table>foo<tr><td>a</table>", "foo | a |\n| --- |\n\n"),
+    ("b<table>foo<p>bar</p><tr><td>a</table>", "bfoo bar\n\n| a |\n| --- |\n\n"),
+    ("<table><tr><td>a</td><b>x</b></tr></table>y", "**x**| a |\n| --- |\n\ny "),
+    ("<textarea><b>x</b>&amp;</textarea>", "<b>x</b>&"),
+    ("<div><xmp><i>a</i>&amp;</xmp></div>", "<i>a</i>&amp;"),
+    ("<iframe><p>x</p></iframe>k", "<p>x</p>k "),
+    ("1<2", "1<2 "),
+    ("a<!-- c -->b", "a b "),
+    ("<pre>\na\n</pre>", "```\na\n```\n\n"),
+    ("<p>x<textarea>never", "xnever\n\n"),
+]
+
+
+@pytest.mark.parametrize(("body", "want"), MORE)
+def test_standard_details(body, want):
+    assert markdown(f"<body>{body}") == want
+
+
+def test_title_is_text():
+    assert markdown("<title>a<b>c</b></title>x") == "x "
+
+
+def test_charsets():
+    assert decoded("é€".encode("cp1252"), "ISO-8859-1") == "é€" and decoded("é".encode("utf-16-le"), "utf-16le") == "é" and decoded(b"\xef\xbb\xbfx\xff") == "x�"
+    with pytest.raises(LookupError):
+        decoded(b"x", "no-such-charset")
+
+
+def test_odd_tables_end():
+    for body in ("<table><b><div>x</b>y</table>z", "<table><tr><b><p>x</b>y<td>c</table>", "<table><table><tr><td>a", "<tr>x<td>y", "<table><a><a>x</table>"):
+        assert all(c in markdown(body) for c in body if c in "xyzc" and f"<{c}" not in body)
