@@ -13,6 +13,9 @@ from docloom.functions.text import html_title, normalize, utf16_length
 from docloom.operators import convert
 from docloom.operators.preview import markdown_to_html
 from docloom.operators.registry import UNSUPPORTED, all_failed, builtins
+from docloom.plans import samples
+from docloom.sources.files import read_files, read_markdown, scratch, write_markdown
+from docloom.streaming import write_stream
 
 EXTENSIONS = (".DOCX", ".pdf", ".xlsx", ".XLS", ".pptx", ".msg", ".html", ".htm", ".txt", ".csv", ".tar.gz", "", ".", ".json")
 DECLARED = ("", "text/html", "TEXT/HTML; charset=utf-8", "application/vnd.ms-excel.sheet.macroEnabled.12", "application/xhtml+xml", "application/vnd.ms-outlook")
@@ -73,7 +76,7 @@ def _turns(spark, sf_dir, **fields: Column) -> DataFrame:
 
 
 def all_failed_message(spark, sf_dir):
-    t = _turns(spark, sf_dir, converter=F.col("role"), error=F.substring("text", 1, 20))
+    t = _turns(spark, sf_dir, converter=F.col("role"), error=F.col("text"))
     return t.select("conv_id", all_failed(F.col("turns")).alias("error"))
 
 
@@ -187,10 +190,106 @@ def convert_pages(spark, sf_dir):
     return done.select("page_id", "converter", "error_kind", F.size("attempts").alias("n_attempts"), F.coalesce(F.length("markdown"), F.lit(0)).alias("n_chars"), "title")
 
 
+def _tags(*parts: Column | str) -> Column:
+    return F.concat(*(F.lit(p) if isinstance(p, str) else p.cast("string") for p in parts))
+
+
+def html_lists(spark, sf_dir):
+    """Parts as lists: nested, unclosed, outside a list; parts have no characters that HTML escapes."""
+    p = _table(spark, sf_dir, "part")
+    html = _tags("<ul>lost<li>", p.p_name, "</li><li> ", p.p_brand, "<ul><li>", p.p_type, "</ul></ul><ol start=7><li>", p.p_type, "<li>", p.p_size, "</ol><div><li>", p.p_name, "</li></div><dl><dt>", p.p_brand, "<dd>d</dl>")
+    return p.select("p_partkey", convert.html_to_markdown(html).alias("markdown"))
+
+
+def html_tables(spark, sf_dir):
+    """Orders as tables: ragged, unclosed, empty rows, a caption, text that stands before the table."""
+    o = _table(spark, sf_dir, "orders")
+    html = _tags("<table>", o.o_orderpriority, "<caption>c</caption><tr><th>status<th>a|b<tbody><tr><td>", o.o_orderstatus, "<td><b>", o.o_custkey, "</b><td>x<tr></tr></table>", "<table><tr><td>", o.o_orderkey, "</table>")
+    return o.select("o_orderkey", convert.html_to_markdown(html).alias("markdown"))
+
+
+def html_inline(spark, sf_dir):
+    """Customers in links, images, code, quotes, line breaks, and all the marks."""
+    c = _table(spark, sf_dir, "customer")
+    html = _tags(
+        "<body><h2> ", c.c_name, " </h2><a href='/c?id=", c.c_custkey, "&copy=1&amp;x'>", c.c_mktsegment, "</a><a href=''>none</a><a>bare</a><em>", c.c_mktsegment, "</em><i>i</i><br><strong>s</strong>",
+        "<code> ", c.c_custkey, " </code><blockquote>", c.c_name, "\nq</blockquote><pre>\n  ", c.c_custkey, "\n  x</pre><img src=i.png alt='", c.c_name, "'><img alt=z><img src=j>",
+        "<main><section><article><h6>", c.c_nationkey, "</h6></article></section></main><span> s </span><!-- no --><script>var t='</p>'</script><style>p</style><textarea><i>", c.c_custkey, "</textarea>",
+    )
+    return c.select("c_custkey", convert.html_to_markdown(html).alias("markdown"))
+
+
+def _made(make, *columns: Column) -> Column:
+    """Bytes of a sample file."""
+    return F.udf(make, "binary", useArrow=True)(*columns)
+
+
+def _office(spark, sf_dir, kind: str) -> DataFrame:
+    """(c_custkey, filename, content): a file of a kind for each customer."""
+    c = _table(spark, sf_dir, "customer")
+    name, key, segment = c.c_name, c.c_custkey.cast("string"), c.c_mktsegment
+    make = {
+        "docx": lambda n, k, s: samples.docx([(1 + int(k) % 6, n), ("p", f"{s} & <b>"), ("li", k), ("li", s), ("tr", f"{k}\t{n}")]),
+        "xlsx": lambda n, k, s: samples.xlsx([("A", f'<row><c t="s"><v>0</v></c><c t="str"><v>p|q</v></c></row><row><c><v>{k}</v></c><c><v>0</v></c><c t="b"><v>1</v></c></row>'), ("None", ""), ("B", f'<row r="2"><c r="B2" t="str"><v>{s}</v></c></row>')], [n]),
+        "pptx": lambda n, k, s: samples.pptx([(2, [s], True), (10, [f" {n} ", " ", k], True), (3, [], True), (4, ["lost"], False)]),
+        "pdf": lambda n, k, s: samples.pdf([[n, " ", s], [], [f"\\({k}\\)"]] if int(k) % 2 else [[k]] if int(k) % 4 else [[]], deflate=int(k) % 3 == 0),
+        "msg": lambda n, k, s: samples.message(s, n, f"c{k}@example.com", f" {k}\r\n\r\n\r\n\r\nbye\r\n", ["a@example.com", "b@example.com"], [f"d{k}@example.com"]),
+    }[kind]
+    return c.select("c_custkey", F.concat(F.lit("c"), key, F.lit("." + kind)).alias("filename"), _made(make, name, key, segment).alias("content"))
+
+
+def _office_query(kind: str):
+    def query(spark, sf_dir):
+        done = convert.converted(_office(spark, sf_dir, kind))
+        return done.select("c_custkey", "converter", "markdown", "title", "error")
+
+    query.__name__ = f"{kind}_convert"
+    return query
+
+
+def unreadable_files(spark, sf_dir):
+    """Texts under the names of office files: each is an error row that says which converter failed."""
+    c = _table(spark, sf_dir, "customer")
+    files = c.select("c_custkey", F.concat(F.lit("c"), c.c_custkey.cast("string"), _pick((".docx", ".xlsx", ".pptx", ".pdf"), c.c_custkey)).alias("filename"), c.c_name.cast("binary").alias("content"))
+    return convert.converted(files).select("c_custkey", "status", "error_kind", "error")
+
+
+def sink_roundtrip(spark, sf_dir):
+    """Pages as Markdown files of alternately equal names, written and read back."""
+    p = _table(spark, sf_dir, "pages")
+    rows = p.select(p.page_id.cast("string").alias("path"), _pick(("index.html", "a b.htm"), p.page_id).alias("filename"), convert.html_to_markdown(p.html).alias("markdown"))
+    path = scratch(spark, "markdown")
+    write_markdown(rows, path)
+    back = read_markdown(spark, path)
+    return back.groupBy(F.replace("output_name", F.lit("%20"), F.lit(" ")).alias("output_name")).agg(F.count("*").alias("files"), F.countDistinct("folder").alias("folders"), F.sum(utf16_length(F.col("markdown"))).alias("n_chars"))
+
+
+def binary_scan(spark, sf_dir):
+    """The Markdown files of customers, found as files again."""
+    c = _table(spark, sf_dir, "customer")
+    path = scratch(spark, "binary")
+    write_markdown(c.select(F.concat(c.c_name, F.lit(".html")).alias("filename"), c.c_mktsegment.alias("markdown")), path)
+    found = read_files(spark, path, recursive=True)
+    return found.select(F.regexp_replace("filename", "%23", "#").alias("filename"), "length", F.decode("content", "utf-8").alias("text"))
+
+
+def stream_convert(spark, sf_dir):
+    """Pages as a stream of files, all that are there in one run."""
+    schema = _table(spark, sf_dir, "pages").schema
+    pages = spark.readStream.schema(schema).parquet(f"{sf_dir}/pages.parquet*")
+    files = pages.select("page_id", F.concat(F.lit("p"), F.col("page_id").cast("string"), F.lit(".html")).alias("filename"), F.col("html").cast("binary").alias("content"))
+    target = scratch(spark, "stream")
+    write_stream(convert.converted(files), target, scratch(spark, "progress")).awaitTermination()
+    return spark.read.parquet(target).select("page_id", "markdown", "title", "status")
+
+
+docx_convert, xlsx_convert, pptx_convert, pdf_convert, msg_convert = map(_office_query, ("docx", "xlsx", "pptx", "pdf", "msg"))
+
 QUERIES = (
     html_markdown, html_titles, html_markdown_length, markdown_preview, detect_types, route_candidates, unsupported_errors, all_failed_message,
     normalize_markdown, escape_cells, table_markdown, falsy_cells, workbook_markdown, deck_markdown, paged_markdown, list_markdown, email_markdown,
-    output_names, batch_status, batch_count, remove_and_reindex, append_batch, convert_pages,
+    output_names, batch_status, batch_count, remove_and_reindex, append_batch, convert_pages, html_lists, html_tables, html_inline,
+    docx_convert, xlsx_convert, pptx_convert, pdf_convert, msg_convert, unreadable_files, sink_roundtrip, binary_scan, stream_convert,
 )
 
 
@@ -262,7 +361,7 @@ def oracle_sql() -> dict[str, str]:
         "detect_types": f"with {_NAMES_SQL} select doc_id, extension, mimetype from mimes",
         "route_candidates": f"with {_NAMES_SQL} select doc_id, array_to_string({_accepts_sql()}, ',') as candidates, ({_accepts_sql()})[1] as winner from mimes",
         "unsupported_errors": f"with {_NAMES_SQL} select doc_id, '{UNSUPPORTED}' as error from mimes where len({_accepts_sql()}) = 0",
-        "all_failed_message": "select conv_id, 'All converters failed: ' || string_agg(role || ': ' || left(text, 20), '; ' order by turn) as error from conversations group by conv_id",
+        "all_failed_message": "select conv_id, 'All converters failed: ' || string_agg(role || ': ' || text, '; ' order by turn) as error from conversations group by conv_id",
         "normalize_markdown": f"select doc_id, {_normalize_sql("replace(text, '. ', '.  ' || chr(160) || chr(10) || ' ' || chr(13) || chr(10) || chr(9) || chr(10) || chr(10))")} as markdown from documents",
         "escape_cells": r"select doc_id, replace(replace(replace(coalesce(text, ''), '|', '\|'), chr(10), ' '), chr(13), '') as cell from documents",
         "table_markdown": rf"""
@@ -311,6 +410,42 @@ def oracle_sql() -> dict[str, str]:
         "append_batch": """
             select r_regionkey::bigint as pos, r_name as name from region
             union all select n_nationkey + (select max(r_regionkey) + 1 from region), n_name from nation""",
+        "html_lists": rf"""
+            select p_partkey, '- ' || p_name || {nl} || '- ' || p_brand || p_type || {nl} || {nl} || '1. ' || p_type || {nl} || '2. ' || p_size || {nl} || {nl} || p_brand || 'd' as markdown from part""",
+        "html_tables": f"""
+            select o_orderkey, o_orderpriority || ' | status | a|b |' || {nl} || '| --- | --- |' || {nl} || '| ' || o_orderstatus || ' | ' || o_custkey || ' | x |' || {nl} || '|  |' || {nl} || {nl}
+                || '| ' || o_orderkey || ' |' || {nl} || '| --- |' || {nl} || {nl} as markdown from orders""",
+        "html_inline": f"""
+            select c_custkey, '## ' || c_name || {nl} || {nl} || '[' || c_mktsegment || '](/c?id=' || c_custkey || '&copy=1&x)nonebare*' || c_mktsegment || '**i*' || {nl} || '**s**`' || c_custkey || '`> ' || c_name || {nl} || 'q'
+                || {nl} || {nl} || '```' || {nl} || c_custkey || {nl} || '  x' || {nl} || '```' || {nl} || {nl} || '![' || c_name || '](i.png)' || {nl} || {nl} || '![](j)' || {nl} || {nl}
+                || '###### ' || c_nationkey || {nl} || {nl} || 's<i>' || c_custkey as markdown from customer""",
+        "docx_convert": f"""
+            select c_custkey, 'DocxConverter' as converter, repeat('#', 1 + (c_custkey % 6)::int) || ' ' || c_name || {nl} || {nl} || c_mktsegment || ' & <b>' || {nl} || {nl} || '1. ' || c_custkey || {nl} || '2. ' || c_mktsegment
+                || {nl} || {nl} || '| ' || c_custkey || ' | ' || c_name || ' |' || {nl} || '| --- | --- |' || {nl} || {nl} as markdown, 'c' || c_custkey || '.docx' as title, null::varchar as error from customer""",
+        "xlsx_convert": rf"""
+            select c_custkey, 'XlsxConverter' as converter, '## A' || {nl} || {nl} || '| ' || c_name || ' | p\|q |  |' || {nl} || '| --- | --- | --- |' || {nl} || '| ' || case when c_custkey = 0 then '' else c_custkey::varchar end
+                || ' |  | true |' || {nl} || {nl} || '## B' || {nl} || {nl} || '| ' || c_mktsegment || ' |' || {nl} || '| --- |' as markdown, 'c' || c_custkey || '.xlsx' as title, null::varchar as error from customer""",
+        "pptx_convert": f"""
+            select c_custkey, 'PptxConverter' as converter, '## Slide 1' || {nl} || {nl} || c_name || {nl} || {nl} || c_custkey || {nl} || {nl} || '## Slide 2' || {nl} || {nl} || c_mktsegment as markdown,
+                'c' || c_custkey || '.pptx' as title, null::varchar as error from customer""",
+        "pdf_convert": f"""
+            select c_custkey, 'PdfConverter' as converter, case when c_custkey % 2 = 1 then '## Page 1' || {nl} || {nl} || c_name || ' ' || c_mktsegment || {nl} || {nl} || '## Page 3' || {nl} || {nl} || '(' || c_custkey || ')'
+                when c_custkey % 4 = 2 then c_custkey::varchar else '{render.NO_PAGES}' end as markdown, 'c' || c_custkey || '.pdf' as title, null::varchar as error from customer""",
+        "msg_convert": f"""
+            select c_custkey, 'OutlookMsgConverter' as converter, '# Email Message' || {nl} || {nl} || '**Subject:** ' || c_mktsegment || {nl} || '**From:** ' || c_name || ' <c' || c_custkey || '@example.com>' || {nl}
+                || '**To:** a@example.com; b@example.com' || {nl} || '**Cc:** d' || c_custkey || '@example.com' || {nl} || {nl} || '## Content' || {nl} || {nl} || c_custkey || {nl} || {nl} || 'bye' as markdown,
+                c_mktsegment as title, null::varchar as error from customer""",
+        "unreadable_files": """
+            select c_custkey, 'Failed' as status, 'FileConversionException' as error_kind, 'All converters failed: ' || case when c_custkey % 4 = 3 then 'PdfConverter: Invalid PDF structure.'
+                else (['Docx', 'Xlsx', 'Pptx'])[c_custkey % 4 + 1] || 'Converter: File is not a zip file' end as error from customer""",
+        "sink_roundtrip": f"""
+            with {_PAGE_SQL}
+            select case when page_id % 2 = 0 then 'index.md' else 'a b.md' end as output_name, count(*) as files, count(*) as folders, sum(length({_normalize_sql("t")}))::bigint as n_chars
+            from decoded group by 1""",
+        "binary_scan": "select c_name || '.md' as filename, length(c_mktsegment)::bigint as length, c_mktsegment as text from customer",
+        "stream_convert": f"""
+            with {_PAGE_SQL}, done as (select page_id, {_normalize_sql("t")} as markdown, trim(regexp_extract(html, '(?i)<title[^>]*>([^<]*)</title>', 1)) as title from decoded join pages using (page_id))
+            select page_id, markdown, title, format('{{:,}}', length(markdown)) || ' characters' as status from done""",
         "convert_pages": f"""
             with {_PAGE_SQL}
             select page_id, case when page_id % 4 <> 2 then 'HtmlConverter' end as converter, case when page_id % 4 = 2 then 'UnsupportedFormatException' end as error_kind,

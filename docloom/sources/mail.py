@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import codecs
 import struct
 
 # Tags of the properties read, and kinds of recipients.
@@ -65,12 +66,22 @@ class CompoundFile:
         return b"".join(out)[:size]
 
 
-def _texts(f: CompoundFile, at: int, wanted: dict[str, str]) -> dict[str, str]:
+def _codec(page: int) -> str:
+    """The codec of a Windows code page; 65001 is UTF-8, and an unknown one is read as windows-1252."""
+    name = "utf-8" if page == 65001 else {20127: "ascii", 28591: "latin-1", 28605: "iso8859-15", 20866: "koi8-r"}.get(page, f"cp{page}")
+    try:
+        return codecs.lookup(name).name
+    except LookupError:
+        return "cp1252"
+
+
+def _texts(f: CompoundFile, at: int, wanted: dict[str, str], codec: str = "utf-8") -> dict[str, str]:
+    """Texts by the names wanted; those of 8 bits a character are in `codec`."""
     out = {}
     for name, k in f.children(at).items():
         tag, kind = name[12:16], name[16:20]
         if name.startswith("__substg1.0_") and tag in wanted:
-            out[wanted[tag]] = f.stream(k).decode("utf-16-le" if kind == "001F" else "utf-8", "replace").rstrip("\0")
+            out[wanted[tag]] = f.stream(k).decode("utf-16-le" if kind == "001F" else codec, "replace").rstrip("\0")
     return out
 
 
@@ -86,15 +97,18 @@ def message(content: bytes) -> dict:
     from datetime import UTC, datetime, timedelta
 
     f = CompoundFile(content)
-    mail = _texts(f, 0, PROPERTIES)
-    sent = _fixed(f, 0, 32).get(0x00390040)
+    fixed = _fixed(f, 0, 32)
+    page = fixed.get(0x3FFD0003) or fixed.get(0x3FDE0003)  # of the message, else of its body
+    codec = _codec(struct.unpack("<I", page[:4])[0]) if page else "utf-8"
+    mail = _texts(f, 0, PROPERTIES, codec)
+    sent = fixed.get(0x00390040)
     if sent:
         moment = datetime(1601, 1, 1, tzinfo=UTC) + timedelta(microseconds=struct.unpack("<Q", sent)[0] // 10)
         mail["submit_time"] = moment.strftime("%a, %d %b %Y %H:%M:%S GMT")
     people = []
     for name, k in sorted(f.children(0).items()):
         if name.startswith("__recip_version1.0_"):
-            who = _texts(f, k, RECIPIENT)
+            who = _texts(f, k, RECIPIENT, codec)
             kind = struct.unpack("<I", _fixed(f, k, 8).get(0x0C150003, b"\1\0\0\0")[:4])[0]
             people.append({"recip_type": KINDS.get(kind, "to"), "email": who.get("smtp") or who.get("email"), "name": who.get("name")})
     return mail | {"recipients": people}

@@ -7,6 +7,10 @@ import re
 import zipfile
 from html import escape
 from xml.etree import ElementTree as ET
+from xml.parsers import expat
+
+#: Bounds of one document: bytes of an inflated member, cells of a sheet's table.
+MAX_MEMBER, MAX_CELLS = 512 << 20, 4_000_000
 
 
 def _local(e: ET.Element) -> str:
@@ -18,7 +22,36 @@ def _attr(e: ET.Element, name: str) -> str | None:
 
 
 def _archive(content: bytes) -> zipfile.ZipFile:
-    return zipfile.ZipFile(io.BytesIO(content))
+    """An archive whose members inflate to MAX_MEMBER bytes at most; reading stops at the size that a member states."""
+    z = zipfile.ZipFile(io.BytesIO(content))
+    large = next((i.filename for i in z.infolist() if i.file_size > MAX_MEMBER), None)
+    if large is not None:
+        raise ValueError(f"{large} is too large")
+    return z
+
+
+def _runs(xml: bytes) -> list[str]:
+    """The text of each element whose qualified name is a:t, in document order."""
+    out: list[str] = []
+    open_: list[int] = []
+    parser = expat.ParserCreate()  # without namespaces, so that names keep their prefixes
+
+    def start(name: str, _) -> None:
+        if name == "a:t":
+            open_.append(len(out))
+            out.append("")
+
+    def end(name: str) -> None:
+        if name == "a:t":
+            open_.pop()
+
+    def text(data: str) -> None:
+        for k in open_:
+            out[k] += data
+
+    parser.StartElementHandler, parser.EndElementHandler, parser.CharacterDataHandler, parser.buffer_text = start, end, text, True
+    parser.Parse(xml, True)
+    return out
 
 
 def slides(content: bytes) -> list[dict]:
@@ -27,8 +60,8 @@ def slides(content: bytes) -> list[dict]:
     for name in z.namelist():
         if re.search(r"ppt/slides/slide\d+\.xml", name):
             try:
-                texts = ["".join(e.itertext()) for e in ET.fromstring(z.read(name)).iter() if _local(e) == "t"]
-            except ET.ParseError:
+                texts = _runs(z.read(name))
+            except expat.ExpatError:
                 texts = []
             out.append({"name": name, "texts": texts})
     return out
@@ -54,23 +87,23 @@ def sheets(content: bytes) -> list[dict]:
     out = []
     for s in (e for e in ET.fromstring(z.read("xl/workbook.xml")).iter() if _local(e) == "sheet"):
         target = targets[_attr(s, "id")].lstrip("/")
-        cells: dict[tuple[int, int], str] = {}
+        cells: dict[int, dict[int, str]] = {}
         for row_at, row in enumerate(e for e in ET.fromstring(z.read(target if target.startswith("xl/") else f"xl/{target}")).iter() if _local(e) == "row"):
             for col_at, c in enumerate(e for e in row if _local(e) == "c"):
                 m = re.match(r"([A-Z]+)(\d+)", c.get("r", ""))
                 column = 0
                 for letter in m[1] if m else "":
                     column = column * 26 + ord(letter) - 64
-                at = (int(m[2]) - 1, column - 1) if m else (int(row.get("r", row_at + 1)) - 1, col_at)
-                cells[at] = _cell(c, strings)
-        rows = []
+                r, k = (int(m[2]) - 1, column - 1) if m else (int(row.get("r", row_at + 1)) - 1, col_at)
+                cells.setdefault(r, {})[k] = _cell(c, strings)
+        rows: list[list[str]] = []
         if cells:
-            top, left, bottom, right = min(r for r, _ in cells), min(c for _, c in cells), max(r for r, _ in cells), max(c for _, c in cells)
+            top, bottom, left, right = min(cells), max(cells), min(map(min, cells.values())), max(map(max, cells.values()))
+            if (bottom - top + 1) * (right - left + 1) > MAX_CELLS:  # the table is padded to its widest row
+                raise ValueError(f"Sheet {s.get('name')} spans more than {MAX_CELLS} cells")
             for r in range(top, bottom + 1):
-                line = [cells.get((r, c), "") for c in range(left, right + 1)]
-                while line and (r, left + len(line) - 1) not in cells:
-                    line.pop()
-                rows.append(line)
+                row = cells.get(r, {})
+                rows.append([row.get(c, "") for c in range(left, max(row) + 1)] if row else [])
         out.append({"name": s.get("name"), "rows": rows})
     return out
 
@@ -96,6 +129,13 @@ def docx_html(content: bytes) -> str:
     names = set(z.namelist())
     links = {} if "word/_rels/document.xml.rels" not in names else {r.get("Id"): r.get("Target") for r in ET.fromstring(z.read("word/_rels/document.xml.rels"))}
     bullets = _bullet_lists(z) if "word/numbering.xml" in names else set()
+    noted: list[str | None] = []
+
+    def piece(y: ET.Element) -> str:
+        if _local(y) == "footnoteReference":
+            noted.append(_attr(y, "id"))
+            return f"<sup><a>[{len(noted)}]</a></sup>"
+        return escape(y.text or "") if _local(y) == "t" else {"br": "<br>", "tab": "\t"}.get(_local(y), "")
 
     def inline(e: ET.Element) -> str:
         out = []
@@ -103,7 +143,7 @@ def docx_html(content: bytes) -> str:
             name = _local(x)
             if name == "r":
                 marks = {_local(m): _attr(m, "val") for p in x if _local(p) == "rPr" for m in p}
-                t = "".join(escape(y.text or "") if _local(y) == "t" else "<br>" if _local(y) == "br" else "\t" if _local(y) == "tab" else "" for y in x)
+                t = "".join(map(piece, x))
                 for mark, tag in (("i", "em"), ("b", "strong")):
                     if t and mark in marks and marks[mark] not in ("0", "false", "none"):
                         t = f"<{tag}>{t}</{tag}>"
@@ -116,9 +156,13 @@ def docx_html(content: bytes) -> str:
         return "".join(out)
 
     def blocks(parent: ET.Element) -> str:
-        out, listed = [], None
+        out, lists = [], []  # kinds of the lists that are open, outermost first; each has an open item
+
+        def close(depth: int) -> None:
+            while len(lists) > depth:
+                out.append(f"</li></{lists.pop()}>")
+
         for x in parent:
-            kind = None
             if _local(x) == "p":
                 marks = {_local(m): m for p in x if _local(p) == "pPr" for m in p}
                 style = _attr(marks["pStyle"], "val") or "" if "pStyle" in marks else ""
@@ -126,11 +170,21 @@ def docx_html(content: bytes) -> str:
                 text = inline(x)
                 if "numPr" in marks and not level:
                     number = next((_attr(m, "val") for m in marks["numPr"] if _local(m) == "numId"), None)
-                    kind = "ul" if number in bullets else "ol"
-                    block = f"<li>{text}</li>"
-                else:
-                    tag = f"h{level[1]}" if level else "p"
-                    block = f"<{tag}>{text}</{tag}>" if text else ""
+                    depth = min(int(next((_attr(m, "val") for m in marks["numPr"] if _local(m) == "ilvl"), None) or 0), 8)
+                    kind = "ul" if (number, str(depth)) in bullets else "ol"
+                    if len(lists) == depth + 1 and lists[-1] == kind:
+                        out.append("</li>")
+                    else:
+                        close(depth + 1 if len(lists) > depth and lists[depth] == kind else depth)
+                        if len(lists) == depth + 1:
+                            out.append("</li>")
+                        while len(lists) <= depth:
+                            lists.append(kind)
+                            out.append(f"<{kind}>" + ("<li>" if len(lists) <= depth else ""))
+                    out.append(f"<li>{text}")
+                    continue
+                tag = f"h{level[1]}" if level else "p"
+                block = f"<{tag}>{text}</{tag}>" if text else ""
             elif _local(x) == "tbl":
                 rows = [[blocks(c) for c in r if _local(c) == "tc"] for r in x if _local(r) == "tr"]
                 block = "<table>" + "".join("<tr>" + "".join(f"<td>{c}</td>" for c in r) + "</tr>" for r in rows) + "</table>"
@@ -138,18 +192,25 @@ def docx_html(content: bytes) -> str:
                 block = blocks(x)
             else:
                 continue
-            if kind != listed:
-                out.append((f"</{listed}>" if listed else "") + (f"<{kind}>" if kind else ""))
-                listed = kind
+            close(0)
             out.append(block)
-        return "".join(out) + (f"</{listed}>" if listed else "")
+        close(0)
+        return "".join(out)
 
-    return f"<body>{blocks(body)}</body>"
+    main = blocks(body)
+    told = ""
+    if noted and "word/footnotes.xml" in names:
+        texts = {_attr(n, "id"): blocks(n) for n in ET.fromstring(z.read("word/footnotes.xml")) if _local(n) == "footnote"}
+        told = "<ol>" + "".join(f"<li>{texts.get(n, '')} <a>\u2191</a></li>" for n in noted) + "</ol>"
+    return f"<body>{main}{told}</body>"
 
 
-def _bullet_lists(z: zipfile.ZipFile) -> set[str | None]:
-    """Numbers of the lists whose first level has bullets."""
+def _bullet_lists(z: zipfile.ZipFile) -> set[tuple[str | None, str | None]]:
+    """(number, level) of the lists whose level has bullets."""
     root = ET.fromstring(z.read("word/numbering.xml"))
-    formats = {_attr(a, "abstractNumId"): next((_attr(f, "val") for f in a.iter() if _local(f) == "numFmt"), None) for a in root if _local(a) == "abstractNum"}
+    formats = {
+        (_attr(a, "abstractNumId"), _attr(level, "ilvl") or "0"): next((_attr(f, "val") for f in level if _local(f) == "numFmt"), None)
+        for a in root if _local(a) == "abstractNum" for level in a if _local(level) == "lvl"
+    }
     uses = {_attr(n, "numId"): next((_attr(x, "val") for x in n if _local(x) == "abstractNumId"), None) for n in root if _local(n) == "num"}
-    return {n for n, a in uses.items() if formats.get(a) == "bullet"}
+    return {(n, level) for n, a in uses.items() for (b, level), kind in formats.items() if a == b and kind == "bullet"}

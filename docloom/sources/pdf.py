@@ -1,4 +1,4 @@
-"""A small reader of text in PDF files: plain and deflated content streams with simple fonts."""
+"""A small reader of text in PDF files: plain and deflated content streams; fonts by their maps to Unicode."""
 
 from __future__ import annotations
 
@@ -10,42 +10,115 @@ _TOKEN = re.compile(rb"\((?:\\.|[^\\()]|\((?:\\.|[^\\()])*\))*\)|<[0-9A-Fa-f\s]*
 _ESCAPES = {b"n": b"\n", b"r": b"\r", b"t": b"\t", b"b": b"\b", b"f": b"\f"}
 
 
-def _text(token: bytes) -> str:
+_OBJECT = re.compile(rb"\b(\d+)\s+\d+\s+obj\b")
+_STREAM = re.compile(rb"\bstream\r?\n")
+MAX_STREAM = 256 << 20
+
+
+def _bytes(token: bytes) -> bytes:
     if token[:1] == b"<":
         digits = re.sub(rb"\s", b"", token[1:-1])
-        data = bytes.fromhex((digits + b"0" * (len(digits) % 2)).decode())
-    else:
-        data = re.sub(rb"\\([0-7]{1,3}|\r?\n|.)", lambda m: _ESCAPES.get(m[1], bytes([int(m[1], 8) & 255]) if m[1].isdigit() else b"" if m[1].strip(b"\r\n") == b"" else m[1]), token[1:-1], flags=re.S)
-    return data[2:].decode("utf-16-be", "replace") if data[:2] == b"\xfe\xff" else data.decode("cp1252", "replace")
+        return bytes.fromhex((digits + b"0" * (len(digits) % 2)).decode())
+    return re.sub(rb"\\([0-7]{1,3}|\r?\n|.)", lambda m: _ESCAPES.get(m[1], bytes([int(m[1], 8) & 255]) if m[1].isdigit() else b"" if m[1].strip(b"\r\n") == b"" else m[1]), token[1:-1], flags=re.S)
+
+
+class _Font:
+    """Decodes shown strings by the font's map to Unicode; simple fonts without one are read as windows-1252."""
+
+    def __init__(self, body: bytes, to_unicode: bytes | None):
+        self.width, self.map = 2 if re.search(rb"/Type0\b", body) else 1, None
+        if to_unicode is None:
+            if self.width == 2:
+                raise ValueError("A font of the page has no map to Unicode")
+            return
+        self.map = {}
+        text = lambda h: bytes.fromhex(re.sub(rb"\s", b"", h).decode()).decode("utf-16-be", "replace")
+        for part in re.findall(rb"beginbfchar(.*?)endbfchar", to_unicode, re.S):
+            for code, to in re.findall(rb"<([0-9A-Fa-f\s]+)>\s*<([0-9A-Fa-f\s]+)>", part):
+                self.map[int(code, 16)] = text(to)
+        for part in re.findall(rb"beginbfrange(.*?)endbfrange", to_unicode, re.S):
+            for a, b, to in re.findall(rb"<([0-9A-Fa-f]+)>\s*<([0-9A-Fa-f]+)>\s*(<[0-9A-Fa-f\s]+>|\[[^\]]*\])", part):
+                first, last = int(a, 16), min(int(b, 16), 0xFFFF)
+                each = [text(h) for h in re.findall(rb"<([0-9A-Fa-f\s]+)>", to)]
+                for k in range(first, last + 1):
+                    if to[:1] == b"[":
+                        if k - first < len(each):
+                            self.map[k] = each[k - first]
+                    elif each and each[0]:
+                        self.map[k] = each[0][:-1] + chr(min(ord(each[0][-1]) + k - first, 0x10FFFF))
+        space = re.search(rb"begincodespacerange\s*<([0-9A-Fa-f]+)>", to_unicode)
+        if space:
+            self.width = max(1, len(space[1]) // 2)
 
+    def text(self, data: bytes) -> str:
+        if self.map is None:
+            return data[2:].decode("utf-16-be", "replace") if data[:2] == b"\xfe\xff" else data.decode("cp1252", "replace")
+        codes = (int.from_bytes(data[k : k + self.width]) for k in range(0, len(data) - self.width + 1, self.width))
+        return "".join(self.map.get(c, "") for c in codes)
 
-def _items(stream: bytes) -> list[str]:
-    """One text for each operator that shows some."""
-    out, shown = [], []
+
+def _items(stream: bytes, font_of) -> list[str]:
+    """One text for each operator that shows some; `font_of` gives the font of a name."""
+    out, shown, font, before = [], [], None, b""
     for token in _TOKEN.findall(stream):
         if token[:1] in b"(<" and token[:2] != b"<<":
-            shown.append(_text(token))
+            shown.append(_bytes(token))
         elif token in (b"Tj", b"TJ", b"'", b'"'):
-            out.append("".join(shown))
+            font = font or font_of(b"")
+            out.append("".join(map(font.text, shown)))
             shown = []
+        elif token[:1] == b"/":
+            before = token[1:]
+        elif token == b"Tf":
+            font, shown = font_of(before), []
         elif token.isalpha():
             shown = []
     return out
 
 
+def _objects(content: bytes) -> dict[int, bytes]:
+    """Bodies by number; a stream of stated length may hold anything."""
+    out, at = {}, 0
+    while m := _OBJECT.search(content, at):
+        start = m.end()
+        end = content.find(b"endobj", start)
+        end = len(content) if end < 0 else end
+        s = _STREAM.search(content, start, end)
+        length = s and re.search(rb"/Length\s+(\d+)(?!\s+\d+\s+R)", content[start : s.start()])
+        if length and content[s.end() + int(length[1]) :][:20].lstrip().startswith(b"endstream"):
+            end = content.find(b"endobj", s.end() + int(length[1]))
+            end = len(content) if end < 0 else end
+        out[int(m[1])] = content[start:end]
+        at = end
+    return out
+
+
+def _inflated(data: bytes) -> bytes:
+    z = zlib.decompressobj()
+    out = z.decompress(data, MAX_STREAM)
+    if z.unconsumed_tail:
+        raise ValueError("A stream of the file is too large")
+    return out
+
+
 def pages(content: bytes) -> list[dict]:
     """(n, items) of each page, in the order of the page tree."""
     if not content.lstrip()[:5] == b"%PDF-":
         raise ValueError("Invalid PDF structure.")
-    if b"/Encrypt" in content:
+    objects = _objects(content)
+    trailers = re.findall(rb"\btrailer\b(.*?)\bstartxref\b", content, re.S) + [b.partition(b"stream")[0] for b in objects.values() if re.search(rb"/Type\s*/XRef\b", b[:4096])]
+    if any(re.search(rb"/Encrypt\s+\d+\s+\d+\s+R|/Encrypt\s*<<", t) for t in trailers):
         raise ValueError("No password given")
-    objects: dict[int, bytes] = {int(m[1]): m[2] for m in re.finditer(rb"(\d+)\s+\d+\s+obj\b(.*?)\bendobj", content, re.S)}
     streams = {}
-    for n, body in objects.items():
-        m = re.search(rb"stream\r?\n(.*?)\r?\n?endstream", body, re.S)
+    for n, body in list(objects.items()):
+        m = _STREAM.search(body)
         if m:
-            head, data = body[: m.start()], m[1]
-            streams[n] = zlib.decompressobj().decompress(data) if b"FlateDecode" in head else data
+            head, data = body[: m.start()], body[m.end() :]
+            data = data[: data.rfind(b"endstream")] if b"endstream" in data else data
+            filters = re.findall(rb"/(\w+Decode)\b", head)
+            if filters and filters != [b"FlateDecode"]:
+                continue  # images; a page whose text is packed otherwise fails below
+            streams[n] = _inflated(data) if filters else re.sub(rb"\r?\n\Z", b"", data)
             if b"/ObjStm" in head:  # objects packed into a stream
                 count, first = (int(re.search(rb"/%s\s+(\d+)" % k, head)[1]) for k in (b"N", b"First"))
                 numbers = list(map(int, streams[n][:first].split()))
@@ -55,10 +128,37 @@ def pages(content: bytes) -> list[dict]:
                 objects = objects | {k: v for k, v in packed.items() if k not in objects}
     refs = lambda body, key: list(map(int, re.findall(rb"(\d+)\s+\d+\s+R", (re.search(rb"/%s\s*(\[[^\]]*\]|\d+\s+\d+\s+R)" % key, body) or [b"", b""])[1])))
     root = next((n for n, b in objects.items() if re.search(rb"/Type\s*/Pages\b", b) and not re.search(rb"/Parent\b", b)), None)
-    order, stack = [], [root] if root is not None else []
+    order, stack = [], [(root, b"")] if root is not None else []
     while stack and len(order) <= len(objects):
-        body = objects.get(stack.pop(), b"")
+        n, above = stack.pop()
+        body = objects.get(n, b"")
+        own = body if b"/Resources" in body else above  # resources are inherited
         if re.search(rb"/Type\s*/Page\b", body):
-            order.append(body)
-        stack += reversed(refs(body, b"Kids"))
-    return [{"n": n, "items": [i for r in refs(body, b"Contents") for i in _items(streams.get(r, b""))]} for n, body in enumerate(order, 1)]
+            order.append((body, own))
+        stack += reversed([(k, own) for k in refs(body, b"Kids")])
+
+    def fonts_of(holder: bytes):
+        inside = holder
+        for key in (b"Resources", b"Font"):
+            m = re.search(rb"/%s\s+(\d+)\s+\d+\s+R" % key, inside)
+            inside = objects.get(int(m[1]), b"") if m else inside[max(0, inside.find(b"/" + key)) :]
+        numbers = {name: int(n) for name, n in re.findall(rb"/([^\s/<>\[\]()]+)\s+(\d+)\s+\d+\s+R", inside)}
+        made: dict[bytes, _Font] = {}
+
+        def font_of(name: bytes) -> _Font:
+            if name not in made:
+                body = objects.get(numbers.get(name, -1), b"")
+                maps = refs(body, b"ToUnicode")
+                made[name] = _Font(body, streams.get(maps[0]) if maps else None)
+            return made[name]
+
+        return font_of
+
+    out = []
+    for n, (body, own) in enumerate(order, 1):
+        font_of, parts = fonts_of(own), refs(body, b"Contents")
+        parts = [x for r in parts for x in (refs(b"/Contents " + objects[r], b"Contents") if r in objects and r not in streams and objects[r].lstrip()[:1] == b"[" else [r])]
+        if any(r in objects and r not in streams for r in parts):
+            raise ValueError("The text of a page has a filter that isn't read")
+        out.append({"n": n, "items": _items(b"\n".join(streams.get(r, b"") for r in parts), font_of)})
+    return out

@@ -17,7 +17,11 @@ def stream_files(spark: SparkSession, path: str, max_files: int = 1000) -> DataF
     return files.select("path", "length", basename(F.col("path")).alias("filename"), "content")
 
 
+def write_stream(done: DataFrame, target: str, checkpoint: str):
+    """Starts a run over all that is there and not yet done, to Parquet."""
+    return done.writeStream.format("parquet").option("checkpointLocation", checkpoint).trigger(availableNow=True).start(target)
+
+
 def convert_stream(spark: SparkSession, source: str, target: str, checkpoint: str, registry: Registry | None = None):
     """Converts all files that are there and not yet done, to Parquet; run it again for those that came since."""
-    done = converted(stream_files(spark, source), registry)
-    return done.writeStream.format("parquet").option("checkpointLocation", checkpoint).trigger(availableNow=True).start(target)
+    return write_stream(converted(stream_files(spark, source), registry), target, checkpoint)

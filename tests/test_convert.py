@@ -1,7 +1,4 @@
-import io
 import struct
-import zipfile
-import zlib
 
 import pytest
 from pyspark.sql import functions as F
@@ -9,87 +6,13 @@ from pyspark.sql import functions as F
 from docloom.functions import detect, render, sql
 from docloom.operators import convert
 from docloom.operators.registry import UNSUPPORTED, Converter, Registry, builtins
+from docloom.plans.samples import archive, compound, pdf, pptx, xlsx
 from docloom.sources import files
 from docloom.streaming import convert_stream
 
 W = 'xmlns:w="w" xmlns:r="r"'
 
 
-def archive(members):
-    out = io.BytesIO()
-    with zipfile.ZipFile(out, "w") as z:
-        for k, v in members.items():
-            z.writestr(k, v)
-    return out.getvalue()
-
-
-def pptx(slides):
-    return archive({f"ppt/slides/slide{n}.xml": f'<p xmlns:a="a">{"".join(f"<a:t>{t}</a:t>" for t in texts)}' + ("</p>" if ok else "") for n, texts, ok in slides})
-
-
-def xlsx(sheets, strings=()):
-    rels = "".join(f'<Relationship Id="r{k}" Target="worksheets/s{k}.xml"/>' for k in range(len(sheets)))
-    book = "".join(f'<sheet name="{n}" r:id="r{k}"/>' for k, (n, _) in enumerate(sheets))
-    return archive({
-        "xl/workbook.xml": f'<workbook xmlns:r="r"><sheets>{book}</sheets></workbook>',
-        "xl/_rels/workbook.xml.rels": f"<Relationships>{rels}</Relationships>",
-        "xl/sharedStrings.xml": f"<sst>{''.join(f'<si><t>{s}</t></si>' for s in strings)}</sst>",
-        **{f"xl/worksheets/s{k}.xml": f"<worksheet><sheetData>{rows}</sheetData></worksheet>" for k, (_, rows) in enumerate(sheets)},
-    })
-
-
-def pdf(pages, deflate=False):
-    objects = ["<< /Type /Catalog /Pages 2 0 R >>", f"<< /Type /Pages /Kids [{' '.join(f'{3 + 2 * k} 0 R' for k in range(len(pages)))}] /Count {len(pages)} >>"]
-    out = [f"{n} 0 obj\n{o}\nendobj\n".encode() for n, o in enumerate(objects, 1)]
-    for k, items in enumerate(pages):
-        body = ("BT /F1 12 Tf " + " ".join(f"({i}) Tj 0 -14 Td" for i in items) + " ET").encode()
-        body = zlib.compress(body) if deflate else body
-        out.append(b"%d 0 obj\n<< /Type /Page /Parent 2 0 R /Contents %d 0 R >>\nendobj\n" % (3 + 2 * k, 4 + 2 * k))
-        out.append(b"%d 0 obj\n<< /Length %d %s >>\nstream\n%s\nendstream\nendobj\n" % (4 + 2 * k, len(body), b"/Filter /FlateDecode" if deflate else b"", body))
-    return b"%PDF-1.4\n" + b"".join(out) + b"trailer << /Root 1 0 R >>"
-
-
-def compound(tree):
-    """A compound file with small streams only: {name: bytes or {name: bytes}}."""
-    entries, mini, minifat = [], b"", []
-
-    def add(name, value):
-        nonlocal mini
-        at = len(entries)
-        entries.append([name, 0xFFFFFFFF, 0xFFFFFFFF, 0xFFFFFFFF, 0xFFFFFFFE, 0, 1 if isinstance(value, dict) else 2])
-        if isinstance(value, dict):
-            kids = [add(n, v) for n, v in value.items()]
-            for a, b in zip(kids, kids[1:]):
-                entries[a][2] = b
-            entries[at][3] = kids[0] if kids else 0xFFFFFFFF
-        elif value:
-            n = -(-len(value) // 64)
-            entries[at][4:6] = [len(minifat), len(value)]
-            minifat.extend([*range(len(minifat) + 1, len(minifat) + n), 0xFFFFFFFE])
-            mini += value.ljust(64 * n, b"\0")
-        return at
-
-    add("Root Entry", tree)
-    entries[0][6] = 5
-    pad = lambda b: b.ljust(-(-len(b) // 512) * 512, b"\0")
-    minifat_bytes = pad(struct.pack(f"<{len(minifat)}I", *minifat))
-    mini_bytes = pad(mini)
-    n_dir = -(-len(entries) // 4)
-    chains = [1, n_dir, len(minifat_bytes) // 512, len(mini_bytes) // 512]
-    starts = [sum(chains[:k]) for k in range(4)]
-    fat = [0xFFFFFFFD]
-    for s, n in zip(starts[1:], chains[1:]):
-        fat += [*range(s + 1, s + n), 0xFFFFFFFE]
-    entries[0][4:6] = [starts[3], len(mini)]
-    directory = b""
-    for name, left, right, child, start, size, kind in entries:
-        e = name.encode("utf-16-le").ljust(64, b"\0") + struct.pack("<HBBIII", 2 * len(name) + 2, kind, 1, left, right, child) + b"\0" * 36
-        directory += e + struct.pack("<IQ", start, size)
-    head = b"\xd0\xcf\x11\xe0\xa1\xb1\x1a\xe1" + b"\0" * 16 + struct.pack("<HHHHH", 62, 3, 0xFFFE, 9, 6) + b"\0" * 6
-    head += struct.pack("<IIIIIIIIII", 0, 1, starts[1], 0, 4096, starts[2], chains[2], 0xFFFFFFFE, 0, 0) + b"\xff" * 432
-    return head + struct.pack("<128I", *fat, *[0xFFFFFFFF] * (128 - len(fat))) + pad(directory) + minifat_bytes + mini_bytes
-
-
 def msg():
     t = lambda s: s.encode("utf-16-le")
     kind = lambda k: b"\0" * 8 + struct.pack("<II8s", 0x0C150003, 0, struct.pack("<Q", k))
@@ -189,9 +112,15 @@ def test_batches(spark):
 
 def test_sink_and_stream(spark, folder, tmp_path):
     done = convert.converted(files.read_files(spark, folder))
-    files.write_markdown(done, str(tmp_path / "out"))
-    back = {r.output_name: r.markdown for r in files.read_markdown(spark, str(tmp_path / "out")).collect()}
-    assert back["two.md"] == DOCUMENTS["two.xlsx"][1] and back["m.md"] == DOCUMENTS["m.msg"][1]
+    twice = done.select("path", "filename", "markdown").union(done.select(F.concat(F.lit("other/"), "path"), "filename", F.concat("markdown", F.lit("!"))))
+    twice = twice.union(done.limit(1).select(F.lit("p"), F.lit("a b.docx"), F.lit("x\n")))
+    for _ in range(2):  # writing again replaces
+        files.write_markdown(twice, str(tmp_path / "out"))
+    back = files.read_markdown(spark, str(tmp_path / "out")).collect()
+    assert len(back) == 2 * len(DOCUMENTS) + 1 and len({r.folder for r in back}) == len(back)
+    texts = {(r.output_name.replace("%20", " "), r.markdown) for r in back}
+    assert {("two.md", DOCUMENTS["two.xlsx"][1]), ("a.md", DOCUMENTS["a.docx"][1]), ("a.md", DOCUMENTS["a.html"][1] + "!"), ("a b.md", "x\n")} <= texts
+    assert not list((tmp_path / "out").rglob("*.tmp"))
     for _ in range(2):
         convert_stream(spark, folder, str(tmp_path / "table"), str(tmp_path / "state")).awaitTermination(120)
     assert spark.read.parquet(str(tmp_path / "table")).count() == len(DOCUMENTS) + 2
@@ -201,3 +130,48 @@ def test_sql_functions(spark):
     sql.register(spark)
     row = spark.sql("select normalize_markdown(html_to_markdown('<h1>a</h1><p>b</p>')) m, markdown_to_html('# a') h, normalize_markdown(concat('a \\n\\n\\n\\n', 'b')) n").first()
     assert tuple(row) == ("# a\n\nb\n\n", "<h1>a</h1>\n", "a\n\nb")
+
+
+def test_hard_files(spark):
+    wide = xlsx([("S", '<row r="1"><c r="A1" t="str"><v>a</v></c></row><row r="400"><c r="XFD400" t="str"><v>b</v></c></row>')])
+    sparse = xlsx([("S", '<row r="1"><c r="B1" t="str"><v>a</v></c></row><row r="3"><c r="C3" t="str"><v>b</v></c></row>')])
+    math = archive({"ppt/slides/slide1.xml": '<p xmlns:a="a" xmlns:m="m"><m:t>no</m:t><a:t>yes</a:t></p>'})
+    page = b"%%PDF-1.4\n1 0 obj\n<< /Type /Pages /Kids [2 0 R] /Count 1 >>\nendobj\n2 0 obj\n<< /Type /Page /Parent 1 0 R /Resources << /Font << /F1 4 0 R >> >> /Contents 3 0 R >>\nendobj\n3 0 obj\n<< /Length %d >>\nstream\n%s\nendstream\nendobj\n4 0 obj\n<< /Type /Font /Subtype /Type0 %s >>\nendobj\n5 0 obj\n<< /Length %d >>\nstream\n%s\nendstream\nendobj\n"
+    shown = b"BT /F1 12 Tf <00010002> Tj (endobj /Encrypt 1 0 R) ET"
+    cmap = b"begincodespacerange <0000> <FFFF> endcodespacerange 1 beginbfchar <0001> <00480069> endbfchar 1 beginbfrange <0002> <0003> <0021> endbfrange"
+    mapped = page % (len(shown), shown, b"/ToUnicode 5 0 R", len(cmap), cmap)
+    unmapped = page % (len(shown), shown, b"", len(cmap), cmap)
+    notes = archive({
+        "word/document.xml": f'<w:document {W}><w:body>'
+        + "".join(f'<w:p><w:pPr><w:numPr><w:ilvl w:val="{k}"/><w:numId w:val="1"/></w:numPr></w:pPr><w:r><w:t>{t}</w:t></w:r></w:p>' for k, t in ((0, "a"), (1, "b"), (0, "c")))
+        + '<w:p><w:r><w:t>n</w:t><w:footnoteReference w:id="2"/></w:r></w:p></w:body></w:document>',
+        "word/footnotes.xml": f'<w:footnotes {W}><w:footnote w:id="2"><w:p><w:r><w:t>told</w:t></w:r></w:p></w:footnote></w:footnotes>',
+    })
+    old = compound({"__substg1.0_0037001E": "é".encode("cp1252"), "__properties_version1.0": b"\0" * 32 + struct.pack("<II8s", 0x3FFD0003, 0, struct.pack("<Q", 1252))})
+    rows = [("wide.xlsx", wide), ("sparse.xlsx", sparse), ("math.pptx", math), ("mapped.pdf", mapped), ("unmapped.pdf", unmapped), ("notes.docx", notes), ("old.msg", old), ("locked.pdf", unmapped + b"trailer << /Encrypt 9 0 R >> startxref")]
+    got = {r.filename: r for r in convert.converted(spark.createDataFrame(rows, "filename string, content binary")).collect()}
+    assert got["wide.xlsx"].error == "All converters failed: XlsxConverter: Sheet S spans more than 4000000 cells"
+    assert got["sparse.xlsx"].markdown == "| a |  |\n| --- | --- |\n|  |  |\n|  | b |"
+    assert got["math.pptx"].markdown == "## Slide 1\n\nyes"
+    assert got["mapped.pdf"].markdown == "Hi!"
+    assert "no map to Unicode" in got["unmapped.pdf"].error and "No password given" in got["locked.pdf"].error
+    assert got["notes.docx"].markdown == "1. ab\n2. c\n\nn[1]\n\n1. told ↑\n\n"
+    assert got["old.msg"].title == "é"
+
+
+def test_charset_time_limit_and_default_message(spark):
+    import time
+
+    def slow(content):
+        time.sleep(30)
+
+    def mute(content):
+        raise ValueError
+
+    r = builtins().register(Converter("Slow", (".slow",), (), slow)).register(Converter("Mute", (".mute",), (), mute))
+    rows = spark.createDataFrame([("a.html", "latin1", "<p>é".encode("cp1252")), ("b.html", "nonsense", b"x"), ("c.slow", None, b"x"), ("d.mute", None, b"x")], "filename string, charset string, content binary")
+    got = {x.filename: x for x in convert.converted(rows, r, charset="charset", seconds=1.0).collect()}
+    assert got["a.html"].markdown == "é\n\n" and got["b.html"].error.startswith("All converters failed: HtmlConverter: unknown encoding")
+    assert got["c.slow"].error == "All converters failed: Slow: Operation timed out after 1 s"
+    assert got["d.mute"].error == "All converters failed: Mute: Conversion failed"
+    assert spark.range(1).select(convert.error_text(F.lit(None).cast("string"))).first()[0] == "Conversion failed"
