@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import Column
 from pyspark.sql import functions as F
 
-from docloom.functions.text import or_else, trim
+from docloom.functions.text import is_blank, or_else, trim
 
 NO_SHEETS = "*No data could be extracted from this spreadsheet.*"
 NO_PAGES = "*No text content could be extracted from this PDF.*"
@@ -45,20 +45,16 @@ def workbook(sheets: Column) -> Column:
 
 def pages(pages: Column) -> Column:
     """array<struct<n, items>>: blank items dropped, the rest joined by blanks; headings if there are several pages."""
-    text = lambda p: F.array_join(F.filter(p["items"], lambda i: trim(i) != ""), " ")
+    texts = F.transform(pages, lambda p: F.struct(p["n"].alias("n"), F.array_join(F.filter(p["items"], lambda i: ~is_blank(i)), " ").alias("text")))
     head = lambda p: F.when(F.size(pages) > 1, F.concat(F.lit("## Page "), p["n"].cast("string"), F.lit("\n\n"))).otherwise("")
-    parts = F.transform(F.filter(pages, lambda p: trim(text(p)) != ""), lambda p: F.concat(head(p), text(p), F.lit("\n\n")))
+    parts = F.transform(F.filter(texts, lambda p: p["text"] != ""), lambda p: F.concat(head(p), p["text"], F.lit("\n\n")))
     return or_else(trim(F.array_join(parts, "")), F.lit(NO_PAGES))
 
 
 def deck(slides: Column) -> Column:
     """array<struct<name, texts>>: slides in the order of their names, each text a paragraph; empty ones only count."""
-    ordered = F.array_sort(slides)
-    texts = lambda s: F.filter(F.transform(s["texts"], trim), lambda t: t != "")
-    parts = F.transform(
-        ordered,
-        lambda s, k: F.when(F.size(texts(s)) > 0, F.concat(F.lit("## Slide "), (k + 1).cast("string"), F.lit("\n\n"), F.array_join(F.transform(texts(s), lambda t: F.concat(t, F.lit("\n\n"))), ""))).otherwise(""),
-    )
+    texts = F.transform(F.array_sort(slides), lambda s, k: F.struct((k + 1).alias("n"), F.transform(F.filter(s["texts"], lambda t: ~is_blank(t)), trim).alias("texts")))
+    parts = F.transform(F.filter(texts, lambda s: F.size(s["texts"]) > 0), lambda s: F.concat(F.lit("## Slide "), s["n"].cast("string"), F.lit("\n\n"), F.array_join(s["texts"], "\n\n"), F.lit("\n\n")))
     return or_else(trim(F.array_join(parts, "")), F.lit(NO_SLIDES))
 
 

@@ -10,18 +10,29 @@ WS = r"[\t\n\x0B\f\r \x{00a0}\x{1680}\x{2000}-\x{200a}\x{2028}\x{2029}\x{202f}\x
 WS_CHARS = "\t\n\x0b\f\r \xa0 " + "".join(map(chr, range(0x2000, 0x200B))) + "    　﻿"
 
 
+# A run is matched from its first character only (none of its kind before it) and never given back, so time is linear.
+_BLANK = WS.replace(r"\n", "")  # within a line
+_TRAIL = rf"{_BLANK}(?<!{_BLANK}{_BLANK}){_BLANK}*+(?=\n|\z)"
+_END = rf"{WS}(?<!{WS}{WS}){WS}*+\z"
+_INK = WS.replace("[", "[^", 1)
+
+
 def trim(c: Column) -> Column:
-    return F.regexp_replace(c, rf"\A{WS}+|{WS}+\z", "")
+    return F.regexp_replace(c, rf"\A{WS}++|{_END}", "")
 
 
 def trim_end(c: Column) -> Column:
-    return F.regexp_replace(c, rf"{WS}+\z", "")
+    return F.regexp_replace(c, _END, "")
+
+
+def is_blank(c: Column) -> Column:
+    """Whether trimming leaves nothing."""
+    return ~F.rlike(c, F.lit(_INK))
 
 
 def normalize(markdown: Column) -> Column:
     """Each line right-trimmed, then three or more newlines made two; the document itself isn't trimmed."""
-    lines = F.transform(F.split(markdown, "\n"), trim_end)
-    return F.regexp_replace(F.array_join(lines, "\n"), "\n{3,}", "\n\n")
+    return F.regexp_replace(F.regexp_replace(markdown, _TRAIL, ""), "\n{3,}+", "\n\n")
 
 
 def utf16_length(c: Column) -> Column:
@@ -38,7 +49,11 @@ def or_else(c: Column, other: Column) -> Column:
     return F.coalesce(F.nullif(c, F.lit("")), other)
 
 
+# Fixed value: where a page's title is looked for.
+TITLE = r"(?i)<title[^>]*>([^<]*)</title>"
+
+
 def html_title(html: Column) -> Column:
     """Text of the first title tag of the raw source, trimmed, entities kept; null without one."""
-    pattern = r"(?i)<title[^>]*>([^<]*)</title>"
+    pattern = TITLE
     return F.when(html.rlike(pattern), trim(F.regexp_extract(html, pattern, 1)))

@@ -55,7 +55,7 @@ def test_titles_and_normalization(spark):
     titles = [("<title> A &amp; B </title>", "A &amp; B"), ("<p>", None), ("<title></title>", ""), ("<TITLE id=1>x</TITLE>", "x")]
     got = spark.createDataFrame(titles, "h string, w string").select(html_title(F.col("h")).alias("t"), "w").collect()
     assert all(r.t == r.w for r in got)
-    cases = [("a  \nb", "a\nb"), ("a\r\nb", "a\nb"), ("a\n\n\n\nb", "a\n\nb"), ("a\n \n \nb", "a\n\nb"), ("a\n\n", "a\n\n"), ("  a", "  a"), ("a 　﻿", "a"), ("a\u0085", "a\u0085")]
+    cases = [("a  \nb", "a\nb"), ("a\r\nb", "a\nb"), ("a\n\n\n\nb", "a\n\nb"), ("a\n \n \nb", "a\n\nb"), ("a\n\n", "a\n\n"), ("  a", "  a"), ("a 　﻿", "a"), ("a\u0085", "a\u0085"), (" \n", "\n"), ("a \r \n\t b  c \n", "a\n\t b  c\n"), (" " * 9 + "x" + " " * 9, " " * 9 + "x"), ("", ""), (" ", "")]
     got = spark.createDataFrame(cases, "m string, w string").select(normalize(F.col("m")).alias("n"), "w", normalize(normalize(F.col("m"))).alias("again")).collect()
     assert all(r.n == r.w == r.again for r in got)
 
