@@ -17,8 +17,11 @@ def keep_quality(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame
 
 def dedup_lines(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """All documents, without passages that stand in an earlier one; n_chars follows the text."""
-    cut = linededup.deduplicated(docs, fill=True)
-    return cut.withColumn("n_chars", F.when(F.col("lines_removed") > 0, F.length("text")).otherwise(F.col("n_chars"))).select(docs.columns)
+    count = next(c for c in map("lines_removed_{}".format, range(len(docs.columns) + 1)) if c not in docs.columns)
+    cut = linededup.deduplicated(docs, removed_col=count)
+    if "n_chars" in docs.columns:
+        cut = cut.withColumn("n_chars", F.when(F.col(count) > 0, F.length("text")).otherwise(F.col("n_chars")))
+    return cut.select(docs.columns)
 
 
 def dedup_documents(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:

@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import re
 import tempfile
 import uuid
 from collections.abc import Callable, Iterator
@@ -23,8 +24,11 @@ def _own_folder() -> str:
 
 
 def scratch(spark: SparkSession, name: str) -> str:
-    """A new path in the folder that all executors share (spark.checkpoint.dir); a local one only where none is set."""
-    shared = spark.conf.get("spark.checkpoint.dir", None) or f"file://{_own_folder()}"
+    """A new path in the folder that all executors share: spark.checkpoint.dir, else the warehouse; in local mode a temporary one."""
+    shared = spark.conf.get("spark.checkpoint.dir", None)
+    if not shared:
+        local = re.fullmatch(r"local(\[[^\]]*\])?", spark.conf.get("spark.master", ""))
+        shared = f"file://{_own_folder()}" if local else spark.conf.get("spark.sql.warehouse.dir")
     return f"{shared.rstrip('/')}/docloom/{name}-{uuid.uuid4().hex}"
 
 
@@ -35,6 +39,32 @@ def written(df: DataFrame, name: str) -> DataFrame:
     return df.sparkSession.read.schema(df.schema).parquet(path)
 
 
+#: What may be broadcast: so many cells of some 10 bytes, at any size of the input.
+MAX_BROADCAST_CELLS = 2_000_000
+
+
+def small(df: DataFrame, cells: Column | None = None) -> DataFrame:
+    """df, a written table, with a hint to broadcast it if it has few cells (a row has `cells`, or its columns); else df."""
+    n = df.agg(F.coalesce(F.sum(cells if cells is not None else F.lit(len(df.columns))), F.lit(0))).first()[0]
+    return F.broadcast(df) if n <= MAX_BROADCAST_CELLS else df
+
+
+def skew_join(left: DataFrame, right: DataFrame, keys: list[str], salt: Column, hot_rows: int = 5000, most: int = 10_000) -> DataFrame:
+    """left joined with right (one row a key, and n, about how many rows of left have it) on keys, n left out.
+
+    Keys with many rows of left are dealt out by `salt`, a hash of left's columns, and their rows of right are
+    copied as often. A key is hot from `hot_rows` rows and a share of 1/most of all on, so at most `most` hot keys
+    are broadcast.
+    """
+    least = right.agg(F.coalesce(F.sum("n"), F.lit(0))).first()[0] / most
+    hot = right.where(F.col("n") >= max(hot_rows, least)).select(*keys, F.ceil(F.col("n") / F.lit(max(hot_rows, least))).cast("int").alias("_parts"))
+    hot = F.broadcast(hot)
+    part = F.pmod(salt, F.coalesce("_parts", F.lit(1))).cast("int")
+    left = left.join(hot, keys, "left").withColumn("_part", part).drop("_parts")
+    right = right.join(hot, keys, "left").withColumn("_part", F.explode(F.sequence(F.lit(0), F.coalesce("_parts", F.lit(1)) - 1))).drop("_parts", "n")
+    return left.join(right, [*keys, "_part"]).drop("_part")
+
+
 def text_of(docs: DataFrame, text_col: str = "text") -> Column:
     """The text column, null read as empty."""
     return F.coalesce(docs[text_col], F.lit(""))

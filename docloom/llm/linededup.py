@@ -2,11 +2,10 @@
 
 A line of `min_words` words or more, or the shortest run of lines around a shorter one that has as many, is rare
 enough to tell a copied passage from chance. Runs are hashed; each document is paired, for each of its runs, with
-the first document that holds it. So there are no more pairs than lines, however many documents share a passage,
-and no run is left out for being frequent. Each pair is aligned as in a patience diff: of the shared runs the
-longest sequence that rises in both documents. Runs that cross it, such as moved passages, are aligned in further
-rounds. Aligned runs make common blocks, which are deleted from the later document. If asked for, so are the common
-lines of any length that the alignment puts between and beside those blocks.
+the first document that holds it. So there are no more pairs than runs, however many documents share a passage,
+and no run is left out for being frequent. Each pair is aligned by a patience diff of its lines, and the aligned
+common lines are deleted from the later document, whatever their length. What crosses the alignment, a moved passage,
+stays unless the pair shares `moved_words` words of it in a row.
 """
 
 from __future__ import annotations
@@ -20,7 +19,7 @@ import xxhash
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from docloom.llm.common import text_of, written
+from docloom.llm.common import small, skew_join, text_of, written
 
 NO_ID = (1 << 63) - 1
 
@@ -43,89 +42,92 @@ def runs_of(text: bytes, min_words: int) -> list[tuple[int, int, int]]:
     return [(xxhash.xxh64_intdigest(hashes[a:b].tobytes()) - (1 << 63), a, b - a) for a, b in sorted(forward | backward)]
 
 
-def patience_blocks(anchors: list[tuple[int, int, int]]) -> list[tuple[int, int]]:
-    """anchors (line in the later document, line in the earlier one, number of lines) -> blocks [first, end) of the later one.
+def _ranked(codes: list[int], lo: int, hi: int) -> dict[tuple[int, int], int]:
+    """Positions by (line, how many equal lines come before it in the range); zeros, blank lines, are left out."""
+    seen: dict[int, int] = {}
+    out = {}
+    for k in range(lo, hi):
+        if x := codes[k]:
+            n = seen[x] = seen.get(x, -1) + 1
+            out[x, n] = k
+    return out
 
-    Each round takes the longest sequence that rises in both; what crosses it waits for the next round.
-    """
-    rest, taken = sorted(anchors), []
-    while rest:
-        tops: list[int] = []
-        at: list[int] = []
-        back: list[int] = []
-        for k, (_, e, _) in enumerate(rest):
-            place = bisect_left(tops, e)
-            back.append(at[place - 1] if place else -1)
-            if place == len(tops):
-                tops.append(e)
-                at.append(k)
-            else:
-                tops[place], at[place] = e, k
-        k, chosen = at[-1], set()
-        while k >= 0:
-            chosen.add(k)
-            k = back[k]
-        taken += [(d, d + n) for k, (d, _, n) in enumerate(rest) if k in chosen]
-        if len(chosen) * 50 < len(rest):  # a line that comes again and again; each round would take one of them
-            taken += [(d, d + n) for d, _, n in rest]
-            break
-        rest = [x for k, x in enumerate(rest) if k not in chosen]
-    return merged(taken)
-
-
-def common_lines(a: list[int], b: list[int]) -> list[int]:
-    """Positions in a of a longest common subsequence; zeros, blank lines, are left out. Bit-parallel, a row of bits a line."""
-    at_a, at_b = [k for k, x in enumerate(a) if x], [k for k, x in enumerate(b) if x]
-    out = []
-    lo, hi_a, hi_b = 0, len(at_a), len(at_b)
-    while lo < min(hi_a, hi_b) and a[at_a[lo]] == b[at_b[lo]]:
-        out.append(at_a[lo])
-        lo += 1
-    while lo < min(hi_a, hi_b) and a[at_a[hi_a - 1]] == b[at_b[hi_b - 1]]:
-        hi_a, hi_b = hi_a - 1, hi_b - 1
-        out.append(at_a[hi_a])
-    where: dict[int, int] = {}
-    for k, y in enumerate(at_b[lo:hi_b]):
-        where[b[y]] = where.get(b[y], 0) | 1 << k
-    left = [x for x in at_a[lo:hi_a] if a[x] in where]
-    every = (1 << (hi_b - lo)) - 1
-    rows, row = [], every
-    for x in left:
-        same = row & where[a[x]]
-        row = ((row + same) | (row - same)) & every
-        rows.append(row)
-    i, j = len(left), hi_b - lo
-    while i and j:
-        if rows[i - 1] >> (j - 1) & 1:
-            j -= 1
-        else:
-            i -= 1
-            if not i or rows[i - 1] >> (j - 1) & 1:
-                j -= 1
-                out.append(left[i])
-    return sorted(out)
+
+def _once(ranked: dict[tuple[int, int], int]) -> dict[int, int]:
+    again = {x for x, n in ranked if n == 1}
+    return {x: k for (x, n), k in ranked.items() if not n and x not in again}
 
 
-def aligned_blocks(anchors: list[tuple[int, int, int]], a: list[int], b: list[int]) -> list[tuple[int, int]]:
-    """Blocks of a, the lines of the later document: the anchors, and common lines between and beside those that rise in both."""
-    rest = sorted(anchors)
+def _rising(pairs: list[tuple[int, int]]) -> list[tuple[int, int]]:
+    """A longest sequence of the pairs, sorted by their first positions, that rises in the second too; by patience piles."""
     tops: list[int] = []
     at: list[int] = []
     back: list[int] = []
-    for k, (_, e, _) in enumerate(rest):
-        place = bisect_left(tops, e)
-        back.append(at[place - 1] if place else -1)
-        tops[place : place + 1], at[place : place + 1] = [e], [k]
-    k, chain = at[-1], []
+    for k, (_, e) in enumerate(pairs):
+        pile = bisect_left(tops, e)
+        back.append(at[pile - 1] if pile else -1)
+        tops[pile : pile + 1], at[pile : pile + 1] = [e], [k]
+    k, out = at[-1] if at else -1, []
     while k >= 0:
-        chain.append(rest[k])
+        out.append(pairs[k])
         k = back[k]
-    taken = [(d, d + n) for d, _, n in anchors]
-    d_end = e_end = 0
-    for d, e, n in [*reversed(chain), (len(a), len(b), 0)]:
-        if d > d_end and e > e_end:
-            taken += [(d_end + k, d_end + k + 1) for k in common_lines(a[d_end:d], b[e_end:e])]
-        d_end, e_end = max(d_end, d + n), max(e_end, e + n)
+    return out[::-1]
+
+
+def patience(a: list[int], b: list[int]) -> list[tuple[int, int]]:
+    """Pairs of positions of equal lines, rising in both texts; zeros are blank lines and pair with nothing.
+
+    Of a stretch of both texts the equal lines at its ends are paired, then those that come once in both, as many as
+    rise in both; what lies between them is aligned in the same way. Without such lines the k-th of equal lines
+    is paired with the k-th.
+    """
+    out: list[tuple[int, int]] = []
+    stack = [(0, len(a), 0, len(b))]
+    while stack:
+        lo, hi, lo2, hi2 = stack.pop()
+        while lo < hi and lo2 < hi2 and (a[lo] == b[lo2] or not a[lo] or not b[lo2]):
+            if a[lo] == b[lo2]:
+                if a[lo]:
+                    out.append((lo, lo2))
+                lo, lo2 = lo + 1, lo2 + 1
+            else:
+                lo, lo2 = lo + (not a[lo]), lo2 + (not b[lo2])
+        while lo < hi and lo2 < hi2 and (a[hi - 1] == b[hi2 - 1] or not a[hi - 1] or not b[hi2 - 1]):
+            if a[hi - 1] == b[hi2 - 1]:
+                if a[hi - 1]:
+                    out.append((hi - 1, hi2 - 1))
+                hi, hi2 = hi - 1, hi2 - 1
+            else:
+                hi, hi2 = hi - (not a[hi - 1]), hi2 - (not b[hi2 - 1])
+        if lo == hi or lo2 == hi2:
+            continue
+        mine, other = _ranked(a, lo, hi), _ranked(b, lo2, hi2)
+        one, two = _once(mine), _once(other)
+        anchors = sorted((k, two[x]) for x, k in one.items() if x in two) or sorted((k, other[x]) for x, k in mine.items() if x in other)
+        chain = _rising(anchors)
+        out += chain
+        if chain:
+            for (i, j), (i2, j2) in zip([(lo - 1, lo2 - 1), *chain], [*chain, (hi, hi2)]):
+                if i + 1 < i2 and j + 1 < j2:
+                    stack.append((i + 1, i2, j + 1, j2))
+    return sorted(out)
+
+
+def blocks_of(anchors: list[tuple[int, int, int]], a: list[int], b: list[int], words: list[int], moved_words: int) -> list[tuple[int, int]]:
+    """Blocks [first, end) of lines of a, the later document: aligned lines, and moved passages that the anchors show.
+
+    anchors are (line in a, line in b, number of lines), words the words of the lines of a.
+    """
+    taken = [(i, i + 1) for i, _ in patience(a, b)]
+    there = {i for i, _ in taken}
+    passage: list[int] | None = None
+    for d, e, n in [*sorted(anchors, key=lambda x: (x[0] - x[1], x[0])), (0, 1 << 60, 0)]:
+        if passage is not None and d - e == passage[2] and d <= passage[1]:
+            passage[1] = max(passage[1], d + n)
+            continue
+        if passage is not None and not all(k in there or not a[k] for k in range(*passage[:2])) and sum(words[passage[0] : passage[1]]) >= moved_words:
+            taken.append((passage[0], passage[1]))
+        passage = [d, d + n, d - e]
     out: list[tuple[int, int]] = []
     for x, end in merged(taken):  # blank lines between two blocks go with them
         if out and not any(a[out[-1][1] : x]):
@@ -150,7 +152,7 @@ def _key(docs: DataFrame, id_col: str, text: Column) -> list[Column]:
     return [F.coalesce(docs[id_col].cast("long"), F.lit(NO_ID)).alias("doc"), F.xxhash64(text).alias("hash")]
 
 
-def common_blocks(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", min_words: int = 25, fill: bool = False) -> DataFrame:
+def common_blocks(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", min_words: int = 25, moved_words: int = 50) -> DataFrame:
     """(doc, hash, blocks array<struct<first, end>>): the blocks of lines to delete from each document that has some."""
     text = text_of(docs, text_col)
     schema = pa.schema([("doc", pa.int64()), ("hash", pa.int64()), ("run", pa.int64()), ("at", pa.int32()), ("lines", pa.int32())])
@@ -163,72 +165,31 @@ def common_blocks(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text
 
     found = docs.select(*_key(docs, id_col, text), text.cast("binary").alias("text"))
     found = written(found.mapInArrow(runs, "doc long, hash long, run long, at int, lines int"), "runs")
-    holders = found.groupBy("run").agg(F.min(F.struct("doc", "hash", "at")).alias("first"), F.max(F.struct("doc", "hash")).alias("last"))
-    holders = holders.where("first.doc <> last.doc or first.hash <> last.hash").select("run", F.col("first.doc").alias("e_doc"), F.col("first.hash").alias("e_hash"), F.col("first.at").alias("e_at"))
-    anchors = found.join(holders, "run").where("doc <> e_doc or hash <> e_hash")
-    if fill:
-        return _filled(docs, id_col, text, anchors)
-    anchors = anchors.select("doc", "hash", "e_doc", "e_hash", "at", "e_at", "lines").repartition("doc", "hash").sortWithinPartitions("doc", "hash", "e_doc", "e_hash", "at")
-    ddl = "doc long, hash long, blocks array<struct<first: int, end: int>>"
-    result = pa.schema([("doc", pa.int64()), ("hash", pa.int64()), ("blocks", pa.list_(pa.struct([("first", pa.int32()), ("end", pa.int32())])))])
-
-    def align(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        document = partner = None
-        pair: set[tuple[int, int, int]] = set()
-        blocks: list[tuple[int, int]] = []
-        out: list[tuple] = []
-
-        def close_pair() -> None:
-            nonlocal pair
-            blocks.extend(patience_blocks(list(pair)))
-            pair = set()
-
-        def close_document() -> None:
-            nonlocal blocks
-            if document is not None:
-                close_pair()
-                out.append((*document, [{"first": a, "end": b} for a, b in merged(blocks)]))
-            blocks = []
-
-        def batch_of() -> pa.RecordBatch:
-            return pa.RecordBatch.from_arrays([pa.array(c, f.type) for c, f in zip(zip(*out) if out else [[]] * 3, result)], schema=result)
-
-        for batch in batches:
-            for d, h, ed, eh, at, e_at, n in zip(*(c.to_pylist() for c in batch.columns)):
-                if (d, h) != document:
-                    close_document()
-                    document, partner = (d, h), (ed, eh)
-                elif (ed, eh) != partner:
-                    close_pair()
-                    partner = (ed, eh)
-                pair.add((at, e_at, n))
-            yield batch_of()
-            out.clear()
-        close_document()
-        yield batch_of()
-
-    return anchors.mapInArrow(align, ddl)
-
-
-def _filled(docs: DataFrame, id_col: str, text: Column, anchors: DataFrame) -> DataFrame:
-    """As common_blocks, of anchors (doc, hash, e_doc, e_hash, at, e_at, lines), with the common lines between and beside them."""
+    holders = found.groupBy("run").agg(F.min(F.struct("doc", "hash", "at")).alias("first"), F.max(F.struct("doc", "hash")).alias("last"), F.count("*").alias("n"))
+    holders = holders.where("first.doc <> last.doc or first.hash <> last.hash").select("run", F.col("first.doc").alias("e_doc"), F.col("first.hash").alias("e_hash"), F.col("first.at").alias("e_at"), "n")
+    holders = written(holders, "holders")
+    anchors = skew_join(found, holders, ["run"], F.xxhash64("doc", "hash")).where("doc <> e_doc or hash <> e_hash")
     pairs = written(anchors.groupBy("doc", "hash", "e_doc", "e_hash").agg(F.collect_set(F.struct("at", "e_at", "lines")).alias("anchors")), "pairs")
     sides = pairs.select("doc", "hash").union(pairs.select("e_doc", "e_hash")).distinct()
-    schema = pa.schema([("l_doc", pa.int64()), ("l_hash", pa.int64()), ("codes", pa.list_(pa.int64()))])
+    line_schema = pa.schema([("l_doc", pa.int64()), ("l_hash", pa.int64()), ("codes", pa.list_(pa.int64())), ("words", pa.list_(pa.int32()))])
 
     def codes(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             for start in range(0, batch.num_rows, 256):
                 part = batch.slice(start, 256)
-                lines = [[xxhash.xxh64_intdigest(x) >> 1 if (x := b" ".join(y.split())) else 0 for y in t.split(b"\n")] for t in part.column(2).to_pylist()]
-                yield pa.RecordBatch.from_arrays([part.column(0), part.column(1), pa.array(lines, schema.field(2).type)], schema=schema)
+                lines = [[b" ".join(x.split()) for x in t.split(b"\n")] for t in part.column(2).to_pylist()]
+                coded = [[xxhash.xxh64_intdigest(x) >> 1 if x else 0 for x in some] for some in lines]
+                sizes = [[x.count(b" ") + 1 if x else 0 for x in some] for some in lines]
+                yield pa.RecordBatch.from_arrays([part.column(0), part.column(1), *(pa.array(c, f.type) for c, f in zip((coded, sizes), list(line_schema)[2:]))], schema=line_schema)
 
     # codes before the join, so that no text is shuffled
-    coded = docs.select(*_key(docs, id_col, text), text.cast("binary").alias("text")).mapInArrow(codes, "l_doc long, l_hash long, codes array<long>").toDF("doc", "hash", "codes")
-    found = written(coded.join(sides, ["doc", "hash"]).dropDuplicates(["doc", "hash"]), "lines")
-    own = found.toDF("doc", "hash", "a")
-    earlier = found.toDF("e_doc", "e_hash", "b")
-    both = pairs.join(own, ["doc", "hash"]).join(earlier, ["e_doc", "e_hash"]).select("doc", "hash", "anchors", "a", "b")
+    coded = docs.select(*_key(docs, id_col, text), text.cast("binary").alias("text")).mapInArrow(codes, "l_doc long, l_hash long, codes array<long>, words array<int>").toDF("doc", "hash", "codes", "words")
+    lines = written(coded.join(sides, ["doc", "hash"]).dropDuplicates(["doc", "hash"]), "lines")
+    earlier = lines.select(F.col("doc").alias("e_doc"), F.col("hash").alias("e_hash"), F.col("codes").alias("b"))
+    sizes = pairs.groupBy("e_doc", "e_hash").agg(F.count("*").alias("n"))
+    both = pairs.join(lines.withColumnRenamed("codes", "a"), ["doc", "hash"])
+    both = skew_join(both, earlier.join(sizes, ["e_doc", "e_hash"]), ["e_doc", "e_hash"], F.xxhash64("doc", "hash")).select("doc", "hash", "anchors", "a", "b", "words")
+    ddl = "doc long, hash long, blocks array<struct<first: int, end: int>>"
     result = pa.schema([("doc", pa.int64()), ("hash", pa.int64()), ("blocks", pa.list_(pa.struct([("first", pa.int32()), ("end", pa.int32())])))])
 
     def align(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -236,8 +197,8 @@ def _filled(docs: DataFrame, id_col: str, text: Column, anchors: DataFrame) -> D
             for start in range(0, batch.num_rows, 64):
                 part = batch.slice(start, 64)
                 blocks = []
-                for some, a, b in zip(*(part.column(k).to_pylist() for k in (2, 3, 4))):
-                    blocks.append([{"first": x, "end": y} for x, y in aligned_blocks([(s["at"], s["e_at"], s["lines"]) for s in some], a, b)])
+                for some, a, b, words in zip(*(part.column(k).to_pylist() for k in (2, 3, 4, 5))):
+                    blocks.append([{"first": x, "end": y} for x, y in blocks_of([(s["at"], s["e_at"], s["lines"]) for s in some], a, b, words, moved_words)])
                 yield pa.RecordBatch.from_arrays([part.column(0), part.column(1), pa.array(blocks, result.field(2).type)], schema=result)
 
     def joined(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -245,23 +206,24 @@ def _filled(docs: DataFrame, id_col: str, text: Column, anchors: DataFrame) -> D
             blocks = [[{"first": x, "end": y} for x, y in merged([(s["first"], s["end"]) for s in some])] for some in batch.column(2).to_pylist()]
             yield pa.RecordBatch.from_arrays([batch.column(0), batch.column(1), pa.array(blocks, result.field(2).type)], schema=result)
 
-    ddl = "doc long, hash long, blocks array<struct<first: int, end: int>>"
-    every = both.mapInArrow(align, ddl).groupBy("doc", "hash").agg(F.flatten(F.collect_list("blocks")).alias("blocks"))
+    every = both.mapInArrow(align, ddl).where(F.size("blocks") > 0).groupBy("doc", "hash").agg(F.flatten(F.collect_list("blocks")).alias("blocks"))
     return every.mapInArrow(joined, ddl)
 
 
-def deduplicated(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", min_words: int = 25, fill: bool = False) -> DataFrame:
-    """docs, with its columns, and texts without the blocks of lines that an earlier document has; lines_removed is added.
+def deduplicated(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", min_words: int = 25, moved_words: int = 50, removed_col: str = "lines_removed") -> DataFrame:
+    """docs, with its columns, and texts without the lines that an alignment pairs with an earlier document; removed_col is added.
 
-    Documents are ordered by doc_id, null after all others; of one doc_id by a hash of the text. Blocks shorter
-    than `min_words` words stay (with `fill` only where no alignment with an earlier document that shares a longer
-    one holds them), and so do repeats within one document. Repeated rows (same id and text) are one
-    document and stay alike. A document of which all is copied has an empty text; null texts stay null. Empty
-    tables give an empty result. An own column lines_removed is replaced.
+    Documents are ordered by doc_id, null after all others; of one doc_id by a hash of the text. Lines that are
+    equal but for white space are common. Documents are aligned if they share a run of `min_words` words; what
+    others share stays, and so do repeats within one document and passages under `moved_words` words that cross the
+    alignment. Repeated rows (same id and text) are one document and stay alike. A document of which all is
+    copied has an empty text; null texts stay null. Empty tables give an empty result. An own column of the name
+    removed_col is replaced.
     """
-    blocks = common_blocks(docs, id_col, text_col, min_words, fill).select(F.col("doc").alias("cut_doc"), F.col("hash").alias("cut_hash"), "blocks")
+    blocks = written(common_blocks(docs, id_col, text_col, min_words, moved_words), "blocks")
+    blocks = small(blocks, F.size("blocks") + 3).select(F.col("doc").alias("cut_doc"), F.col("hash").alias("cut_hash"), "blocks")
     doc, digest = (c for c in _key(docs, id_col, text_of(docs, text_col)))
-    columns = [c for c in docs.columns if c != "lines_removed"]
+    columns = [c for c in docs.columns if c != removed_col]
     rows = docs.select(F.struct(*(docs[c].alias(f"c{k}") for k, c in enumerate(columns))).alias("kept"), doc, digest)
     joined = rows.join(blocks, (rows.doc == blocks.cut_doc) & (rows.hash == blocks.cut_hash), "left")
     text = F.col(f"kept.c{columns.index(text_col)}")
@@ -272,4 +234,4 @@ def deduplicated(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text"
     cut = joined.withColumn("lines", F.when(F.col("blocks").isNotNull(), lines)).withColumn("edges", F.when(F.col("blocks").isNotNull(), edges))
     cut = cut.withColumn("new_text", F.when(F.col("blocks").isNotNull(), F.array_join(F.flatten(kept), "\n")).otherwise(text))
     removed = F.coalesce(F.aggregate("blocks", F.lit(0), lambda a, b: a + b.end - b.first), F.lit(0)).cast("long")
-    return cut.select(*(F.col("new_text" if c == text_col else f"kept.c{k}").alias(c) for k, c in enumerate(columns)), removed.alias("lines_removed"))
+    return cut.select(*(F.col("new_text" if c == text_col else f"kept.c{k}").alias(c) for k, c in enumerate(columns)), removed.alias(removed_col))
