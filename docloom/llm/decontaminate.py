@@ -12,7 +12,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from docloom.llm.common import text_of, words_of, written
+from docloom.llm.common import small, text_of, words_of, written
 
 MASKS = ("1111011", "11001000111", "11010110001")
 WINDOW, NEED = 15, 12
@@ -87,7 +87,12 @@ def leaks(docs: DataFrame, benchmark: DataFrame, id_col: str = "doc_id", text_co
 
 
 def decontaminated(docs: DataFrame, benchmark: DataFrame, id_col: str = "doc_id", text_col: str = "text", **options) -> DataFrame:
-    """The rows of docs, with all their columns, whose text leaks no benchmark item."""
+    """The rows of docs, with all their columns, whose text leaks no benchmark item.
+
+    Null and empty texts leak nothing and stay, and so do rows with a null id and repeated rows whose text is clean;
+    repeated rows of a leaking text all go. Empty tables give docs as it is. Columns of docs may have any names.
+    """
     bad = leaks(docs, benchmark, id_col, text_col, **options).select(F.col("doc_id").alias("leak_id"), F.col("text_hash").alias("leak_hash")).distinct()
+    bad = small(written(bad, "leaks"))
     same = docs[id_col].cast("long").eqNullSafe(bad.leak_id) & (F.xxhash64(text_of(docs, text_col)) == bad.leak_hash)
     return docs.join(bad, same, "left_anti")

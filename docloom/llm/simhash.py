@@ -23,7 +23,7 @@ import xxhash
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from docloom.llm.common import map_texts, text_of, written
+from docloom.llm.common import map_texts, skew_join, small, text_of, written
 from docloom.llm.components import components
 from docloom.llm.trie import link_within
 
@@ -135,15 +135,22 @@ def _leaders(hot: DataFrame) -> DataFrame:
     return near.groupBy("key").agg(best).select("key", F.col("best.rep").alias("lead_rep"))
 
 
-def links(keyed: DataFrame, budget: int, slice_rows: int = 4000, similarity: float | None = None, exact: bool = False) -> DataFrame:
+def _finer_keys(fp: Column, budget: int, blocks: int) -> Column:
+    """As _block_keys, of the fingerprint turned by half a block: other bits than those that a trie's nodes share."""
+    half = 32 // blocks
+    return _block_keys(F.shiftleft(fp, half).bitwiseOR(F.shiftrightunsigned(fp, 64 - half)), budget, blocks)
+
+
+def links(keyed: DataFrame, budget: int, slice_rows: int = 4000, similarity: float | None = None, exact: bool = False, finer: Column | None = None) -> DataFrame:
     """keyed (key, fp, rep, sketch): nodes by the tries that they belong to -> (a, b): reps to link.
 
     Nodes of one trie link at `budget` or fewer differing bits (and likeness of their sketches of at least
     `similarity`). The pairs span every component of that relation but are not all its pairs. `slice_rows` bounds
     what one task holds of a trie. A larger trie is cut into slices, each of which also gets the trie's leader,
     the node amid the others. Nodes that a slice connects with the leader need no comparison with one another;
-    the rest are compared with all nodes, slice by slice. With `exact`, sketch is the set of shingles as 64-bit
-    codes, and slices are bounded in bytes too.
+    the rest are dealt with all nodes to tries by the keys `finer`, an array of which linked nodes share one; without
+    it, or in such a trie that is large again, they are compared with all nodes, slice by slice. With `exact`, sketch
+    is the set of shingles as 64-bit codes, and slices are bounded in bytes too.
     """
     share = F.lit(1.0 / slice_rows)
     if exact:
@@ -162,6 +169,14 @@ def links(keyed: DataFrame, budget: int, slice_rows: int = 4000, similarity: flo
     led = written(_join_tiles(first, budget, similarity, exact), "led")
     done = led.where("led").select("key", F.col("a").alias("rep")).distinct()
     rest = written(hot.where("not lead").join(done, ["key", "rep"], "left_anti"), "rest")
+    found = found.union(led.select("a", "b"))
+    if finer is not None:
+        if not rest.take(1):
+            return found.where("a <> b")
+        fine = lambda df: df.select("fp", "rep", "sketch", F.explode(F.transform(finer, lambda k: F.xxhash64("key", k))).alias("key"))
+        keys = fine(rest).select("key").distinct()
+        again = written(fine(hot).join(keys, "key", "left_semi").select("key", "fp", "rep", "sketch"), "finer")
+        return found.union(links(again, budget, slice_rows, similarity, exact)).where("a <> b")
     parts = rest.groupBy("key").agg(F.greatest(slices(), F.lit(1)).alias("parts"))
     mine = F.pmod(F.xxhash64("rep", F.lit(1)), F.col("parts")).cast("int")
     tile = lambda part, slice_: F.xxhash64("key", part, slice_)
@@ -169,7 +184,7 @@ def links(keyed: DataFrame, budget: int, slice_rows: int = 4000, similarity: flo
     right = hot.join(parts, "key").withColumn("part", F.explode(F.sequence(F.lit(0), F.col("parts") - 1))).withColumn("tile", tile(F.col("part"), F.col("own")))
     columns = ["tile", "key", "fp", "rep", "lead", "sketch"]
     tiles = left.select(columns).union(right.select(columns)).dropDuplicates(["tile", "rep"])
-    return found.union(led.select("a", "b")).union(_join_tiles(tiles, budget, similarity, exact).select("a", "b")).where("a <> b")
+    return found.union(_join_tiles(tiles, budget, similarity, exact).select("a", "b")).where("a <> b")
 
 
 def near_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", width: int = 3, budget: int = 3, blocks: int = 5, slice_rows: int = 4000) -> DataFrame:
@@ -184,7 +199,7 @@ def near_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "te
     fps = written(fingerprints(docs, id_col, text_col, width), "simhash")
     nodes = written(fps.where("doc_id is not null").groupBy("fp").agg(F.min("doc_id").alias("rep"), F.count("*").alias("n_links")), "nodes")
     keyed = nodes.select("fp", "rep", F.lit(None).cast("binary").alias("sketch"), F.explode(_block_keys(F.col("fp"), budget, blocks)).alias("key"))
-    roots = components(links(keyed, budget, slice_rows))
+    roots = components(links(keyed, budget, slice_rows, finer=_finer_keys(F.col("fp"), budget, blocks)))
     named = nodes.join(roots, nodes.rep == roots.node, "left").select(F.col("fp").alias("node_fp"), F.coalesce("root", "rep").alias("component_id"), "n_links")
     known = fps.doc_id.isNotNull() & (fps.fp == named.node_fp)
     return fps.join(named, known, "left").select("doc_id", F.lpad(F.lower(F.hex("fp")), 16, "0").alias("fingerprint"), "component_id", "n_links")
@@ -192,6 +207,8 @@ def near_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "te
 
 BANDS, ROWS, BINS = 16, 3, 128
 HELD_BYTES, SLICE_BYTES = 64_000_000, 16_000_000
+#: A slice of whole sets has fewer rows, as each pair may be compared code by code.
+SET_ROWS = 256
 _ODD = (np.arange(1, BANDS * ROWS + 1, dtype=np.uint64) * np.uint64(0x9E3779B97F4A7C15)) | np.uint64(1)
 
 
@@ -266,7 +283,7 @@ def copy_marks(text: bytes, width: int) -> tuple[int, int, list[int], bytes]:
     return xxhash.xxh64_intdigest(codes.tobytes()) - (1 << 63), int(np.packbits(2 * counts > len(codes), bitorder="little").view("<u8")[0]) - (1 << 63), keys, sketch.tobytes()
 
 
-def one_of_each(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", width: int = 5, similarity: float = 0.8, budget: int = 24, loose: float = 0.6, slice_rows: int = 4000) -> DataFrame:
+def one_of_each(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", width: int = 5, similarity: float = 0.8, budget: int = 24, loose: float = 0.6, slice_rows: int = 500) -> DataFrame:
     """The rows of docs, with their columns, of which no near copy comes earlier: one of each group of near copies.
 
     Near copies share `similarity` of their distinct shingles of `width` words, exactly counted; groups are the
@@ -293,8 +310,11 @@ def one_of_each(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text",
     keyed = nodes.select(F.explode("keys").alias("key"), "fp", "rep", "sketch")
     proposed = components(links(keyed, budget, slice_rows, loose))
     proposed = written(proposed.select("node", "root").union(proposed.select(F.col("root").alias("node"), "root")).distinct(), "proposed")
-    members = nodes.join(proposed, F.col("rep") == F.col("node")).select(F.col("doc").alias("m_doc"), F.col("hash").alias("m_hash"), F.col("root").alias("key"), "rep")
-    texts = docs.select(*key, text.cast("binary").alias("text")).join(members, (F.col("doc") == F.col("m_doc")) & (F.col("hash") == F.col("m_hash")))
+    counted = written(marked.groupBy("doc", "hash", "rep").agg(F.count("*").alias("copies")), "counted")
+    members = nodes.join(proposed, F.col("rep") == F.col("node")).select("doc", "hash", F.col("root").alias("key"), "rep")
+    members = written(members.join(counted.select("doc", "hash", "copies"), ["doc", "hash"]).withColumnsRenamed({"doc": "m_doc", "hash": "m_hash"}), "members")
+    texts = docs.select(*key, text.cast("binary").alias("text")).join(small(members), (F.col("doc") == F.col("m_doc")) & (F.col("hash") == F.col("m_hash")))
+    texts = texts.where("copies = 1").union(texts.where("copies > 1").dropDuplicates(["key", "rep"]))  # repeated rows have one set
     set_schema = pa.schema([("key", pa.int64()), ("fp", pa.int64()), ("rep", pa.int64()), ("sketch", pa.binary())])
 
     def sets(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -304,12 +324,16 @@ def one_of_each(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text",
                 codes = pa.array([shingle_codes(t, width).tobytes() for t in part.column(2).to_pylist()], pa.binary())
                 yield pa.RecordBatch.from_arrays([part.column(0), part.column(1), part.column(1), codes], schema=set_schema)
 
-    # repeated rows have one set; the set's hash stands for the fingerprint, so that 64 bits compare all of a component
-    whole = written(texts.dropDuplicates(["key", "rep"]).select("key", "rep", "text").mapInArrow(sets, "key long, fp long, rep long, sketch binary"), "sets")
-    roots = components(links(whole, 64, slice_rows, similarity, exact=True))
-    classes = marked.select("doc", "hash", "rep").join(roots, F.col("rep") == F.col("node"), "left").select("doc", "hash", F.coalesce("root", "rep").alias("root"))
-    stays = classes.groupBy("root").agg(F.min(F.struct("doc", "hash")).alias("s")).select(F.col("s.doc").alias("s_doc"), F.col("s.hash").alias("s_hash"))
+    # the set's hash stands for the fingerprint, so that 64 bits compare all of a component
+    whole = written(texts.select("key", "rep", "text").mapInArrow(sets, "key long, fp long, rep long, sketch binary"), "sets")
+    roots = components(links(whole, 64, min(slice_rows, SET_ROWS), similarity, exact=True))
+    classes = counted.join(roots, F.col("rep") == F.col("node"), "left").select("doc", "hash", "copies", F.coalesce("root", "rep").alias("root"))
+    classes = written(classes, "classes")
+    stays = written(classes.groupBy("root").agg(F.min(F.struct("doc", "hash")).alias("s"), F.count("*").alias("n")), "stays")
+    judged = skew_join(classes, stays, ["root"], F.xxhash64("doc", "hash")).select(F.col("doc").alias("k_doc"), F.col("hash").alias("k_hash"), "copies", (F.struct("doc", "hash") == F.col("s")).alias("stays"))
+    special = small(written(judged.where("not stays or copies > 1"), "special"))  # all other rows pass without a shuffle
     rows = docs.select(F.struct(*(docs[c].alias(f"c{k}") for k, c in enumerate(docs.columns))).alias("kept"), *key)
-    rows = rows.join(stays, (F.col("doc") == F.col("s_doc")) & (F.col("hash") == F.col("s_hash")), "left_semi")
-    rows = rows.withColumn("n", F.row_number().over(Window.partitionBy("doc", "hash").orderBy("doc"))).where("n = 1")
+    same = (F.col("doc") == F.col("k_doc")) & (F.col("hash") == F.col("k_hash"))
+    again = rows.join(special.where("stays"), same, "left_semi").withColumn("n", F.row_number().over(Window.partitionBy("doc", "hash").orderBy("doc"))).where("n = 1").drop("n")
+    rows = rows.join(special, same, "left_anti").union(again)
     return rows.select(*(F.col(f"kept.c{k}").alias(c) for k, c in enumerate(docs.columns)))

@@ -87,6 +87,22 @@ def test_near_duplicates(spark, slice_rows):
     assert len(set(want.values())) < len(want) - 50
 
 
+def test_hot_tries_are_dealt_finer(spark):
+    """Nodes that share two blocks but are far from each other: only finer tries keep the number of tiles down."""
+    r = random.Random(9)
+    low = (1 << 26) - 1
+    codes = [(r.getrandbits(38) << 26) | 12345 for _ in range(400)]
+    codes = sorted({c for c in codes} | {near(r, c, 2) & ~low | 12345 for c in codes[:60]} | {near(r, c, 3) for c in codes[60:120]})
+    nodes = spark.createDataFrame([(c - (1 << 64) if c >> 63 else c, k) for k, c in enumerate(codes)], "fp long, rep long")
+    f = simhash.F
+    keyed = nodes.select("fp", "rep", f.lit(None).cast("binary").alias("sketch"), f.explode(simhash._block_keys(f.col("fp"), 3, 5)).alias("key"))
+    want = brute_components(range(len(codes)), codes, 3)
+    for finer in (simhash._finer_keys(f.col("fp"), 3, 5), None):
+        roots = {x.node: x.root for x in components(simhash.links(keyed, 3, 20, finer=finer)).collect()}
+        assert {k: roots.get(k, k) for k in want} == want
+    assert len(set(want.values())) < len(codes) - 60
+
+
 @pytest.mark.parametrize("slice_rows", [4000, 9])
 def test_one_of_each(spark, slice_rows):
     r = random.Random(3)
