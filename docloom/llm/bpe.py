@@ -3,8 +3,8 @@
 In a BPE encoding, cutting off the last token leaves the encoding of the shorter prefix. So each prefix has
 one last token, and it is the one suffix match whose left neighbour - the last token of what is left - could
 stand next to it: no merge across their border would have come before the merges that made the two.
-An Aho-Corasick automaton lists the tokens that end at each position; a pair test picks the one that fits;
-back-pointers give the ids. Time is linear in the length of a word, however long.
+A suffix automaton of the vocabulary lists the tokens that end at each position; a pair test picks the one that
+fits; back-pointers give the ids. Time is linear in the length of a word, however long.
 """
 
 from __future__ import annotations
@@ -13,18 +13,18 @@ import json
 from functools import lru_cache
 from pathlib import Path
 
-import ahocorasick
 import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from docloom.llm.automaton import SuffixAutomaton
 from docloom.llm.common import list_array, map_texts, text_of
 from docloom.llm.pretokens import Splitter, byte_letters
 
 END = "￿"
-#: Bounds of the caches of a Python worker; a full cache is emptied.
-MAX_WORDS, MAX_PAIRS = 300_000, 1_000_000
+#: Bounds of the tables of a Python worker; words are kept in two generations, and a full one replaces the older.
+MAX_WORDS, MAX_PAIRS = 250_000, 1_000_000
 
 
 class PrefixBPE:
@@ -35,6 +35,8 @@ class PrefixBPE:
         if model["continuing_subword_prefix"] or model["ignore_merges"] or model["dropout"]:
             raise ValueError("the encoder doesn't know this kind of BPE")
         vocab = model["vocab"]
+        if max(vocab.values()) >> 20:
+            raise ValueError("the vocabulary has more than 2^20 tokens")
         self.token_of = {i: t for t, i in vocab.items()} | {t["id"]: t["content"] for t in d["added_tokens"]}
         self.text = dict.fromkeys(vocab.values(), "")
         for t, i in vocab.items():
@@ -48,13 +50,9 @@ class PrefixBPE:
             self.rank.setdefault(pair, n)
             self.made.setdefault(vocab[a + b], (n, *pair))
         self.id_of = {t: i for i, t in self.text.items()}
-        self.automaton = ahocorasick.Automaton()
-        for i, t in self.text.items():
-            if self._merged(t) == [i]:  # others never come out of the merges
-                self.automaton.add_word(t, (len(t), i))
-        self.automaton.make_automaton()
-        self.pairs: dict[tuple[int, int], bool] = {}
-        self.words: dict[str, tuple[int, ...]] = {}
+        # tokens that never come out of the merges are left out
+        self.automaton = SuffixAutomaton((t, i) for i, t in self.text.items() if self._merged(t) == [i])
+        self.pairs: dict[int, bool] = {}
 
     def _symbols(self, t: str) -> list[int]:
         whole = t.endswith(END) and len(t) > 1
@@ -73,10 +71,7 @@ class PrefixBPE:
 
     def fits(self, a: int, b: int) -> bool:
         """Whether tokens a, b can stand side by side: undo their merges, latest first, and look for an earlier one across the border."""
-        first = (a, b)
-        known = self.pairs.get(first)
-        if known is not None:
-            return known
+        first = a << 20 | b
         limit, ok = 1 << 30, True
         while True:
             n = self.rank.get((a, b))
@@ -95,51 +90,75 @@ class PrefixBPE:
         self.pairs[first] = ok
         return ok
 
-    def word(self, word: str) -> tuple[int, ...]:
+    def word(self, word: str) -> list[int]:
         """The ids of one pre-token."""
-        ids = self.words.get(word)
-        if ids is not None:
-            return ids
         s = word.encode().decode("latin-1").translate(self.letters) + self.tail
-        last = [-1] * len(s)
-        for at, (length, token) in self.automaton.iter(s):
-            if last[at] < 0 and (at < length or (last[at - length] >= 0 and self.fits(last[at - length], token))):
-                last[at] = token
+        a, pairs = self.automaton, self.pairs
+        next_, link, longest, ending = a.next, a.link, a.length, a.ending
+        last, state, matched = [-1] * len(s), 0, 0
+        for at, letter in enumerate(s):
+            after = next_[state].get(letter)
+            while after is None and state:  # the longest suffix that goes on
+                state = link[state]
+                matched = longest[state]
+                after = next_[state].get(letter)
+            if after is None:
+                state = matched = 0
+                continue
+            state, matched = after, matched + 1
+            for length, token in ending[state]:
+                if length > at:
+                    if length <= matched:
+                        last[at] = token
+                        break
+                elif length <= matched and (left := last[at - length]) >= 0:
+                    ok = pairs.get(left << 20 | token)
+                    if ok or ok is None and self.fits(left, token):
+                        last[at] = token
+                        break
         found, at = [], len(s) - 1
         while at >= 0:
             found.append(last[at])
             at -= len(self.text[last[at]])
-        ids = tuple(reversed(found))
-        if len(word) <= 64:  # longer ones hardly come twice
-            if len(self.words) >= MAX_WORDS:
-                self.words.clear()
-            self.words[word] = ids
-        return ids
+        return found[::-1]
 
 
 class Codec:
     def __init__(self, definition: str):
         self.splitter, self.bpe = Splitter(definition), PrefixBPE(definition)
         self.known: dict[str, bytes] = {}
+        self.before: dict[str, bytes] = {}  # the table before this one filled up
 
-    def _packed(self, chunk: str) -> bytes:
-        ids = [i for w in self.splitter.words_in(chunk) for i in self.bpe.word(w)]
-        packed = np.array(ids, "<i4").tobytes()
-        if len(chunk) <= 64:  # longer ones hardly come twice
+    def _keep(self, part: str, packed: bytes) -> bytes:
+        if len(part) <= 64:  # longer ones hardly come twice
             if len(self.known) >= MAX_WORDS:
-                self.known.clear()
-            self.known[chunk] = packed
+                self.known, self.before = {}, self.known
+            self.known[part] = packed
         return packed
 
+    def _word(self, word: str) -> bytes:
+        packed = self.known.get(word)
+        if packed is not None:
+            return packed
+        packed = self.before.get(word)
+        return self._keep(word, np.array(self.bpe.word(word), "<i4").tobytes() if packed is None else packed)
+
+    def _chunk(self, chunk: str) -> bytes:
+        """Words of a part between white space; mostly letters with an end mark, which need no pattern."""
+        packed = self.before.get(chunk)
+        if packed is None:
+            word = chunk.rstrip(".,;:!?")
+            if word.isalpha():
+                packed = self._word(word) + (self._word(chunk[len(word) :]) if len(word) < len(chunk) else b"")
+            else:
+                packed = b"".join(map(self._word, self.splitter.words_in(chunk)))
+        return self._keep(chunk, packed)
+
     def encode(self, text: str) -> np.ndarray:
         chunks = self.splitter.chunks(text)
         if chunks is None:
-            ids: list[int] = []
-            for p in self.splitter.pieces(text):
-                ids += (p,) if type(p) is int else self.bpe.word(p)
-            return np.array(ids, "<i4")
-        known = self.known.get
-        return np.frombuffer(b"".join([known(c) or self._packed(c) for c in chunks]), "<i4")
+            return np.frombuffer(b"".join([p.to_bytes(4, "little") if type(p) is int else self._word(p) for p in self.splitter.pieces(text)]), "<i4")
+        return np.frombuffer(b"".join([self.known.get(c) or self._chunk(c) for c in chunks]), "<i4")
 
     def decode(self, ids: np.ndarray) -> str:
         """A file without a decoder joins tokens with one blank; ids outside the vocabulary are left out."""

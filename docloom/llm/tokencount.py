@@ -18,10 +18,11 @@ import pyarrow as pa
 import regex
 from pyspark.sql import DataFrame
 
+from docloom.llm.automaton import SuffixAutomaton
 from docloom.llm.common import map_texts, text_of
 
-#: Bounds of a Python worker's trie and table; a full one is emptied. Longer pre-tokens are scored by themselves.
-MAX_NODES, MAX_WORDS, MAX_LENGTH = 600_000, 300_000, 64
+#: Bounds of a Python worker's trie and table; a full one is emptied, but words are kept for one more generation. Longer pre-tokens are scored by themselves.
+MAX_NODES, MAX_WORDS, MAX_LENGTH = 800_000, 350_000, 64
 MAX_PIECES = 1_000_000
 
 
@@ -42,32 +43,54 @@ class UnigramTrie:
         missing = [b for b in range(256) if bytes([b]) not in scores]
         if missing:
             raise ValueError(f"the vocabulary lacks {len(missing)} single bytes, so it can't cover every text")
-        self.scores = scores
-        self.longest = max(map(len, scores))
+        self.pieces = SuffixAutomaton(scores.items())
+        self.before: dict[str, tuple[int, int]] = {}  # the table before this one filled up
         self.clear()
 
     def clear(self) -> None:
         self.child: dict[int, int] = {}
-        self.best, self.count = [0], [0]
+        # of each node: score and number of pieces of its prefix, and the state of the pieces' automaton
+        self.best, self.count, self.state, self.matched = [0], [0], [0], [0]
         self.words: dict[str, tuple[int, int]] = {}
 
-    def _forward(self, word: bytes, at: int, best: list[int], count: list[int]) -> tuple[int, int]:
-        """Score and number of pieces of word[:at], from those of its shorter prefixes; of equal scores the fewest pieces."""
-        found = None
-        for start in range(max(0, at - self.longest), at):
-            s = self.scores.get(word[start:at])
-            if s is not None:
-                option = (best[start] + s, -count[start] - 1)
-                if found is None or option > found:
-                    found = option
-        return found[0], -found[1]
-
-    def _alone(self, word: bytes) -> tuple[int, int]:
-        best, count = [0], [0]
-        for at in range(1, len(word) + 1):
-            b, c = self._forward(word, at, best, count)
-            best.append(b)
-            count.append(c)
+    def _down(self, word: bytes, keep: bool) -> tuple[int, int]:
+        """Down the trie; new nodes get score, number of pieces and state from those of shorter prefixes.
+
+        Of equal scores the fewest pieces count. Without `keep` the trie stays as it is.
+        """
+        a = self.pieces
+        next_, link, longest, ending = a.next, a.link, a.length, a.ending
+        child, best_of, count_of, state_of, matched_of = self.child, self.best, self.count, self.state, self.matched
+        node, best, count, state, matched = 0, [0], [0], 0, 0
+        for at, byte in enumerate(word, 1):
+            key = node << 8 | byte
+            after = child.get(key) if keep else None
+            if after is None:
+                if keep:
+                    state, matched = state_of[node], matched_of[node]
+                go = next_[state].get(byte)
+                while go is None:  # the longest suffix that goes on; each byte is a piece
+                    state = link[state]
+                    matched = longest[state]
+                    go = next_[state].get(byte)
+                state, matched = go, matched + 1
+                top, n = None, 0
+                for length, score in ending[state]:
+                    if length <= matched:
+                        score += best[at - length]
+                        if top is None or score > top or score == top and count[at - length] + 1 < n:
+                            top, n = score, count[at - length] + 1
+                if keep:
+                    after = child[key] = len(best_of)
+                    best_of.append(top)
+                    count_of.append(n)
+                    state_of.append(state)
+                    matched_of.append(matched)
+            else:
+                top, n = best_of[after], count_of[after]
+            node = after or 0
+            best.append(top)
+            count.append(n)
         return best[-1], count[-1]
 
     def __call__(self, text: str) -> tuple[int, int]:
@@ -75,23 +98,16 @@ class UnigramTrie:
         found = self.words.get(text)
         if found is not None:
             return found
+        found = self.before.get(text)
         word = text.encode("utf-8", "surrogatepass")
-        if len(word) > MAX_LENGTH:
-            return self._alone(word)
+        if found is None and len(word) > MAX_LENGTH:
+            return self._down(word, False)
         if len(self.best) > MAX_NODES or len(self.words) > MAX_WORDS:
+            self.before = self.words
             self.clear()
-        node, best, count = 0, [0], [0]
-        for at, byte in enumerate(word, 1):
-            key = node << 8 | byte
-            node = self.child.get(key, 0)
-            if not node:
-                b, c = self._forward(word, at, best, count)
-                node = self.child[key] = len(self.best)
-                self.best.append(b)
-                self.count.append(c)
-            best.append(self.best[node])
-            count.append(self.count[node])
-        self.words[text] = found = (best[-1], count[-1])
+        if found is None:
+            found = self._down(word, True)
+        self.words[text] = found
         return found
 
 
@@ -118,7 +134,7 @@ def token_counts(docs: DataFrame, scores: dict[bytes, int], pattern: str, id_col
             words = Counter(find(text.decode("utf-8", "replace")))
             n = score = 0
             for w, k in words.items():
-                s, c = trie(w)
+                s, c = trie.words.get(w) or trie(w)
                 n += k * c
                 score += k * s
             sizes.append(words.total())
