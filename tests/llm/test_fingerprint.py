@@ -1,7 +1,9 @@
 import hashlib
+import os
 import random
 
 import pytest
+import xxhash
 
 from docloom.llm import fingerprint as fp
 
@@ -19,9 +21,54 @@ def test_spans_and_extensions():
         assert fp.longest_common_extension(pa, i, pb, j) == k
 
 
-def test_all_spans_agree():
-    p = fp.Prefixes(fp.code_points("a text of some length with é and 🙂 in it"))
-    assert p.all_spans(5).tolist() == [p.span(k, 5) for k in range(p.n - 4)]
+def brute_span(codes):
+    """The hash of a whole text, by Horner's rule from its end."""
+    out = 0
+    for base, prime in zip(fp.BASES, fp.PRIMES):
+        value = 0
+        for c in reversed(codes):
+            value = (value * base + c + 1) % prime
+        out = out << 31 | value
+    return out
+
+
+def brute_fingerprint(text):
+    codes = [ord(c) for c in text]
+    bins = [None] * fp.BINS
+    for k in range(len(codes) - min(16, len(codes)) + 1 if codes else 0):
+        x = brute_span(codes[k : k + 16])
+        for shift, factor in ((30, 0xBF58476D1CE4E5B9), (27, 0x94D049BB133111EB)):
+            x = (x ^ x >> shift) * factor % 2**64
+        x ^= x >> 31
+        at, value = x >> 58, x % 2**58
+        bins[at] = value if bins[at] is None else min(bins[at], value)
+    return f"{brute_span(codes):016x}{len(codes):08x}" + "".join("ffff" if v is None else f"{v % 65535:04x}" for v in bins)
+
+
+def brute_likeness(a, b):
+    if a == b:
+        return 1.0
+    x, y = ([f[k : k + 4] for k in range(24, len(f), 4)] for f in (a, b))
+    used = [p == q for p, q in zip(x, y) if not p == q == "ffff"]
+    return sum(used) / len(used) if used else 0.0
+
+
+@pytest.mark.parametrize("block", [1 << 20, 37])
+def test_fingerprints_against_brute_force(monkeypatch, block):
+    monkeypatch.setattr(fp, "BLOCK", block)
+    monkeypatch.setattr(fp, "_POWERS", [fp.Powers(b, p) for b, p in zip(fp.BASES, fp.PRIMES)])
+    r = random.Random(6)
+    texts = ["", "a", "abc", "x" * 16, "a text of some length with é and 🙂 in it"] + ["".join(r.choice("abcé🙂 \n") for _ in range(r.randrange(300))) for _ in range(12)]
+    for a, b in zip(texts, texts[1:] + texts[:1]):
+        p, q = fp.Prefixes(fp.code_points(a)), fp.Prefixes(fp.code_points(b))
+        assert fp.fingerprint(a) == brute_fingerprint(a)
+        assert p.spans(0, max(p.n - 4, 0), 5).tolist() == [p.span(k, 5) for k in range(max(p.n - 4, 0))]
+        half = len(a) // 2
+        spliced, change = fp.Spliced(p, len(a) - half, q, min(half, len(b))), fp.edited(a, b)
+        assert spliced.n == len(change) and fp.fingerprint(spliced) == brute_fingerprint(change)
+        assert fp.likeness(fp.fingerprint(a), fp.fingerprint(b)) == brute_likeness(brute_fingerprint(a), brute_fingerprint(b))
+        same = fp.longest_common_extension(p, 0, spliced, 0)
+        assert a[:same] == change[:same] and a[same : same + 1] != change[same : same + 1] or same == len(a) == len(change)
 
 
 def test_likeness_follows_shared_text():
@@ -39,20 +86,21 @@ def test_edited_fingerprints(spark, parts):
     r = random.Random(3)
     rows = [(k * 3, "".join(r.choice("abcé🙂 \n") for _ in range(r.choice([0, 1, 2, 15, 16, 17, 40, 3000]))), 1) for k in range(60)]
     rows[5] = (15, None, 1)
-    rows += [(9, "twin", 1), (9, "twin", 1), (None, "no id", 1), (None, "no id b", 1)]
+    rows += [(9, "twin", 1), (9, "twin", 1), (None, "no id", 1), (None, "no id b", 1)] + [(k, f"hot {n}", 1) for n in range(40) for k in (90, None)]
     spark.conf.set("spark.sql.shuffle.partitions", str(parts))
     try:
         got = fp.edited_fingerprints(spark.createDataFrame(rows, "doc_id long, text string, bucket int").repartition(5)).collect()
     finally:
         spark.conf.set("spark.sql.shuffle.partitions", "8")
-    docs = sorted(((k, t or "") for k, t, _ in rows), key=lambda d: (d[0] is not None, d[0] or 0, d[1].encode()))
+    docs = sorted(((k, t or "") for k, t, _ in rows), key=lambda d: (d[0] is not None, d[0] or 0, (xxhash.xxh64_intdigest(d[1].encode(), 42) + 2**63) % 2**64))
     want = []
     for n, (k, t) in enumerate(docs):
         after = docs[(n + 1) % len(docs)][1]
         half = len(t) // 2
         e = t[: len(t) - half] + after[:half]
         f, g = fp.fingerprint(t), fp.fingerprint(e)
-        want.append((k, len(t), hashlib.sha256(e.encode()).hexdigest(), f, g, fp.likeness(f, g), fp.likeness(f, fp.fingerprint(after))))
+        common = lambda a, b: len(os.path.commonprefix([a, b]))
+        want.append((k, len(t), hashlib.sha256(e.encode()).hexdigest(), f, g, brute_likeness(f, g), brute_likeness(f, fp.fingerprint(after)), common(t, e), common(t, after)))
     assert sorted(map(tuple, got), key=str) == sorted(want, key=str)
 
 
