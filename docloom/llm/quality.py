@@ -102,7 +102,7 @@ def training_rows(docs: DataFrame, labels: DataFrame, trained_on: Column, max_la
     """(kept.label, statistics): at most `max_labelled` labelled texts, those with the least hashes of their ids.
 
     The sample is drawn from the labels, so only its texts are looked up, by a broadcast of at most that many ids.
-    Several labels of one id are averaged; rows without an id or label are left out.
+    Several labels of one id are averaged, and an average of 0.5 counts as 1; rows without an id or label are left out.
     """
     marks = labels.where(labels[id_col].isNotNull() & labels[label_col].isNotNull() & trained_on)
     marks = marks.groupBy(labels[id_col].cast("long").alias("label_id")).agg(F.when(F.avg(label_col) >= 0.5, 1.0).otherwise(0.0).alias("label"))
@@ -148,7 +148,12 @@ def scores(docs: DataFrame, labels: DataFrame, id_col: str = "doc_id", text_col:
 
 
 def accepted(docs: DataFrame, labels: DataFrame, id_col: str = "doc_id", text_col: str = "text", label_col: str = "quality", threshold: float = 0.3, fold: int = 5, **fitting) -> DataFrame:
-    """The rows of docs, with all their columns, that score `threshold` or more."""
+    """The rows of docs, with all their columns, that score `threshold` or more.
+
+    Null texts are scored as empty and keep their null; rows without an id and repeated rows are judged like any
+    other. Without labels every row scores 0.5 and stays. An empty table gives an empty result. Columns of docs
+    may have the names of statistics or of anything else.
+    """
     model = fit(docs, labels, ~is_held_out(labels[id_col], fold), id_col, text_col, label_col, **fitting)
     keep = [docs[c].alias(f"c{k}") for k, c in enumerate(docs.columns)]
     scored = with_statistics(docs, keep, text_of(docs, text_col)).where(model.score() >= threshold)

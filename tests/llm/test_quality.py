@@ -1,5 +1,8 @@
+import math
 import random
 
+import pytest
+import regex
 from docloom.llm import quality
 from pyspark.sql import functions as F
 
@@ -29,6 +32,40 @@ def test_paths():
     ]
 
 
+def plain_statistics(text):
+    """The statistics in plain Python, without the shortcut over what is left of a text."""
+    words = [w for w in regex.split(r"[ \t\n\x0b\f\r]+", text) if w]
+    lines = [x for x in text.split("\n") if x.strip(" ")]
+    ratio = lambda a, b: a / b if b else 0.0
+    share = lambda chars: ratio(len(regex.findall(f"[{chars}]", text)), len(text))
+    return {
+        "log_chars": math.log1p(len(text)),
+        "log_words": math.log1p(len(words)),
+        "word_length": ratio(sum(map(len, words)), len(words)),
+        "longest_word": math.log1p(max(map(len, words), default=0)),
+        "fresh_words": ratio(len(set(words)), len(words)),
+        "doubled_words": ratio(sum(a == b for a, b in zip(words, words[1:])), len(words)),
+        "fresh_lines": ratio(len(set(lines)), len(lines)),
+        "line_words": ratio(len(words), len(lines)),
+        "upper": share(r"\p{Lu}"),
+        "digit": share(r"\p{N}"),
+        "symbol": share(r"#$%&*@^~<>{}\[\]\\/=+_"),
+        "mark": share("!?"),
+        "stop": share(".,;:"),
+        "bar": share("|"),
+        "control": share(r"\p{C}\p{So}"),
+    }
+
+
+def plain_score(model, statistics):
+    """The rules one by one."""
+    total = model.bias
+    for rule, weight in model.rules:
+        if all(statistics[name] <= bound if side == "<=" else statistics[name] > bound for name, side, bound in rule):
+            total += weight
+    return 1 / (1 + math.exp(-total))
+
+
 def tables(spark):
     r = random.Random(5)
     words = ["the", "house", "river", "of", "stone", "and", "light"]
@@ -72,3 +109,37 @@ def test_too_few_labels(spark):
     (none,) = {r.score for r in quality.scores(docs, labels.limit(0)).collect()}
     assert none == 0.5
     assert quality.scores(docs.limit(0), labels).count() == 0
+
+
+def test_statistics_and_rules_against_plain_python(spark):
+    docs, labels = tables(spark)
+    odd = ["", " ", "\n\n", "a a a b", "A|B! é\u0301 ﬀ ǅ 中文 🙂\x07\x00", "  x\t\ty  \n \n z", "1² ½ $%&*", "word " * 30_000, "q" * 100_000, "x=y[0]{}<>\\/~^@_+"]
+    rows = [(1000 + k, t, "s") for k, t in enumerate(odd)] + [tuple(x) for x in docs.collect()]
+    every = spark.createDataFrame(rows, "doc_id long, text string, score string")
+    got = quality.with_statistics(every, [F.col("doc_id"), F.col("text").alias("t")], F.coalesce("text", F.lit(""))).collect()
+    assert len(got) == len(rows)
+    for x in got:
+        want = plain_statistics(x.kept.t or "")
+        assert set(want) == set(quality.STATISTICS)
+        for name, value in want.items():
+            assert x[name] == pytest.approx(value, abs=1e-9), (x.kept.doc_id, name)
+    model = quality.fit(every, labels, ~quality.is_held_out(F.col("doc_id"), 5), trees=4)
+    assert model.rules
+    for x in quality.scores(every, labels, trees=4).join(every.select("doc_id", "text").distinct(), "doc_id").collect():
+        assert x["score"] == pytest.approx(plain_score(model, plain_statistics(x.text or "")), abs=1e-9)
+
+
+def test_training_rows(spark):
+    docs, labels = tables(spark)
+    got = sorted(tuple(x)[:2] for x in quality.training_rows(docs, labels, F.lit(True), 10**6, "doc_id", "text", "quality").select("label", "log_chars").collect())
+    texts = {k: t for k, t, _ in map(tuple, docs.collect())}
+    want = []
+    marks = {}
+    for k, q in map(tuple, labels.collect()):
+        if k is not None and q is not None:
+            marks.setdefault(k, []).append(q)
+    for k, t, _ in map(tuple, docs.collect()):
+        if k in marks:
+            want.append((1.0 if 2 * sum(marks[k]) >= len(marks[k]) else 0.0, math.log1p(len(t or ""))))
+    assert [x[0] for x in got] == [x[0] for x in sorted(want)] and [x[1] for x in got] == pytest.approx([x[1] for x in sorted(want)])
+    assert 900 not in texts and quality.training_rows(docs, labels, F.lit(True), 7, "doc_id", "text", "quality").count() <= 8
