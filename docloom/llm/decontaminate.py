@@ -16,7 +16,7 @@ from docloom.llm.common import small, text_of, words_of, written
 
 MASKS = ("1111011", "11001000111", "11010110001")
 WINDOW, NEED = 15, 12
-#: Up to so many seeds (of about 60 bytes) the benchmark is broadcast; beyond, seeds are joined by shuffles.
+#: Up to so many seeds (of about 60 bytes) the benchmark is broadcast; beyond, seeds that a bitmap lets through are joined by shuffles.
 MAX_BROADCAST = 500_000
 
 
@@ -35,6 +35,22 @@ def _seeds(rows: DataFrame, masks: dict[int, str], h: str = "h") -> DataFrame:
     return rows.select("*", F.explode(F.array(*each)).alias("s")).where("s is not null").select(*rows.columns, "s.mask", "s.seed")
 
 
+def _may_hit(rows: DataFrame, seeds: DataFrame) -> DataFrame:
+    """The rows whose seed may be among those of `seeds`, by a bitmap of 2^26 bits; rows and columns stay as they are.
+
+    The bitmap is broadcast as 1024 rows of 8 kB at any size; with very many seeds it only filters less.
+    """
+    slot = F.col("seed").bitwiseAND(F.lit((1 << 26) - 1))
+    word, bit = F.shiftrightunsigned(slot, 6), slot.bitwiseAND(F.lit(63)).cast("int")
+    words = seeds.groupBy(word.alias("word")).agg(F.bit_or(F.call_function("shiftleft", F.lit(1).cast("long"), bit)).alias("bits"))
+    every = rows.sparkSession.range(1 << 20).select(F.col("id").alias("word")).join(words, "word", "left")
+    bitmap = every.groupBy(F.shiftrightunsigned("word", 10).alias("_part")).agg(F.array_sort(F.collect_list(F.struct("word", F.coalesce("bits", F.lit(0)).alias("bits")))).alias("w"))
+    bitmap = written(bitmap.select("_part", F.col("w.bits").alias("_bits")), "bitmap")
+    found = rows.withColumn("_part", F.shiftrightunsigned(slot, 16)).join(F.broadcast(bitmap), "_part")
+    there = F.call_function("bit_get", F.get("_bits", word.bitwiseAND(F.lit(1023)).cast("int")), bit) == 1
+    return found.where(there).drop("_part", "_bits")
+
+
 def _items(benchmark: DataFrame, item_col: str, text_col: str) -> DataFrame:
     """(item_id, item, b): distinct items with the hashes of their words; items without a word are left out."""
     items = benchmark.select(benchmark[item_col].cast("long").alias("item_id"), _hashes(text_of(benchmark, text_col)).alias("b")).where(F.size("b") > 0)
@@ -76,7 +92,11 @@ def leaks(docs: DataFrame, benchmark: DataFrame, id_col: str = "doc_id", text_co
     hint = F.broadcast if few else lambda df: df
     words = docs.select(docs[id_col].cast("long").alias("doc_id"), F.xxhash64(text_of(docs, text_col)).alias("text_hash"), _hashes(text_of(docs, text_col)).alias("h"))
     rows = words if few else words.select("doc_id", "text_hash", "h")
-    hits = _seeds(rows, every).join(hint(seeds), ["mask", "seed"])
+    placed = _seeds(rows, every)
+    if not few:  # what can't hit isn't shuffled
+        seeds = written(seeds, "seeds")
+        placed = _may_hit(placed.select("doc_id", "text_hash", "at", "mask", "seed"), seeds)
+    hits = placed.join(hint(seeds), ["mask", "seed"])
     if not few:  # carry positions, not texts, through the shuffle, and fetch the texts of hits afterwards
         hits = hits.select("doc_id", "text_hash", "at", "item", "b_at").distinct()
         again = words.withColumnsRenamed({"doc_id": "d", "text_hash": "t"}).dropDuplicates(["d", "t"])

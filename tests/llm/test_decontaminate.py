@@ -64,3 +64,24 @@ def test_empty_tables(spark):
     assert dc.leaks(d, b).count() == 1
     assert dc.leaks(d.limit(0), b).count() == 0 and dc.leaks(d, b.limit(0)).count() == 0
     assert dc.decontaminated(d, b.limit(0)).count() == 1
+
+
+def test_few_seeds_pass_the_bitmap(spark):
+    from pyspark.sql import functions as F
+
+    rows = spark.range(200_000).select("id", F.lit(0).alias("mask"), F.xxhash64("id").alias("seed"))
+    seeds = rows.where("id % 1000 = 7").select("mask", "seed")
+    got = dc._may_hit(rows, seeds)
+    assert got.columns == rows.columns
+    assert got.join(seeds, ["mask", "seed"], "left_semi").count() == 200 and got.count() < 400
+    assert dc._may_hit(rows, seeds.limit(0)).count() == 0
+    plan = got._jdf.queryExecution().explainString(spark._jvm.org.apache.spark.sql.execution.ExplainMode.fromString("simple"))
+    assert "BroadcastHashJoin" in plan and "SortMergeJoin" not in plan and "Python" not in plan
+
+
+def test_very_long_text(spark):
+    item = " ".join(f"b{k}" for k in range(20))
+    long = " ".join(f"w{k}" for k in range(120_000)) + " " + item
+    d = spark.createDataFrame([(1, long), (2, "x" * 1_000_000)], "doc_id long, text string")
+    (row,) = dc.leaks(d, spark.createDataFrame([(5, item)], "item_id long, text string")).collect()
+    assert (row.doc_id, row.first_word, row.last_word) == (1, 120_000, 120_019)
