@@ -7,16 +7,19 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from docloom.llm import bpe, decontaminate, linededup, quality, simhash
-from docloom.llm.common import table, written
+from docloom.llm.common import collected, discard, table, written
 
 
 def keep_quality(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Documents that the classifier, trained on `labels`, accepts."""
+    """Documents that the classifier, trained on `labels`, accepts; null texts are judged as empty ones."""
     return quality.accepted(docs, table(spark, sf_dir, "labels"))
 
 
 def dedup_lines(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """All documents, without passages that stand in an earlier one; n_chars follows the text."""
+    """All documents, without the lines that stand in an earlier one; n_chars, if there is one, follows the text.
+
+    Null texts stay null, repeated rows are cut alike, an empty table stays empty; own columns of any name are kept.
+    """
     count = next(c for c in map("lines_removed_{}".format, range(len(docs.columns) + 1)) if c not in docs.columns)
     cut = linededup.deduplicated(docs, removed_col=count)
     if "n_chars" in docs.columns:
@@ -25,17 +28,17 @@ def dedup_lines(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 
 
 def dedup_documents(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """One document of each group of near copies."""
+    """One document of each group of near copies, the least doc_id; of repeated rows one. Null and blank texts are one group."""
     return simhash.one_of_each(docs)
 
 
 def remove_benchmark(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Documents that leak no item of `benchmark`."""
+    """Documents that leak no item of `benchmark`; null and empty texts leak nothing."""
     return decontaminate.decontaminated(docs, table(spark, sf_dir, "benchmark"))
 
 
 def encode(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """(doc_id, ids, decoded, n_tokens)."""
+    """(doc_id, ids, decoded, n_tokens), one row per row; other columns are left out. A null text has no ids."""
     return bpe.encode(docs, public_tokenizers.path("word_bpe_49k.json")).withColumn("n_tokens", F.size("ids").cast("long"))
 
 
@@ -52,7 +55,11 @@ ORACLE_SQL = None
 
 
 def run(spark: SparkSession, sf_dir: str) -> DataFrame:
-    docs = table(spark, sf_dir, "documents")
+    """The rows of the last stage. Tables of a stage are deleted once its result is written; only what the last one reads stays."""
+    docs, before = table(spark, sf_dir, "documents"), []
     for _, stage in STAGES[:-1]:
-        docs = written(stage(spark, docs, sf_dir), "stage")
+        with collected() as made:
+            docs = written(stage(spark, docs, sf_dir), "stage")
+        discard(spark, before + made[:-1])
+        before = made[-1:]
     return STAGES[-1][1](spark, docs, sf_dir)

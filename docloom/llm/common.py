@@ -6,6 +6,8 @@ import re
 import tempfile
 import uuid
 from collections.abc import Callable, Iterator
+from contextlib import contextmanager
+from contextvars import ContextVar
 from functools import lru_cache
 
 import numpy as np
@@ -32,9 +34,32 @@ def scratch(spark: SparkSession, name: str) -> str:
     return f"{shared.rstrip('/')}/docloom/{name}-{uuid.uuid4().hex}"
 
 
+_collecting: ContextVar[tuple[list[str], ...]] = ContextVar("collecting", default=())
+
+
+@contextmanager
+def collected() -> Iterator[list[str]]:
+    """The paths of the tables that `written` makes meanwhile."""
+    made: list[str] = []
+    token = _collecting.set((*_collecting.get(), made))
+    try:
+        yield made
+    finally:
+        _collecting.reset(token)
+
+
+def discard(spark: SparkSession, paths: list[str]) -> None:
+    """Deletes tables that nothing reads any more."""
+    for path in paths:
+        at = spark._jvm.org.apache.hadoop.fs.Path(path)
+        at.getFileSystem(spark._jsc.hadoopConfiguration()).delete(at, True)
+
+
 def written(df: DataFrame, name: str) -> DataFrame:
     """df, written once to shared storage and read from there: no task recomputes it, and a lost executor loses nothing."""
     path = scratch(df.sparkSession, name)
+    for made in _collecting.get():
+        made.append(path)
     df.write.parquet(path)
     return df.sparkSession.read.schema(df.schema).parquet(path)
 

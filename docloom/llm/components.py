@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from docloom.llm.common import written
+from docloom.llm.common import collected, discard, written
 
 
 def _state(edges: DataFrame) -> tuple:
@@ -20,7 +20,8 @@ def components(edges: DataFrame) -> DataFrame:
     Empty input gives an empty result; edges with a null end are ignored.
     """
     e = edges.where("a <> b").select(F.greatest("a", "b").alias("a"), F.least("a", "b").alias("b")).distinct()
-    e = written(e, "edges")
+    with collected() as old:
+        e = written(e, "edges")
     seen = _state(e)
     while seen[0]:
         both = e.union(e.select(F.col("b").alias("a"), F.col("a").alias("b")))
@@ -28,8 +29,11 @@ def components(edges: DataFrame) -> DataFrame:
         large = both.where("b > a").join(least, "a").select(F.col("b").alias("a"), F.col("m").alias("b")).distinct()
         least = large.groupBy("a").agg(F.min("b").alias("m"))
         small = large.join(least, "a").select(F.explode(F.array(F.struct(F.col("a").alias("a"), F.col("m").alias("b")), F.struct(F.col("b").alias("a"), F.col("m").alias("b")))).alias("x")).select("x.*").where("a <> b").distinct()
-        e = written(small, "edges")
+        with collected() as new:
+            e = written(small, "edges")
         now = _state(e)
+        discard(e.sparkSession, old)
+        old = new
         if now == seen:
             break
         seen = now

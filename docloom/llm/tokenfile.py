@@ -133,7 +133,11 @@ def _starts(spark: SparkSession, path: str) -> DataFrame:
 
 
 def read(spark: SparkSession, path: str, first: int | None = None, last: int | None = None, columns: tuple[str, ...] = ("doc_id", "start", "n_tokens", "ids")) -> DataFrame:
-    """The rows with first <= doc_id <= last (all without bounds), and only the wanted columns of the files."""
+    """The rows with first <= doc_id <= last (all without bounds), and only the wanted columns of the files.
+
+    With a bound, rows with a null doc_id are left out. Repeated rows are all returned, each with its own start; an
+    empty file set gives an empty result.
+    """
     rows = spark.read.schema(FIELDS).parquet(path)
     if first is not None:
         rows = rows.where(F.col("doc_id") >= first)
@@ -148,12 +152,12 @@ def read(spark: SparkSession, path: str, first: int | None = None, last: int | N
 
 
 def metadata(spark: SparkSession, path: str, first: int | None = None, last: int | None = None) -> DataFrame:
-    """(doc_id, start, n_tokens), without reading ids."""
+    """(doc_id, start, n_tokens) as `read`, without reading ids."""
     return read(spark, path, first, last, ("doc_id", "start", "n_tokens"))
 
 
 def digests(tokens: DataFrame) -> DataFrame:
-    """(doc_id, start, n_tokens, ids_crc32) of what `read` returns."""
+    """(doc_id, start, n_tokens, ids_crc32) of what `read` returns, row by row; no ids have the sum 0."""
     schema = pa.schema([("doc_id", pa.int64()), ("start", pa.int64()), ("n_tokens", pa.int64()), ("ids_crc32", pa.int64())])
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:

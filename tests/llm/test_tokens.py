@@ -73,6 +73,37 @@ def test_selective_reads(spark, docs):
     assert sorted(r.doc_id for r in meta.collect()) == [90, 91, 92, 93, 94, 95]
 
 
+def test_layout_of_the_files(spark, tmp_path):
+    """Dictionary-coded ids, delta-coded counters, page indexes, and row groups that a range of doc_id skips."""
+    import pyarrow.parquet as pq
+
+    many = spark.range(0, 6000).selectExpr("id as doc_id", "concat(repeat('the house of stone ', 40), id) as text").repartition(1)
+    path = f"file://{tmp_path}/files"
+    spark.conf.set("spark.sql.shuffle.partitions", "1")
+    try:
+        tokenfile.write(many, path, PATH, row_group_mb=0, page_kb=4, page_rows=100)
+    finally:
+        spark.conf.set("spark.sql.shuffle.partitions", "8")
+    files = sorted((tmp_path / "files").glob("*.parquet"))
+    groups = []
+    for f in files:
+        meta = pq.ParquetFile(f).metadata
+        for g in range(meta.num_row_groups):
+            columns = {c.path_in_schema: c for c in map(meta.row_group(g).column, range(meta.num_columns))}
+            ids = next(c for n, c in columns.items() if n.startswith("ids"))
+            assert ids.has_dictionary_page and any("DICTIONARY" in e for e in ids.encodings)
+            for name in ("doc_id", "local_start", "n_tokens"):
+                assert columns[name].has_offset_index and columns[name].has_column_index
+            for name in ("doc_id", "local_start"):
+                assert "DELTA_BINARY_PACKED" in columns[name].encodings and not columns[name].has_dictionary_page
+            groups.append((columns["doc_id"].statistics.min, columns["doc_id"].statistics.max))
+    assert len(groups) > 2 and all(a[1] < b[0] for a, b in zip(groups, groups[1:]))
+    wanted = tokenfile.read(spark, path, 10, 20, ("doc_id", "n_tokens", "ids"))
+    assert wanted.count() == 11
+    read = wanted._jdf.queryExecution().executedPlan().toString()
+    assert "PushedFilters" in read and "GreaterThanOrEqual(doc_id,10)" in read
+
+
 def test_empty_table(spark, docs):
     none = docs.limit(0)
     assert bpe.encode(none, PATH).count() == 0
