@@ -358,6 +358,13 @@ def oracle_sql() -> dict[str, str]:
         "html_markdown": f"with {_PAGE_SQL} select page_id, {_normalize_sql('t')} as markdown from decoded",
         "html_titles": r"select page_id, trim(regexp_extract(html, '(?i)<title[^>]*>([^<]*)</title>', 1)) as title from pages",
         "html_markdown_length": f"with {_PAGE_SQL} select page_id, length({_normalize_sql('t')})::int as n_chars from decoded",
+        # no page has marks of its own: every block is a paragraph, and the last one is bold
+        "markdown_preview": rf"""
+            with {_PAGE_SQL}, blocks as (
+                select page_id, list_filter(regexp_split_to_array(replace(replace(replace({_normalize_sql("t")}, '&', '&amp;'), '<', '&lt;'), '>', '&gt;'), '
+
++'), lambda x: x <> '') as b from decoded)
+            select page_id, array_to_string(list_transform(b, lambda x: '<p>' || replace(regexp_replace(regexp_replace(x, '^\*\*(.*)\*\*$', '<strong>\1</strong>', 's'), '(www\.[a-z.-]*[a-z])', '<a href="http://\1">\1</a>', 'g'), {nl}, '<br>') || '</p>' || {nl}), '') as html from blocks""",
         "detect_types": f"with {_NAMES_SQL} select doc_id, extension, mimetype from mimes",
         "route_candidates": f"with {_NAMES_SQL} select doc_id, array_to_string({_accepts_sql()}, ',') as candidates, ({_accepts_sql()})[1] as winner from mimes",
         "unsupported_errors": f"with {_NAMES_SQL} select doc_id, '{UNSUPPORTED}' as error from mimes where len({_accepts_sql()}) = 0",

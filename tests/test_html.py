@@ -62,6 +62,15 @@ def test_titles_and_normalization(spark):
 
 def test_preview():
     assert to_html("# A\n\nx **y**\nz\n\n- a\n- b\n") == "<h1>A</h1>\n<p>x <strong>y</strong><br>z</p>\n<ul>\n<li>a</li>\n<li>b</li>\n</ul>\n"
+    inline = [
+        ("a ~~b~~ c", "a <del>b</del> c"), ("***x***", "<em><strong>x</strong></em>"), ("**a *b* c**", "<strong>a <em>b</em> c</strong>"), ("_x_ __y__ a_b_c", "<em>x</em> <strong>y</strong> a_b_c"),
+        ('[t](/u "T") ![i](s.png)', '<a href="/u" title="T">t</a> <img src="s.png" alt="i">'), ("see https://x.org/a.", 'see <a href="https://x.org/a">https://x.org/a</a>.'), ("<https://x.org>", '<a href="https://x.org">https://x.org</a>'),
+        ("`a*b*` \\*c\\*", "<code>a*b*</code> *c*"), ("x <u>y</u> & z", "x <u>y</u> &amp; z"), ("1 < 2 > 0", "1 &lt; 2 &gt; 0"),
+    ]
+    for text, want in inline:
+        assert to_html(text) == f"<p>{want}</p>\n", text
+    assert to_html("- a\n  - b\n  - c\n- d\n\n3. x\n4. y") == "<ul>\n<li>a\n<ul>\n<li>b</li>\n<li>c</li>\n</ul>\n</li>\n<li>d</li>\n</ul>\n<ol start=\"3\">\n<li>x</li>\n<li>y</li>\n</ol>\n"
+    assert to_html("a\n\n---\n\n* b") == "<p>a</p>\n<hr>\n<ul>\n<li>b</li>\n</ul>\n"
     assert "<td>1</td>" in to_html("| a |\n| --- |\n| 1 |\n") and to_html("```\n<x>\n```") == "<pre><code>&lt;x&gt;\n</code></pre>\n"
 
 
