@@ -69,12 +69,12 @@ def _read_html(content: bytes, charset: str | None = None) -> dict:
 
 
 def builtins() -> Registry:
-    from docloom.sources import html, mail, office, pdf
+    from docloom.sources import html, mail, office, pdf, xls
 
     r = Registry()
     r.register(Converter("OutlookMsgConverter", (".msg",), (MIME_TYPES[".msg"],), lambda b: {"mail": mail.message(b)}))
     r.register(Converter("PptxConverter", (".pptx",), (MIME_TYPES[".pptx"],), lambda b: {"slides": office.slides(b)}))
-    r.register(Converter("XlsxConverter", (".xlsx", ".xls"), (MIME_TYPES[".xlsx"], MIME_TYPES[".xls"]), lambda b: {"sheets": office.sheets(b)}))
+    r.register(Converter("XlsxConverter", (".xlsx", ".xls"), (MIME_TYPES[".xlsx"], MIME_TYPES[".xls"]), lambda b: {"sheets": (xls if b[:4] == b"\xd0\xcf\x11\xe0" else office).sheets(b)}))
     r.register(Converter("PdfConverter", (".pdf",), (MIME_TYPES[".pdf"],), lambda b: {"pages": pdf.pages(b)}))
     r.register(Converter("DocxConverter", (".docx",), (MIME_TYPES[".docx"],), lambda b: {"markdown": html.markdown(office.docx_html(b), strip=False)}))
     r.register(Converter("HtmlConverter", (".html", ".htm"), ("text/html", "application/xhtml"), _read_html, charset=True), GENERIC)

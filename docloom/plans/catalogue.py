@@ -231,6 +231,7 @@ def _office(spark, sf_dir, kind: str) -> DataFrame:
     make = {
         "docx": lambda n, k, s: samples.docx([(1 + int(k) % 6, n), ("p", f"{s} & <b>"), ("li", k), ("li", s), ("tr", f"{k}\t{n}")]),
         "xlsx": lambda n, k, s: samples.xlsx([("A", f'<row><c t="s"><v>0</v></c><c t="str"><v>p|q</v></c></row><row><c><v>{k}</v></c><c><v>0</v></c><c t="b"><v>1</v></c></row>'), ("None", ""), ("B", f'<row r="2"><c r="B2" t="str"><v>{s}</v></c></row>')], [n]),
+        "xls": lambda n, k, s: samples.xls([("A", [(0, 0, [0]), (0, 1, "p|q"), (1, 0, int(k)), (1, 1, 0), (1, 2, True), (1, 3, 2.5)]), ("None", []), ("B", [(4, 2, s)])], [n]),
         "pptx": lambda n, k, s: samples.pptx([(2, [s], True), (10, [f" {n} ", " ", k], True), (3, [], True), (4, ["lost"], False)]),
         "pdf": lambda n, k, s: samples.pdf([[n, " ", s], [], [f"\\({k}\\)"]] if int(k) % 2 else [[k]] if int(k) % 4 else [[]], deflate=int(k) % 3 == 0),
         "msg": lambda n, k, s: samples.message(s, n, f"c{k}@example.com", f" {k}\r\n\r\n\r\n\r\nbye\r\n", ["a@example.com", "b@example.com"], [f"d{k}@example.com"]),
@@ -283,13 +284,13 @@ def stream_convert(spark, sf_dir):
     return spark.read.parquet(target).select("page_id", "markdown", "title", "status")
 
 
-docx_convert, xlsx_convert, pptx_convert, pdf_convert, msg_convert = map(_office_query, ("docx", "xlsx", "pptx", "pdf", "msg"))
+docx_convert, xlsx_convert, xls_convert, pptx_convert, pdf_convert, msg_convert = map(_office_query, ("docx", "xlsx", "xls", "pptx", "pdf", "msg"))
 
 QUERIES = (
     html_markdown, html_titles, html_markdown_length, markdown_preview, detect_types, route_candidates, unsupported_errors, all_failed_message,
     normalize_markdown, escape_cells, table_markdown, falsy_cells, workbook_markdown, deck_markdown, paged_markdown, list_markdown, email_markdown,
     output_names, batch_status, batch_count, remove_and_reindex, append_batch, convert_pages, html_lists, html_tables, html_inline,
-    docx_convert, xlsx_convert, pptx_convert, pdf_convert, msg_convert, unreadable_files, sink_roundtrip, binary_scan, stream_convert,
+    docx_convert, xlsx_convert, xls_convert, pptx_convert, pdf_convert, msg_convert, unreadable_files, sink_roundtrip, binary_scan, stream_convert,
 )
 
 
@@ -432,6 +433,9 @@ def oracle_sql() -> dict[str, str]:
         "xlsx_convert": rf"""
             select c_custkey, 'XlsxConverter' as converter, '## A' || {nl} || {nl} || '| ' || c_name || ' | p\|q |  |' || {nl} || '| --- | --- | --- |' || {nl} || '| ' || case when c_custkey = 0 then '' else c_custkey::varchar end
                 || ' |  | true |' || {nl} || {nl} || '## B' || {nl} || {nl} || '| ' || c_mktsegment || ' |' || {nl} || '| --- |' as markdown, 'c' || c_custkey || '.xlsx' as title, null::varchar as error from customer""",
+        "xls_convert": rf"""
+            select c_custkey, 'XlsxConverter' as converter, '## A' || {nl} || {nl} || '| ' || c_name || ' | p\|q |  |  |' || {nl} || '| --- | --- | --- | --- |' || {nl} || '| ' || case when c_custkey = 0 then '' else c_custkey::varchar end
+                || ' |  | true | 2.5 |' || {nl} || {nl} || '## B' || {nl} || {nl} || '| ' || c_mktsegment || ' |' || {nl} || '| --- |' as markdown, 'c' || c_custkey || '.xls' as title, null::varchar as error from customer""",
         "pptx_convert": f"""
             select c_custkey, 'PptxConverter' as converter, '## Slide 1' || {nl} || {nl} || c_name || {nl} || {nl} || c_custkey || {nl} || {nl} || '## Slide 2' || {nl} || {nl} || c_mktsegment as markdown,
                 'c' || c_custkey || '.pptx' as title, null::varchar as error from customer""",

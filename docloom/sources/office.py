@@ -78,6 +78,17 @@ def number_text(x: float) -> str:
     return f"{m[1].removesuffix('.0')}e{m[2]}{m[3]}" if m else t
 
 
+def padded(name: str | None, cells: dict[int, dict[int, str]]) -> list[list[str]]:
+    """Rows from the first to the last used one, each from the first used column to its own last cell."""
+    if not cells:
+        return []
+    top, bottom, left, right = min(cells), max(cells), min(map(min, cells.values())), max(map(max, cells.values()))
+    if (bottom - top + 1) * (right - left + 1) > MAX_CELLS:  # the table is padded to its widest row
+        raise ValueError(f"Sheet {name} spans more than {MAX_CELLS} cells")
+    rows = (cells.get(r, {}) for r in range(top, bottom + 1))
+    return [[row.get(c, "") for c in range(left, max(row) + 1)] if row else [] for row in rows]
+
+
 def sheets(content: bytes) -> list[dict]:
     """(name, rows of cell texts) of each sheet in workbook order; false, zero, errors and gaps are empty."""
     z = _archive(content)
@@ -96,15 +107,7 @@ def sheets(content: bytes) -> list[dict]:
                     column = column * 26 + ord(letter) - 64
                 r, k = (int(m[2]) - 1, column - 1) if m else (int(row.get("r", row_at + 1)) - 1, col_at)
                 cells.setdefault(r, {})[k] = _cell(c, strings)
-        rows: list[list[str]] = []
-        if cells:
-            top, bottom, left, right = min(cells), max(cells), min(map(min, cells.values())), max(map(max, cells.values()))
-            if (bottom - top + 1) * (right - left + 1) > MAX_CELLS:  # the table is padded to its widest row
-                raise ValueError(f"Sheet {s.get('name')} spans more than {MAX_CELLS} cells")
-            for r in range(top, bottom + 1):
-                row = cells.get(r, {})
-                rows.append([row.get(c, "") for c in range(left, max(row) + 1)] if row else [])
-        out.append({"name": s.get("name"), "rows": rows})
+        out.append({"name": s.get("name"), "rows": padded(s.get("name"), cells)})
     return out
 
 

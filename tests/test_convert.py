@@ -6,7 +6,7 @@ from pyspark.sql import functions as F
 from docloom.functions import detect, render, sql
 from docloom.operators import convert
 from docloom.operators.registry import UNSUPPORTED, Converter, Registry, builtins
-from docloom.plans.samples import archive, compound, pdf, pptx, xlsx
+from docloom.plans.samples import archive, compound, pdf, pptx, xls, xlsx
 from docloom.sources import files
 from docloom.streaming import convert_stream
 
@@ -175,3 +175,16 @@ def test_charset_time_limit_and_default_message(spark):
     assert got["c.slow"].error == "All converters failed: Slow: Operation timed out after 1 s"
     assert got["d.mute"].error == "All converters failed: Mute: Conversion failed"
     assert spark.range(1).select(convert.error_text(F.lit(None).cast("string"))).first()[0] == "Conversion failed"
+
+
+def test_old_workbooks():
+    from docloom.sources import xls as reader
+
+    book = xls([("S", [(1, 1, [1]), (1, 2, [0]), (3, 1, -7), (3, 2, 0.125), (3, 4, "f é"), (4, 1, False)]), ("T", [])], ["short", "中 文"])
+    assert reader.sheets(book) == [{"name": "S", "rows": [["中 文", "short"], [], ["-7", "0.125", "", "f é"], [""]]}, {"name": "T", "rows": []}]
+    parts = [b"\0" * 8 + struct.pack("<HB", 5, 0) + b"ab", b"\1" + "cdé".encode("utf-16-le") + struct.pack("<HBH", 1, 8, 1) + b"z", b"\0\0\0\0"]
+    r = reader._Reader(parts, 8)
+    assert [r.text(struct.unpack("<H", r.take(2))[0]) for _ in range(2)] == ["abcdé", "z"]  # goes on in wide letters; formats are passed over
+    assert reader._rk(struct.pack("<i", 12345 << 2 | 3)) == 123.45
+    with pytest.raises(ValueError):
+        reader.sheets(compound({"Book": b"x"}))
