@@ -307,7 +307,10 @@ def one_of_each(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text",
     marked = docs.select(*key, text.cast("binary").alias("text")).mapInArrow(run, "doc long, hash long, rep long, fp long, keys array<long>, sketch binary")
     marked = written(marked, "marks")
     nodes = written(marked.groupBy("rep").agg(F.min_by(F.struct("fp", "keys", "sketch", "doc", "hash"), F.struct("doc", "hash")).alias("m")).select("rep", "m.*"), "nodes")
-    keyed = nodes.select(F.explode("keys").alias("key"), "fp", "rep", "sketch")
+    # keys that one node alone has go before sketches are carried along
+    pairs = nodes.select(F.explode("keys").alias("key"), "rep")
+    shared = pairs.join(pairs.groupBy("key").agg(F.count("*").alias("n")).where("n > 1"), "key", "left_semi")
+    keyed = written(shared.join(nodes.select("rep", "fp", "sketch"), "rep").select("key", "fp", "rep", "sketch"), "keyed")
     proposed = components(links(keyed, budget, slice_rows, loose))
     proposed = written(proposed.select("node", "root").union(proposed.select(F.col("root").alias("node"), "root")).distinct(), "proposed")
     counted = written(marked.groupBy("doc", "hash", "rep").agg(F.count("*").alias("copies")), "counted")
