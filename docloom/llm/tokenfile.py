@@ -126,7 +126,7 @@ def write(docs: DataFrame, path: str, vocabulary: str, end_id: int | None = 2, i
 
 
 def _starts(spark: SparkSession, path: str) -> DataFrame:
-    """(part, base): ids in the parts before it; one row a part."""
+    """(part, base): ids in the parts before it; one row a part, so one task sorts as many rows as there are parts, some 100,000 for 100 TB."""
     sizes = spark.read.schema(FIELDS).parquet(path).groupBy("part").agg(F.sum("n_tokens").alias("size"))
     before = Window.orderBy("part").rowsBetween(Window.unboundedPreceding, -1)
     return sizes.select(F.col("part").alias("base_part"), F.coalesce(F.sum("size").over(before), F.lit(0)).alias("base"))
