@@ -90,6 +90,18 @@ def skew_join(left: DataFrame, right: DataFrame, keys: list[str], salt: Column,
     return left.join(right, [*keys, "_part"]).drop("_part")
 
 
+@contextmanager
+def small_batches(spark: SparkSession, rows: int = 1000) -> Iterator[None]:
+    """Arrow batches of so many rows at most for the jobs that run meanwhile; for rows with long lists."""
+    key = "spark.sql.execution.arrow.maxRecordsPerBatch"
+    before = spark.conf.get(key)
+    spark.conf.set(key, str(min(rows, int(before)) if int(before) > 0 else rows))
+    try:
+        yield
+    finally:
+        spark.conf.set(key, before)
+
+
 def text_of(docs: DataFrame, text_col: str = "text") -> Column:
     """The text column, null read as empty."""
     return F.coalesce(docs[text_col], F.lit(""))
