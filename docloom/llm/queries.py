@@ -5,7 +5,7 @@ from __future__ import annotations
 import public_tokenizers
 from pyspark.sql import functions as F
 
-from docloom.llm import bpe, decontaminate, fingerprint, linededup, quality, simhash, suffixtable, tokencount, tokenfile, urlfilter
+from docloom.llm import bpe, decontaminate, filteraudit, fingerprint, linededup, quality, simhash, suffixtable, tokencount, tokenfile, urlfilter
 from docloom.llm.common import scratch, table
 
 WORD_BPE = public_tokenizers.path("word_bpe_49k.json")
@@ -70,6 +70,10 @@ def op10_fingerprints(spark, sf_dir):
     return fingerprint.edited_fingerprints(table(spark, sf_dir, "documents"))
 
 
+def op13_filter_audit(spark, sf_dir):
+    return filteraudit.audited(table(spark, sf_dir, "documents"), table(spark, sf_dir, "labels"))
+
+
 def queries() -> dict:
     return {
         "op1_simhash": op1_simhash,
@@ -82,6 +86,7 @@ def queries() -> dict:
         "op8_quality": op8_quality,
         "op9_lm_scores": op9_lm_scores,
         "op10_fingerprints": op10_fingerprints,
+        "op13_filter_audit": op13_filter_audit,
     }
 
 
@@ -124,4 +129,27 @@ def oracle_sql() -> dict[str, str]:
             select page_id, any_value(host) as host, strftime(any_value(fetched), '%Y-%m-%d') as fetched, (count(pattern) > 0)::int as blocked,
                 arg_max(pattern, length(pattern)) as pattern, strftime(arg_max(since, length(pattern)), '%Y-%m-%d') as listed, count(pattern) as n_patterns
             from m group by page_id""",
+        "op13_filter_audit": """
+            with recursive orders(o) as (
+                select '' union all select o || f from orders, (values ('A'), ('B'), ('C'), ('D'), ('E')) t(f) where not contains(o, f)),
+            l as (select doc_id, max((quality = 1)::int) as good, max((toxic = 1)::int) as toxic from labels group by doc_id),
+            d as (
+                select d.doc_id, coalesce(source, '') as part, coalesce(text, '') as t, coalesce(good, 0) as good, coalesce(toxic, 0) as toxic,
+                    list_filter(regexp_split_to_array(coalesce(text, ''), '[\\x20\\x09-\\x0D]+'), lambda x: x <> '') as w
+                from documents d left join l on l.doc_id = d.doc_id),
+            m as (
+                select part, good, toxic, (len(w) < 50)::int + 2 * (100 * len(list_distinct(w)) < 65 * len(w))::int + 4 * (100 * length(regexp_replace(t, '[^A-Z]+', '', 'g')) > 5 * length(t))::int
+                    + 8 * regexp_matches(t, '[#$%&*|]')::int + 16 * coalesce(doc_id > min(doc_id) over (partition by t), false)::int as mask
+                from d),
+            cells as (select part, mask, count(*) as n, sum(good) as good, sum(toxic) as toxic from m group by all),
+            steps as (
+                select o, s::int as step, 1 << (ascii(o[s]) - 65) as bit, coalesce(list_sum(list_transform(range(1, s), lambda k: 1 << (ascii(o[k]) - 65))), 0)::bigint as seen
+                from orders, range(1, 6) r(s) where length(o) = 5),
+            counted as (
+                select part, o, step, bit, sum(n) filter (mask & (seen | bit) = 0) as kept, sum(n) filter (mask & bit > 0 and mask & seen = 0) as removed, sum(n) filter (mask & bit > 0 and mask & seen > 0) as redundant,
+                    sum(n) filter (mask = bit) as alone, sum(good) filter (mask & bit > 0 and mask & seen = 0) as good, sum(toxic) filter (mask & bit > 0 and mask & seen = 0) as toxic
+                from cells, steps group by part, o, step, bit)
+            select part, o as filter_order, step, coalesce(kept, 0)::bigint as kept, coalesce(removed, 0)::bigint as removed, coalesce(redundant, 0)::bigint as redundant, coalesce(alone, 0)::bigint as unique_fails,
+                coalesce(good, 0)::bigint as good_lost, coalesce(toxic, 0)::bigint as toxic_lost, coalesce(sum(removed) over (partition by part, bit), 0)::bigint as shapley
+            from counted""",
     }
