@@ -4,17 +4,16 @@ A stretch of period p and length m or more covers floor(m/p) multiples of p in a
 points jp and (j+1)p are compared: the longest common extension of the two, forward by the suffix array of the text
 and backward by that of the reversed text, gives the whole stretch around them. Over all p that is n/1 + n/2 + ... =
 O(n log n) pairs. An extension is the minimum of neighbours' common prefixes between two places of the suffix array,
-asked of a range-minimum table. Pairs whose own words differ, or that lack the equal grid points which a long enough
-stretch needs, have their answer without the arrays, and a text without any other pair never builds them.
+asked of a range-minimum table. Pairs that are refuted by a few comparisons (they lack the equal grid points, or differ
+within the first words, that a long enough stretch needs) have their answer without the arrays, and a text without
+any other pair never builds them.
 """
 
 from __future__ import annotations
 
 import hashlib
 import zlib
-from collections import defaultdict
 from collections.abc import Iterator
-from itertools import count
 
 import numpy as np
 import pyarrow as pa
@@ -39,16 +38,19 @@ class Extensions:
 
     def __init__(self, ids: np.ndarray):
         n = self.n = len(ids)
-        rank = np.unique(ids, return_inverse=True)[1].astype(np.int64)
-        ranks, width = [rank.astype(np.int32)], 1
-        while width < n and int(rank.max()) < n - 1:
+        rank = ids.astype(np.int64)
+        ranks, width = [ids.astype(np.int32)], 1
+        base = max(n, int(rank.max(initial=0)) + 1) + 1
+        while len(ranks) == 1 or width < n and int(rank.max()) < n - 1:
             after = np.zeros(n, np.int64)  # 0: the text ends before
             after[: n - width] = rank[width:] + 1
-            key = rank * (n + 1) + after
-            order = np.argsort(key, kind="stable")
+            key = rank * base + after
+            order = np.argsort(key)
             sorted_ = key[order]
+            ascending = np.zeros(n, np.int64)
+            np.cumsum(sorted_[1:] != sorted_[:-1], out=ascending[1:])
             rank = np.empty(n, np.int64)
-            rank[order] = np.cumsum(np.concatenate([[False], sorted_[1:] != sorted_[:-1]]))
+            rank[order] = ascending
             ranks.append(rank.astype(np.int32))
             width *= 2
         self.place = ranks[-1]  # of each suffix in the suffix array
@@ -88,8 +90,9 @@ class Extensions:
 def grid_pairs(ids: np.ndarray) -> Iterator[tuple[np.ndarray, np.ndarray]]:
     """Blocks of (p, jp): the pairs jp, (j+1)p of a period that may lie in a run.
 
-    A run of period p covers k = floor(max(24, 3p) / p) grid points in a row, all with the same word. A pair is left
-    out if it isn't among k points in a row that are equal.
+    A run of period p has m = max(24, 3p) words at least. It covers floor(m / p) grid points in a row, all with the same
+    word, and from the first of them its next m - 2p > 7 words come again p later. Pairs that can't be such a first one
+    are left out.
     """
     n = len(ids)
     top = n // MIN_PERIODS
@@ -113,7 +116,14 @@ def grid_pairs(ids: np.ndarray) -> Iterator[tuple[np.ndarray, np.ndarray]]:
         if len(begins):
             lengths = ends - begins + 1
             index = np.repeat(begins - np.cumsum(lengths) + lengths, lengths) + np.arange(lengths.sum())
-            yield periods[index], at[index]
+            period, at = periods[index], at[index]
+            for k in range(1, MIN_WORDS // MIN_PERIODS):
+                near = at + period + k < n
+                period, at = period[near], at[near]
+                same = ids[at + k] == ids[at + period + k]
+                period, at = period[same], at[same]
+            if len(at):
+                yield period, at
         p = q
 
 
@@ -121,7 +131,7 @@ def runs(ids: np.ndarray) -> np.ndarray:
     """Rows (start, length, period) of all runs, by start and then period."""
     n = len(ids)
     forward = backward = None
-    found = [np.empty((0, 3), np.int64)]
+    found = [np.empty((3, 0), np.int64)]
     for period, at in grid_pairs(ids):
         if forward is None:
             forward, backward = Extensions(ids), Extensions(ids[::-1])
@@ -129,17 +139,22 @@ def runs(ids: np.ndarray) -> np.ndarray:
         behind = backward.longest(n - at, n - at - period)
         length = behind + period + ahead
         long = length >= np.maximum(MIN_WORDS, MIN_PERIODS * period)
-        found.append(np.unique(np.stack([(at - behind)[long], length[long], period[long]], axis=1), axis=0))
-    rows = np.unique(np.concatenate(found), axis=0)
-    # a stretch of three periods or more whose smallest period is another one is that one's stretch too
-    first = np.concatenate([[True], (rows[1:, :2] != rows[:-1, :2]).any(axis=1)]) if len(rows) else np.empty(0, bool)
-    rows = rows[first]
-    return rows[np.lexsort((rows[:, 2], rows[:, 0]))]
+        found.append(_smallest(np.stack([at - behind, length, period])[:, long]))
+    start, length, period = _smallest(np.concatenate(found, axis=1))
+    return np.stack([start, length, period], axis=1)[np.lexsort((period, start))]
+
+
+def _smallest(rows: np.ndarray) -> np.ndarray:
+    """One column a stretch (start, length, period). If several periods have three of theirs in it, they are multiples of the smallest."""
+    rows = rows[:, np.lexsort((rows[2], rows[1], rows[0]))]
+    fresh = np.ones(rows.shape[1], bool)
+    fresh[1:] = (rows[:2, 1:] != rows[:2, :-1]).any(axis=0)
+    return rows[:, fresh]
 
 
 def word_ids(words: list[bytes]) -> np.ndarray:
-    known: defaultdict[bytes, int] = defaultdict(count().__next__)
-    return np.fromiter((known[w] for w in words), np.int32, len(words))
+    known = {w: k for k, w in enumerate(dict.fromkeys(words))}
+    return np.fromiter(map(known.__getitem__, words), np.int32, len(words))
 
 
 def planted(doc_id: int | None, words: list[bytes]) -> list[bytes]:
