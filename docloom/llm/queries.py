@@ -5,7 +5,7 @@ from __future__ import annotations
 import public_tokenizers
 from pyspark.sql import functions as F
 
-from docloom.llm import bpe, decontaminate, filteraudit, fingerprint, linededup, periodicity, quality, simhash, suffixtable, tokencount, tokenfile, urlfilter
+from docloom.llm import bpe, decontaminate, filteraudit, fingerprint, langid, linededup, periodicity, quality, simhash, suffixtable, tokencount, tokenfile, urlfilter
 from docloom.llm.common import scratch, table
 
 WORD_BPE = public_tokenizers.path("word_bpe_49k.json")
@@ -70,6 +70,10 @@ def op10_fingerprints(spark, sf_dir):
     return fingerprint.edited_fingerprints(table(spark, sf_dir, "documents"))
 
 
+def op11_language_id(spark, sf_dir):
+    return langid.predicted(table(spark, sf_dir, "documents"))
+
+
 def op12_periodic_runs(spark, sf_dir):
     return periodicity.periodic_runs(table(spark, sf_dir, "documents"), plant=True)
 
@@ -90,6 +94,7 @@ def queries() -> dict:
         "op8_quality": op8_quality,
         "op9_lm_scores": op9_lm_scores,
         "op10_fingerprints": op10_fingerprints,
+        "op11_language_id": op11_language_id,
         "op12_periodic_runs": op12_periodic_runs,
         "op13_filter_audit": op13_filter_audit,
     }

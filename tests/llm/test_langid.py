@@ -1,0 +1,109 @@
+import os
+import random
+import unicodedata
+import zlib
+
+import numpy as np
+import pytest
+from docloom.llm import langid
+from pyspark.sql import functions as F
+
+SYLLABLES = {"aa": ["ka", "to", "mi"], "bb": ["ka", "re", "lü"], "cc": ["жу", "то", "ми"]}
+
+
+def some(r, lang, n):
+    return " ".join("".join(r.choice(SYLLABLES[lang]) for _ in range(r.randrange(1, 4))) for _ in range(n))
+
+
+def plain_grams(text):
+    """Distinct n-grams with a blank for what stands between words, which only starts or ends one."""
+    sign = lambda c: c.lower()[0] if unicodedata.category(c)[0] in "LM" else " "
+    words = "".join(map(sign, text)).split()
+    padded = f" {' '.join(words)} "
+    out = {padded[k : k + n] for n in range(1, 5) for k in range(len(padded) - n + 1)}
+    return {g for g in out if g.strip() and " " not in g[1:-1]}
+
+
+def plain_kernel(a, b):
+    x, y = plain_grams(a), plain_grams(b)
+    return len(x & y) / (len(x) * len(y)) ** 0.5
+
+
+def spectra(texts):
+    return [langid.spectrum(langid.longest_grams(t)) for t in texts]
+
+
+def test_spectrum_and_kernel_against_sets():
+    r = random.Random(1)
+    texts = ["a", "A.b", "x y", " Hé, hé! é", "O'ne  two\n\nthree...", "1a2", "ÀÉ жу", "ab" * 50] + [some(r, lang, 30) for lang in SYLLABLES]
+    for t, s in zip(texts, spectra(texts)):
+        assert [len(g) for g in s] == [sum(len(g) == n for g in plain_grams(t)) for n in range(1, 5)], t
+    grams = [np.unique(np.concatenate([s[n] for s in spectra(texts)])) for n in range(4)]
+    got = langid.kernels(spectra(texts), spectra(texts[5:]), grams, block=7)
+    assert np.allclose(got, [[plain_kernel(a, b) for b in texts[5:]] for a in texts])
+
+
+def test_scores_are_the_kernel_ridge_regression():
+    """With every text a landmark, the scores are those of the regression solved in its dual form."""
+    r = random.Random(2)
+    langs = [lang for lang in SYLLABLES for _ in range(8)]
+    texts = [some(r, lang, r.randrange(2, 20)) for lang in langs]
+    new = [some(r, lang, n) for lang in SYLLABLES for n in (1, 3, 40)] + ["zzz"]
+    model = langid.solved(langs, spectra(texts), len(texts), 1e-3)
+    k = np.array([[plain_kernel(a, b) for b in texts] for a in texts])
+    y = np.array([[lang == name for name in SYLLABLES] for lang in langs], float)
+    middle = k.mean(axis=0)
+    n = len(texts)
+    centred = (np.eye(n) - 1 / n) @ k @ (np.eye(n) - 1 / n)
+    dual = (np.eye(n) - 1 / n) @ np.linalg.solve(centred + n * 1e-3 * np.eye(n), y - y.mean(axis=0))
+    want = np.array([[plain_kernel(a, b) for b in texts] for a in new]) @ dual
+    want += y.mean(axis=0) - middle @ dual
+    assert np.allclose(model.outputs(spectra(new)), want, atol=1e-5)
+
+
+def test_rows(spark):
+    r = random.Random(3)
+    docs = [(k, some(r, lang, r.randrange(3, 60)), lang, "x") for k, lang in enumerate([*SYLLABLES] * 60)]
+    docs += [(900, None, "aa", "x"), (901, "", "aa", "x"), (902, "12 ,;", "aa", "x"), (903, "ka to", None, "x"), (None, "ka mi to", "aa", "x"), (903, "ka to", None, "x"), (904, "́", "aa", "x"), (905, "жу " * 30_000, "cc", "x")]
+    df = spark.createDataFrame(docs, "doc_id long, text string, lang string, held_out string")
+    got = langid.predicted(df).collect()
+    assert len(got) == len(docs) and got[0].__fields__ == ["doc_id", "held_out", "lang_pred", "score"]
+    by_id = {x.doc_id: x for x in got}
+    for doc_id, text, lang, _ in docs:
+        x = by_id[doc_id]
+        assert x.held_out == (zlib.crc32(("" if doc_id is None else str(doc_id)).encode()) % 4 == 2) and 0 <= x.score <= 1
+        if doc_id in (900, 901, 902, 904):
+            assert (x.lang_pred, x.score) == ("und", 0.0)
+        elif doc_id != 903:
+            assert x.lang_pred == lang
+    assert by_id[903].lang_pred == "aa" and sum(x.doc_id == 903 for x in got) == 2
+    assert langid.predicted(df.limit(0)).count() == 0
+    assert {x.lang_pred for x in langid.predicted(df.withColumn("lang", F.lit(None).cast("string"))).collect()} == {"und"}
+    one = langid.predicted(df.where("lang = 'aa'")).collect()
+    assert {x.lang_pred for x in one} == {"aa", "und"}
+
+
+def test_held_out_labels_and_other_columns_are_no_input(spark):
+    r = random.Random(4)
+    docs = [(k, some(r, lang, 20), lang, lang) for k, lang in enumerate(["aa", "bb"] * 60)]
+    df = spark.createDataFrame(docs, "doc_id long, text string, lang string, source string")
+    key = lambda rows: sorted(map(tuple, rows))
+    changed = df.withColumn("lang", F.when(langid.is_held_out(F.col("doc_id"), 4), "zz").otherwise(F.col("lang"))).withColumn("source", F.lit("q"))
+    assert key(langid.predicted(df).collect()) == key(langid.predicted(changed).collect())
+
+
+def test_sample_is_bounded_even_and_without_copies(spark):
+    rows = spark.range(9000).select(F.col("id").alias("doc_id"), F.when(F.col("id") % 3 == 0, "same text").otherwise(F.concat(F.lit("w"), F.translate(F.col("id").cast("string"), "0123456789", "abcdefghij"))).alias("text"), F.when(F.col("id") % 10 == 1, "rare").when(F.col("id") % 1000 == 2, "least").otherwise("often").alias("lang"))
+    got = langid.training_texts(rows, F.lit(True), 300, 2, 100, "text", "lang").collect()
+    by = {lang: [x.text for x in got if x.lang == lang] for lang in ("often", "rare", "least")}
+    assert len(by["often"]) == len(by["rare"]) == 150 and not by["least"]
+    assert all(len(set(t)) == len(t) for t in by.values())
+    assert langid.training_texts(rows, F.lit(True), 300, 2, 5, "text", "lang").where("length(text) > 5").count() == 0
+
+
+@pytest.mark.skipif(not os.path.isdir("/root/testdata/sf0.01"), reason="the supplied tables aren't here")
+def test_held_out_accuracy(spark):
+    docs = spark.read.parquet("/root/testdata/sf0.01/documents.parquet")
+    found = langid.predicted(docs).where("held_out").join(docs.select("doc_id", "lang"), "doc_id")
+    n, right = found.agg(F.count("*"), F.sum((F.col("lang") == F.col("lang_pred")).cast("int"))).first()
+    assert n > 200 and right >= 0.99 * n
