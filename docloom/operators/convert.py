@@ -12,13 +12,13 @@ from contextlib import contextmanager
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from docloom.functions import detect, render
+from docloom.functions import detect, layout, render
 from docloom.functions.text import html_title, normalize, or_else
 from docloom.operators.registry import UNSUPPORTED, Registry, all_failed, builtins
 from docloom.sources import html as html_source
 
 MAIL = "struct<subject:string,sender_name:string,sender_email:string,sender_smtp:string,recipients:array<struct<recip_type:string,email:string,name:string>>,submit_time:string,body_html:string,body:string>"
-PARSED = f"converter string, attempts array<struct<converter:string,error:string>>, markdown string, html string, pages array<struct<n:int,items:array<string>>>, slides array<struct<name:string,texts:array<string>>>, sheets array<struct<name:string,rows:array<array<string>>>>, mail {MAIL}"
+PARSED = f"converter string, attempts array<struct<converter:string,error:string>>, markdown string, html string, pages array<struct<n:int,runs:{layout.RUNS}>>, slides array<struct<name:string,texts:array<string>>>, sheets array<struct<name:string,rows:array<array<string>>>>, mail {MAIL}"
 FAILED = "Conversion failed"  # what an error without a message says
 _FIELDS = ("converter", "attempts", "markdown", "html", "pages", "slides", "sheets", "mail")
 _MAIL_FIELDS = ("subject", "sender_name", "sender_email", "sender_smtp", "recipients", "submit_time", "body_html", "body")
@@ -94,7 +94,7 @@ def converted(files: DataFrame, registry: Registry | None = None, filename: str
     mail_title = or_else(p["mail"]["subject"], F.col(filename))
     markdown = (
         F.when(p["markdown"].isNotNull(), p["markdown"])
-        .when(p["pages"].isNotNull(), render.pages(p["pages"]))
+        .when(p["pages"].isNotNull(), render.pages(layout.pages(p["pages"])))
         .when(p["slides"].isNotNull(), render.deck(p["slides"]))
         .when(p["sheets"].isNotNull(), render.workbook(p["sheets"]))
         .when(p["mail"].isNotNull(), render.email(p["mail"]))

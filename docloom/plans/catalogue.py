@@ -248,6 +248,14 @@ def _office_query(kind: str):
     return query
 
 
+def pdf_layout(spark, sf_dir):
+    """Documents as typeset pages, whose words are in pieces and whose blanks are gaps, back to text."""
+    d = _table(spark, sf_dir, "documents")
+    content = _made(lambda t, k: samples.laid_out(t, deflate=k % 2 == 0), F.coalesce(d.text, F.lit("")), d.doc_id)
+    files = d.select("doc_id", F.concat(F.lit("d"), d.doc_id.cast("string"), F.lit(".pdf")).alias("filename"), content.alias("content"))
+    return convert.converted(files).select("doc_id", "markdown", "error")
+
+
 def unreadable_files(spark, sf_dir):
     """Texts under the names of office files: each is an error row that says which converter failed."""
     c = _table(spark, sf_dir, "customer")
@@ -290,7 +298,7 @@ QUERIES = (
     html_markdown, html_titles, html_markdown_length, markdown_preview, detect_types, route_candidates, unsupported_errors, all_failed_message,
     normalize_markdown, escape_cells, table_markdown, falsy_cells, workbook_markdown, deck_markdown, paged_markdown, list_markdown, email_markdown,
     output_names, batch_status, batch_count, remove_and_reindex, append_batch, convert_pages, html_lists, html_tables, html_inline,
-    docx_convert, xlsx_convert, xls_convert, pptx_convert, pdf_convert, msg_convert, unreadable_files, sink_roundtrip, binary_scan, stream_convert,
+    docx_convert, xlsx_convert, xls_convert, pptx_convert, pdf_convert, msg_convert, pdf_layout, unreadable_files, sink_roundtrip, binary_scan, stream_convert,
 )
 
 
@@ -442,6 +450,15 @@ def oracle_sql() -> dict[str, str]:
         "pdf_convert": f"""
             select c_custkey, 'PdfConverter' as converter, case when c_custkey % 2 = 1 then '## Page 1' || {nl} || {nl} || c_name || ' ' || c_mktsegment || {nl} || {nl} || '## Page 3' || {nl} || {nl} || '(' || c_custkey || ')'
                 when c_custkey % 4 = 2 then c_custkey::varchar else '{render.NO_PAGES}' end as markdown, 'c' || c_custkey || '.pdf' as title, null::varchar as error from customer""",
+        # words of a line without the blanks around them; characters that the font lacks are question marks
+        "pdf_layout": rf"""
+            with l as (select doc_id, string_split(regexp_replace(coalesce(text, ''), '[^\x00-\x7f\x{{a0}}-\x{{ff}}]', '?', 'g'), {nl}) as lines from documents),
+            k as (select doc_id, (len(lines) + 39) // 40 as total, unnest(range(1, (len(lines) + 39) // 40 + 1)) as n, lines from l),
+            p as (
+                select doc_id, total, n, array_to_string(list_filter(list_transform(lines[40 * n - 39:40 * n], lambda x: array_to_string(list_filter(string_split(x, ' '), lambda w: w <> ''), ' ')), lambda x: {_trim_sql("x")} <> ''), ' ') as t
+                from k),
+            m as (select doc_id, {_trim_sql(f"coalesce(string_agg(case when total > 1 then '## Page ' || n || {nl} || {nl} else '' end || t, {nl} || {nl} order by n) filter (t <> ''), '')")} as t from p group by doc_id)
+            select doc_id, {_normalize_sql(f"case when t = '' then '{render.NO_PAGES}' else t end")} as markdown, null::varchar as error from m""",
         "msg_convert": f"""
             select c_custkey, 'OutlookMsgConverter' as converter, '# Email Message' || {nl} || {nl} || '**Subject:** ' || c_mktsegment || {nl} || '**From:** ' || c_name || ' <c' || c_custkey || '@example.com>' || {nl}
                 || '**To:** a@example.com; b@example.com' || {nl} || '**Cc:** d' || c_custkey || '@example.com' || {nl} || {nl} || '## Content' || {nl} || {nl} || c_custkey || {nl} || {nl} || 'bye' as markdown,
