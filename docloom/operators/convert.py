@@ -18,12 +18,27 @@ from docloom.operators.registry import UNSUPPORTED, Registry, all_failed, builti
 from docloom.sources import html as html_source
 
 MAIL = "struct<subject:string,sender_name:string,sender_email:string,sender_smtp:string,recipients:array<struct<recip_type:string,email:string,name:string>>,submit_time:string,body_html:string,body:string>"
-PARSED = f"converter string, attempts array<struct<converter:string,error:string>>, markdown string, html string, pages array<struct<n:int,runs:{layout.RUNS}>>, slides array<struct<name:string,texts:array<string>>>, sheets array<struct<name:string,rows:array<array<string>>>>, mail {MAIL}"
+PARSED = f"converter string, attempts array<struct<converter:string,error:string>>, markdown string, html string, pages array<{layout.PAGE}>, slides array<struct<name:string,texts:array<string>>>, sheets array<struct<name:string,rows:array<array<string>>>>, mail {MAIL}"
 FAILED = "Conversion failed"  # what an error without a message says
 _FIELDS = ("converter", "attempts", "markdown", "html", "pages", "slides", "sheets", "mail")
 _MAIL_FIELDS = ("subject", "sender_name", "sender_email", "sender_smtp", "recipients", "submit_time", "body_html", "body")
 
 
+def spread(rows: DataFrame) -> DataFrame:
+    """The rows, dealt out anew if they come from a scan of fewer partitions than there are cores.
+
+    Readers cost far more than a shuffle of what they read, and a small table may be one partition. Such a scan holds
+    few partitions' bytes, so what is shuffled has a bound. Streams, larger scans and plans with a shuffle of their own
+    are left as they are.
+    """
+    if rows.isStreaming:
+        return rows
+    cores, execution = rows.sparkSession.sparkContext.defaultParallelism, rows._jdf.queryExecution()
+    if execution.executedPlan().getClass().getSimpleName() == "AdaptiveSparkPlanExec":  # it has a shuffle or a subquery
+        return rows
+    return rows.repartition(cores) if execution.toRdd().getNumPartitions() < cores else rows
+
+
 def html_to_markdown(html: Column) -> Column:
     """Normalized Markdown of an HTML text; null gives null."""
     walk = F.udf(lambda h: None if h is None else html_source.markdown(h), "string", useArrow=True)
@@ -89,7 +104,7 @@ def converted(files: DataFrame, registry: Registry | None = None, filename: str
     rows = rows.withColumn("mimetype", detect.mimetype(F.coalesce(F.col(filename), F.lit("")), F.col(declared) if declared else F.lit("")))
     rows = rows.withColumn("candidates", registry.candidates(F.col("extension"), F.col("mimetype")))
     readable = (F.size("candidates") > 0) & F.col(content).isNotNull()
-    parsed = rows.where(readable).withColumn("parsed", _reader(registry, seconds)("candidates", content, F.col(charset) if charset else F.lit(None).cast("string")))
+    parsed = spread(rows.where(readable)).withColumn("parsed", _reader(registry, seconds)("candidates", content, F.col(charset) if charset else F.lit(None).cast("string")))
     p = F.col("parsed")
     mail_title = or_else(p["mail"]["subject"], F.col(filename))
     markdown = (

@@ -17,12 +17,14 @@ from html.entities import html5
 
 MAX_STREAM = 256 << 20
 MAX_DEPTH = 100  # of arrays and dictionaries in each other
+MAX_READ = 10_000  # strings that a font remembers
 MAX_FORMS, MAX_SHOWN = 12, 10_000  # forms that show each other, and forms that a page shows
 
 _OBJECT = re.compile(rb"\b(\d+)\s+\d+\s+obj\b")
 _STREAM = re.compile(rb"\bstream\r?\n")
 _TOKEN = re.compile(rb"[\0\t\n\f\r ]+|%[^\r\n]*|(?P<mark><<|>>|\[|\])|/(?P<name>[^\0\t\n\f\r ()<>\[\]{}/%]*)|<(?P<hex>[^<>]*)>|(?P<open>\()|(?P<number>[+-]*(?:\d+\.?\d*|\.\d+))(?![^\0\t\n\f\r ()<>\[\]{}/%])|(?P<op>[^\0\t\n\f\r ()<>\[\]{}/%]+)|.", re.S)
 _BRACKET = re.compile(rb"\\.|[()]", re.S)
+_PLAIN = re.compile(rb"([^\\()\r]*)\)")
 _ESCAPE = re.compile(rb"\\([0-7]{1,3}|\r?\n|.)|\r\n?", re.S)
 _INLINE_IMAGE_END = re.compile(rb"[\0\t\n\f\r ]EI(?=[\0\t\n\f\r ]|\Z)")
 # Escapes in PDF strings.
@@ -79,6 +81,8 @@ def _unescaped(inner: bytes) -> bytes:
 
 def _string(data: bytes, at: int) -> tuple[bytes, int]:
     """The string whose bracket opens before `at`, and where it ends; brackets within it are balanced."""
+    if m := _PLAIN.match(data, at):
+        return m[1], m.end()
     depth, k = 1, at
     while m := _BRACKET.search(data, k):
         k = m.end()
@@ -237,7 +241,7 @@ def glyph(name: str) -> str | None:
     return html5.get(name + ";")
 
 
-def _narrow(c: str) -> float:
+def _guessed(c: str) -> float:
     """A guess of a character's width, in thousandths of the size, for fonts that give none."""
     if c in " iljtfI.,:;'!|()[]/\\-":
         return 278.0
@@ -255,6 +259,7 @@ class Font:
         if self.mapped:
             self._read_map(file.stream(ref))
         self.widths: dict[int, float] = {}
+        self.read: dict[bytes, tuple] = {}
         self.default: float | None = None
         if self.wide:
             below = file.dict(next(iter(file.list(font.get("DescendantFonts"))), None))
@@ -324,12 +329,20 @@ class Font:
                         self.map |= {k: t[:-1] + chr(min(ord(t[-1]) + k - first, 0x10FFFF)) for k in range(first, last + 1)}
             stack = []
 
-    def shown(self, data: bytes) -> Iterator[tuple[int, str, float]]:
-        """(code, text, width in thousandths of the size)."""
+    def shown(self, data: bytes) -> tuple[str, float, int, int]:
+        """The text of a string, its width in thousandths of the size, and how many codes and blanks of one byte it has."""
+        if data not in self.read:
+            if len(self.read) >= MAX_READ:
+                self.read.clear()
+            self.read[data] = self._shown(data)
+        return self.read[data]
+
+    def _shown(self, data: bytes) -> tuple[str, float, int, int]:
         if self.wide and not self.mapped:
             raise ValueError("A font of the page has no map to Unicode")
-        for k in range(0, len(data) - self.size + 1, self.size):
-            code = int.from_bytes(data[k : k + self.size])
+        codes = list(data) if self.size == 1 else [int.from_bytes(data[k : k + self.size]) for k in range(0, len(data) - self.size + 1, self.size)]
+        texts, total = [], 0.0
+        for code in codes:
             text = self.map.get(code)
             if text is None and not self.wide and code < 256:
                 text = self.simple[code]
@@ -337,7 +350,9 @@ class Font:
                     raise ValueError("A font of the page has a glyph whose name doesn't tell its character")
             text = text or ""
             width = self.widths.get(code, self.default)
-            yield code, text, sum(map(_narrow, text)) if width is None else width
+            total += sum(map(_guessed, text)) if width is None else width
+            texts.append(text)
+        return "".join(texts).replace("\0", ""), total, len(codes), codes.count(32) if self.size == 1 else 0
 
 
 Matrix = tuple[float, float, float, float, float, float]
@@ -351,10 +366,11 @@ def _times(m: Matrix, n: Matrix) -> Matrix:
 
 
 class Page:
-    """The state of text while a page's operators are followed; `runs` gets what they show."""
+    """The state of text while a page's operators are followed; the lists get what they show, a run after the other."""
 
     def __init__(self, file: File):
-        self.file, self.runs = file, []
+        self.file = file
+        self.x, self.y, self.width, self.height, self.angle, self.text = [], [], [], [], [], []
         self.fonts: dict[int, Font] = {}
         self.ctm = ONE
         # font, size, character and word space, scale, leading, rise
@@ -378,21 +394,31 @@ class Page:
     def _move(self, x: float, y: float) -> None:
         self.line = self.matrix = _times((1.0, 0.0, 0.0, 1.0, x, y), self.line)
 
+    def _forward(self, x: float) -> None:
+        a, b, c, d, e, f = self.matrix
+        self.matrix = a, b, c, d, e + x * a, f + x * b
+
     def _show(self, data: bytes) -> None:
         self.font = self.font or Font(self.file, {})
-        text, advance = [], 0.0
-        for code, t, width in self.font.shown(data):
-            text.append(t)
-            advance += (width / 1000 * self.size + self.chars + (self.words if code == 32 and self.font.size == 1 else 0.0)) * self.scale
-        a, b, c, d, e, f = _times((1.0, 0.0, 0.0, 1.0, 0.0, self.rise), _times(self.matrix, self.ctm))
-        stretch = math.hypot(a, b)
+        text, width, codes, blanks = self.font.shown(data)
+        advance = (width / 1000 * self.size + self.chars * codes + self.words * blanks) * self.scale
+        a, b, c, d, e, f = self.matrix
+        if self.ctm is not ONE:
+            a, b, c, d, e, f = _times(self.matrix, self.ctm)
+        e, f = e + self.rise * c, f + self.rise * d
+        stretch = abs(a) if not b else math.hypot(a, b)
         x, y = (a / stretch, b / stretch) if stretch else (1.0, 0.0)
         if self.size * self.scale < 0:
             x, y = -x, -y
         if text:
             # along and across the direction in which the text runs
-            self.runs.append({"x": e * x + f * y, "y": f * x - e * y, "width": abs(advance) * stretch, "size": abs(self.size) * math.hypot(c, d), "angle": round(math.degrees(math.atan2(y, x))) % 360, "text": "".join(text)})
-        self.matrix = _times((1.0, 0.0, 0.0, 1.0, advance, 0.0), self.matrix)
+            self.x.append(e * x + f * y)
+            self.y.append(f * x - e * y)
+            self.width.append(abs(advance) * stretch)
+            self.height.append(abs(self.size) * (abs(d) if not c else math.hypot(c, d)))
+            self.angle.append(0 if not y and x > 0 else round(math.degrees(math.atan2(y, x))) % 360)
+            self.text.append(text)
+        self._forward(advance)
 
     def follow(self, data: bytes, resources: dict, forms: int = 0) -> None:
         args: list = []
@@ -414,7 +440,7 @@ class Page:
                     if isinstance(part, bytes):
                         self._show(part)
                     elif isinstance(part, float):
-                        self.matrix = _times((1.0, 0.0, 0.0, 1.0, -part / 1000 * self.size * self.scale, 0.0), self.matrix)
+                        self._forward(-part / 1000 * self.size * self.scale)
             elif v == b"Tf":
                 self.size = n(-1)
                 self._choose(args[-2] if len(args) > 1 and isinstance(args[-2], str) else "", resources)
@@ -488,12 +514,12 @@ def _pages(file: File) -> Iterator[tuple[dict, dict]]:
 
 
 def pages(content: bytes) -> list[dict]:
-    """(n, runs) of each page; a run has x and y along and across its direction, width, size, angle in degrees, and text."""
+    """(n, x, y, width, size, angle, text) of each page, lists with an entry a run: its place along and across its direction, angle in degrees."""
     file, out = File(content), []
     for n, (node, resources) in enumerate(_pages(file), 1):
         page = Page(file)
         parts = file.get(node.get("Contents"))
         parts = parts if isinstance(parts, list) else [node.get("Contents")]
         page.follow(b"\n".join(file.stream(p) for p in parts if isinstance(p, Ref)), resources)
-        out.append({"n": n, "runs": page.runs})
+        out.append({"n": n, "x": page.x, "y": page.y, "width": page.width, "size": page.height, "angle": page.angle, "text": page.text})
     return out
