@@ -1,4 +1,8 @@
-"""Markdown from tables, sheets, pages, slides, lists and messages held in arrays and structs."""
+"""Markdown from tables, sheets, pages, slides, lists and messages held in arrays and structs.
+
+A lambda here never uses the variable of a lambda around it, but gets what it needs in the array that it is applied
+to: Spark can't pass the result of one that does to a Python function.
+"""
 
 from __future__ import annotations
 
@@ -18,6 +22,50 @@ def escape_cell(cell: Column) -> Column:
     return F.replace(F.replace(c, F.lit("\n"), F.lit(" ")), F.lit("\r"), F.lit(""))
 
 
+BLOCKS = "struct<tag:array<string>,text:array<string>,href:array<string>,cells:array<array<array<string>>>>"
+#: What stands before and after the text of an element; elements without an entry are their text.
+MARKS = {
+    **{f"h{k}": ("#" * k + " ", "\n\n") for k in range(1, 7)},
+    "p": ("", "\n\n"), "blockquote": ("> ", "\n\n"), "pre": ("```\n", "\n```\n\n"), "code": ("`", "`"),
+    "strong": ("**", "**"), "b": ("**", "**"), "em": ("*", "*"), "i": ("*", "*"), "br": ("\n", ""),
+}
+
+
+def blocks(b: Column) -> Column:
+    """Markdown of the blocks of an HTML body (see BLOCKS), before its line ends are normalized.
+
+    A list or table in another block is only that block's text, cells aren't escaped or padded, a list item outside a
+    list is nothing, and texts between elements are followed by a blank.
+    """
+    marks = [F.create_map(*(F.lit(x) for tag, pair in MARKS.items() for x in (tag, pair[side]))) for side in (0, 1)]
+    line = lambda cells: F.concat(F.lit("| "), F.array_join(cells, " | "), F.lit(" |\n"))
+    inked = lambda cells: F.transform(cells, trim)
+
+    def grid(rows: Column) -> Column:
+        rule = lambda row: line(F.transform(row, lambda _: F.lit("---")))
+        each = F.transform(rows, lambda row, k: F.concat(line(inked(row)), F.when(k == 0, rule(row)).otherwise("")))
+        return F.concat(F.array_join(each, ""), F.lit("\n"))
+
+    def listed(items: Column, mark) -> Column:
+        return F.concat(F.array_join(F.transform(items, lambda i, k: F.concat(mark(k), trim(F.get(i, F.lit(0))), F.lit("\n"))), ""), F.lit("\n"))
+
+    def piece(block: Column) -> Column:
+        tag, raw, href, cells = (block[c] for c in ("tag", "text", "href", "cells"))
+        text, target = trim(raw), F.nullif(href, F.lit(""))
+        return (
+            F.when(tag == "#text", F.when(text == "", "").otherwise(F.concat(text, F.lit(" "))))
+            .when(tag == "a", F.coalesce(F.concat(F.lit("["), text, F.lit("]("), target, F.lit(")")), text))
+            .when(tag == "img", F.coalesce(F.concat(F.lit("!["), raw, F.lit("]("), target, F.lit(")\n\n")), F.lit("")))
+            .when(tag == "li", "")
+            .when(tag == "ul", listed(cells, lambda k: F.lit("- ")))
+            .when(tag == "ol", listed(cells, lambda k: F.concat((k + 1).cast("string"), F.lit(". "))))
+            .when(tag == "table", grid(cells))
+            .otherwise(F.concat(F.coalesce(marks[0][tag], F.lit("")), text, F.coalesce(marks[1][tag], F.lit(""))))
+        )
+
+    return F.array_join(F.transform(F.arrays_zip(b["tag"], b["text"], b["href"], b["cells"]), piece), "")
+
+
 def falsy_to_empty(number: Column) -> Column:
     """Numbers as cells: zero and NaN are empty."""
     return F.when((number == 0) | F.isnan(number.cast("double")) | number.isNull(), "").otherwise(number.cast("string"))
@@ -30,8 +78,8 @@ def _row(cells: Column) -> Column:
 def table(rows: Column) -> Column:
     """array<array<string>>: the first row is the header; rows are padded to the widest."""
     width = F.array_max(F.transform(rows, F.size))
-    padded = F.transform(rows, lambda r: F.transform(F.concat(r, F.array_repeat(F.lit(""), width - F.size(r))), escape_cell))
-    lines = F.transform(padded, _row)
+    pads = F.zip_with(rows, F.array_repeat(width, F.size(rows)), lambda r, w: F.concat(r, F.array_repeat(F.lit(""), w - F.size(r))))
+    lines = F.transform(pads, lambda r: _row(F.transform(r, escape_cell)))
     rule = _row(F.array_repeat(F.lit("---"), width))
     return F.array_join(F.concat(F.slice(lines, 1, 1), F.array(rule), F.slice(lines, 2, F.size(rows))), "\n")
 

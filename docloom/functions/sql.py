@@ -5,15 +5,68 @@ from __future__ import annotations
 from pyspark.sql import SparkSession
 from pyspark.sql import functions as F
 
+from docloom.functions import render, text
+
+NODES = "node_id int, parent_id int, tag string, text string, attrs map<string,string>"
+
+
+class HtmlNodes:
+    """html_nodes(html): a row for each element and text of the body, in document order; a null or empty text has the body alone."""
+
+    def eval(self, html: str):
+        from docloom.sources.html import nodes
+
+        yield from nodes(html or "")
+
+
+def html_nodes():
+    """The table function itself, for `DataFrame.lateralJoin(html_nodes()(F.col("html").outer()))`."""
+    return F.udtf(HtmlNodes, returnType=NODES, useArrow=True)
+
+
+def _quoted(value: str) -> str:
+    return "'" + value.replace("\\", "\\\\").replace("'", "\\'").replace("\n", "\\n") + "'"
+
+
+def _trim(c: str) -> str:
+    return f"regexp_replace({c}, {_quoted(text.TRIM)}, '')"
+
+
+def _normalize(c: str) -> str:
+    return f"regexp_replace(regexp_replace({c}, {_quoted(text.TRAIL)}, ''), '\\n{{3,}}+', '\\n\\n')"
+
+
+def _blocks(b: str) -> str:
+    """`render.blocks` as SQL, by the same marks."""
+    before, after = (f"map({', '.join(f'{_quoted(tag)}, {_quoted(pair[side])}' for tag, pair in render.MARKS.items())})" for side in (0, 1))
+    own, cells = _trim(f"{b}.text[k]"), f"{b}.cells[k]"
+    line = lambda row: f"concat('| ', array_join({row}, ' | '), ' |\\n')"
+    inked, ruled = (line(f"transform(r, c -> {x})") for x in (_trim("c"), "'---'"))
+    mark = "if(tag = 'ol', concat(j + 1, '. '), '- ')"
+    return f"""array_join(transform({b}.tag, (tag, k) -> case
+        when tag = '#text' then if({own} = '', '', concat({own}, ' '))
+        when tag = 'a' then coalesce(concat('[', {own}, '](', nullif({b}.href[k], ''), ')'), {own})
+        when tag = 'img' then coalesce(concat('![', {b}.text[k], '](', nullif({b}.href[k], ''), ')\\n\\n'), '')
+        when tag = 'li' then ''
+        when tag in ('ul', 'ol') then concat(array_join(transform({cells}, (r, j) -> concat({mark}, {_trim("r[0]")}, '\\n')), ''), '\\n')
+        when tag = 'table' then concat(array_join(transform({cells}, (r, j) -> concat({inked}, if(j = 0, {ruled}, ''))), ''), '\\n')
+        else concat(coalesce({before}[tag], ''), {own}, coalesce({after}[tag], '')) end), '')"""
+
 
 def register(spark: SparkSession) -> None:
-    """html_to_markdown(string), markdown_to_html(string); line ends are normalized by normalize_markdown(string)."""
+    """Scalar functions html_blocks, html_to_markdown, normalize_markdown, markdown_to_html, and the table function html_nodes.
+
+    html_to_markdown gives what the column function of that name does, and as there only html_blocks runs in Python.
+    """
     from docloom.operators.preview import to_html
-    from docloom.sources.html import markdown
+    from docloom.sources.html import blocks
 
-    spark.udf.register("html_to_markdown", F.udf(lambda h: None if h is None else markdown(h), "string", useArrow=True))
+    spark.udf.register("html_blocks", F.udf(lambda h: None if h is None else blocks(h), render.BLOCKS, useArrow=True))
     spark.udf.register("markdown_to_html", F.udf(lambda m: None if m is None else to_html(m), "string", useArrow=True))
-    ws = r"[\\t\\n\\x0B\\f\\r \\x{00a0}\\x{1680}\\x{2000}-\\x{200a}\\x{2028}\\x{2029}\\x{202f}\\x{205f}\\x{3000}\\x{feff}]"
-    spark.sql(f"""
-        create or replace temporary function normalize_markdown(m string) returns string
-        return regexp_replace(array_join(transform(split(m, '\\n'), x -> regexp_replace(x, '{ws}+\\\\z', '')), '\\n'), '\\n{{3,}}', '\\n\\n')""")
+    spark.udtf.register("html_nodes", html_nodes())
+    for name, argument, kind, body in (
+        ("normalize_markdown", "m", "string", _normalize("m")),
+        ("blocks_to_markdown", "b", render.BLOCKS, _blocks("b")),
+        ("html_to_markdown", "h", "string", "normalize_markdown(blocks_to_markdown(html_blocks(h)))"),
+    ):
+        spark.sql(f"create or replace temporary function {name}({argument} {kind}) returns string return {body}")

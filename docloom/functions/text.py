@@ -12,13 +12,14 @@ WS_CHARS = "\t\n\x0b\f\r \xa0 " + "".join(map(chr, range(0x2000, 0x200B))) + "
 
 # A run is matched from its first character only (none of its kind before it) and never given back, so time is linear.
 _BLANK = WS.replace(r"\n", "")  # within a line
-_TRAIL = rf"{_BLANK}(?<!{_BLANK}{_BLANK}){_BLANK}*+(?=\n|\z)"
+TRAIL = rf"{_BLANK}(?<!{_BLANK}{_BLANK}){_BLANK}*+(?=\n|\z)"
 _END = rf"{WS}(?<!{WS}{WS}){WS}*+\z"
+TRIM = rf"\A{WS}++|{_END}"
 _INK = WS.replace("[", "[^", 1)
 
 
 def trim(c: Column) -> Column:
-    return F.regexp_replace(c, rf"\A{WS}++|{_END}", "")
+    return F.regexp_replace(c, TRIM, "")
 
 
 def trim_end(c: Column) -> Column:
@@ -32,7 +33,7 @@ def is_blank(c: Column) -> Column:
 
 def normalize(markdown: Column) -> Column:
     """Each line right-trimmed, then three or more newlines made two; the document itself isn't trimmed."""
-    return F.regexp_replace(F.regexp_replace(markdown, _TRAIL, ""), "\n{3,}+", "\n\n")
+    return F.regexp_replace(F.regexp_replace(markdown, TRAIL, ""), "\n{3,}+", "\n\n")
 
 
 def utf16_length(c: Column) -> Column:

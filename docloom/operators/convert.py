@@ -18,9 +18,9 @@ from docloom.operators.registry import UNSUPPORTED, Registry, all_failed, builti
 from docloom.sources import html as html_source
 
 MAIL = "struct<subject:string,sender_name:string,sender_email:string,sender_smtp:string,recipients:array<struct<recip_type:string,email:string,name:string>>,submit_time:string,body_html:string,body:string>"
-PARSED = f"converter string, attempts array<struct<converter:string,error:string>>, markdown string, html string, pages array<{layout.PAGE}>, slides array<struct<name:string,texts:array<string>>>, sheets array<struct<name:string,rows:array<array<string>>>>, mail {MAIL}"
+PARSED = f"converter string, attempts array<struct<converter:string,error:string>>, markdown string, html string, blocks {render.BLOCKS}, pages array<{layout.PAGE}>, slides array<struct<name:string,texts:array<string>>>, sheets array<struct<name:string,rows:array<array<string>>>>, mail {MAIL}"
 FAILED = "Conversion failed"  # what an error without a message says
-_FIELDS = ("converter", "attempts", "markdown", "html", "pages", "slides", "sheets", "mail")
+_FIELDS = ("converter", "attempts", "markdown", "html", "blocks", "pages", "slides", "sheets", "mail")
 _MAIL_FIELDS = ("subject", "sender_name", "sender_email", "sender_smtp", "recipients", "submit_time", "body_html", "body")
 
 
@@ -39,10 +39,14 @@ def spread(rows: DataFrame) -> DataFrame:
     return rows.repartition(cores) if execution.toRdd().getNumPartitions() < cores else rows
 
 
+def html_blocks(html: Column) -> Column:
+    """The blocks of an HTML text, as `render.blocks` takes them; null gives null."""
+    return F.udf(lambda h: None if h is None else html_source.blocks(h), render.BLOCKS, useArrow=True)(html)
+
+
 def html_to_markdown(html: Column) -> Column:
     """Normalized Markdown of an HTML text; null gives null."""
-    walk = F.udf(lambda h: None if h is None else html_source.markdown(h), "string", useArrow=True)
-    return normalize(walk(html))
+    return normalize(render.blocks(html_blocks(html)))
 
 
 @contextmanager
@@ -109,6 +113,7 @@ def converted(files: DataFrame, registry: Registry | None = None, filename: str
     mail_title = or_else(p["mail"]["subject"], F.col(filename))
     markdown = (
         F.when(p["markdown"].isNotNull(), p["markdown"])
+        .when(p["blocks"].isNotNull(), render.blocks(p["blocks"]))
         .when(p["pages"].isNotNull(), render.pages(layout.pages(p["pages"])))
         .when(p["slides"].isNotNull(), render.deck(p["slides"]))
         .when(p["sheets"].isNotNull(), render.workbook(p["sheets"]))

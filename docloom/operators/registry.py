@@ -65,7 +65,7 @@ def _read_html(content: bytes, charset: str | None = None) -> dict:
     from docloom.sources import html
 
     text = html.decoded(content, charset)
-    return {"markdown": html.markdown(text), "html": text}
+    return {"blocks": html.blocks(text), "html": text}
 
 
 def builtins() -> Registry:
@@ -76,6 +76,6 @@ def builtins() -> Registry:
     r.register(Converter("PptxConverter", (".pptx",), (MIME_TYPES[".pptx"],), lambda b: {"slides": office.slides(b)}))
     r.register(Converter("XlsxConverter", (".xlsx", ".xls"), (MIME_TYPES[".xlsx"], MIME_TYPES[".xls"]), lambda b: {"sheets": (xls if b[:4] == b"\xd0\xcf\x11\xe0" else office).sheets(b)}))
     r.register(Converter("PdfConverter", (".pdf",), (MIME_TYPES[".pdf"],), lambda b: {"pages": pdf.pages(b)}))
-    r.register(Converter("DocxConverter", (".docx",), (MIME_TYPES[".docx"],), lambda b: {"markdown": html.markdown(office.docx_html(b), strip=False)}))
+    r.register(Converter("DocxConverter", (".docx",), (MIME_TYPES[".docx"],), lambda b: {"blocks": html.blocks(office.docx_html(b), strip=False)}))
     r.register(Converter("HtmlConverter", (".html", ".htm"), ("text/html", "application/xhtml"), _read_html, charset=True), GENERIC)
     return r

@@ -8,7 +8,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from docloom.functions import detect, render
+from docloom.functions import detect, render, sql
 from docloom.functions.text import html_title, normalize, utf16_length
 from docloom.operators import convert
 from docloom.operators.preview import markdown_to_html
@@ -37,7 +37,7 @@ def _names(spark, sf_dir) -> DataFrame:
 
 
 def html_markdown(spark, sf_dir):
-    p = _table(spark, sf_dir, "pages")
+    p = convert.spread(_table(spark, sf_dir, "pages"))
     return p.select("page_id", convert.html_to_markdown(p.html).alias("markdown"))
 
 
@@ -194,23 +194,35 @@ def _tags(*parts: Column | str) -> Column:
     return F.concat(*(F.lit(p) if isinstance(p, str) else p.cast("string") for p in parts))
 
 
+def dom_nodes(spark, sf_dir):
+    """Pages as rows of nodes, in SQL: each link with the list item that holds it, and its text."""
+    sql.register(spark)
+    _table(spark, sf_dir, "pages").createOrReplaceTempView("docloom_pages")
+    return spark.sql("""
+        with n as (select page_id, n.* from docloom_pages p, lateral html_nodes(p.html) n where n.tag in ('li', 'a', '#text'))
+        select a.page_id, row_number() over (partition by a.page_id order by a.node_id) as link, a.attrs['href'] as href, trim(t.text) as text
+        from n a join n li on a.page_id = li.page_id and a.parent_id = li.node_id and li.tag = 'li'
+        left join n t on t.page_id = a.page_id and t.parent_id = a.node_id and t.tag = '#text'
+        where a.tag = 'a'""")
+
+
 def html_lists(spark, sf_dir):
     """Parts as lists: nested, unclosed, outside a list; parts have no characters that HTML escapes."""
-    p = _table(spark, sf_dir, "part")
+    p = convert.spread(_table(spark, sf_dir, "part"))
     html = _tags("<ul>lost<li>", p.p_name, "</li><li> ", p.p_brand, "<ul><li>", p.p_type, "</ul></ul><ol start=7><li>", p.p_type, "<li>", p.p_size, "</ol><div><li>", p.p_name, "</li></div><dl><dt>", p.p_brand, "<dd>d</dl>")
     return p.select("p_partkey", convert.html_to_markdown(html).alias("markdown"))
 
 
 def html_tables(spark, sf_dir):
     """Orders as tables: ragged, unclosed, empty rows, a caption, text that stands before the table."""
-    o = _table(spark, sf_dir, "orders")
+    o = convert.spread(_table(spark, sf_dir, "orders"))
     html = _tags("<table>", o.o_orderpriority, "<caption>c</caption><tr><th>status<th>a|b<tbody><tr><td>", o.o_orderstatus, "<td><b>", o.o_custkey, "</b><td>x<tr></tr></table>", "<table><tr><td>", o.o_orderkey, "</table>")
     return o.select("o_orderkey", convert.html_to_markdown(html).alias("markdown"))
 
 
 def html_inline(spark, sf_dir):
     """Customers in links, images, code, quotes, line breaks, and all the marks."""
-    c = _table(spark, sf_dir, "customer")
+    c = convert.spread(_table(spark, sf_dir, "customer"))
     html = _tags(
         "<body><h2> ", c.c_name, " </h2><a href='/c?id=", c.c_custkey, "&copy=1&amp;x'>", c.c_mktsegment, "</a><a href=''>none</a><a>bare</a><em>", c.c_mktsegment, "</em><i>i</i><br><strong>s</strong>",
         "<code> ", c.c_custkey, " </code><blockquote>", c.c_name, "\nq</blockquote><pre>\n  ", c.c_custkey, "\n  x</pre><img src=i.png alt='", c.c_name, "'><img alt=z><img src=j>",
@@ -297,7 +309,7 @@ docx_convert, xlsx_convert, xls_convert, pptx_convert, pdf_convert, msg_convert
 QUERIES = (
     html_markdown, html_titles, html_markdown_length, markdown_preview, detect_types, route_candidates, unsupported_errors, all_failed_message,
     normalize_markdown, escape_cells, table_markdown, falsy_cells, workbook_markdown, deck_markdown, paged_markdown, list_markdown, email_markdown,
-    output_names, batch_status, batch_count, remove_and_reindex, append_batch, convert_pages, html_lists, html_tables, html_inline,
+    output_names, batch_status, batch_count, remove_and_reindex, append_batch, convert_pages, dom_nodes, html_lists, html_tables, html_inline,
     docx_convert, xlsx_convert, xls_convert, pptx_convert, pdf_convert, msg_convert, pdf_layout, unreadable_files, sink_roundtrip, binary_scan, stream_convert,
 )
 
@@ -426,6 +438,9 @@ def oracle_sql() -> dict[str, str]:
         "append_batch": """
             select r_regionkey::bigint as pos, r_name as name from region
             union all select n_nationkey + (select max(r_regionkey) + 1 from region), n_name from nation""",
+        "dom_nodes": """
+            with l as (select page_id, unnest(regexp_extract_all(html, '<li><a[^>]*>[^<]*</a>')) as t, generate_subscripts(regexp_extract_all(html, '<li><a[^>]*>[^<]*</a>'), 1)::int as link from pages)
+            select page_id, link, regexp_extract(t, 'href="([^"]*)"', 1) as href, nullif(trim(regexp_extract(t, '>([^<]*)</a>', 1)), '') as text from l""",
         "html_lists": rf"""
             select p_partkey, '- ' || p_name || {nl} || '- ' || p_brand || p_type || {nl} || {nl} || '1. ' || p_type || {nl} || '2. ' || p_size || {nl} || {nl} || p_brand || 'd' as markdown from part""",
         "html_tables": f"""

@@ -1,9 +1,10 @@
-"""HTML to Markdown: a small tree builder over the standard tokenizer, and the walk over its tree."""
+"""HTML to a tree, by a small builder over the standard tokenizer; the tree as blocks and as rows."""
 
 from __future__ import annotations
 
 import codecs
 import re
+from collections.abc import Iterator
 from html import unescape
 from html.entities import html5
 from html.parser import HTMLParser
@@ -20,8 +21,9 @@ RCDATA = set("textarea title".split())
 RAW = set("iframe noembed noframes plaintext xmp".split())
 TABLE_CONTEXT = set("table tbody tfoot thead tr".split())
 TABLE_PARTS = TABLE_CONTEXT | set("caption col colgroup form script style td template th".split())
-HEADINGS = {f"h{k}": "#" * k for k in range(1, 7)}
+HEADINGS = {f"h{k}" for k in range(1, 7)}
 BLOCKS = CLOSES_P | {"tr", "td", "th", "tbody", "thead", "tfoot", "body"}
+MAX_LEVELS = 512  # of elements in each other, as browsers have it
 CONTAINERS = {"div", "section", "article", "main", "header", "footer"}
 
 
@@ -114,6 +116,8 @@ class TreeBuilder(HTMLParser):
             into.insert(at, new)
 
     def _push(self, node: Node) -> Node:
+        if len(self.open) >= MAX_LEVELS:  # beside the element that is open, not in it
+            self.open.pop()
         self._add(node)
         self.open.append(node)
         return node
@@ -232,7 +236,7 @@ class TreeBuilder(HTMLParser):
         elif tag == "p" and not self._in_scope("p"):
             self._add(Node("p"))
         elif tag in HEADINGS and any(self._in_scope(h) for h in HEADINGS):
-            self._pop_to(set(HEADINGS))
+            self._pop_to(HEADINGS)
         elif tag in ("td", "th", "tr", "table", "tbody", "thead", "tfoot"):
             if any(n.tag == tag for n in self.open):
                 while self.open[-1].tag != tag:
@@ -288,66 +292,58 @@ def _without(node: Node, tags: set[str]) -> None:
         stack.extend(c for c in n.children if not isinstance(c, str))
 
 
-def _content(node: Node) -> str:
-    return node.text().strip(WS_CHARS)
-
-
-def _table(node: Node) -> str:
-    out = []
-    for k, row in enumerate(node.find({"tr"})):
-        cells = [_content(c) for c in row.find({"td", "th"})]
-        out.append("| " + " | ".join(cells) + " |\n")
-        if not k:
-            out.append("| " + " | ".join("---" for _ in cells) + " |\n")
-    return "".join(out) + "\n"
-
-
-def _list(node: Node) -> str:
-    items = [c for c in node.children if not isinstance(c, str) and c.tag == "li"]
-    return "".join((f"{k}. " if node.tag == "ol" else "- ") + _content(c) + "\n" for k, c in enumerate(items, 1)) + "\n"
-
+LISTS = {"ul", "ol"}
 
-def _link(node: Node) -> str:
-    href = node.attrs.get("href")
-    return f"[{_content(node)}]({href})" if href else _content(node)
 
+def _cells(node: Node) -> list[list[str]]:
+    """The texts of a table's rows, or of a list's own items, one a row."""
+    if node.tag == "table":
+        return [[c.text() for c in row.find({"td", "th"})] for row in node.find({"tr"})]
+    return [[c.text()] for c in node.children if not isinstance(c, str) and c.tag == "li"]
 
-def _image(node: Node) -> str:
-    src = node.attrs.get("src")
-    return f"![{node.attrs.get('alt', '')}]({src})\n\n" if src else ""
 
+def blocks(html: str, strip: bool = True) -> dict[str, list]:
+    """The body as a flat sequence of blocks, in lists with an entry a block: tag, text, href, cells.
 
-#: What each element becomes; CONTAINERS are walked, and all others give their text.
-RENDER = {
-    **{h: (lambda n, m=m: f"{m} {_content(n)}\n\n") for h, m in HEADINGS.items()},
-    "p": lambda n: _content(n) + "\n\n",
-    "br": lambda n: "\n",
-    **dict.fromkeys(("strong", "b"), lambda n: f"**{_content(n)}**"),
-    **dict.fromkeys(("em", "i"), lambda n: f"*{_content(n)}*"),
-    "a": _link,
-    **dict.fromkeys(("ul", "ol"), _list),
-    "li": lambda n: "",
-    "table": _table,
-    "blockquote": lambda n: f"> {_content(n)}\n\n",
-    "code": lambda n: f"`{_content(n)}`",
-    "pre": lambda n: f"```\n{_content(n)}\n```\n\n",
-    "img": _image,
-}
-
-
-def markdown(html: str, strip: bool = True) -> str:
-    """Markdown of the body, before line ends are normalized; script and style are left out if `strip`."""
+    A text between elements is a block #text. Elements that only hold others are left out, and their content is in
+    the sequence. href is an image's source or a link's target, and the text of an image is what stands for it.
+    script and style are left out if `strip`. What a block looks like in Markdown is `render.blocks`.
+    """
     body = parse(html)
     if strip:
         _without(body, {"script", "style"})
-    out, stack = [], list(reversed(body.children))
+    tags, texts, hrefs, cells = [], [], [], []
+    stack = list(reversed(body.children))
     while stack:
         n = stack.pop()
         if isinstance(n, str):
-            t = n.strip(WS_CHARS)
-            out.append(t + " " if t else "")
+            tag, text, href = "#text", n, None
         elif n.tag in CONTAINERS:
             stack.extend(reversed(n.children))
+            continue
+        elif n.tag == "img":
+            tag, text, href = "img", n.attrs.get("alt", ""), n.attrs.get("src")
+        elif n.tag == "#comment":
+            continue
+        else:
+            own = n.tag not in LISTS and n.tag != "table"
+            tag, text, href = n.tag, n.text() if own else "", n.attrs.get("href")
+        tags.append(tag)
+        texts.append(text)
+        hrefs.append(href)
+        cells.append(_cells(n) if tag in LISTS or tag == "table" else None)
+    return {"tag": tags, "text": texts, "href": hrefs, "cells": cells}
+
+
+def nodes(html: str) -> Iterator[tuple[int, int | None, str, str | None, dict[str, str]]]:
+    """(node_id, parent_id, tag, text, attrs) of the body and all below it, in document order; texts are nodes #text."""
+    stack: list[tuple[Node | str, int | None]] = [(parse(html), None)]
+    k = 0
+    while stack:
+        n, parent = stack.pop()
+        if isinstance(n, str):
+            yield k, parent, "#text", n, {}
         else:
-            out.append(RENDER.get(n.tag, _content)(n))
-    return "".join(out)
+            yield k, parent, n.tag, None, n.attrs
+            stack.extend((c, k) for c in reversed(n.children))
+        k += 1

@@ -70,6 +70,12 @@ def test_every_format(spark, folder):
     assert got["one.pdf"].status == "13 characters"
 
 
+def test_markdown_of_every_format_may_go_to_a_python_function(spark, folder):
+    size = F.udf(lambda m: None if m is None else len(m), "int", useArrow=True)
+    got = convert.converted(files.read_files(spark, folder)).select("filename", size("markdown").alias("n")).collect()
+    assert {r.filename: r.n for r in got if r.n is not None} == {k: len(v[1]) for k, v in DOCUMENTS.items()}
+
+
 def test_accepted_only(spark, folder):
     assert files.read_files(spark, folder, accepted_only=True).where("filename = 'notes.csv'").count() == 0
 
@@ -130,6 +136,7 @@ def test_sql_functions(spark):
     sql.register(spark)
     row = spark.sql("select normalize_markdown(html_to_markdown('<h1>a</h1><p>b</p>')) m, markdown_to_html('# a') h, normalize_markdown(concat('a \\n\\n\\n\\n', 'b')) n").first()
     assert tuple(row) == ("# a\n\nb\n\n", "<h1>a</h1>\n", "a\n\nb")
+    assert spark.sql("select html_to_markdown('<p>x  \n\n\n y</p><p></p>') m").first().m == "x\n\n y\n\n"
 
 
 def test_hard_files(spark):

@@ -1,10 +1,24 @@
 import pytest
 
+from docloom.functions import render, sql
 from docloom.functions.text import html_title, normalize
-from docloom.sources.html import decoded, markdown
+from docloom.operators import convert
+from docloom.sources.html import MAX_LEVELS, blocks, decoded, nodes, parse
 from docloom.operators.preview import to_html
 from pyspark.sql import functions as F
 
+
+
+def rendered(spark, bodies, strip=True):
+    """Markdown before its line ends are normalized, and by the normalizing functions of columns and of SQL."""
+    sql.register(spark)
+    rows = spark.createDataFrame(list(enumerate(bodies)), "k int, h string")
+    found = F.udf(lambda h: blocks(h, strip), render.BLOCKS, useArrow=True)("h")
+    got = rows.withColumn("b", found).select("k", render.blocks(F.col("b")).alias("m"), convert.html_to_markdown(F.col("h")).alias("n"), F.expr("html_to_markdown(h)").alias("q")).orderBy("k").collect()
+    assert all(r.n == r.q for r in got)
+    return [r.m for r in got]
+
+
 BODIES = [
     ("<h1> A </h1><h6>B</h6>", "# A\n\n###### B\n\n"),
     ("<p>a <b>b</b></p>", "a b\n\n"),
@@ -37,18 +51,15 @@ BODIES = [
 ]
 
 
-@pytest.mark.parametrize(("body", "want"), BODIES)
-def test_walk(body, want):
-    assert markdown(body) == want
-    assert markdown(f"<!DOCTYPE html><html><head><title>T</title></head><body>{body}</body></html>") == want
+def test_walk(spark):
+    bodies, want = zip(*BODIES)
+    assert rendered(spark, bodies) == list(want)
+    assert rendered(spark, [f"<!DOCTYPE html><html><head><title>T</title></head><body>{b}</body></html>" for b in bodies]) == list(want)
 
 
-def test_lone_end_tag():
-    assert markdown("<body></p>k") == "\n\nk " and markdown("</p>k") == "k "
-
-
-def test_word_keeps_scripts():
-    assert markdown("<body><script>s</script></body>", strip=False) == "s"
+def test_lone_end_tag_and_word_scripts(spark):
+    assert rendered(spark, ["<body></p>k", "</p>k", ""]) == ["\n\nk ", "k ", ""]
+    assert rendered(spark, ["<body><script>s</script></body>"], strip=False) == ["s"]
 
 
 def test_titles_and_normalization(spark):
@@ -90,13 +101,10 @@ MORE = [
 ]
 
 
-@pytest.mark.parametrize(("body", "want"), MORE)
-def test_standard_details(body, want):
-    assert markdown(f"<body>{body}") == want
-
-
-def test_title_is_text():
-    assert markdown("<title>a<b>c</b></title>x") == "x "
+def test_standard_details(spark):
+    bodies, want = zip(*MORE)
+    assert rendered(spark, [f"<body>{b}" for b in bodies]) == list(want)
+    assert rendered(spark, ["<title>a<b>c</b></title>x"]) == ["x "]
 
 
 def test_charsets():
@@ -107,4 +115,26 @@ def test_charsets():
 
 def test_odd_tables_end():
     for body in ("<table><b><div>x</b>y</table>z", "<table><tr><b><p>x</b>y<td>c</table>", "<table><table><tr><td>a", "<tr>x<td>y", "<table><a><a>x</table>"):
-        assert all(c in markdown(body) for c in body if c in "xyzc" and f"<{c}" not in body)
+        assert all(c in parse(body).text() for c in body if c in "xyzc" and f"<{c}" not in body)
+
+
+def test_deep_trees_are_cut_to_the_bound_of_browsers():
+    for tag in ("div", "b", "span", "ul><li"):
+        html = f"<{tag}>x" * 8000
+        levels, deepest = {}, 0
+        for k, parent, *_ in nodes(html):
+            levels[k] = levels.get(parent, -1) + 1
+            deepest = max(deepest, levels[k])
+        assert deepest <= MAX_LEVELS and parse(html).text().count("x") == 8000
+
+
+def test_nodes_as_rows(spark):
+    html = "<p id=1 class='a'>x<b>y</b></p><!-- c -->z"
+    want = [(0, None, "body", None, {}), (1, 0, "p", None, {"id": "1", "class": "a"}), (2, 1, "#text", "x", {}), (3, 1, "b", None, {}), (4, 3, "#text", "y", {}), (5, 0, "#comment", None, {}), (6, 0, "#text", "z", {})]
+    assert list(nodes(html)) == want
+    sql.register(spark)
+    rows = spark.createDataFrame([(1, html), (2, None)], "k int, h string")
+    rows.createOrReplaceTempView("htmls")
+    got = spark.sql("select k, n.* from htmls, lateral html_nodes(h) n order by k, node_id").collect()
+    assert [tuple(r)[1:] for r in got if r.k == 1] == want and [r.tag for r in got if r.k == 2] == ["body"]
+    assert rows.lateralJoin(sql.html_nodes()(F.col("h").outer())).count() == 8
