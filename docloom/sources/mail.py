@@ -18,10 +18,19 @@ class CompoundFile:
             raise ValueError("Failed to parse .msg file: not a compound file")
         self.data, self.size = data, 1 << struct.unpack_from("<H", data, 30)[0]
         first_dir, self.cutoff, first_mini, _, next_difat, _ = struct.unpack_from("<I4xIIIII", data, 48)
+        if not 128 <= self.size <= 1 << 16:
+            raise ValueError("The file's sectors have an odd size")
         sectors = [s for s in struct.unpack_from("<109I", data, 76) if s < END]
-        while next_difat < END:
+        for _ in range(len(data) // self.size):  # no table of sectors has more parts than the file has sectors
+            if next_difat >= END:
+                break
             *more, next_difat = struct.unpack_from(f"<{self.size // 4}I", data, (next_difat + 1) * self.size)
             sectors += [s for s in more if s < END]
+        else:
+            if next_difat < END:
+                raise ValueError("The file's table of sectors has no end")
+        if len(sectors) > len(data) // self.size:
+            raise ValueError("The file's table of sectors has no end")
         self.fat = [n for s in sectors for n in struct.unpack_from(f"<{self.size // 4}I", data, (s + 1) * self.size)]
         mini = self._chain(first_mini)
         self.minifat = struct.unpack(f"<{len(mini) // 4}I", mini)
@@ -34,7 +43,7 @@ class CompoundFile:
 
     def _chain(self, s: int) -> bytes:
         out, seen = [], 0
-        while s < END and seen <= len(self.fat):
+        while s < len(self.fat) and seen <= len(self.fat):
             out.append(self.data[(s + 1) * self.size : (s + 2) * self.size])
             s, seen = self.fat[s], seen + 1
         return b"".join(out)
@@ -47,11 +56,12 @@ class CompoundFile:
         return e[: max(0, length - 2)].decode("utf-16-le"), left, right, child, start, size
 
     def children(self, at: int) -> dict[str, int]:
-        out, stack = {}, [self.entries[at][3]]
+        out, stack, seen = {}, [self.entries[at][3]], set()
         while stack:
             k = stack.pop()
-            if k < len(self.entries) and self.entries[k][0] not in out:
-                out[self.entries[k][0]] = k
+            if k < len(self.entries) and k not in seen:
+                seen.add(k)
+                out.setdefault(self.entries[k][0], k)
                 stack += self.entries[k][1:3]
         return out
 
@@ -60,7 +70,7 @@ class CompoundFile:
         if size >= self.cutoff:
             return self._chain(s)[:size]
         out = []
-        while s < END and len(out) * 64 < size:
+        while s < len(self.minifat) and len(out) * 64 < size:
             out.append(self.ministream[s * 64 : s * 64 + 64])
             s = self.minifat[s]
         return b"".join(out)[:size]
