@@ -5,9 +5,11 @@ Errors are values. Each input row gives one output row.
 
 from __future__ import annotations
 
+import resource
 import signal
 import threading
 from contextlib import contextmanager
+from pathlib import Path
 
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
@@ -50,32 +52,41 @@ def html_to_markdown(html: Column) -> Column:
 
 
 @contextmanager
-def _limited(seconds: float | None):
-    """Raises TimeoutError in a task whose reader takes longer; tasks read in the main thread of their worker."""
-    if not seconds or threading.current_thread() is not threading.main_thread():
-        yield
-        return
+def _limited(seconds: float | None, megabytes: int | None):
+    """Raises TimeoutError or MemoryError in a task whose reader takes more; tasks read in the main thread of their worker."""
 
     def ring(*_):
         raise TimeoutError(f"Operation timed out after {seconds:g} s")
 
-    before = signal.signal(signal.SIGALRM, ring)
-    signal.setitimer(signal.ITIMER_REAL, seconds)
+    timed = seconds and threading.current_thread() is threading.main_thread()
+    space = resource.getrlimit(resource.RLIMIT_AS)
+    bounded = megabytes and Path("/proc/self/statm").exists()
+    if bounded:
+        most = int(Path("/proc/self/statm").read_text().split()[0]) * resource.getpagesize() + (megabytes << 20)
+        resource.setrlimit(resource.RLIMIT_AS, (min(x for x in (most, *space) if x != resource.RLIM_INFINITY), space[1]))
+    if timed:
+        before = signal.signal(signal.SIGALRM, ring)
+        signal.setitimer(signal.ITIMER_REAL, seconds)
     try:
         yield
+    except MemoryError:
+        raise MemoryError(f"Operation took more than {megabytes} MB") from None
     finally:
-        signal.setitimer(signal.ITIMER_REAL, 0)
-        signal.signal(signal.SIGALRM, before)
+        if timed:
+            signal.setitimer(signal.ITIMER_REAL, 0)
+            signal.signal(signal.SIGALRM, before)
+        if bounded:
+            resource.setrlimit(resource.RLIMIT_AS, space)
 
 
-def _reader(registry: Registry, seconds: float | None):
+def _reader(registry: Registry, seconds: float | None, megabytes: int | None = None):
     read = {c.name: (c.read, c.charset) for c in registry.ordered()}
 
     def first_success(candidates: list[str], content: bytes, charset: str | None) -> tuple:
         attempts = []
         for name in candidates:
             try:
-                with _limited(seconds):
+                with _limited(seconds, megabytes):
                     one, takes_charset = read[name]
                     found = one(bytes(content), charset) if takes_charset else one(bytes(content))
             except Exception as e:  # a document that can't be read is a row with an error
@@ -95,12 +106,13 @@ def error_text(error: Column) -> Column:
     return or_else(error, F.lit(FAILED))
 
 
-def converted(files: DataFrame, registry: Registry | None = None, filename: str = "filename", content: str = "content", declared: str | None = None, charset: str | None = None, seconds: float | None = None) -> DataFrame:
+def converted(files: DataFrame, registry: Registry | None = None, filename: str = "filename", content: str = "content", declared: str | None = None, charset: str | None = None, seconds: float | None = 300, megabytes: int | None = 2048) -> DataFrame:
     """Adds extension, mimetype, converter, markdown, title, status, error_kind, error, attempts to the rows of files.
 
     The first candidate that reads the document wins. Without candidates, or if all fail, markdown is null and
     error says why. Rows without candidates never reach Python: they are split off by a filter. `declared` and
-    `charset` name columns; a reader that takes longer than `seconds` fails for that document.
+    `charset` name columns. A reader that takes longer than `seconds` or more memory than `megabytes` besides what its
+    worker has fails for that document; None switches a bound off.
     """
     registry = registry or builtins()
     own = [c for c in files.columns if c != content]
@@ -108,7 +120,7 @@ def converted(files: DataFrame, registry: Registry | None = None, filename: str
     rows = rows.withColumn("mimetype", detect.mimetype(F.coalesce(F.col(filename), F.lit("")), F.col(declared) if declared else F.lit("")))
     rows = rows.withColumn("candidates", registry.candidates(F.col("extension"), F.col("mimetype")))
     readable = (F.size("candidates") > 0) & F.col(content).isNotNull()
-    parsed = spread(rows.where(readable)).withColumn("parsed", _reader(registry, seconds)("candidates", content, F.col(charset) if charset else F.lit(None).cast("string")))
+    parsed = spread(rows.where(readable)).withColumn("parsed", _reader(registry, seconds, megabytes)("candidates", content, F.col(charset) if charset else F.lit(None).cast("string")))
     p = F.col("parsed")
     mail_title = or_else(p["mail"]["subject"], F.col(filename))
     markdown = (

@@ -68,13 +68,23 @@ def _read_html(content: bytes, charset: str | None = None) -> dict:
     return {"blocks": html.blocks(text), "html": text}
 
 
+def _read_workbook(content: bytes) -> dict:
+    """By the first bytes: a compound file, an archive, or a text with delimiters or tables of HTML."""
+    from docloom.sources import delimited, office, xls
+
+    if content[:4] == b"\xd0\xcf\x11\xe0":
+        return {"sheets": xls.sheets(content)}
+    found = None if content[:2] == b"PK" else delimited.sheets(content)
+    return {"sheets": office.sheets(content) if found is None else found}
+
+
 def builtins() -> Registry:
-    from docloom.sources import html, mail, office, pdf, xls
+    from docloom.sources import html, mail, office, pdf
 
     r = Registry()
     r.register(Converter("OutlookMsgConverter", (".msg",), (MIME_TYPES[".msg"],), lambda b: {"mail": mail.message(b)}))
     r.register(Converter("PptxConverter", (".pptx",), (MIME_TYPES[".pptx"],), lambda b: {"slides": office.slides(b)}))
-    r.register(Converter("XlsxConverter", (".xlsx", ".xls"), (MIME_TYPES[".xlsx"], MIME_TYPES[".xls"]), lambda b: {"sheets": (xls if b[:4] == b"\xd0\xcf\x11\xe0" else office).sheets(b)}))
+    r.register(Converter("XlsxConverter", (".xlsx", ".xls"), (MIME_TYPES[".xlsx"], MIME_TYPES[".xls"]), _read_workbook))
     r.register(Converter("PdfConverter", (".pdf",), (MIME_TYPES[".pdf"],), lambda b: {"pages": pdf.pages(b)}))
     r.register(Converter("DocxConverter", (".docx",), (MIME_TYPES[".docx"],), lambda b: {"blocks": html.blocks(office.docx_html(b), strip=False)}))
     r.register(Converter("HtmlConverter", (".html", ".htm"), ("text/html", "application/xhtml"), _read_html, charset=True), GENERIC)

@@ -241,7 +241,7 @@ def _office(spark, sf_dir, kind: str) -> DataFrame:
     c = _table(spark, sf_dir, "customer")
     name, key, segment = c.c_name, c.c_custkey.cast("string"), c.c_mktsegment
     make = {
-        "docx": lambda n, k, s: samples.docx([(1 + int(k) % 6, n), ("p", f"{s} & <b>"), ("li", k), ("li", s), ("tr", f"{k}\t{n}")]),
+        "docx": lambda n, k, s: samples.docx([(1 + int(k) % 6, n), ("p", f"{s} & <b>"), ("li", k), ("li", s), ("tr", f"{k}\t{n}")], "berschrift" if int(k) % 2 else "Heading"),
         "xlsx": lambda n, k, s: samples.xlsx([("A", f'<row><c t="s"><v>0</v></c><c t="str"><v>p|q</v></c></row><row><c><v>{k}</v></c><c><v>0</v></c><c t="b"><v>1</v></c></row>'), ("None", ""), ("B", f'<row r="2"><c r="B2" t="str"><v>{s}</v></c></row>')], [n]),
         "xls": lambda n, k, s: samples.xls([("A", [(0, 0, [0]), (0, 1, "p|q"), (1, 0, int(k)), (1, 1, 0), (1, 2, True), (1, 3, 2.5)]), ("None", []), ("B", [(4, 2, s)])], [n]),
         "pptx": lambda n, k, s: samples.pptx([(2, [s], True), (10, [f" {n} ", " ", k], True), (3, [], True), (4, ["lost"], False)]),
@@ -268,6 +268,20 @@ def pdf_layout(spark, sf_dir):
     return convert.converted(files).select("doc_id", "markdown", "error")
 
 
+def sniffed_workbooks(spark, sf_dir):
+    """Orders as workbooks that are delimited texts, and for every third one a table of HTML."""
+    i = _table(spark, sf_dir, "lineitem")
+    line = F.struct("l_linenumber", "l_partkey", "l_suppkey", F.array(i.l_linenumber.cast("string"), F.concat(i.l_returnflag, F.lit(' "x", y')), F.round(i.l_discount * 100).cast("int").cast("string")).alias("cells"))
+    lines = i.groupBy("l_orderkey").agg(F.transform(F.array_sort(F.collect_list(line)), lambda s: s["cells"]).alias("rows"))
+    fields = lambda row: F.transform(row, lambda c: F.when(c.contains('"'), F.concat(F.lit('"'), F.replace(c, F.lit('"'), F.lit('""')), F.lit('"'))).otherwise(c))
+    text = F.concat(F.lit("line;flag;discount\r\n"), F.array_join(F.transform("rows", lambda row: F.array_join(fields(row), ";")), "\r\n"), F.lit("\r\n"))
+    tags = lambda row: F.concat(F.lit("<tr><td>"), F.array_join(row, "<td>"))
+    html = F.concat(F.lit("<html><table><tr><th>line<th>flag<th>discount"), F.array_join(F.transform("rows", tags), ""), F.lit("</table>"))
+    content = F.when(F.col("l_orderkey") % 3 == 0, html).otherwise(text).cast("binary")
+    files = lines.select("l_orderkey", F.lit("o.xls").alias("filename"), content.alias("content"))
+    return convert.converted(files).select("l_orderkey", "converter", "markdown", "error")
+
+
 def unreadable_files(spark, sf_dir):
     """Texts under the names of office files: each is an error row that says which converter failed."""
     c = _table(spark, sf_dir, "customer")
@@ -282,7 +296,7 @@ def sink_roundtrip(spark, sf_dir):
     path = scratch(spark, "markdown")
     write_markdown(rows, path)
     back = read_markdown(spark, path)
-    return back.groupBy(F.replace("output_name", F.lit("%20"), F.lit(" ")).alias("output_name")).agg(F.count("*").alias("files"), F.countDistinct("folder").alias("folders"), F.sum(utf16_length(F.col("markdown"))).alias("n_chars"))
+    return back.groupBy("output_name").agg(F.count("*").alias("files"), F.countDistinct("folder").alias("folders"), F.sum(utf16_length(F.col("markdown"))).alias("n_chars"))
 
 
 def binary_scan(spark, sf_dir):
@@ -291,7 +305,7 @@ def binary_scan(spark, sf_dir):
     path = scratch(spark, "binary")
     write_markdown(c.select(F.concat(c.c_name, F.lit(".html")).alias("filename"), c.c_mktsegment.alias("markdown")), path)
     found = read_files(spark, path, recursive=True)
-    return found.select(F.regexp_replace("filename", "%23", "#").alias("filename"), "length", F.decode("content", "utf-8").alias("text"))
+    return found.select("filename", "length", F.decode("content", "utf-8").alias("text"))
 
 
 def stream_convert(spark, sf_dir):
@@ -310,7 +324,7 @@ QUERIES = (
     html_markdown, html_titles, html_markdown_length, markdown_preview, detect_types, route_candidates, unsupported_errors, all_failed_message,
     normalize_markdown, escape_cells, table_markdown, falsy_cells, workbook_markdown, deck_markdown, paged_markdown, list_markdown, email_markdown,
     output_names, batch_status, batch_count, remove_and_reindex, append_batch, convert_pages, dom_nodes, html_lists, html_tables, html_inline,
-    docx_convert, xlsx_convert, xls_convert, pptx_convert, pdf_convert, msg_convert, pdf_layout, unreadable_files, sink_roundtrip, binary_scan, stream_convert,
+    docx_convert, xlsx_convert, xls_convert, pptx_convert, pdf_convert, msg_convert, pdf_layout, sniffed_workbooks, unreadable_files, sink_roundtrip, binary_scan, stream_convert,
 )
 
 
@@ -478,6 +492,10 @@ def oracle_sql() -> dict[str, str]:
             select c_custkey, 'OutlookMsgConverter' as converter, '# Email Message' || {nl} || {nl} || '**Subject:** ' || c_mktsegment || {nl} || '**From:** ' || c_name || ' <c' || c_custkey || '@example.com>' || {nl}
                 || '**To:** a@example.com; b@example.com' || {nl} || '**Cc:** d' || c_custkey || '@example.com' || {nl} || {nl} || '## Content' || {nl} || {nl} || c_custkey || {nl} || {nl} || 'bye' as markdown,
                 c_mktsegment as title, null::varchar as error from customer""",
+        "sniffed_workbooks": f"""
+            select l_orderkey, 'XlsxConverter' as converter, '| line | flag | discount |' || {nl} || '| --- | --- | --- |' || {nl} || string_agg('| ' || l_linenumber || ' | ' || l_returnflag || ' "x", y | '
+                || case when round(l_discount * 100)::int = 0 then '' else (round(l_discount * 100)::int)::varchar end || ' |', {nl} order by l_linenumber, l_partkey, l_suppkey) as markdown, null::varchar as error
+            from lineitem group by l_orderkey""",
         "unreadable_files": """
             select c_custkey, 'Failed' as status, 'FileConversionException' as error_kind, 'All converters failed: ' || case when c_custkey % 4 = 3 then 'PdfConverter: Invalid PDF structure.'
                 else (['Docx', 'Xlsx', 'Pptx'])[c_custkey % 4 + 1] || 'Converter: File is not a zip file' end as error from customer""",

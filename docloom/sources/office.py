@@ -78,44 +78,144 @@ def number_text(x: float) -> str:
     return f"{m[1].removesuffix('.0')}e{m[2]}{m[3]}" if m else t
 
 
-def padded(name: str | None, cells: dict[int, dict[int, str]]) -> list[list[str]]:
-    """Rows from the first to the last used one, each from the first used column to its own last cell."""
-    if not cells:
-        return []
-    top, bottom, left, right = min(cells), max(cells), min(map(min, cells.values())), max(map(max, cells.values()))
-    if (bottom - top + 1) * (right - left + 1) > MAX_CELLS:  # the table is padded to its widest row
-        raise ValueError(f"Sheet {name} spans more than {MAX_CELLS} cells")
-    rows = (cells.get(r, {}) for r in range(top, bottom + 1))
-    return [[row.get(c, "") for c in range(left, max(row) + 1)] if row else [] for row in rows]
+class Cells:
+    """The cells of a sheet as they come; a row is kept as its first column and the texts from there on."""
+
+    def __init__(self, name: str | None):
+        self.name, self.rows, self.known = name, {}, {}
+
+    def put(self, row: int, column: int, text: str) -> None:
+        first, texts = self.rows.setdefault(row, (column, []))
+        if column < first:
+            texts[:0], first = [""] * (first - column), column
+            self.rows[row] = first, texts
+        at = column - first
+        if at >= len(texts):
+            if at > MAX_CELLS:
+                raise ValueError(f"Sheet {self.name} spans more than {MAX_CELLS} cells")
+            texts.extend([""] * (at + 1 - len(texts)))
+        if len(self.known) < 100_000:  # equal texts are one in memory
+            text = self.known.setdefault(text, text)
+        texts[at] = text
+
+    def table(self) -> list[list[str]]:
+        """Rows from the first to the last used one, each from the first used column to its own last cell."""
+        if not self.rows:
+            return []
+        top, bottom = min(self.rows), max(self.rows)
+        left, right = min(first for first, _ in self.rows.values()), max(first + len(texts) for first, texts in self.rows.values())
+        if (bottom - top + 1) * (right - left) > MAX_CELLS:  # the table is padded to its widest row
+            raise ValueError(f"Sheet {self.name} spans more than {MAX_CELLS} cells")
+        out = []
+        for r in range(top, bottom + 1):
+            first, texts = self.rows.pop(r, (left, []))
+            out.append([""] * (first - left) + texts if first > left else texts)
+        return out
+
+
+def _events(z: zipfile.ZipFile, member: str, start, end, text) -> None:
+    """Calls the handlers with the names and attributes of a member's elements, without prefixes, as it is inflated; no tree is built."""
+    parser = expat.ParserCreate()
+    local = lambda name: name.rpartition(":")[2]
+    parser.StartElementHandler = lambda name, attrs: start(local(name), {local(k): v for k, v in attrs.items()})
+    parser.EndElementHandler = lambda name: end(local(name))
+    parser.CharacterDataHandler, parser.buffer_text = text, True
+    with z.open(member) as f:
+        while part := f.read(1 << 16):
+            parser.Parse(part)
+    parser.Parse(b"", True)
+
+
+def _strings(z: zipfile.ZipFile) -> list[str]:
+    """The texts that cells share, without how they are pronounced."""
+    out: list[str] = []
+    state = {"text": None, "aside": 0}
+
+    def start(name: str, _) -> None:
+        if name == "si":
+            state["text"] = []
+        elif name == "rPh":
+            state["aside"] += 1
+        state["in"] = name == "t" and not state["aside"]
+
+    def end(name: str) -> None:
+        state["in"] = False
+        if name == "si":
+            out.append("".join(state["text"] or ()))
+        elif name == "rPh":
+            state["aside"] -= 1
+
+    def text(data: str) -> None:
+        if state.get("in") and state["text"] is not None:
+            state["text"].append(data)
+
+    _events(z, "xl/sharedStrings.xml", start, end, text)
+    return out
+
+
+def _column(ref: str) -> tuple[int, int] | None:
+    """(row, column) from 0 of a place like B7."""
+    m = re.match(r"([A-Z]{1,3})(\d+)", ref)
+    column = 0
+    for letter in m[1] if m else "":
+        column = column * 26 + ord(letter) - 64
+    return (int(m[2]) - 1, column - 1) if m else None
+
+
+def _sheet(z: zipfile.ZipFile, member: str, name: str | None, strings: list[str]) -> list[list[str]]:
+    cells = Cells(name)
+    row = column = -1
+    kind, at, held, aside, taken = "n", None, None, 0, []  # of the open cell; held: the name of the element whose text is taken
+
+    def start(element: str, attrs: dict) -> None:
+        nonlocal row, column, kind, at, held, aside, taken
+        if element == "row":
+            row, column = int(attrs.get("r", row + 2)) - 1, -1
+        elif element == "c":
+            column += 1
+            at = _column(attrs.get("r", "")) or (row, column)
+            row, column = at
+            kind, taken = attrs.get("t", "n"), []
+        elif element == "rPh":
+            aside += 1
+        elif at and not aside and element == ("t" if kind == "inlineStr" else "v"):
+            held = element
+
+    def end(element: str) -> None:
+        nonlocal at, held, aside
+        if element == held:
+            held = None
+        elif element == "rPh":
+            aside -= 1
+        elif element == "c" and at:
+            cells.put(*at, _cell(kind, "".join(taken), strings))
+            at = None
+
+    def text(data: str) -> None:
+        if held:
+            taken.append(data)
+
+    _events(z, member, start, end, text)
+    return cells.table()
 
 
 def sheets(content: bytes) -> list[dict]:
-    """(name, rows of cell texts) of each sheet in workbook order; false, zero, errors and gaps are empty."""
+    """(name, rows of cell texts) of each sheet in workbook order; false, zero, errors and gaps are empty.
+
+    Sheets are read as they are inflated, so memory holds the texts of the cells, not the XML.
+    """
     z = _archive(content)
     names = set(z.namelist())
-    strings = [] if "xl/sharedStrings.xml" not in names else ["".join(t.text or "" for t in si.iter() if _local(t) == "t") for si in ET.fromstring(z.read("xl/sharedStrings.xml")) if _local(si) == "si"]
+    strings = _strings(z) if "xl/sharedStrings.xml" in names else []
     targets = {r.get("Id"): r.get("Target") for r in ET.fromstring(z.read("xl/_rels/workbook.xml.rels"))}
     out = []
     for s in (e for e in ET.fromstring(z.read("xl/workbook.xml")).iter() if _local(e) == "sheet"):
         target = targets[_attr(s, "id")].lstrip("/")
-        cells: dict[int, dict[int, str]] = {}
-        for row_at, row in enumerate(e for e in ET.fromstring(z.read(target if target.startswith("xl/") else f"xl/{target}")).iter() if _local(e) == "row"):
-            for col_at, c in enumerate(e for e in row if _local(e) == "c"):
-                m = re.match(r"([A-Z]+)(\d+)", c.get("r", ""))
-                column = 0
-                for letter in m[1] if m else "":
-                    column = column * 26 + ord(letter) - 64
-                r, k = (int(m[2]) - 1, column - 1) if m else (int(row.get("r", row_at + 1)) - 1, col_at)
-                cells.setdefault(r, {})[k] = _cell(c, strings)
-        out.append({"name": s.get("name"), "rows": padded(s.get("name"), cells)})
+        out.append({"name": s.get("name"), "rows": _sheet(z, target if target.startswith("xl/") else f"xl/{target}", s.get("name"), strings)})
     return out
 
 
-def _cell(c: ET.Element, strings: list[str]) -> str:
-    kind = c.get("t", "n")
-    value = next((e.text or "" for e in c if _local(e) == "v"), "")
-    if kind == "inlineStr":
-        return "".join(t.text or "" for t in c.iter() if _local(t) == "t")
+def _cell(kind: str, value: str, strings: list[str]) -> str:
     if kind == "s":
         return strings[int(value)]
     if kind == "b":
@@ -125,12 +225,39 @@ def _cell(c: ET.Element, strings: list[str]) -> str:
     return "" if kind == "e" else value
 
 
+def _levels(z: zipfile.ZipFile) -> dict[str, int]:
+    """The heading level of each paragraph style that has one: by its name, else the style it is based on, else its outline level."""
+    if "word/styles.xml" not in z.namelist():
+        return {}
+    styles = {}
+    for style in (s for s in ET.fromstring(z.read("word/styles.xml")) if _local(s) == "style" and _attr(s, "type") in (None, "paragraph")):
+        of = {_local(e): e for e in style}
+        outline = next((_attr(e, "val") for e in of.get("pPr", ()) if _local(e) == "outlineLvl"), None)
+        value = lambda k, of=of: _attr(of[k], "val") or "" if k in of else ""
+        styles[_attr(style, "styleId") or ""] = value("name"), value("basedOn"), outline
+    out = {}
+    for own in styles:
+        at, seen, level = own, set(), None
+        while at in styles and at not in seen and level is None:
+            seen.add(at)
+            name, base, outline = styles[at]
+            if m := re.fullmatch(r"(?i)heading ?([1-6])", name):
+                level = int(m[1])
+            elif outline is not None and outline.isdigit():
+                level = int(outline) + 1
+            at = base
+        if level is not None and level <= 6:
+            out[own] = level
+    return out
+
+
 def docx_html(content: bytes) -> str:
     """Paragraphs, headings, bold, italic, links, lists and tables of a Word document as HTML."""
     z = _archive(content)
     body = next(e for e in ET.fromstring(z.read("word/document.xml")).iter() if _local(e) == "body")
     names = set(z.namelist())
     links = {} if "word/_rels/document.xml.rels" not in names else {r.get("Id"): r.get("Target") for r in ET.fromstring(z.read("word/_rels/document.xml.rels"))}
+    levels = _levels(z)
     bullets = _bullet_lists(z) if "word/numbering.xml" in names else set()
     noted: list[str | None] = []
 
@@ -169,7 +296,8 @@ def docx_html(content: bytes) -> str:
             if _local(x) == "p":
                 marks = {_local(m): m for p in x if _local(p) == "pPr" for m in p}
                 style = _attr(marks["pStyle"], "val") or "" if "pStyle" in marks else ""
-                level = re.fullmatch(r"(?i)heading ?([1-6])", style)
+                by_id = re.fullmatch(r"(?i)heading ?([1-6])", style)
+                level = levels.get(style) or (int(by_id[1]) if by_id else None)
                 text = inline(x)
                 if "numPr" in marks and not level:
                     number = next((_attr(m, "val") for m in marks["numPr"] if _local(m) == "numId"), None)
@@ -186,7 +314,7 @@ def docx_html(content: bytes) -> str:
                             out.append(f"<{kind}>" + ("<li>" if len(lists) <= depth else ""))
                     out.append(f"<li>{text}")
                     continue
-                tag = f"h{level[1]}" if level else "p"
+                tag = f"h{level}" if level else "p"
                 block = f"<{tag}>{text}</{tag}>" if text else ""
             elif _local(x) == "tbl":
                 rows = [[blocks(c) for c in r if _local(c) == "tc"] for r in x if _local(r) == "tr"]

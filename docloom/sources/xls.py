@@ -6,7 +6,7 @@ import struct
 from collections.abc import Iterator
 
 from docloom.sources.mail import CompoundFile
-from docloom.sources.office import number_text, padded
+from docloom.sources.office import Cells, number_text
 
 # The kinds of records that are read.
 BOF, EOF, CONTINUE, FILEPASS, BOUNDSHEET, SST = 0x809, 0x0A, 0x3C, 0x2F, 0x85, 0xFC
@@ -72,13 +72,11 @@ def _number(x: float) -> str:
     return number_text(x) if x and x == x else ""
 
 
-def _cells(data: bytes, at: int, strings: list[str]) -> dict[int, dict[int, str]]:
-    cells: dict[int, dict[int, str]] = {}
+def _cells(data: bytes, at: int, strings: list[str], name: str) -> list[list[str]]:
+    cells = Cells(name)
     waiting: tuple[int, int] | None = None  # the formula whose text comes next
 
-    def put(row: int, column: int, text: str) -> None:
-        cells.setdefault(row, {})[column] = text
-
+    put = cells.put
     depth = 0
     for kind, parts in _records(data, at):
         d = parts[0]
@@ -114,7 +112,7 @@ def _cells(data: bytes, at: int, strings: list[str]) -> dict[int, dict[int, str]
                 put(row, column, "")
             else:
                 put(row, column, "true" if result[0] == 1 and result[2] else "")
-    return cells
+    return cells.table()
 
 
 def sheets(content: bytes) -> list[dict]:
@@ -135,4 +133,4 @@ def sheets(content: bytes) -> list[dict]:
         elif kind == SST:
             reader = _Reader(parts, 8)
             strings = [reader.text(struct.unpack("<H", reader.take(2))[0]) for _ in range(struct.unpack_from("<I", parts[0], 4)[0])]
-    return [{"name": name, "rows": padded(name, _cells(data, at, strings))} for name, at in found]
+    return [{"name": name, "rows": _cells(data, at, strings, name)} for name, at in found]

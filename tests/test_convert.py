@@ -124,7 +124,7 @@ def test_sink_and_stream(spark, folder, tmp_path):
         files.write_markdown(twice, str(tmp_path / "out"))
     back = files.read_markdown(spark, str(tmp_path / "out")).collect()
     assert len(back) == 2 * len(DOCUMENTS) + 1 and len({r.folder for r in back}) == len(back)
-    texts = {(r.output_name.replace("%20", " "), r.markdown) for r in back}
+    texts = {(r.output_name, r.markdown) for r in back}
     assert {("two.md", DOCUMENTS["two.xlsx"][1]), ("a.md", DOCUMENTS["a.docx"][1]), ("a.md", DOCUMENTS["a.html"][1] + "!"), ("a b.md", "x\n")} <= texts
     assert not list((tmp_path / "out").rglob("*.tmp"))
     for _ in range(2):
@@ -195,3 +195,96 @@ def test_old_workbooks():
     assert reader._rk(struct.pack("<i", 12345 << 2 | 3)) == 123.45
     with pytest.raises(ValueError):
         reader.sheets(compound({"Book": b"x"}))
+
+
+def rows_of(spark, files_, **options):
+    return {r.filename: r for r in convert.converted(spark.createDataFrame(files_, "filename string, content binary"), **options).collect()}
+
+
+def test_tables_of_sectors_without_end(spark):
+    head = b"\xd0\xcf\x11\xe0\xa1\xb1\x1a\xe1" + b"\0" * 16 + struct.pack("<HHHHH", 62, 3, 0xFFFE, 9, 6) + b"\0" * 6
+    head += struct.pack("<IIIIIIIIII", 0, 1, 0, 0, 4096, 0xFFFFFFFE, 0, 0, 1, 0) + b"\xff" * 436
+    loop = head[:512] + struct.pack("<128I", *[0] * 127, 0) + b"\0" * 512
+    lists = compound({"a": b"x", "b": b"y"})
+    own = lists.replace(struct.pack("<III", 0xFFFFFFFF, 2, 0xFFFFFFFF), struct.pack("<III", 1, 1, 1))
+    got = rows_of(spark, [("loop.msg", loop), ("loop.xls", loop), ("own.msg", own)])
+    assert "has no end" in got["loop.msg"].error and "has no end" in got["loop.xls"].error and got["own.msg"].converter == "OutlookMsgConverter"
+
+
+def test_bounds_of_a_reader_are_on_by_default(spark):
+    def greedy(content):
+        return {"markdown": str(len(bytearray(8 << 30)))}
+
+    def endless(content):
+        while True:
+            pass
+
+    r = builtins().register(Converter("Greedy", (".big",), (), greedy)).register(Converter("Endless", (".slow",), (), endless))
+    got = rows_of(spark, [("a.big", b"x"), ("b.html", b"<p>fine</p>")], registry=r)
+    assert got["a.big"].error == "All converters failed: Greedy: Operation took more than 2048 MB" and got["b.html"].markdown == "fine\n\n"
+    assert "timed out after 0.5 s" in rows_of(spark, [("a.slow", b"x")], registry=r, seconds=0.5)["a.slow"].error
+    assert convert.converted.__defaults__[-2:] == (300, 2048)
+
+
+def test_names_of_files(spark, tmp_path):
+    names = ["a b#c", "100%", "x+y", "é", "q%20r"]
+    rows = spark.createDataFrame([(f"{n}.html", n) for n in names], "filename string, markdown string")
+    files.write_markdown(rows, str(tmp_path / "out"))
+    want = {(f"{n}.md", n) for n in names}
+    assert {(r.output_name, r.markdown) for r in files.read_markdown(spark, str(tmp_path / "out")).collect()} == want
+    assert {(r.filename, bytes(r.content).decode()) for r in files.read_files(spark, str(tmp_path / "out"), recursive=True).collect()} == want
+
+
+def test_word_styles(spark):
+    style = lambda key, name, base="", outline="": f'<w:style w:type="paragraph" w:styleId="{key}"><w:name w:val="{name}"/>' + (f'<w:basedOn w:val="{base}"/>' if base else "") + (f'<w:pPr><w:outlineLvl w:val="{outline}"/></w:pPr>' if outline else "") + "</w:style>"
+    styles = style("berschrift1", "heading 1") + style("Own", "My title", "Mid") + style("Mid", "Between", "berschrift1") + style("Lined", "Lined", outline="2") + style("Loop", "Loop", "Pool") + style("Pool", "Pool", "Loop") + style("Deep", "Deep", outline="9") + style("Heading2", "Normal text")
+    keys = ["berschrift1", "Own", "Lined", "Loop", "Deep", "Heading2", "Heading3", "None"]
+    body = "".join(f'<w:p><w:pPr><w:pStyle w:val="{k}"/></w:pPr><w:r><w:t>{k}</w:t></w:r></w:p>' for k in keys)
+    made = archive({"word/document.xml": f"<w:document {W}><w:body>{body}</w:body></w:document>", "word/styles.xml": f"<w:styles {W}>{styles}</w:styles>"})
+    marks = {"berschrift1": "# ", "Own": "# ", "Lined": "### ", "Heading2": "## ", "Heading3": "### "}
+    assert rows_of(spark, [("a.docx", made)])["a.docx"].markdown == "".join(f"{marks.get(k, '')}{k}\n\n" for k in keys)
+
+
+def test_workbooks_by_their_first_bytes(spark):
+    phonetic = archive({
+        "xl/workbook.xml": '<workbook xmlns:r="r"><sheets><sheet name="S" r:id="r0"/></sheets></workbook>', "xl/_rels/workbook.xml.rels": '<Relationships><Relationship Id="r0" Target="worksheets/s.xml"/></Relationships>',
+        "xl/sharedStrings.xml": "<sst><si><t>base</t><rPh><t>PHON</t></rPh></si><si><r><t>a</t></r><r><t> b</t></r></si></sst>", "xl/worksheets/s.xml": '<x:worksheet xmlns:x="x"><x:sheetData><x:row><x:c t="s"><x:v>0</x:v></x:c><x:c t="s"><x:v>1</x:v></x:c></x:row></x:sheetData></x:worksheet>',
+    })
+    got = rows_of(spark, [
+        ("p.xlsx", phonetic), ("c.xls", b"a,b\r\n1.50,\"x, \"\"y\"\"\nz\"\r\n0,TRUE\r\nfalse,-3e2\r\n"), ("t.xls", "é\tü\n1\t2".encode("utf-16")), ("w.xlsx", "é;1".encode("cp1252")), ("one.xls", b"a\nb"),
+        ("h.xls", b"<html><body>t<table><tr><td>a<td colspan=2>b|c</tr><tr><td>0<td>2.0</table><table><tr><td>x</table>"), ("none.xls", b"<html><p>x"), ("word.xls", b"hello"), ("bytes.xls", b"a,b\0c"),
+    ])
+    assert got["p.xlsx"].markdown == "| base | a b |\n| --- | --- |"
+    assert got["c.xls"].markdown == '| a | b |\n| --- | --- |\n| 1.5 | x, "y" z |\n|  | true |\n|  | -300 |'
+    assert got["t.xls"].markdown == "| é | ü |\n| --- | --- |\n| 1 | 2 |" and got["w.xlsx"].markdown == "| é | 1 |\n| --- | --- |" and got["one.xls"].markdown == "| a |\n| --- |\n| b |"
+    assert got["h.xls"].markdown == "## Sheet1\n\n| a | b\\|c |  |\n| --- | --- | --- |\n|  | 2 |  |\n\n## Sheet2\n\n| x |\n| --- |"
+    assert "could not find <table>" in got["none.xls"].error and "not a zip file" in got["word.xls"].error and "not a zip file" in got["bytes.xls"].error
+
+
+def test_a_large_sheet_takes_little_memory(tmp_path):
+    """200 MB of XML, read in a process of its own that reports its peak."""
+    import subprocess
+    import sys
+
+    program = """
+import io, resource, sys, zipfile
+from docloom.sources import office
+out = io.BytesIO()
+row = "<row>" + "".join(f'<c t="n" s="1"><f>A1+{k}</f><v>{k}.25</v></c>' + " " * 150 for k in range(40)) + "</row>"
+with zipfile.ZipFile(out, "w", zipfile.ZIP_DEFLATED, compresslevel=1) as z:
+    z.writestr("xl/workbook.xml", '<workbook xmlns:r="r"><sheets><sheet name="S" r:id="r0"/></sheets></workbook>')
+    z.writestr("xl/_rels/workbook.xml.rels", '<Relationships><Relationship Id="r0" Target="worksheets/s.xml"/></Relationships>')
+    with z.open("xl/worksheets/s.xml", "w") as f:
+        f.write(b"<worksheet><sheetData>")
+        n = (200 << 20) // len(row)
+        for _ in range(n):
+            f.write(row.encode())
+        f.write(b"</sheetData></worksheet>")
+before = resource.getrusage(resource.RUSAGE_SELF).ru_maxrss
+found = office.sheets(out.getvalue())
+assert len(found[0]["rows"]) == n and found[0]["rows"][-1][1] == "1.25"
+print((resource.getrusage(resource.RUSAGE_SELF).ru_maxrss) / 1024)
+"""
+    done = subprocess.run([sys.executable, "-c", program], capture_output=True, text=True, timeout=300, cwd=__file__.rpartition("/tests/")[0])
+    assert done.returncode == 0, done.stderr
+    assert float(done.stdout) < 300
