@@ -106,16 +106,17 @@ def error_text(error: Column) -> Column:
     return or_else(error, F.lit(FAILED))
 
 
-def converted(files: DataFrame, registry: Registry | None = None, filename: str = "filename", content: str = "content", declared: str | None = None, charset: str | None = None, seconds: float | None = 300, megabytes: int | None = 2048) -> DataFrame:
+def converted(files: DataFrame, registry: Registry | None = None, filename: str = "filename", content: str = "content", declared: str | None = None, charset: str | None = None, error: str | None = None, seconds: float | None = 300, megabytes: int | None = 2048) -> DataFrame:
     """Adds extension, mimetype, converter, markdown, title, status, error_kind, error, attempts to the rows of files.
 
     The first candidate that reads the document wins. Without candidates, or if all fail, markdown is null and
     error says why. Rows without candidates never reach Python: they are split off by a filter. `declared` and
-    `charset` name columns. A reader that takes longer than `seconds` or more memory than `megabytes` besides what its
+    `charset` name columns, and so does `error`, where it isn't null, why a file has no content. A reader that takes longer than `seconds` or more memory than `megabytes` besides what its
     worker has fails for that document; None switches a bound off.
     """
     registry = registry or builtins()
-    own = [c for c in files.columns if c != content]
+    own = [c for c in files.columns if c not in (content, error)]
+    unread = F.col(error) if error else F.lit(None).cast("string")
     rows = files.withColumn("extension", detect.extension(F.coalesce(F.col(filename), F.lit(""))))
     rows = rows.withColumn("mimetype", detect.mimetype(F.coalesce(F.col(filename), F.lit("")), F.col(declared) if declared else F.lit("")))
     rows = rows.withColumn("candidates", registry.candidates(F.col("extension"), F.col("mimetype")))
@@ -140,7 +141,7 @@ def converted(files: DataFrame, registry: Registry | None = None, filename: str
     none = F.lit(None).cast("string")
     refused = rows.where(~readable).select(
         *own, "extension", "mimetype", none.alias("converter"), none.alias("markdown"), none.alias("title"),
-        F.lit("UnsupportedFormatException").alias("error_kind"), F.lit(UNSUPPORTED).alias("error"), F.array().cast("array<struct<converter:string,error:string>>").alias("attempts"),
+        F.when(unread.isNotNull(), "FileConversionException").otherwise("UnsupportedFormatException").alias("error_kind"), F.coalesce(unread, F.lit(UNSUPPORTED)).alias("error"), F.array().cast("array<struct<converter:string,error:string>>").alias("attempts"),
     )
     return done.unionByName(refused).withColumn("status", status(F.col("markdown"), F.col("error")))
 

@@ -14,7 +14,7 @@ from docloom.operators import convert
 from docloom.operators.preview import markdown_to_html
 from docloom.operators.registry import UNSUPPORTED, all_failed, builtins
 from docloom.plans import samples
-from docloom.sources.files import read_files, read_markdown, scratch, write_markdown
+from docloom.sources.files import read_files, read_folder, read_markdown, scratch, stream_markdown, write_markdown
 from docloom.streaming import write_stream
 
 EXTENSIONS = (".DOCX", ".pdf", ".xlsx", ".XLS", ".pptx", ".msg", ".html", ".htm", ".txt", ".csv", ".tar.gz", "", ".", ".json")
@@ -318,13 +318,32 @@ def stream_convert(spark, sf_dir):
     return spark.read.parquet(target).select("page_id", "markdown", "title", "status")
 
 
+def folder_reader(spark, sf_dir):
+    """Customers as files, found by a part of their names; a file of more bytes than a segment of ten letters is an error row."""
+    c = _table(spark, sf_dir, "customer")
+    path = scratch(spark, "folder")
+    write_markdown(c.select(F.concat(c.c_name, _pick((".a", ".html"), c.c_custkey), F.lit(".x")).alias("filename"), c.c_mktsegment.alias("markdown")), path)
+    found = read_folder(spark, path, maxBytes=9, packFiles=100).where(F.col("filename").endswith(".html.md"))
+    return found.select("filename", "length", F.decode("content", "utf-8").alias("text"), "error")
+
+
+def stream_sink(spark, sf_dir):
+    """Pages as a stream, to one Markdown file a page; what the batches' list says, and what is there."""
+    pages = spark.readStream.schema(_table(spark, sf_dir, "pages").schema).parquet(f"{sf_dir}/pages.parquet*")
+    files = pages.select(F.col("page_id").cast("string").alias("path"), F.lit("p.html").alias("filename"), F.col("html").cast("binary").alias("content"))
+    target = scratch(spark, "files")
+    stream_markdown(convert.converted(files), target, scratch(spark, "progress")).awaitTermination()
+    listed = spark.read.schema("batch long, files long, bytes long").json(f"{target}/_batches/").agg(F.sum("files").alias("listed"))
+    return read_markdown(spark, target).agg(F.count("*").alias("files"), F.countDistinct("folder").alias("folders"), F.sum(utf16_length(F.col("markdown"))).alias("n_chars")).crossJoin(F.broadcast(listed))
+
+
 docx_convert, xlsx_convert, xls_convert, pptx_convert, pdf_convert, msg_convert = map(_office_query, ("docx", "xlsx", "xls", "pptx", "pdf", "msg"))
 
 QUERIES = (
     html_markdown, html_titles, html_markdown_length, markdown_preview, detect_types, route_candidates, unsupported_errors, all_failed_message,
     normalize_markdown, escape_cells, table_markdown, falsy_cells, workbook_markdown, deck_markdown, paged_markdown, list_markdown, email_markdown,
     output_names, batch_status, batch_count, remove_and_reindex, append_batch, convert_pages, dom_nodes, html_lists, html_tables, html_inline,
-    docx_convert, xlsx_convert, xls_convert, pptx_convert, pdf_convert, msg_convert, pdf_layout, sniffed_workbooks, unreadable_files, sink_roundtrip, binary_scan, stream_convert,
+    docx_convert, xlsx_convert, xls_convert, pptx_convert, pdf_convert, msg_convert, pdf_layout, sniffed_workbooks, unreadable_files, sink_roundtrip, binary_scan, stream_convert, folder_reader, stream_sink,
 )
 
 
@@ -507,6 +526,11 @@ def oracle_sql() -> dict[str, str]:
         "stream_convert": f"""
             with {_PAGE_SQL}, done as (select page_id, {_normalize_sql("t")} as markdown, trim(regexp_extract(html, '(?i)<title[^>]*>([^<]*)</title>', 1)) as title from decoded join pages using (page_id))
             select page_id, markdown, title, format('{{:,}}', length(markdown)) || ' characters' as status from done""",
+        "folder_reader": """
+            select c_name || '.html.md' as filename, length(c_mktsegment)::bigint as length, case when length(c_mktsegment) <= 9 then c_mktsegment end as text,
+                case when length(c_mktsegment) > 9 then 'File is larger than 9 bytes' end as error from customer where c_custkey % 2 = 1""",
+        "stream_sink": f"""
+            with {_PAGE_SQL} select count(*) as files, count(*) as folders, sum(length({_normalize_sql("t")}))::bigint as n_chars, count(*)::bigint as listed from decoded""",
         "convert_pages": f"""
             with {_PAGE_SQL}
             select page_id, case when page_id % 4 <> 2 then 'HtmlConverter' end as converter, case when page_id % 4 = 2 then 'UnsupportedFormatException' end as error_kind,

@@ -1,0 +1,113 @@
+import os
+import subprocess
+import sys
+
+import pytest
+from pyspark.sql import functions as F
+
+from docloom.operators import convert
+from docloom.sources import files
+from docloom.sources.files import _FolderReader
+from docloom.streaming import convert_stream_to_files
+
+ROOT = os.path.dirname(os.path.dirname(os.path.abspath(__file__)))
+
+
+@pytest.fixture
+def folder(tmp_path):
+    d = tmp_path / "in"
+    (d / "sub" / "_hidden").mkdir(parents=True)
+    for k in range(6):
+        (d / ("sub" if k % 2 else ".") / f"a{k}.html").write_bytes(b"<p>%d</p>" % k)
+    (d / "big.html").write_bytes(b"<p>" + b"x" * 5000)
+    (d / "n.csv").write_bytes(b"a,b")
+    (d / ".dot.html").write_bytes(b"no")
+    (d / "sub" / "_hidden" / "b.html").write_bytes(b"no")
+    return str(d)
+
+
+def test_folder_as_rows(spark, folder):
+    rows = {r.filename: r for r in files.read_folder(spark, folder, maxBytes=1000).collect()}
+    assert set(rows) == {"big.html", "n.csv", *(f"a{k}.html" for k in range(6))}
+    assert bytes(rows["a3.html"].content) == b"<p>3</p>" and rows["a3.html"].length == 8 and rows["a3.html"].path.endswith("/sub/a3.html")
+    assert rows["big.html"].content is None and rows["big.html"].error == "File is larger than 1000 bytes" and rows["big.html"].modified is not None
+    assert set(r.filename for r in files.read_folder(spark, folder, recursive=False, accepted=True).collect()) == {"a0.html", "a2.html", "a4.html", "big.html"}
+    done = {r.filename: r for r in convert.converted(files.read_folder(spark, folder, maxBytes=1000), error="error").collect()}
+    assert done["a1.html"].markdown == "1\n\n" and done["n.csv"].error_kind == "UnsupportedFormatException"
+    assert (done["big.html"].error_kind, done["big.html"].error, done["big.html"].status) == ("FileConversionException", "File is larger than 1000 bytes", "Failed")
+
+
+def test_conditions_on_names_come_before_bytes(spark, folder):
+    (open(f"{folder}/locked.html", "wb")).close()
+    cases = [(F.col("filename") == "a1.html", 1), (F.col("filename").isin("a1.html", "a2.html", "zz"), 2), (F.col("filename").startswith("a") & F.col("filename").endswith("4.html"), 1), (F.col("filename").contains("5"), 1)]
+    for condition, n in cases:
+        found = files.read_folder(spark, folder).where(condition)
+        assert found.count() == n and found.select("content").count() == n
+    plan = files.read_folder(spark, folder).where("filename = 'a1.html' and length > 3")._jdf.queryExecution().executedPlan().toString()
+    assert "length" in plan and "a1.html" not in plan  # only the other condition is left for Spark
+
+
+def test_packs_are_even(tmp_path):
+    for k in range(2000):
+        (tmp_path / f"s{k}.html").write_bytes(b"x" * (100 + k % 7))
+    with open(tmp_path / "large.html", "wb") as f:
+        f.truncate(1 << 20)  # beside the small ones as 1 GB beside 10,000
+    packs = [p.files for p in _FolderReader({"path": str(tmp_path), "packBytes": "20000", "packFiles": "400"}).partitions()]
+    small = [p for p in packs if not any(f[1] == 1 << 20 for f in p)]
+    assert len(packs) - len(small) == 1 and all(len(p) == 1 for p in packs if p not in small)
+    sizes = [sum(f[1] for f in p) for p in small]
+    assert max(sizes) <= 2 * sum(sizes) / len(sizes) and max(map(len, packs)) <= 2 * 2001 / len(packs) + 1
+    assert sum(map(len, packs)) == 2001
+
+
+STREAM = """
+import os, sys
+from pyspark.sql import SparkSession
+from docloom.sources import files
+from docloom.streaming import convert_stream_to_files
+
+class Writer(files._StreamWriter):
+    def commit(self, messages, batchId):
+        os.kill(int(os.environ["DRIVER"]), 9)  # all files of the batch are written and none is committed
+        os._exit(1)
+
+class Dying(files.MarkdownFiles):
+    def streamWriter(self, schema, overwrite):
+        return Writer(self.options["path"])
+
+files.MarkdownFiles = Dying
+os.environ["DRIVER"] = str(os.getpid())
+spark = SparkSession.builder.master("local[2]").config("spark.ui.enabled", "false").config("spark.ui.showConsoleProgress", "false").getOrCreate()
+convert_stream_to_files(spark, *sys.argv[1:]).awaitTermination()
+"""
+
+
+def test_each_file_once_after_a_restart(spark, folder, tmp_path):
+    """A run is killed between the writes and the commit of a batch; the next one leaves each file once."""
+    out, state = str(tmp_path / "out"), str(tmp_path / "state")
+    env = os.environ | {"PYTHONPATH": ROOT}
+    killed = subprocess.run([sys.executable, "-c", STREAM, folder, out, state], env=env, capture_output=True, text=True, timeout=200)
+    assert killed.returncode != 0
+    written = sorted(p for p in (tmp_path / "out").rglob("*.md"))
+    assert len(written) == 4 and not (tmp_path / "out" / "_batches").exists(), killed.stderr[-2000:]
+    for _ in range(2):  # a run after that has nothing left to do
+        convert_stream_to_files(spark, folder, out, state).awaitTermination(120)
+        assert sorted((tmp_path / "out").rglob("*.md")) == written
+        assert sorted(os.listdir(tmp_path / "out" / "_batches")) == ["0.json"]
+    assert {(r.output_name, r.markdown[:3]) for r in files.read_markdown(spark, out).collect()} == {("a0.md", "0\n\n"), ("a2.md", "2\n\n"), ("a4.md", "4\n\n"), ("big.md", "xxx")}
+    with open(f"{folder}/new.html", "w") as f:
+        f.write("<p>new")
+    convert_stream_to_files(spark, folder, out, state).awaitTermination(120)
+    assert len(sorted((tmp_path / "out").rglob("*.md"))) == 5 and len(os.listdir(tmp_path / "out" / "_batches")) == 2
+
+
+def test_no_folder_of_one_machine_on_a_cluster():
+    class Session:
+        def __init__(self, **conf):
+            self.conf = conf
+
+    shared = files.scratch(Session(**{"spark.checkpoint.dir": "s3a://b/c", "spark.master": "yarn"}), "x")
+    assert shared.startswith("s3a://b/c/docloom/x-")
+    with pytest.raises(ValueError):
+        files.scratch(Session(**{"spark.master": "yarn", "spark.sql.warehouse.dir": "file:/root/spark-warehouse"}), "x")
+    assert files.scratch(Session(**{"spark.master": "local[4]"}), "x").startswith("file:///")
