@@ -10,6 +10,9 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from docloom.llm.common import written
+from docloom.llm.decontaminate import _may_hit
+
 #: Up to so many intervals (of about 100 bytes) the list is broadcast; beyond, it is joined by a shuffle.
 MAX_BROADCAST = 500_000
 
@@ -21,16 +24,21 @@ def host_of(url: Column) -> Column:
 
 def path_of(url: Column) -> Column:
     """Path as it stands in the URL, without query, fragment and the slashes around it."""
-    return F.regexp_replace(F.regexp_extract(url, r"^\s*[A-Za-z][A-Za-z0-9+.-]*://[^/?#]*/+([^?#]*)", 1), r"/+\s*$", "")
+    return F.regexp_replace(F.regexp_extract(url, r"^\s*[A-Za-z][A-Za-z0-9+.-]*://[^/?#]*/++([^?#]*)", 1), r"(?<!/)/++\s*+$", "")
+
 
+def patterns_of(host: Column, path: Column, labels: int, segments: int) -> Column:
+    """Every pattern of a list that could cover a URL: each suffix of its host of up to `labels` labels, and the host with each beginning of its path of up to `segments` segments.
 
-def patterns_of(host: Column, path: Column) -> Column:
-    """Every pattern that could cover a URL: each suffix of its host, and the host with each beginning of its path."""
-    labels, segments = F.split(host, r"\."), F.split(path, "/+")
-    domains = F.transform(F.sequence(F.lit(1), F.size(labels)), lambda k: F.array_join(F.slice(labels, k, F.size(labels)), "."))
-    places = F.transform(F.sequence(F.lit(1), F.size(segments)), lambda k: F.concat(host, F.lit("/"), F.array_join(F.slice(segments, 1, k), "/")))
+    With the list's own largest numbers nothing is left out, and the work on a URL doesn't grow with the square of its length.
+    """
+    ends, starts = F.split(F.substring_index(host, ".", -labels), r"\."), F.slice(F.split(path, "/+", segments + 1), 1, max(1, segments))
+    domains = F.transform(F.sequence(F.lit(1), F.size(ends)), lambda k: F.array_join(F.slice(ends, k, F.size(ends)), "."))
+    places = F.transform(F.sequence(F.lit(1), F.size(starts)), lambda k: F.concat(host, F.lit("/"), F.array_join(F.slice(starts, 1, k), "/")))
     none = F.array().cast("array<string>")
-    return F.array_distinct(F.concat(F.when(host != "", domains).otherwise(none), F.when((host != "") & (path != ""), places).otherwise(none)))
+    by_domain = F.when(host != "", domains).otherwise(none) if labels else none
+    by_place = F.when((host != "") & (path != ""), places).otherwise(none) if segments else none
+    return F.array_distinct(F.concat(by_domain, by_place))
 
 
 def intervals(entries: DataFrame) -> DataFrame:
@@ -59,13 +67,24 @@ def filtered(captures: DataFrame, entries: DataFrame, fetched: Column, id_col: s
     """
     url = F.coalesce(captures[url_col], F.lit(""))
     rows = captures.select(captures[id_col].cast("long").alias("page_id"), host_of(url).alias("host"), path_of(url).alias("path"), fetched.alias("fetched_at"), F.monotonically_increasing_id().alias("row"))
-    keys = rows.select("row", "page_id", "host", "fetched_at", F.explode_outer(patterns_of(F.col("host"), F.col("path"))).alias("key"))
     active = intervals(entries)
-    if active.count() <= max_broadcast:
-        active = F.broadcast(active)
+    parts = F.size(F.split("pattern", r"[./]"))
+    place = F.col("pattern").contains("/")
+    segments = F.size(F.split("pattern", "/")) - 1
+    of = active.agg(F.count("*").alias("n"), F.max(F.when(~place, parts)).alias("labels"), F.max(F.when(place, segments)).alias("segments")).first()
+    patterns = patterns_of(F.col("host"), F.col("path"), of.labels or 0, of.segments or 0)
+    few = of.n <= max_broadcast
+    if not few:
+        rows, active = written(rows, "captures"), written(active, "active")  # rows are joined again below, by numbers that must not change
+    keys = rows.select("row", *(["page_id", "host"] if few else []), "fetched_at", (F.explode_outer if few else F.explode)(patterns).alias("key"))
+    if not few:  # most keys, such as the last label of a host, are in no list, and aren't shuffled
+        keys = _may_hit(keys.withColumn("seed", F.xxhash64("key")), active.select(F.xxhash64("pattern").alias("seed"))).drop("seed")
     covers = (keys.key == active.pattern) & (keys.fetched_at >= active.active_from) & (active.active_to.isNull() | (keys.fetched_at < active.active_to))
-    joined = keys.join(active, covers, "left")
+    joined = keys.join(F.broadcast(active), covers, "left") if few else keys.join(active, covers)
     # the keys of a row are side by side, so partial aggregation leaves one row of each before the shuffle
     best = F.max(F.when(F.col("pattern").isNotNull(), F.struct(F.length("pattern").alias("n"), "pattern", "active_from"))).alias("best")
-    found = joined.groupBy("row").agg(F.first("page_id").alias("page_id"), F.first("host").alias("host"), F.first("fetched_at").alias("fetched_at"), F.count("pattern").alias("n_patterns"), best)
+    own = [F.first(c).alias(c) for c in ("page_id", "host", "fetched_at")] if few else []
+    found = joined.groupBy("row").agg(*own, F.count("pattern").alias("n_patterns"), best)
+    if not few:
+        found = rows.join(found, "row", "left").withColumn("n_patterns", F.coalesce("n_patterns", F.lit(0)))
     return found.select("page_id", "host", "fetched_at", (F.col("n_patterns") > 0).alias("blocked"), "best.pattern", F.col("best.active_from").alias("listed_at"), "n_patterns")

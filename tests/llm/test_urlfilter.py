@@ -53,3 +53,31 @@ def test_empty_tables(spark):
     assert uf.filtered(pages, entries, F.col("t")).first().blocked
     assert not uf.filtered(pages, entries.limit(0), F.col("t")).first().blocked
     assert uf.filtered(pages.limit(0), entries, F.col("t")).count() == 0
+
+
+def test_very_long_urls(spark):
+    """A megabyte of segments, labels, slashes or blanks takes no longer than its list's patterns are deep."""
+    import time
+
+    long = ["http://example.org/a/b/" + "x/" * 500_000, "http://" + "y." * 500_000 + "bad.example.com/", "http://example.org/" + "/" * 10**6 + "a", "http://example.org/a/b" + "/" * 10**6, "http://x" + " " * 10**5]
+    pages = spark.createDataFrame([(k, u, DAY[28]) for k, u in enumerate(long)], "page_id long, url string, t timestamp")
+    entries = spark.createDataFrame(ENTRIES, "pattern string, action string, at timestamp")
+    uf.filtered(pages.where("page_id < 0"), entries, F.col("t")).collect()
+    began = time.time()
+    got = {r.page_id: (r.pattern, r.n_patterns) for r in uf.filtered(pages, entries, F.col("t")).collect()}
+    assert time.time() - began < 10
+    assert got == {0: ("example.org/a/b", 1), 1: ("bad.example.com", 2), 2: (None, 0), 3: ("example.org/a/b", 1), 4: (None, 0)}
+
+
+def test_past_the_broadcast_only_keys_of_the_list_are_shuffled(spark):
+    pages = spark.range(2000).select(F.col("id").alias("page_id"), F.concat(F.lit("http://h"), F.col("id"), F.lit(".site.example.com/p/q")).alias("url"), F.lit(DAY[28]).alias("t"))
+    entries = spark.createDataFrame([(f"h{k}.site.example.com", "add", DAY[0]) for k in range(50)] + [("other.org/a/b/c", "add", DAY[0])], "pattern string, action string, at timestamp")
+    seen = []
+    real = uf._may_hit
+    try:
+        uf._may_hit = lambda keys, seeds: seen.append(real(keys, seeds)) or seen[-1]
+        got = uf.filtered(pages, entries, F.col("t"), max_broadcast=0)
+        assert got.where("blocked").count() == 50 and got.count() == 2000
+        assert seen[0].count() < 60  # of 14,000 keys
+    finally:
+        uf._may_hit = real
