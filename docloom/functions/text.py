@@ -27,8 +27,8 @@ def trim_end(c: Column) -> Column:
 
 
 def is_blank(c: Column) -> Column:
-    """Whether trimming leaves nothing."""
-    return ~F.rlike(c, F.lit(_INK))
+    """Whether trimming leaves nothing. What starts with a visible character of ASCII isn't matched at all."""
+    return ~((c >= "!") & (c < "\x7f")) & ~F.rlike(c, F.lit(_INK))
 
 
 def normalize(markdown: Column) -> Column:

@@ -81,7 +81,7 @@ def all_failed_message(spark, sf_dir):
 
 
 def normalize_markdown(spark, sf_dir):
-    d = _table(spark, sf_dir, "documents")
+    d = convert.spread(_table(spark, sf_dir, "documents"))
     dirty = F.replace(d.text, F.lit(". "), F.lit(".  \u00a0\n \r\n\t\n\n"))
     return d.select("doc_id", normalize(dirty).alias("markdown"))
 
@@ -126,7 +126,7 @@ def deck_markdown(spark, sf_dir):
 
 
 def paged_markdown(spark, sf_dir):
-    d = _table(spark, sf_dir, "documents")
+    d = convert.spread(_table(spark, sf_dir, "documents"))
     pages = F.transform(F.split(d.text, "\n"), lambda x, k: F.struct((k + 1).alias("n"), F.split(x, " ").alias("items")))
     return d.select("doc_id", render.pages(pages).alias("markdown"))
 
@@ -137,7 +137,7 @@ def list_markdown(spark, sf_dir):
 
 
 def email_markdown(spark, sf_dir):
-    o, c = _table(spark, sf_dir, "orders"), _table(spark, sf_dir, "customer")
+    o, c = convert.spread(_table(spark, sf_dir, "orders")), _table(spark, sf_dir, "customer")
     who = lambda kind, email, name: F.struct(F.lit(kind).alias("recip_type"), email.alias("email"), name.alias("name"))
     none = F.lit(None).cast("string")
     mail = F.struct(
@@ -238,7 +238,7 @@ def _made(make, *columns: Column) -> Column:
 
 def _office(spark, sf_dir, kind: str) -> DataFrame:
     """(c_custkey, filename, content): a file of a kind for each customer."""
-    c = _table(spark, sf_dir, "customer")
+    c = convert.spread(_table(spark, sf_dir, "customer"))
     name, key, segment = c.c_name, c.c_custkey.cast("string"), c.c_mktsegment
     make = {
         "docx": lambda n, k, s: samples.docx([(1 + int(k) % 6, n), ("p", f"{s} & <b>"), ("li", k), ("li", s), ("tr", f"{k}\t{n}")], "berschrift" if int(k) % 2 else "Heading"),
@@ -262,7 +262,7 @@ def _office_query(kind: str):
 
 def pdf_layout(spark, sf_dir):
     """Documents as typeset pages, whose words are in pieces and whose blanks are gaps, back to text."""
-    d = _table(spark, sf_dir, "documents")
+    d = convert.spread(_table(spark, sf_dir, "documents"))
     content = _made(lambda t, k: samples.laid_out(t, deflate=k % 2 == 0), F.coalesce(d.text, F.lit("")), d.doc_id)
     files = d.select("doc_id", F.concat(F.lit("d"), d.doc_id.cast("string"), F.lit(".pdf")).alias("filename"), content.alias("content"))
     return convert.converted(files).select("doc_id", "markdown", "error")

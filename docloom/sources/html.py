@@ -21,6 +21,9 @@ RCDATA = set("textarea title".split())
 RAW = set("iframe noembed noframes plaintext xmp".split())
 TABLE_CONTEXT = set("table tbody tfoot thead tr".split())
 TABLE_PARTS = TABLE_CONTEXT | set("caption col colgroup form script style td template th".split())
+FOREIGN = {"svg", "math"}
+HTML_WITHIN = set("foreignobject desc title mi mo mn ms mtext annotation-xml".split())
+BREAKS_OUT = set("b big blockquote body br center code dd div dl dt em embed h1 h2 h3 h4 h5 h6 head hr i img li listing menu meta nobr ol p pre ruby s small span strong strike sub sup table tt u ul var".split())
 HEADINGS = {f"h{k}" for k in range(1, 7)}
 BLOCKS = CLOSES_P | {"tr", "td", "th", "tbody", "thead", "tfoot", "body"}
 MAX_LEVELS = 512  # of elements in each other, as browsers have it
@@ -28,10 +31,17 @@ CONTAINERS = {"div", "section", "article", "main", "header", "footer"}
 
 
 class Node:
-    __slots__ = ("attrs", "children", "tag")
+    __slots__ = ("attrs", "children", "parent", "tag")
 
     def __init__(self, tag: str, attrs: dict | None = None):
-        self.tag, self.attrs, self.children = tag, attrs or {}, []
+        self.tag, self.attrs, self.children, self.parent = tag, attrs or {}, [], None
+
+    def put(self, node: Node, at: int | None = None) -> None:
+        """As a child, the last one or at a place, wherever it was before."""
+        if node.parent is not None:
+            node.parent.children = [c for c in node.parent.children if c is not node]
+        self.children.insert(len(self.children) if at is None else at, node)
+        node.parent = self
 
     def text(self) -> str:
         out, stack = [], [self]
@@ -77,7 +87,7 @@ class TreeBuilder(HTMLParser):
         self.body = Node("body")
         self.open = [self.body]
         self.active: list[Node | None] = []  # formatting elements; None marks a cell
-        self.begun = self.in_head_text = False
+        self.begun = self.in_head_text = self.frames = False
 
     def _in_scope(self, tag: str) -> bool:
         for n in reversed(self.open):
@@ -104,16 +114,21 @@ class TreeBuilder(HTMLParser):
 
     def _add(self, new: Node | str) -> None:
         """To the current element; what a table can't hold goes before the table. Text joins text before it."""
-        into = self.open[-1].children
-        at = len(into)
-        if self.open[-1].tag in TABLE_CONTEXT and (new.strip(WS_CHARS) if isinstance(new, str) else new.tag not in TABLE_PARTS):
-            k = max((k for k, n in enumerate(self.open) if n.tag == "table"), default=0)
-            into = self.open[k - 1].children
-            at = next((j for j in range(len(into) - 1, -1, -1) if into[j] is self.open[k]), len(into))
-        if isinstance(new, str) and at and isinstance(into[at - 1], str):
-            into[at - 1] += new
+        self._add_to(len(self.open) - 1, new)
+
+    def _add_to(self, level: int, new: Node | str) -> None:
+        into = self.open[level]
+        at = len(into.children)
+        if into.tag in TABLE_CONTEXT and (new.strip(WS_CHARS) if isinstance(new, str) else new.tag not in TABLE_PARTS):
+            k = max((k for k, n in enumerate(self.open[: level + 1]) if n.tag == "table"), default=0)
+            into = self.open[k - 1]
+            at = next((j for j in range(len(into.children) - 1, -1, -1) if into.children[j] is self.open[k]), len(into.children))
+        if not isinstance(new, str):
+            into.put(new, at)
+        elif at and isinstance(into.children[at - 1], str):
+            into.children[at - 1] += new
         else:
-            into.insert(at, new)
+            into.children.insert(at, new)
 
     def _push(self, node: Node) -> Node:
         if len(self.open) >= MAX_LEVELS:  # beside the element that is open, not in it
@@ -133,8 +148,30 @@ class TreeBuilder(HTMLParser):
             out.setdefault(k, v or "")
         return out
 
-    def handle_starttag(self, tag: str, attrs: list) -> None:
+    def _in_foreign(self) -> bool:
+        """Whether the open element belongs to a drawing or formula; some of those hold HTML again."""
+        k = next((k for k in range(len(self.open) - 1, -1, -1) if self.open[k].tag in FOREIGN), None)
+        return k is not None and not any(n.tag in HTML_WITHIN for n in self.open[k + 1 :])
+
+    def handle_starttag(self, tag: str, attrs: list, closed: bool = False) -> None:
+        if self.frames:
+            return
         attributes = self._attributes(attrs) if attrs else {}
+        if self.begun and self._in_foreign():
+            if tag in BREAKS_OUT or tag == "font" and attributes.keys() & {"color", "face", "size"}:
+                while self._in_foreign():
+                    self.open.pop()
+            else:
+                self.clear_cdata_mode()
+                node = Node(tag, attributes)
+                if closed:
+                    self._add(node)
+                else:
+                    self._push(node)
+                return
+        if tag == "frameset" and not self.begun:
+            self.frames = True  # a page of frames has no body
+            return
         if tag in RCDATA or tag in RAW:
             self.set_cdata_mode(tag)
         if tag in ("html", "head", "body"):
@@ -196,34 +233,74 @@ class TreeBuilder(HTMLParser):
             self.active.append(node)
 
     def handle_startendtag(self, tag: str, attrs: list) -> None:
-        self.handle_starttag(tag, attrs)
+        foreign = tag in FOREIGN
+        self.handle_starttag(tag, attrs, closed=True)
+        if foreign and self.open[-1].tag == tag and not self.open[-1].children:
+            self.open.pop()
 
     def _end_formatting(self, tag: str) -> None:
-        node = next((n for n in reversed(self.active) if n is None or n.tag == tag), None)
-        if node is None:
-            if self.open[-1].tag == tag:
-                self.open.pop()
-            return
-        if node not in self.open:
-            self.active.remove(node)
-            return
-        at = self.open.index(node)
-        block = next((k for k in range(at + 1, len(self.open)) if self.open[k].tag in BLOCKS), None)
-        self.active.remove(node)
-        if block is None:
-            del self.open[at:]
-            return
-        # misnested: the block moves out, and what it has so far stays formatted
-        inner, last = self.open[block], self.open[block - 1]
-        last.children = [c for c in last.children if c is not inner]
-        stack, self.open = self.open, self.open[:at]
-        self._add(inner)
-        self.open = stack
-        copy = Node(tag, node.attrs)
-        copy.children, inner.children = inner.children, [copy]
-        del self.open[at:block]
+        """The end of a formatting element, also of one that isn't innermost: what is misnested is split, and stays formatted up to here."""
+        for _ in range(8):
+            node = next((n for n in reversed(self.active) if n is None or n.tag == tag), None)
+            if node is None:
+                if self.open[-1].tag == tag:
+                    self.open.pop()
+                return
+            if node not in self.open:
+                self.active.remove(node)
+                return
+            at = self.open.index(node)
+            if any(n.tag in SCOPE for n in self.open[at + 1 :]):
+                return
+            block = next((k for k in range(at + 1, len(self.open)) if self.open[k].tag in BLOCKS), None)
+            if block is None:
+                del self.open[at:]
+                self.active.remove(node)
+                return
+            inner = last = self.open[block]
+            place = self.active.index(node)
+            between = 0
+            for k in range(block - 1, at, -1):
+                between += 1
+                above = self.open[k]
+                if above in self.active and between > 3:
+                    if self.active.index(above) < place:
+                        place -= 1
+                    self.active.remove(above)
+                if above not in self.active:
+                    del self.open[k]
+                    continue
+                copy = Node(above.tag, above.attrs)
+                self.active[self.active.index(above)] = self.open[k] = copy
+                if last is inner:
+                    place = self.active.index(copy) + 1
+                copy.put(last)
+                last = copy
+            self._add_to(at - 1, last)
+            copy = Node(tag, node.attrs)
+            copy.children, inner.children = inner.children, []
+            for c in copy.children:
+                if not isinstance(c, str):
+                    c.parent = copy
+            inner.put(copy)
+            old = self.active.index(node)
+            self.active.insert(place, copy)
+            del self.active[old + (place <= old)]
+            self.open.remove(node)
+            self.open.insert(self.open.index(inner) + 1, copy)
 
     def handle_endtag(self, tag: str) -> None:
+        if self.frames:
+            return
+        if self.begun and self._in_foreign():
+            if tag in ("br", "p"):
+                while self._in_foreign():
+                    self.open.pop()
+            else:
+                k = next((k for k in range(len(self.open) - 1, 0, -1) if self.open[k].tag == tag or self.open[k].tag in FOREIGN), 0)
+                if k and self.open[k].tag == tag:
+                    del self.open[k:]
+                    return
         if not self.begun:
             self.in_head_text = False
             return
@@ -249,7 +326,13 @@ class TreeBuilder(HTMLParser):
         if node.tag in ("td", "th") and None in self.active:
             del self.active[len(self.active) - 1 - self.active[::-1].index(None) :]
 
+    def unknown_decl(self, data: str) -> None:
+        if data.startswith("CDATA[") and self.begun and self._in_foreign():
+            self._add(data[6:])
+
     def handle_data(self, data: str) -> None:
+        if self.frames:
+            return
         if not self.begun:
             if self.in_head_text or not data.strip():
                 return

@@ -128,6 +128,45 @@ def test_deep_trees_are_cut_to_the_bound_of_browsers():
         assert deepest <= MAX_LEVELS and parse(html).text().count("x") == 8000
 
 
+def shape(html):
+    """The tree as tags."""
+
+    def one(n):
+        return n if isinstance(n, str) else f"<{n.tag}>{''.join(map(one, n.children))}</{n.tag}>"
+
+    return "".join(map(one, parse("<body>" + html).children))
+
+
+TREES = [
+    ("<p>1<b>2<i>3</b>4</i>5</p>", "<p>1<b>2<i>3</i></b><i>4</i>5</p>"),
+    ("<b>1<p>2</b>3</p>", "<b>1</b><p><b>2</b>3</p>"),
+    ("<a>1<p>2</a>3</p>", "<a>1</a><p><a>2</a>3</p>"),
+    ("<a>1<div>2<div>3</a>4</div>5</div>", "<a>1</a><div><a>2</a><div><a>3</a>4</div>5</div>"),
+    ("<b>1<i>2<p>3</b>4", "<b>1<i>2</i></b><i><p><b>3</b>4</p></i>"),
+    ("<b><em><foo><foob><aside></b></em>x", "<b><em><foo><foob></foob></foo></em></b><em></em><aside><em><b></b></em>x</aside>"),
+    ("<table><a>1<p>2</a>3</p>", "<a>1</a><p><a>2</a>3</p><table></table>"),
+    ("<b><button>x</b>y</button>z", "<b><button>xy</button>z</b>"),
+    ("<svg/>a<p>b</p>", "<svg></svg>a<p>b</p>"),
+    ("<svg><g/><path>t</path></svg><p>b</p>", "<svg><g></g><path>t</path></svg><p>b</p>"),
+    ("<svg><g><p>out</p>x", "<svg><g></g></svg><p>out</p>x"),
+    ("<svg><title>a<b>c</b></title></svg>d", "<svg><title>a<b>c</b></title></svg>d"),
+    ("<svg><foreignObject><p>in</p></foreignObject><g></g></svg>d", "<svg><foreignobject><p>in</p></foreignobject><g></g></svg>d"),
+    ("<svg><style><g></g></style></svg><i>x</i>", "<svg><style><g></g></style></svg><i>x</i>"),
+    ("<math><mi>x</mi><mo>=</mo></math>y", "<math><mi>x</mi><mo>=</mo></math>y"),
+    ("<svg><![CDATA[a<b]]></svg>", "<svg>a<b</svg>"),
+]
+
+
+def test_trees_of_the_standard():
+    for html, want in TREES:
+        assert shape(html) == want, html
+
+
+def test_pages_of_frames_have_no_body(spark):
+    assert rendered(spark, ["<html><head><title>t</title></head><frameset><frame src=a><noframes><p>x</noframes></frameset>", "<p>a<frameset>b"]) == ["", "ab\n\n"]
+    assert parse("<template><p>in</p></template>").text() == ""
+
+
 def test_nodes_as_rows(spark):
     html = "<p id=1 class='a'>x<b>y</b></p><!-- c -->z"
     want = [(0, None, "body", None, {}), (1, 0, "p", None, {"id": "1", "class": "a"}), (2, 1, "#text", "x", {}), (3, 1, "b", None, {}), (4, 3, "#text", "y", {}), (5, 0, "#comment", None, {}), (6, 0, "#text", "z", {})]
