@@ -11,7 +11,10 @@ from docloom.llm.common import collected, discard, table, written
 
 
 def keep_quality(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Documents that the classifier, trained on `labels`, accepts; null texts are judged as empty ones."""
+    """Documents that the classifier, trained on `labels`, accepts; null texts are judged as empty ones.
+
+    Repeated rows are judged alike, an empty table stays empty, and columns of any name are kept as they are.
+    """
     return quality.accepted(docs, table(spark, sf_dir, "labels"))
 
 
@@ -33,7 +36,10 @@ def dedup_documents(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFr
 
 
 def remove_benchmark(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Documents that leak no item of `benchmark`; null and empty texts leak nothing."""
+    """Documents that leak no item of `benchmark`; null and empty texts leak nothing.
+
+    Repeated rows of a leaking text all go, an empty table stays empty, and columns of any name are kept as they are.
+    """
     return decontaminate.decontaminated(docs, table(spark, sf_dir, "benchmark"))
 
 
