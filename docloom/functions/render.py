@@ -66,11 +66,6 @@ def blocks(b: Column) -> Column:
     return F.array_join(F.transform(F.arrays_zip(b["tag"], b["text"], b["href"], b["cells"]), piece), "")
 
 
-def falsy_to_empty(number: Column) -> Column:
-    """Numbers as cells: zero and NaN are empty."""
-    return F.when((number == 0) | F.isnan(number.cast("double")) | number.isNull(), "").otherwise(number.cast("string"))
-
-
 def _row(cells: Column) -> Column:
     return F.concat(F.lit("| "), F.array_join(cells, " | "), F.lit(" |"))
 
@@ -106,11 +101,6 @@ def deck(slides: Column) -> Column:
     return or_else(trim(F.array_join(parts, "")), F.lit(NO_SLIDES))
 
 
-def bullets(items: Column, ordered: bool = False) -> Column:
-    mark = (lambda k: F.concat((k + 1).cast("string"), F.lit(". "))) if ordered else (lambda k: F.lit("- "))
-    return F.concat(F.array_join(F.transform(items, lambda i, k: F.concat(mark(k), trim(i), F.lit("\n"))), ""), F.lit("\n"))
-
-
 def email(mail: Column) -> Column:
     """A struct of subject, sender_name, sender_email, sender_smtp, recipients (recip_type, email, name), submit_time, body_html, body."""
     get = lambda name: F.nullif(mail[name], F.lit(""))

@@ -53,16 +53,21 @@ def _blocks(b: str) -> str:
         else concat(coalesce({before}[tag], ''), {own}, coalesce({after}[tag], '')) end), '')"""
 
 
-def register(spark: SparkSession) -> None:
+def register(spark: SparkSession, llm=None) -> None:
     """Scalar functions html_blocks, html_to_markdown, normalize_markdown, markdown_to_html, and the table function html_nodes.
 
     html_to_markdown gives what the column function of that name does, and as there only html_blocks runs in Python.
+    describe_image and transcribe_audio call the methods of those names of `llm`; without one they fail.
     """
+    from docloom.operators.convert import UnconfiguredLLM
     from docloom.operators.preview import to_html
     from docloom.sources.html import blocks
 
     spark.udf.register("html_blocks", F.udf(lambda h: None if h is None else blocks(h), render.BLOCKS, useArrow=True))
     spark.udf.register("markdown_to_html", F.udf(lambda m: None if m is None else to_html(m), "string", useArrow=True))
+    llm = llm or UnconfiguredLLM()
+    for name in ("describe_image", "transcribe_audio"):
+        spark.udf.register(name, F.udf(lambda data, ask=getattr(llm, name): None if data is None else ask(bytes(data)), "string", useArrow=True))
     spark.udtf.register("html_nodes", html_nodes())
     for name, argument, kind, body in (
         ("normalize_markdown", "m", "string", _normalize("m")),

@@ -93,16 +93,18 @@ def escape_cells(spark, sf_dir):
 
 def table_markdown(spark, sf_dir):
     i = _table(spark, sf_dir, "lineitem")
-    cells = F.array(i.l_linenumber.cast("string"), i.l_returnflag, render.falsy_to_empty(F.round(i.l_discount * 100).cast("int")))
+    cells = F.array(i.l_linenumber.cast("string"), i.l_returnflag, F.nullif(F.round(i.l_discount * 100).cast("int"), F.lit(0)).cast("string"))
     rows = i.groupBy("l_orderkey").agg(F.array_sort(F.collect_list(F.struct("l_linenumber", "l_partkey", "l_suppkey", cells.alias("cells")))).alias("rows"))
     head = F.array(F.array(F.lit("line"), F.lit("a|b")))
     return rows.select("l_orderkey", render.table(F.concat(head, F.col("rows.cells"))).alias("markdown"))
 
 
 def falsy_cells(spark, sf_dir):
+    """Taxes as cells of workbooks that are delimited texts: zero is an empty cell."""
     i = _table(spark, sf_dir, "lineitem")
-    tax = render.falsy_to_empty(F.round(i.l_tax * 100).cast("int"))
-    return i.groupBy(tax.alias("cell")).agg(F.count("*").alias("n"))
+    taxes = i.groupBy(F.round(i.l_tax * 100).cast("int").alias("tax")).agg(F.count("*").alias("n"))
+    files = taxes.select("n", F.lit("t.xls").alias("filename"), F.concat(F.lit("tax;end\n"), F.col("tax").cast("string"), F.lit(";x\n")).cast("binary").alias("content"))
+    return convert.converted(files).select(F.regexp_extract("markdown", r"\n\| (.*) \| x \|\z", 1).alias("cell"), "n")
 
 
 def workbook_markdown(spark, sf_dir):
@@ -132,8 +134,11 @@ def paged_markdown(spark, sf_dir):
 
 
 def list_markdown(spark, sf_dir):
+    """The roles of a conversation as the blocks of two lists."""
     t = _turns(spark, sf_dir, role=F.col("role"))
-    return t.select("conv_id", render.bullets(F.col("turns.role")).alias("bullets"), render.bullets(F.col("turns.role"), ordered=True).alias("numbered"))
+    cells = F.array(F.transform("turns.role", lambda r: F.array(r)))
+    one = lambda tag: F.struct(F.array(F.lit(tag)).alias("tag"), F.array(F.lit("")).alias("text"), F.array(F.lit(None).cast("string")).alias("href"), cells.alias("cells"))
+    return t.withColumns({"ul": one("ul"), "ol": one("ol")}).select("conv_id", render.blocks(F.col("ul")).alias("bullets"), render.blocks(F.col("ol")).alias("numbered"))
 
 
 def email_markdown(spark, sf_dir):

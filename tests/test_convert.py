@@ -139,6 +139,21 @@ def test_sql_functions(spark):
     assert spark.sql("select html_to_markdown('<p>x  \n\n\n y</p><p></p>') m").first().m == "x\n\n y\n\n"
 
 
+def test_hooks_for_images_and_audio(spark):
+    class Counting:
+        def describe_image(self, data):
+            return f"an image of {len(data)} bytes"
+
+        def transcribe_audio(self, data):
+            return f"{len(data)} words"
+
+    sql.register(spark, Counting())
+    assert tuple(spark.sql("select describe_image(x'010203') a, transcribe_audio(x'01') b, describe_image(null) c").first()) == ("an image of 3 bytes", "1 words", None)
+    sql.register(spark)
+    with pytest.raises(Exception, match="LLM client not configured"):
+        spark.sql("select describe_image(x'01')").collect()
+
+
 def test_hard_files(spark):
     wide = xlsx([("S", '<row r="1"><c r="A1" t="str"><v>a</v></c></row><row r="400"><c r="XFD400" t="str"><v>b</v></c></row>')])
     sparse = xlsx([("S", '<row r="1"><c r="B1" t="str"><v>a</v></c></row><row r="3"><c r="C3" t="str"><v>b</v></c></row>')])
