@@ -26,11 +26,17 @@ def _own_folder() -> str:
 
 
 def scratch(spark: SparkSession, name: str) -> str:
-    """A new path in the folder that all executors share: spark.checkpoint.dir, else the warehouse; in local mode a temporary one."""
-    shared = spark.conf.get("spark.checkpoint.dir", None)
+    """A new path in the folder that all executors share: spark.checkpoint.dir, else the warehouse; in local mode a temporary one.
+
+    On a cluster a warehouse on each machine's own disk is an error.
+    """
+    shared, master = spark.conf.get("spark.checkpoint.dir", None), spark.conf.get("spark.master", "")
+    if not shared and re.fullmatch(r"local(\[[^\]]*\])?", master):
+        shared = f"file://{_own_folder()}"
     if not shared:
-        local = re.fullmatch(r"local(\[[^\]]*\])?", spark.conf.get("spark.master", ""))
-        shared = f"file://{_own_folder()}" if local else spark.conf.get("spark.sql.warehouse.dir")
+        shared = spark.conf.get("spark.sql.warehouse.dir")
+        if re.match(r"file:|/", shared) and not master.startswith("local-cluster"):
+            raise ValueError("Set spark.checkpoint.dir to a folder that all executors share")
     return f"{shared.rstrip('/')}/docloom/{name}-{uuid.uuid4().hex}"
 
 

@@ -127,3 +127,15 @@ def test_empty_tables(spark, tables, tmp_path):
     for name in ("documents", "labels", "benchmark"):
         spark.read.parquet(f"{tables}/{name}.parquet").limit(0).write.parquet(f"{tmp_path}/{name}.parquet")
     assert corpus_pipeline.run(spark, str(tmp_path)).count() == 0
+
+
+def test_no_folder_of_one_machine_on_a_cluster():
+    class Session:
+        def __init__(self, **conf):
+            self.conf = conf
+
+    from docloom.llm.common import scratch
+
+    assert scratch(Session(**{"spark.checkpoint.dir": "hdfs://a/b/", "spark.master": "yarn"}), "x").startswith("hdfs://a/b/docloom/x-")
+    with pytest.raises(ValueError):
+        scratch(Session(**{"spark.master": "k8s://x", "spark.sql.warehouse.dir": "file:/root/spark-warehouse"}), "x")
