@@ -12,7 +12,7 @@ from docloom.functions import detect, render, sql
 from docloom.functions.text import html_title, normalize, utf16_length
 from docloom.operators import convert
 from docloom.operators.preview import markdown_to_html
-from docloom.operators.registry import UNSUPPORTED, all_failed, builtins
+from docloom.operators.registry import UNSUPPORTED, Converter, all_failed, builtins
 from docloom.plans import samples
 from docloom.sources.files import read_files, read_folder, read_markdown, scratch, stream_markdown, write_markdown
 from docloom.streaming import write_stream
@@ -120,9 +120,9 @@ def workbook_markdown(spark, sf_dir):
 
 
 def deck_markdown(spark, sf_dir):
-    """Each conversation as a deck: slide10 comes before slide2, and a system turn is an empty slide."""
+    """Each conversation as a deck: slide10 comes before slide2, every third slide is empty, and so are all of every tenth deck."""
     c = _table(spark, sf_dir, "conversations")
-    texts = F.when(c.turn % 3 == 1, F.array().cast("array<string>")).otherwise(F.split(c.text, "\n"))
+    texts = F.when((c.turn % 3 == 1) | (c.conv_id % 10 == 0), F.array().cast("array<string>")).otherwise(F.split(c.text, "\n"))
     slide = F.struct(F.concat(F.lit("ppt/slides/slide"), c.turn.cast("string"), F.lit(".xml")).alias("name"), texts.alias("texts"))
     return c.groupBy("conv_id").agg(F.collect_list(slide).alias("slides")).select("conv_id", render.deck(F.col("slides")).alias("markdown"))
 
@@ -143,14 +143,14 @@ def list_markdown(spark, sf_dir):
 
 def email_markdown(spark, sf_dir):
     o, c = convert.spread(_table(spark, sf_dir, "orders")), _table(spark, sf_dir, "customer")
-    who = lambda kind, email, name: F.struct(F.lit(kind).alias("recip_type"), email.alias("email"), name.alias("name"))
+    who = lambda kind, email, name: F.struct((F.lit(kind) if isinstance(kind, str) else kind).alias("recip_type"), email.alias("email"), name.alias("name"))
     none = F.lit(None).cast("string")
     mail = F.struct(
         F.when(F.col("o_orderkey") % 5 != 0, F.col("o_orderpriority")).alias("subject"),
         F.when(F.col("o_orderkey") % 3 != 0, F.col("c_name")).alias("sender_name"),
         F.concat(F.lit("c"), F.col("c_custkey").cast("string"), F.lit("@example.com")).alias("sender_email"),
         F.when(F.col("o_orderkey") % 2 == 0, F.lit("smtp@example.com")).alias("sender_smtp"),
-        F.array(who("to", F.lit("a@example.com"), none), who("cc", F.lit(""), F.col("c_mktsegment")), who("to", none, F.lit("Bob"))).alias("recipients"),
+        F.array(who("to", F.lit("a@example.com"), none), who("cc", F.lit(""), F.col("c_mktsegment")), who("to", none, F.lit("Bob")), who(F.when(F.col("o_orderkey") % 11 == 0, "bcc"), F.lit("z@example.com"), none)).alias("recipients"),
         F.date_format("o_orderdate", "yyyy-MM-dd").alias("submit_time"),
         F.when(F.col("o_orderkey") % 7 == 0, F.lit("<p>h</p>")).alias("body_html"),
         F.concat(F.lit(" status\r\n\r\n\r\n\r\n"), F.col("o_orderstatus"), F.lit("\r\n")).alias("body"),
@@ -247,7 +247,7 @@ def _office(spark, sf_dir, kind: str) -> DataFrame:
     name, key, segment = c.c_name, c.c_custkey.cast("string"), c.c_mktsegment
     make = {
         "docx": lambda n, k, s: samples.docx([(1 + int(k) % 6, n), ("p", f"{s} & <b>"), ("li", k), ("li", s), ("tr", f"{k}\t{n}")], "berschrift" if int(k) % 2 else "Heading"),
-        "xlsx": lambda n, k, s: samples.xlsx([("A", f'<row><c t="s"><v>0</v></c><c t="str"><v>p|q</v></c></row><row><c><v>{k}</v></c><c><v>0</v></c><c t="b"><v>1</v></c></row>'), ("None", ""), ("B", f'<row r="2"><c r="B2" t="str"><v>{s}</v></c></row>')], [n]),
+        "xlsx": lambda n, k, s: samples.xlsx([("A", ""), ("B", "")]) if int(k) % 7 == 0 else samples.xlsx([("A", f'<row><c t="s"><v>0</v></c><c t="str"><v>p|q</v></c></row><row><c><v>{k}</v></c><c><v>0</v></c><c t="b"><v>1</v></c></row>'), ("None", ""), ("B", f'<row r="2"><c r="B2" t="str"><v>{s}</v></c></row>')], [n]),
         "xls": lambda n, k, s: samples.xls([("A", [(0, 0, [0]), (0, 1, "p|q"), (1, 0, int(k)), (1, 1, 0), (1, 2, True), (1, 3, 2.5)]), ("None", []), ("B", [(4, 2, s)])], [n]),
         "pptx": lambda n, k, s: samples.pptx([(2, [s], True), (10, [f" {n} ", " ", k], True), (3, [], True), (4, ["lost"], False)]),
         "pdf": lambda n, k, s: samples.pdf([[n, " ", s], [], [f"\\({k}\\)"]] if int(k) % 2 else [[k]] if int(k) % 4 else [[]], deflate=int(k) % 3 == 0),
@@ -288,10 +288,15 @@ def sniffed_workbooks(spark, sf_dir):
 
 
 def unreadable_files(spark, sf_dir):
-    """Texts under the names of office files: each is an error row that says which converter failed."""
+    """Texts under the names of office files, and a converter that fails without a word: error rows that say which one failed."""
+
+    def mute(content):
+        raise ValueError
+
     c = _table(spark, sf_dir, "customer")
-    files = c.select("c_custkey", F.concat(F.lit("c"), c.c_custkey.cast("string"), _pick((".docx", ".xlsx", ".pptx", ".pdf"), c.c_custkey)).alias("filename"), c.c_name.cast("binary").alias("content"))
-    return convert.converted(files).select("c_custkey", "status", "error_kind", "error")
+    files = c.select("c_custkey", F.concat(F.lit("c"), c.c_custkey.cast("string"), _pick((".docx", ".xlsx", ".pptx", ".pdf", ".mute"), c.c_custkey)).alias("filename"), c.c_name.cast("binary").alias("content"))
+    registry = builtins().register(Converter("MuteConverter", (".mute",), (), mute))
+    return convert.converted(files, registry).select("c_custkey", "status", "error_kind", "error")
 
 
 def sink_roundtrip(spark, sf_dir):
@@ -445,7 +450,7 @@ def oracle_sql() -> dict[str, str]:
         "deck_markdown": f"""
             with s as (
                 select conv_id, row_number() over (partition by conv_id order by 'ppt/slides/slide' || turn || '.xml') as n,
-                    case when turn % 3 = 1 then []::varchar[] else list_filter(list_transform(string_split(text, {nl}), lambda x: {_trim_sql("x")}), lambda x: x <> '') end as texts
+                    case when turn % 3 = 1 or conv_id % 10 = 0 then []::varchar[] else list_filter(list_transform(string_split(text, {nl}), lambda x: {_trim_sql("x")}), lambda x: x <> '') end as texts
                 from conversations),
             p as (select conv_id, n, '## Slide ' || n || {nl} || {nl} || array_to_string(texts, {nl} || {nl}) as t from s where len(texts) > 0)
             select c.conv_id, coalesce(string_agg(t, {nl} || {nl} order by n), '{render.NO_SLIDES}') as markdown
@@ -464,7 +469,7 @@ def oracle_sql() -> dict[str, str]:
             select o_orderkey, '# Email Message' || case when o_orderkey % 5 <> 0 then {nl} || {nl} || '**Subject:** ' || o_orderpriority else '' end
                 || {nl} || '**From:** ' || case when o_orderkey % 3 <> 0 then c_name || ' <c' || c_custkey || '@example.com>'
                     when o_orderkey % 2 = 0 then 'smtp@example.com' else 'c' || c_custkey || '@example.com' end
-                || {nl} || '**To:** a@example.com; Bob' || {nl} || '**Cc:** ' || c_mktsegment || {nl} || '**Date:** ' || strftime(o_orderdate, '%Y-%m-%d')
+                || {nl} || '**To:** a@example.com; Bob' || {nl} || '**Cc:** ' || c_mktsegment || case when o_orderkey % 11 = 0 then {nl} || '**Bcc:** z@example.com' else '' end || {nl} || '**Date:** ' || strftime(o_orderdate, '%Y-%m-%d')
                 || {nl} || {nl} || '## Content' || {nl} || {nl} || case when o_orderkey % 7 = 0 then '<p>h</p>' else 'status' || {nl} || {nl} || o_orderstatus end as markdown
             from orders join customer on o_custkey = c_custkey""",
         "output_names": f"with {_NAMES_SQL} select doc_id, regexp_replace(filename, '\\.[^/.]+$', '') || '.md' as output_name from names",
@@ -492,8 +497,8 @@ def oracle_sql() -> dict[str, str]:
             select c_custkey, 'DocxConverter' as converter, repeat('#', 1 + (c_custkey % 6)::int) || ' ' || c_name || {nl} || {nl} || c_mktsegment || ' & <b>' || {nl} || {nl} || '1. ' || c_custkey || {nl} || '2. ' || c_mktsegment
                 || {nl} || {nl} || '| ' || c_custkey || ' | ' || c_name || ' |' || {nl} || '| --- | --- |' || {nl} || {nl} as markdown, 'c' || c_custkey || '.docx' as title, null::varchar as error from customer""",
         "xlsx_convert": rf"""
-            select c_custkey, 'XlsxConverter' as converter, '## A' || {nl} || {nl} || '| ' || c_name || ' | p\|q |  |' || {nl} || '| --- | --- | --- |' || {nl} || '| ' || case when c_custkey = 0 then '' else c_custkey::varchar end
-                || ' |  | true |' || {nl} || {nl} || '## B' || {nl} || {nl} || '| ' || c_mktsegment || ' |' || {nl} || '| --- |' as markdown, 'c' || c_custkey || '.xlsx' as title, null::varchar as error from customer""",
+            select c_custkey, 'XlsxConverter' as converter, case when c_custkey % 7 = 0 then '{render.NO_SHEETS}' else '## A' || {nl} || {nl} || '| ' || c_name || ' | p\|q |  |' || {nl} || '| --- | --- | --- |' || {nl} || '| ' || case when c_custkey = 0 then '' else c_custkey::varchar end
+                || ' |  | true |' || {nl} || {nl} || '## B' || {nl} || {nl} || '| ' || c_mktsegment || ' |' || {nl} || '| --- |' end as markdown, 'c' || c_custkey || '.xlsx' as title, null::varchar as error from customer""",
         "xls_convert": rf"""
             select c_custkey, 'XlsxConverter' as converter, '## A' || {nl} || {nl} || '| ' || c_name || ' | p\|q |  |  |' || {nl} || '| --- | --- | --- | --- |' || {nl} || '| ' || case when c_custkey = 0 then '' else c_custkey::varchar end
                 || ' |  | true | 2.5 |' || {nl} || {nl} || '## B' || {nl} || {nl} || '| ' || c_mktsegment || ' |' || {nl} || '| --- |' as markdown, 'c' || c_custkey || '.xls' as title, null::varchar as error from customer""",
@@ -521,8 +526,8 @@ def oracle_sql() -> dict[str, str]:
                 || case when round(l_discount * 100)::int = 0 then '' else (round(l_discount * 100)::int)::varchar end || ' |', {nl} order by l_linenumber, l_partkey, l_suppkey) as markdown, null::varchar as error
             from lineitem group by l_orderkey""",
         "unreadable_files": """
-            select c_custkey, 'Failed' as status, 'FileConversionException' as error_kind, 'All converters failed: ' || case when c_custkey % 4 = 3 then 'PdfConverter: Invalid PDF structure.'
-                else (['Docx', 'Xlsx', 'Pptx'])[c_custkey % 4 + 1] || 'Converter: File is not a zip file' end as error from customer""",
+            select c_custkey, 'Failed' as status, 'FileConversionException' as error_kind, 'All converters failed: ' || case c_custkey % 5 when 4 then 'MuteConverter: Conversion failed' when 3 then 'PdfConverter: Invalid PDF structure.'
+                else (['Docx', 'Xlsx', 'Pptx'])[c_custkey % 5 + 1] || 'Converter: File is not a zip file' end as error from customer""",
         "sink_roundtrip": f"""
             with {_PAGE_SQL}
             select case when page_id % 2 = 0 then 'index.md' else 'a b.md' end as output_name, count(*) as files, count(*) as folders, sum(length({_normalize_sql("t")}))::bigint as n_chars
