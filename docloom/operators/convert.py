@@ -106,6 +106,27 @@ def error_text(error: Column) -> Column:
     return or_else(error, F.lit(FAILED))
 
 
+OUTCOME = ("converter", "markdown", "title", "error_kind", "error", "attempts")
+
+
+def document(p: Column, filename: Column) -> dict[str, Column]:
+    """What became of a document whose reader gave p (see PARSED): a column for each name of OUTCOME."""
+    markdown = (
+        F.when(p["markdown"].isNotNull(), p["markdown"])
+        .when(p["blocks"].isNotNull(), render.blocks(p["blocks"]))
+        .when(p["pages"].isNotNull(), render.pages(layout.pages(p["pages"])))
+        .when(p["slides"].isNotNull(), render.deck(p["slides"]))
+        .when(p["sheets"].isNotNull(), render.workbook(p["sheets"]))
+        .when(p["mail"].isNotNull(), render.email(p["mail"]))
+    )
+    failed = p["converter"].isNull()
+    title = F.when(p["html"].isNotNull(), html_title(p["html"])).when(p["mail"].isNotNull(), or_else(p["mail"]["subject"], filename)).when(~failed, filename)
+    return {
+        "converter": p["converter"], "markdown": normalize(markdown), "title": title, "error_kind": F.when(failed, "FileConversionException"),
+        "error": F.when(failed, all_failed(p["attempts"])), "attempts": p["attempts"],
+    }
+
+
 def converted(files: DataFrame, registry: Registry | None = None, filename: str = "filename", content: str = "content", declared: str | None = None, charset: str | None = None, error: str | None = None, seconds: float | None = 300, megabytes: int | None = 2048) -> DataFrame:
     """Adds extension, mimetype, converter, markdown, title, status, error_kind, error, attempts to the rows of files.
 
@@ -122,22 +143,8 @@ def converted(files: DataFrame, registry: Registry | None = None, filename: str
     rows = rows.withColumn("candidates", registry.candidates(F.col("extension"), F.col("mimetype")))
     readable = (F.size("candidates") > 0) & F.col(content).isNotNull()
     parsed = spread(rows.where(readable)).withColumn("parsed", _reader(registry, seconds, megabytes)("candidates", content, F.col(charset) if charset else F.lit(None).cast("string")))
-    p = F.col("parsed")
-    mail_title = or_else(p["mail"]["subject"], F.col(filename))
-    markdown = (
-        F.when(p["markdown"].isNotNull(), p["markdown"])
-        .when(p["blocks"].isNotNull(), render.blocks(p["blocks"]))
-        .when(p["pages"].isNotNull(), render.pages(layout.pages(p["pages"])))
-        .when(p["slides"].isNotNull(), render.deck(p["slides"]))
-        .when(p["sheets"].isNotNull(), render.workbook(p["sheets"]))
-        .when(p["mail"].isNotNull(), render.email(p["mail"]))
-    )
-    title = F.when(p["html"].isNotNull(), html_title(p["html"])).when(p["mail"].isNotNull(), mail_title).when(p["converter"].isNotNull(), F.col(filename))
-    failed = p["converter"].isNull()
-    done = parsed.select(
-        *own, "extension", "mimetype", p["converter"].alias("converter"), normalize(markdown).alias("markdown"), title.alias("title"),
-        F.when(failed, "FileConversionException").alias("error_kind"), F.when(failed, all_failed(p["attempts"])).alias("error"), p["attempts"].alias("attempts"),
-    )
+    outcome = document(F.col("parsed"), F.col(filename))
+    done = parsed.select(*own, "extension", "mimetype", *(outcome[c].alias(c) for c in OUTCOME))
     none = F.lit(None).cast("string")
     refused = rows.where(~readable).select(
         *own, "extension", "mimetype", none.alias("converter"), none.alias("markdown"), none.alias("title"),

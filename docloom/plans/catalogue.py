@@ -195,6 +195,18 @@ def convert_pages(spark, sf_dir):
     return done.select("page_id", "converter", "error_kind", F.size("attempts").alias("n_attempts"), F.coalesce(F.length("markdown"), F.lit(0)).alias("n_chars"), "title")
 
 
+def sql_convert(spark, sf_dir):
+    """The files of `convert_pages`, converted in SQL."""
+    sql.register(spark)
+    _table(spark, sf_dir, "pages").createOrReplaceTempView("docloom_pages")
+    return spark.sql("""
+        with files as (
+            select page_id, concat('p', page_id, element_at(array('.html', '.bin', '.csv', '.docx'), int(page_id % 4 + 1))) as filename, if(page_id % 2 = 1, 'text/html', '') as declared, cast(html as binary) as content
+            from docloom_pages),
+        done as (select page_id, convert_document(filename, content, declared) as d from files)
+        select page_id, d.converter, d.error_kind, size(d.attempts) as n_attempts, coalesce(length(d.markdown), 0) as n_chars, d.title from done""")
+
+
 def _tags(*parts: Column | str) -> Column:
     return F.concat(*(F.lit(p) if isinstance(p, str) else p.cast("string") for p in parts))
 
@@ -352,7 +364,7 @@ docx_convert, xlsx_convert, xls_convert, pptx_convert, pdf_convert, msg_convert
 QUERIES = (
     html_markdown, html_titles, html_markdown_length, markdown_preview, detect_types, route_candidates, unsupported_errors, all_failed_message,
     normalize_markdown, escape_cells, table_markdown, falsy_cells, workbook_markdown, deck_markdown, paged_markdown, list_markdown, email_markdown,
-    output_names, batch_status, batch_count, remove_and_reindex, append_batch, convert_pages, dom_nodes, html_lists, html_tables, html_inline,
+    output_names, batch_status, batch_count, remove_and_reindex, append_batch, convert_pages, sql_convert, dom_nodes, html_lists, html_tables, html_inline,
     docx_convert, xlsx_convert, xls_convert, pptx_convert, pdf_convert, msg_convert, pdf_layout, sniffed_workbooks, unreadable_files, sink_roundtrip, binary_scan, stream_convert, folder_reader, stream_sink,
 )
 
@@ -418,6 +430,12 @@ def _accepts_sql() -> str:
 def oracle_sql() -> dict[str, str]:
     nl = "chr(10)"
     words = "list_filter(string_split(x, ' '), lambda i: " + _trim_sql("i") + " <> '')"
+    pages_as_files = f"""
+            with {_PAGE_SQL}
+            select page_id, case when page_id % 4 <> 2 then 'HtmlConverter' end as converter, case when page_id % 4 = 2 then 'UnsupportedFormatException' end as error_kind,
+                case when page_id % 4 = 3 then 1 else 0 end as n_attempts, case when page_id % 4 <> 2 then length({_normalize_sql('t')})::int else 0 end as n_chars,
+                case when page_id % 4 <> 2 then trim(regexp_extract(html, '(?i)<title[^>]*>([^<]*)</title>', 1)) end as title
+            from decoded join pages using (page_id)"""
     return {
         "html_markdown": f"with {_PAGE_SQL} select page_id, {_normalize_sql('t')} as markdown from decoded",
         "html_titles": r"select page_id, trim(regexp_extract(html, '(?i)<title[^>]*>([^<]*)</title>', 1)) as title from pages",
@@ -541,10 +559,6 @@ def oracle_sql() -> dict[str, str]:
                 case when length(c_mktsegment) > 9 then 'File is larger than 9 bytes' end as error from customer where c_custkey % 2 = 1""",
         "stream_sink": f"""
             with {_PAGE_SQL} select count(*) as files, count(*) as folders, sum(length({_normalize_sql("t")}))::bigint as n_chars, count(*)::bigint as listed from decoded""",
-        "convert_pages": f"""
-            with {_PAGE_SQL}
-            select page_id, case when page_id % 4 <> 2 then 'HtmlConverter' end as converter, case when page_id % 4 = 2 then 'UnsupportedFormatException' end as error_kind,
-                case when page_id % 4 = 3 then 1 else 0 end as n_attempts, case when page_id % 4 <> 2 then length({_normalize_sql("t")})::int else 0 end as n_chars,
-                case when page_id % 4 <> 2 then trim(regexp_extract(html, '(?i)<title[^>]*>([^<]*)</title>', 1)) end as title
-            from decoded join pages using (page_id)""",
+        "convert_pages": pages_as_files,
+        "sql_convert": pages_as_files,
     }

@@ -76,6 +76,15 @@ def test_markdown_of_every_format_may_go_to_a_python_function(spark, folder):
     assert {r.filename: r.n for r in got if r.n is not None} == {k: len(v[1]) for k, v in DOCUMENTS.items()}
 
 
+def test_conversion_in_sql_gives_the_same_rows(spark, folder):
+    sql.register(spark)
+    names = ["filename", "extension", "mimetype", "converter", "markdown", "title", "status", "error_kind", "error", "attempts"]
+    for found in (files.read_files(spark, folder), spark.createDataFrame([(None, b"x"), ("n.html", None)], "filename string, content binary")):
+        found.createOrReplaceTempView("docloom_files")
+        got = spark.sql("select filename, d.* from (select filename, convert_document(filename, content, null) as d from docloom_files)").select(names)
+        assert sorted(map(str, got.collect())) == sorted(map(str, convert.converted(found).select(names).collect()))
+
+
 def test_accepted_only(spark, folder):
     assert files.read_files(spark, folder, accepted_only=True).where("filename = 'notes.csv'").count() == 0
 
