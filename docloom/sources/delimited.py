@@ -10,6 +10,7 @@ from docloom.functions.text import WS_CHARS
 from docloom.sources.office import MAX_CELLS, number_text
 
 DELIMITERS = ",;\t|"
+csv.field_size_limit(1 << 29)
 _NUMBER = re.compile(r"[+-]?(?:\d+\.?\d*|\.\d+)(?:[eE][+-]?\d+)?")
 
 

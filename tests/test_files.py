@@ -39,7 +39,7 @@ def test_folder_as_rows(spark, folder):
 
 def test_conditions_on_names_come_before_bytes(spark, folder):
     (open(f"{folder}/locked.html", "wb")).close()
-    cases = [(F.col("filename") == "a1.html", 1), (F.col("filename").isin("a1.html", "a2.html", "zz"), 2), (F.col("filename").startswith("a") & F.col("filename").endswith("4.html"), 1), (F.col("filename").contains("5"), 1)]
+    cases = [(F.col("filename") == "a1.html", 1), (F.col("filename").isin("a1.html", "a2.html", "zz"), 2), (F.col("filename").startswith("a") & F.col("filename").endswith("4.html"), 1), (F.col("filename").contains("5"), 1), (F.expr("filename like '%3.html'"), 1)]
     for condition, n in cases:
         found = files.read_folder(spark, folder).where(condition)
         assert found.count() == n and found.select("content").count() == n
@@ -95,10 +95,10 @@ def test_each_file_once_after_a_restart(spark, folder, tmp_path):
         assert sorted((tmp_path / "out").rglob("*.md")) == written
         assert sorted(os.listdir(tmp_path / "out" / "_batches")) == ["0.json"]
     assert {(r.output_name, r.markdown[:3]) for r in files.read_markdown(spark, out).collect()} == {("a0.md", "0\n\n"), ("a2.md", "2\n\n"), ("a4.md", "4\n\n"), ("big.md", "xxx")}
-    with open(f"{folder}/new.html", "w") as f:
+    with open(f"{folder}/new #1+2.html", "w") as f:
         f.write("<p>new")
     convert_stream_to_files(spark, folder, out, state).awaitTermination(120)
-    assert len(sorted((tmp_path / "out").rglob("*.md"))) == 5 and len(os.listdir(tmp_path / "out" / "_batches")) == 2
+    assert len(sorted((tmp_path / "out").rglob("*.md"))) == 5 and list((tmp_path / "out").rglob("new #1+2.md")) and len(os.listdir(tmp_path / "out" / "_batches")) == 2
 
 
 def test_no_folder_of_one_machine_on_a_cluster():
