@@ -50,8 +50,8 @@ def register(spark: SparkSession, llm=None, registry=None) -> None:
     from docloom.sources.html import blocks
 
     registry = registry or builtins()
-    spark.udf.register("html_blocks", F.udf(lambda h: None if h is None else blocks(h), render.BLOCKS, useArrow=True))
-    spark.udf.register("markdown_to_html", F.udf(lambda m: None if m is None else to_html(m), "string", useArrow=True))
+    spark.udf.register("html_blocks", convert.each_row(lambda h: None if h is None else blocks(h), render.BLOCKS))
+    spark.udf.register("markdown_to_html", convert.each_row(lambda m: None if m is None else to_html(m), "string"))
     spark.udf.register("read_document", convert._reader(registry, 300, 2048))
     llm = llm or convert.UnconfiguredLLM()
     for name in ("describe_image", "transcribe_audio"):
