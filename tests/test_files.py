@@ -111,3 +111,26 @@ def test_no_folder_of_one_machine_on_a_cluster():
     with pytest.raises(ValueError):
         files.scratch(Session(**{"spark.master": "yarn", "spark.sql.warehouse.dir": "file:/root/spark-warehouse"}), "x")
     assert files.scratch(Session(**{"spark.master": "local[4]"}), "x").startswith("file:///")
+
+
+def test_a_sink_holds_few_texts_of_a_batch(tmp_path, monkeypatch):
+    """Texts are taken from an Arrow batch as their files are written."""
+    import pyarrow as pa
+    from docloom.sources import files
+
+    n, taken, written = 1000, [], []
+    slices = pa.RecordBatch.slice
+
+    class Batch:
+        num_rows = n
+        rows = pa.RecordBatch.from_pydict({"folder": [f"{k % 3}" for k in range(n)], "output_name": [f"{k}.md" for k in range(n)], "markdown": [f"t{k}" for k in range(n)]})
+
+        def slice(self, at, size):
+            taken.append(min(size, n - at))
+            written.append(len(list(tmp_path.rglob("*.md"))))
+            return slices(self.rows, at, size)
+
+    for writer in (files._FileWriter, files._StreamWriter):
+        done = writer(str(tmp_path)).write(iter([Batch()]))
+        assert done.files == n and (tmp_path / "2" / "998.md").read_text() == "t998"
+    assert max(taken) == files.WRITE_ROWS and written[:3] == [0, files.WRITE_ROWS, 2 * files.WRITE_ROWS]
