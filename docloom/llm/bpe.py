@@ -10,7 +10,6 @@ fits; back-pointers give the ids. Time is linear in the length of a word, howeve
 from __future__ import annotations
 
 import json
-from functools import lru_cache
 from pathlib import Path
 
 import numpy as np
@@ -19,7 +18,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from docloom.llm.automaton import SuffixAutomaton
-from docloom.llm.common import list_array, map_texts, text_of
+from docloom.llm.common import list_array, map_texts, text_of, worker_table
 from docloom.llm.pretokens import Splitter, byte_letters
 
 END = "￿"
@@ -166,7 +165,7 @@ class Codec:
         return " ".join([token[i] for i in ids.tolist() if i in token])
 
 
-@lru_cache(maxsize=2)
+@worker_table
 def codec(definition: str) -> Codec:
     """One for each Python worker."""
     return Codec(definition)

@@ -19,7 +19,7 @@ import xxhash
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from docloom.llm.common import small, skew_join, text_of, written
+from docloom.llm.common import small, small_batches, skew_join, tables_dropped, text_of, written
 
 NO_ID = (1 << 63) - 1
 
@@ -158,6 +158,7 @@ def common_blocks(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text
     schema = pa.schema([("doc", pa.int64()), ("hash", pa.int64()), ("run", pa.int64()), ("at", pa.int32()), ("lines", pa.int32())])
 
     def runs(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        tables_dropped()
         for batch in batches:
             for start in range(0, batch.num_rows, 256):
                 out = [(d, h, *r) for d, h, t in zip(*(c.to_pylist() for c in batch.slice(start, 256).columns)) for r in runs_of(t, min_words)]
@@ -174,6 +175,7 @@ def common_blocks(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text
     line_schema = pa.schema([("l_doc", pa.int64()), ("l_hash", pa.int64()), ("codes", pa.list_(pa.int64())), ("words", pa.list_(pa.int32()))])
 
     def codes(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        tables_dropped()
         for batch in batches:
             for start in range(0, batch.num_rows, 256):
                 part = batch.slice(start, 256)
@@ -193,6 +195,7 @@ def common_blocks(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text
     result = pa.schema([("doc", pa.int64()), ("hash", pa.int64()), ("blocks", pa.list_(pa.struct([("first", pa.int32()), ("end", pa.int32())])))])
 
     def align(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        tables_dropped()
         for batch in batches:
             for start in range(0, batch.num_rows, 64):
                 part = batch.slice(start, 64)
@@ -220,7 +223,8 @@ def deduplicated(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text"
     copied has an empty text; null texts stay null. Empty tables give an empty result. An own column of the name
     removed_col is replaced.
     """
-    blocks = written(common_blocks(docs, id_col, text_col, min_words, moved_words), "blocks")
+    with small_batches(docs.sparkSession):  # of whole texts and their lines
+        blocks = written(common_blocks(docs, id_col, text_col, min_words, moved_words), "blocks")
     blocks = small(blocks, F.size("blocks") + 3).select(F.col("doc").alias("cut_doc"), F.col("hash").alias("cut_hash"), "blocks")
     doc, digest = (c for c in _key(docs, id_col, text_of(docs, text_col)))
     columns = [c for c in docs.columns if c != removed_col]

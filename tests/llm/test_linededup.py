@@ -160,3 +160,22 @@ def test_short_lines_of_aligned_copies_go(spark):
     docs = spark.createDataFrame([(1, "\n".join(first)), (2, "\n".join(later)), (3, "short one\nshort two")], "doc_id long, text string")
     got = {r.doc_id: r.text for r in linededup.deduplicated(docs).collect()}
     assert got == {1: "\n".join(first), 2: "mine\nnew\n\nother", 3: "short one\nshort two"}
+
+
+def test_tasks_get_small_batches_and_keep_no_tables_of_others(spark, monkeypatch):
+    import public_tokenizers
+
+    from docloom.llm import bpe, common
+
+    key, seen, write = "spark.sql.execution.arrow.maxRecordsPerBatch", [], linededup.written
+    monkeypatch.setattr(linededup, "written", lambda df, name: seen.append(int(spark.conf.get(key))) or write(df, name))
+    docs = spark.createDataFrame([(1, "a b c\nd e f"), (2, "a b c\nx")], "doc_id long, text string")
+    before = spark.conf.get(key)
+    assert linededup.deduplicated(docs, min_words=3).count() == 2
+    assert seen and max(seen) <= 1000 and spark.conf.get(key) == before
+
+    with open(public_tokenizers.path("word_bpe_49k.json")) as f:
+        bpe.codec(f.read())
+    assert bpe.codec.cache_info().currsize == 1
+    common.tables_dropped()
+    assert bpe.codec.cache_info().currsize == 0
