@@ -85,3 +85,42 @@ def test_very_long_text(spark):
     d = spark.createDataFrame([(1, long), (2, "x" * 1_000_000)], "doc_id long, text string")
     (row,) = dc.leaks(d, spark.createDataFrame([(5, item)], "item_id long, text string")).collect()
     assert (row.doc_id, row.first_word, row.last_word) == (1, 120_000, 120_019)
+
+
+@pytest.mark.parametrize("most", [10**6, 0])
+def test_hits_carry_a_part_of_their_text(spark, monkeypatch, most):
+    """Of a long text that leaks much, and of items that have one text, what a hit holds is small, and none is compared twice."""
+    from pyspark.sql import functions as F
+
+    r = random.Random(3)
+    texts = [" ".join(f"b{r.randrange(10**6)}" for _ in range(n)) for n in (40, 15, 14, 59)]
+    items = [(10 * copy + k, t) for copy in range(5) for k, t in enumerate(texts)] + [(0, texts[1]), (None, texts[0]), (None, texts[0])]
+    filler = [f"w{k}" for k in range(3000)]
+    docs = []
+    for k, at in enumerate((0, 1, 200, 241, 243, 255, 256, 257, 498, 512, 2000)):  # across the ends of parts
+        one = filler[:at] + words(texts[k % 4]) + filler[at:] + words(texts[3])
+        for spoil in range(at, at + 40, 7):
+            one[spoil] = "spoiled" if k % 3 == 0 else one[spoil]
+        docs.append((k, " ".join(one)))
+    docs.append((None, docs[2][1]))
+    held, verified = [], dc._verified
+
+    def seen(hits, *rest):
+        held.append(hits.agg(F.count("*"), F.max(F.size("h"))).first())
+        return verified(hits, *rest)
+
+    monkeypatch.setattr(dc, "_verified", seen)
+    d, b = spark.createDataFrame(docs, "doc_id long, text string"), spark.createDataFrame(items, "item_id long, text string")
+    got = dc.leaks(d, b, max_broadcast=most)
+    by_text = {}
+    for doc, i, first, last in brute(docs, list(enumerate(texts))):
+        by_text.setdefault(i, []).append((doc, first, last))
+    want = {}
+    for item, t in set(items):
+        for doc, first, last in by_text.get(texts.index(t), []):
+            a, z = want.get((doc, str(item)), (first, last))
+            want[doc, str(item)] = min(a, first), max(z, last)
+    assert sorted((str(x.doc_id), str(x.item_id), x.first_word, x.last_word) for x in got.collect()) == sorted((*k, *v) for k, v in want.items())
+    ((n, most_words),) = held
+    assert most_words <= dc.PART + 2 * dc.WINDOW
+    assert n < 12 * 3 * (40 + 59)  # and not five times as many
